@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barproof.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from barproof.llm import bpe, decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, quotes, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.build_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"), texts=False)
 
@@ -45,7 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_quality_classifier, op7_suffix_array_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_quality_classifier, op6_quotation_linking, op7_suffix_array_dedup, op8_url_filter, op9_language_id, op10_quality_rules)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
