@@ -13,8 +13,8 @@ from barproof.llm import textkit as tk
 
 U64 = np.uint64
 WINDOW, GRAM = 400, 32
-FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
-SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())]
+SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
 class ByteArrays:
@@ -23,7 +23,7 @@ class ByteArrays:
     def __init__(self, window: int = WINDOW, texts: bool = False):
         self.window, self.gram, self.texts = window, min(GRAM, window), texts
         self.width = self.window - self.gram + 1
-        self.sql = SQL if texts else SQL.replace(", kept binary", "")
+        self.sql = SQL if texts else SQL.replace(", kept binary, kept_text string", "")
 
     def ready(self, docs: DataFrame, n: int) -> None:
         self.places = n
@@ -91,12 +91,13 @@ class ByteArrays:
             n = int(g.sum())
             kept = buf[a:b][~g].tobytes() if n else data[a:b]
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-            out.append((b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept)[: 4 + self.texts])
+            out.append((b - a, n, spans, hashlib.sha256(kept).hexdigest()) + ((kept, kept.decode(errors="ignore")) if self.texts else ()))
         columns = list(zip(*out))
-        fields = FIELDS[: 5 + self.texts]
+        fields = FIELDS[: 5 + 2 * self.texts]
         return pa.table([doc_ids, *(pa.array(c, f[1]) for c, f in zip(columns, fields[1:]))], names=[f[0] for f in fields])
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes of each document."""
-    return rp.remove_repeats(rp.whole(docs, id_col, text_col), ByteArrays(window, texts), pa.schema(FIELDS[: 5 + texts]), chunk_bytes)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes and
+    their text (without the pieces of characters that were cut through) of each document."""
+    return rp.remove_repeats(rp.whole(docs, id_col, text_col), ByteArrays(window, texts), pa.schema(FIELDS[: 5 + 2 * texts]), chunk_bytes)
