@@ -1,12 +1,72 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Stages, in order: language identification (texts without a sure language go),
+n-gram Jaccard join (five words, 0.8: the document of the least id of each group
+stays), suffix-array deduplication (repeated passages are cut out of texts),
+benchmark decontamination (contaminated documents go) and byte-level BPE.
+
+Rows with a null doc_id can't be told apart and go in the first stage; of rows
+with one doc_id, the second keeps one.  All other columns pass through.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barproof.llm import bpe, decontaminate, graph, jaccard_join, language_id, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs).where("kept").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_components(docs)
+    first = groups.where("component_id = doc_id").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeated_bytes(docs).select("doc_id", F.col("kept_text").alias("text"))
+    rest = docs.drop("text", "n_chars")
+    return rest.join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = decontaminate.decontaminate(docs, items, full=False).where("contaminated").select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN, full=False)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+#: Language identification and the parity sketches can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages, each written to the cluster's shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    graph.ensure_checkpoint_dir(docs)
+    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+    return docs
