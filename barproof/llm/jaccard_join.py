@@ -11,15 +11,19 @@ are spare ones sends these too.
 
 1. Texts with equal sets are one class; only classes are joined.
 2. Cells that stand in several classes (found as in ``repeats``) become rows
-   (cell, class).  Each class is verified against the two classes it shares the
-   most cells with, of those that lead a cell.
+   (cell, class), and the texts of those classes are kept beside them, so that
+   later steps read no other text.  Each class is verified against the two
+   classes it shares the most cells with, of those that lead a cell.
 3. Components of what is linked so far; only cells whose classes lie in several
-   components are left.  There, whole sketches are compared, and pairs in
-   different components whose Hamming distance allows a link are verified.
-   A very full cell is cut into blocks, compared two by two in tasks of their own.
+   components are left.  There, whole sketches are compared; of the pairs whose
+   Hamming distance allows a link, those that would join components (a forest in
+   each cell, not all pairs) are verified.  Refuted pairs are remembered, and the
+   step repeats, with more forests each time, until no pair is left to test.  A very full cell is cut into
+   blocks, compared two by two in tasks of their own.
 
-Verification compares the sets themselves.  Every pair that shares a cell is
-either in one component already or compared, so no component is lost.
+Verification compares the sets themselves.  In the end each pair that shares a
+cell lies in one component, or its sketches forbid a link, or its sets were
+compared; so no component is lost.
 
 Defined results: null, empty and word-less texts have the empty set, link with
 nothing and are their own component; rows with one id are one node; a row with a
@@ -45,8 +49,8 @@ U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 BLOCK = 4096
-EMITTED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cell", pa.int64()), ("layout", pa.int32())])
-EMITTED_SQL = "id long, key binary, n long, cell long, layout int"
+EMITTED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cell", pa.int64()), ("layout", pa.int32()), ("packed", pa.binary())])
+EMITTED_SQL = "id long, key binary, n long, cell long, layout int, packed binary"
 
 
 class Layouts:
@@ -131,25 +135,64 @@ def _classes(buf, offs, k):
     return h, base, keys, np.diff(base), np.sort(first)
 
 
-def _pairs(table: pa.Table, layouts: Layouts) -> pa.Table:
-    """Of one cell's classes (or two blocks of them), pairs in different components whose sketches allow a link."""
-    table = table.sort_by([("id", "ascending")])
-    ids, n, comp, block = (table.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
+    """Of one cell's classes (or two blocks of them): pairs, least distance first, that would join different
+    components, where the sketches allow a link and the pair hasn't been refuted before; ``width`` such forests."""
+    table = table.sort_by([("key", "ascending")])
+    keys, bad = table.column("key").to_pylist(), [set(x or ()) for x in table.column("refuted").to_pylist()]
+    n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+    _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
     sketch = np.stack([np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()])
-    s, out = layouts.s, []
+    s, found = layouts.s, []
     pair = table.column("pair")[0].as_py()
-    lo, hi = pair // 100_000, pair % 100_000
-    for i in range(len(ids) - 1):
+    for i in range(len(keys) - 1):
         a, b = n[i], n[i + 1 :]
         ok = (comp[i + 1 :] != comp[i]) & (np.minimum(a, b) * s.denominator >= np.maximum(a, b) * s.numerator)
-        if lo != hi:
+        if pair // 100_000 != pair % 100_000:
             ok &= block[i + 1 :] != block[i]
         at = np.flatnonzero(ok) + i + 1
         if len(at):
             d = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
-            at = at[d * (s.denominator + s.numerator) <= (a + n[at]) * (s.denominator - s.numerator)]
-            out += [(int(ids[i]), int(ids[j])) for j in at]
-    return rp.rows(pa.schema([("a", pa.int64()), ("b", pa.int64())]), out)
+            ok = d * (s.denominator + s.numerator) <= (a + n[at]) * (s.denominator - s.numerator)
+            at, d = at[ok], d[ok]
+            order = np.lexsort((d, comp[at]))
+            last, many = -1, 0
+            for j, x in zip(at[order].tolist(), d[order].tolist()):
+                if comp[j] != last:
+                    last, many = comp[j], 0
+                if many < width and keys[j] not in bad[i]:  # the nearest of each other component
+                    found.append((x, i, j))
+                    many += 1
+    out, found = [], sorted(found)
+    for _ in range(width):
+        up, left = list(range(int(comp.max()) + 1)), []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for e in found:
+            x, y = top(comp[e[1]]), top(comp[e[2]])
+            if x == y:
+                left.append(e)
+            else:
+                up[x] = y
+                out.append((keys[e[1]], keys[e[2]]))
+        if not left:
+            break
+        found = left
+    return rp.rows(PAIRS, out)
+
+
+def _forests(layouts: Layouts, width: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _forest(table, layouts, width)
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "4/5", chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -159,8 +202,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = rp.whole(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_places = max(1, math.ceil(total / chunk_bytes))
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(n_places))
-    by = docs.withColumn("place", deal("id")).groupBy("place")
+    by = docs.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(n_places))).groupBy("place")
 
     def cells_of(buf, offs):
         """Of each slice: its sets, and (class, layout, cell) of what each class sends."""
@@ -195,110 +237,109 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not table.num_rows:
             return EMITTED.empty_table()
         known = np.sort(np.concatenate([tk.unpressed(b)[0] for b in marks.column("blob").to_pylist()])) if marks.num_rows else np.zeros(0, np.uint64)
-        ids, out, seen = table.column("id").combine_chunks(), [], set()
+        ids, texts, out, seen = table.column("id").combine_chunks(), table.column("text"), [], set()
+        press = zstandard.ZstdCompressor(level=3)
         for lo, keys, size, which, layout, cell in cells_of(*tk.pack(table.column("text"))):
             raw = [x.tobytes() for x in keys]
             m = len(raw)
-            out.append(pa.table([ids.slice(lo, m), pa.array(raw, pa.binary()), pa.array(size), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], schema=EMITTED))
+            out.append(pa.table([ids.slice(lo, m), pa.array(raw, pa.binary()), pa.array(size), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=EMITTED))
             if len(known) and len(cell):
                 new = [w for w in np.unique(which).tolist() if raw[w] not in seen]
                 seen.update(raw[w] for w in new)
                 keep = rp.known_marks(cell, known) & np.isin(which, new)
                 w = which[keep]
-                out.append(pa.table([pa.nulls(len(w), pa.int64()), pa.array([raw[i] for i in w.tolist()], pa.binary()), pa.array(size[w]), pa.array(cell[keep].view(np.int64)), pa.array(layout[keep].astype(np.int32))], schema=EMITTED))
+                out.append(pa.table([pa.nulls(len(w), pa.int64()), pa.array([raw[i] for i in w.tolist()], pa.binary()), pa.array(size[w]), pa.array(cell[keep].view(np.int64)), pa.array(layout[keep].astype(np.int32)), pa.nulls(len(w), pa.binary())], schema=EMITTED))
+                own = np.unique(w).tolist()
+                packed = [press.compress((texts[lo + i].as_py() or "").encode()) for i in own]
+                out.append(pa.table([pa.nulls(len(own), pa.int64()), pa.array([raw[i] for i in own], pa.binary()), pa.array(size[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.array(packed, pa.binary())], schema=EMITTED))
         return pa.concat_tables(out)
 
     marks = by.applyInArrow(mark, rp.BLOBS_SQL).groupBy("place").applyInArrow(rp.repeated_marks, rp.BLOBS_SQL)
     emitted = by.cogroup(marks.groupBy("place")).applyInArrow(emit, EMITTED_SQL).checkpoint()
-    members = emitted.where("cell IS NULL").select("id", "key", "n")
-    classes = members.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    cells = emitted.where("cell IS NOT NULL").groupBy("cell", "key").agg(F.first("layout").alias("layout"))
-    cells = cells.join(classes, "key").where("id IS NOT NULL").select("cell", "id", "n", "layout").checkpoint()
+    members = emitted.where("cell IS NULL AND packed IS NULL").select("id", "key", "n")
+    classes = members.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")).checkpoint()
+    known = classes.where("id IS NOT NULL").select("key")
+    cells = emitted.where("cell IS NOT NULL").groupBy("cell", "key").agg(F.first("layout").alias("layout"), F.first("n").alias("n")).join(known, "key", "left_semi").checkpoint()
+    texts = emitted.where("packed IS NOT NULL").groupBy("key").agg(F.first("packed").alias("packed"))
 
     # the two leaders that each class shares the most cells with
-    lead = cells.groupBy("cell").agg(F.min_by(F.struct("id", "n"), F.xxhash64("cell", "id")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    likely = (F.least("n", "lead.n") * layouts.s.denominator >= F.greatest("n", "lead.n") * layouts.s.numerator) & (F.col("id") != F.col("lead.id"))
-    shared = cells.join(lead, "cell").where(likely).groupBy("id", F.col("lead.id").alias("other")).agg(F.count(F.lit(1)).alias("m"))
-    top = shared.groupBy("id").agg(F.max(F.struct("m", "other")).alias("one"), F.max_by(F.struct("m", "other"), F.struct("m", F.xxhash64("other"))).alias("two"))
-    first = top.select("id", F.explode(F.array("one.other", "two.other")).alias("other"))
-    verified = _verify(by, first.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), deal, k, layouts.s)
-
-    # cells that still hold several components
-    labels = graph.components(verified)
-    placed = cells.join(labels, cells.id == labels.node, "left").select("cell", "id", "n", "layout", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-    rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
-    sketches = _fetch(by, rest.select("id", "layout").distinct(), deal, k, layouts)
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id", "cell"), n_blocks).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.least(j, F.col("block")) * 100_000 + F.greatest(j, F.col("block")))
-    rest = rest.withColumn("pair", F.explode(other)).join(sketches, ["id", "layout"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        return _pairs(table, layouts)
-
-    pairs = rest.select("cell", "pair", "id", "n", "component", "block", "sketch").groupBy("cell", "pair").applyInArrow(compare, "a long, b long").distinct()
-    links = verified.union(_verify(by, pairs, deal, k, layouts.s))
-    final = graph.components(links)
-    named = classes.join(final, classes.id == final.node, "left").select("key", F.coalesce("component", "id").alias("component"))
+    lead = cells.groupBy("cell").agg(F.min_by(F.struct("key", "n"), F.xxhash64("cell", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    likely = (F.least("n", "lead.n") * layouts.s.denominator >= F.greatest("n", "lead.n") * layouts.s.numerator) & (F.col("key") != F.col("lead.key"))
+    shared = cells.join(lead, "cell").where(likely).groupBy("key", F.col("lead.key").alias("other")).agg(F.count(F.lit(1)).alias("m"))
+    top = shared.groupBy("key").agg(F.max(F.struct("m", "other")).alias("one"), F.max_by(F.struct("m", "other"), F.struct("m", F.xxhash64("other"))).alias("two"))
+    first = top.select("key", F.explode(F.array("one.other", "two.other")).alias("other"))
+    tested = _verify(texts, first.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), k, layouts.s)
+
+    def labels_of(tested: DataFrame) -> DataFrame:
+        ids = classes.select("key", "id")
+        linked = tested.where("linked").join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
+        label = graph.components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        return ids.join(label, ids.id == label.node, "left").select("key", F.coalesce("component", "id").alias("component")).checkpoint()
+
+    # cells that still hold several components, until no pair is left to test
+    for turn in range(16):
+        labels = labels_of(tested)
+        placed = cells.join(labels, "key")
+        mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
+        rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
+        if rest.isEmpty():
+            break
+        sketches = _sketches(texts, rest.select("key", "layout").distinct(), k, layouts)
+        not_linked = tested.where("NOT linked")
+        refuted = not_linked.unionByName(not_linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked")).groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("refuted"))
+        n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("key", "cell"), n_blocks).cast("int"))
+        other = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.least(j, F.col("block")) * 100_000 + F.greatest(j, F.col("block")))
+        rest = rest.withColumn("pair", F.explode(other)).join(sketches, ["key", "layout"]).join(refuted, "key", "left")
+        pairs = rest.select("cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("cell", "pair").applyInArrow(_forests(layouts, 4**turn), "a binary, b binary")
+        new = _verify(texts, pairs.distinct(), k, layouts.s)
+        if new.isEmpty():
+            break
+        tested = tested.unionByName(new).checkpoint()
+    else:
+        raise RuntimeError("links didn't settle")
     full, none = members.where("n > 0"), members.where("n = 0")
-    out = full.join(named, "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = full.join(labels, "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.union(none.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
-def _fetch(by, wanted: DataFrame, deal, k: int, layouts: Layouts) -> DataFrame:
-    """The sketches of classes (by an id of theirs) in given layouts."""
-    schema = pa.schema([("id", pa.int64()), ("layout", pa.int32()), ("sketch", pa.binary())])
-
-    def run(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not wanted.num_rows:
-            return schema.empty_table()
-        ask = {}
-        for i, x in zip(wanted.column("id").to_pylist(), wanted.column("layout").to_pylist()):
-            ask.setdefault(i, []).append(x)
-        table = table.filter(pa.compute.is_in(table.column("id"), pa.array(list(ask))))
-        h, base = shingles(*tk.pack(table.column("text")), k)
-        pairs = [(j, x) for j, i in enumerate(table.column("id").to_pylist()) for x in ask[i]]
-        which, layout = np.array(pairs, np.int64).reshape(-1, 2).T
-        sketch, at = layouts.sketches(h, base, which, layout)
-        ids = table.column("id").to_numpy()
-        return rp.rows(schema, [(int(ids[w]), int(x), sketch[a:b].tobytes()) for w, x, a, b in zip(which, layout, at[:-1], at[1:])])
-
-    return by.cogroup(wanted.withColumn("place", deal("id")).groupBy("place")).applyInArrow(run, "id long, layout int, sketch binary")
-
-
-def _verify(by, pairs: DataFrame, deal, k: int, s: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, checkpointed."""
-    pairs = pairs.checkpoint()
-    text_schema = pa.schema([("id", pa.int64()), ("packed", pa.binary())])
-
-    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not wanted.num_rows:
-            return text_schema.empty_table()
-        table = table.filter(pa.compute.is_in(table.column("id"), wanted.column("id").combine_chunks()))
-        press = zstandard.ZstdCompressor(level=3)
-        return rp.rows(text_schema, [(i, press.compress((t or "").encode())) for i, t in zip(table.column("id").to_pylist(), table.column("text").to_pylist())])
+def _unpacked(column, k: int):
+    """Shingle sets of packed texts."""
+    press = zstandard.ZstdDecompressor()
+    return shingles(*tk.pack(pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary())), k)
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("place", deal("id"))
-    texts = by.cogroup(wanted.groupBy("place")).applyInArrow(fetch, "id long, packed binary")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
 
-    def test(batches):
-        press = zstandard.ZstdDecompressor()
+def _sketches(texts: DataFrame, wanted: DataFrame, k: int, layouts: Layouts) -> DataFrame:
+    """The sketches of classes in given layouts."""
+    schema = pa.schema([("key", pa.binary()), ("layout", pa.int32()), ("sketch", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                h, base = _unpacked(part.column("packed"), k)
+                layout = part.column("layout").to_numpy().astype(np.int64)
+                sketch, at = layouts.sketches(h, base, np.arange(len(layout)), layout)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("layout"), pa.array([sketch[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], schema=schema)
+
+    return wanted.join(texts, "key").select("key", "layout", "packed").mapInArrow(run, "key binary, layout int, sketch binary")
 
-        def sets(column):
-            raw = [press.decompress(x) for x in column.to_pylist()]
-            return shingles(*tk.pack(pa.array(raw, pa.binary())), k)
 
+def _verify(texts: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFrame:
+    """The pairs (a, b) with ``linked``: whether their sets are similar enough."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
+
+    def test(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                (ha, ba), (hb, bb) = sets(part.column("pa")), sets(part.column("pb"))
-                keep = []
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                (ha, ba), (hb, bb) = _unpacked(part.column("pa"), k), _unpacked(part.column("pb"), k)
+                linked = []
                 for i in range(part.num_rows):
                     x, y = ha[ba[i] : ba[i + 1]], hb[bb[i] : bb[i + 1]]
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(same > 0 and same * s.denominator >= (len(x) + len(y) - same) * s.numerator)
-                yield part.select(["a", "b"]).filter(pa.array(keep))
+                    linked.append(same > 0 and same * s.denominator >= (len(x) + len(y) - same) * s.numerator)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], schema=schema)
 
-    return both.select("a", "b", "pa", "pb").mapInArrow(test, "a long, b long").checkpoint()
+    return both.select("a", "b", "pa", "pb").mapInArrow(test, "a binary, b binary, linked boolean").checkpoint()
