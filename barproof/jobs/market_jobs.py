@@ -132,7 +132,7 @@ def prj_flip(spark, d):
     return plan_cols(pl.mirror(b.book(spark, d)))
 
 
-@register("prj_netr", q.query(f"SELECT plan_id, round(raw_r - {q.COST} / d_stop - CASE WHEN "at" IS NOT NULL THEN side * 0.0001 * (greatest(0, "at" - t0) / 3.6e6 / 8) / d_stop ELSE 0 END, 6) AS r FROM runs"))
+@register("prj_netr", q.query(f'''SELECT plan_id, round(raw_r - {q.COST} / d_stop - CASE WHEN "at" IS NOT NULL THEN side * 0.0001 * (greatest(0, "at" - t0) / 3.6e6 / 8) / d_stop ELSE 0 END, 6) AS r FROM runs'''))
 def prj_netr(spark, d):
     raw = rp.replay(b.book(spark, d), fx.bars_1d(spark, d))
     return raw.select("plan_id", F.round(pl.net_r(F.col("r"), 0.0001), 6).alias("r"))
