@@ -5,9 +5,11 @@ a bit in it.  Two sketches of one layout then differ in at most as many bits as
 the shingle sets differ in elements, and one differing shingle changes one cell.
 Texts meet in layouts by size band; where Jaccard similarity is at least s, sets
 of sizes a and b differ in at most (1-s)/(1+s) (a+b) elements, so of one cell
-more than that at least one is equal (pigeonhole).  A few spare cells make up
-for empty ones, which say nothing: only a text with more empty cells than there
-are spare ones sends these too.
+more than that at least one is equal (pigeonhole).  Spare cells make up for poor
+ones, with no more than two bits (or one, or none), which many unlike texts
+share: with e spare cells a linked pair has e + 1 equal cells, and whether a cell
+is poor depends on its bits alone, so a text sends its poor cells only if it has
+more than e of them.
 
 1. Texts with equal sets are one class; only classes are joined.
 2. Cells that stand in several classes (found as in ``repeats``) become rows
@@ -63,9 +65,25 @@ class Layouts:
             bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] * 1.25)))
         self.bounds = np.array(bounds, np.int64)
         self.differ = np.array([int((1 - self.s) / (1 + self.s) * 2 * (b - 1)) for b in bounds[1:]], np.int64)
-        self.spare = 3 + self.differ // 25
+        plans = [self._spare(int(d), int(b)) for d, b in zip(self.differ, bounds)]
+        self.spare = np.array([e for e, _ in plans], np.int64)
+        self.poor = np.array([low for _, low in plans], np.int64)
         self.cells = self.differ + 1 + self.spare
 
+    @staticmethod
+    def _spare(differ: int, size: int) -> tuple[int, int]:
+        """How many spare cells a layout has, and up to how many set bits a cell is poor: as many bits as
+        few enough spare cells allow (cells fill as by a Poisson law)."""
+        for low in (2, 1, 0):
+            spare = 3
+            for _ in range(30):
+                mean = 0.9 * size / (differ + 1 + spare)
+                share = math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(low + 1))
+                spare = min(3 + math.ceil(1.4 * (differ + 1 + spare) * share), differ + 4)
+            if spare <= 3 + 0.45 * differ:
+                return spare, low
+        return 3 + differ // 4, 0
+
     def band(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, n, "right") - 1
 
@@ -212,9 +230,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             which = first[which]
             sketch, at = layouts.sketches(h, base, which, layout)
             entry = np.repeat(np.arange(len(which)), np.diff(at))
-            empty = sketch == 0
-            few = (np.bincount(entry[empty], minlength=len(which)) <= layouts.spare[layout])[entry]
-            sends = ~(empty & few)
+            poor = np.bitwise_count(sketch) <= layouts.poor[layout][entry]
+            few = (np.bincount(entry[poor], minlength=len(which)) <= layouts.spare[layout])[entry]
+            sends = ~(poor & few)
             cell = tk.mix(sketch + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))
             yield lo, keys, size, which[entry][sends], layout[entry][sends], cell[sends]
 
