@@ -1 +1,168 @@
-"""Queries."""
+"""Queries on the signal ledger, run log and scan records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barproof.jobs import base as b
+from barproof.jobs import sql as q
+from barproof.jobs.registry import register
+from barproof.operators import ledger as lg
+from barproof.operators import plans as pl
+from barproof.sources import fixtures as fx
+from barproof.sources import readers as rd
+
+# The ledger: runs of one strategy, half of the rows in the other naming, some results altered, some open or flipped.
+q.TABLES["led"] = f"""SELECT sym || '|1d|' || t0 AS id, sym, side, entry, sl, tp1, tp2, rm, d_stop, t0, t_end, CASE WHEN state IN ('open', 'wait') THEN NULL WHEN t0 // {b.DAY} % 17 = 0 THEN 'flipped' ELSE state END AS state, half, "at" AS closed_at, px,
+  CASE WHEN state IN ('open', 'wait') THEN NULL WHEN t0 // {b.DAY} % 10 = 0 THEN r + 0.5 ELSE r END AS r, state AS true_state, r AS true_r FROM runs WHERE strat = 'xsmom30'"""
+
+
+def raw_ledger(spark, d):
+    r = b.runs(spark, d, ("xsmom30",))
+    day = F.floor(F.col("t0") / b.DAY)
+    open_ = F.col("state").isin("open", "wait")
+    r = r.withColumns({"r": F.when(open_, None).otherwise(F.when(day % 10 == 0, F.col("r") + 0.5).otherwise(F.col("r"))), "state": F.when(open_, None).when(day % 17 == 0, "flipped").otherwise(F.col("state"))})
+    snake = day % 2 == 0
+    text = lambda c: F.when(snake, F.col(c).cast("string"))
+    camel = lambda c: F.when(~snake, F.col(c))
+    return r.select(
+        F.concat_ws("|", "sym", F.lit("1d"), F.col("t0").cast("string")).alias("id"), "sym", F.lit(None).cast("string").alias("disp"), F.lit("1d").alias("tf"), F.col("side").cast("string").alias("side"), F.col("entry").cast("string").alias("entry"), "sl", "tp1", "tp2", "rm",
+        text("d_stop").alias("d_stop"), camel("d_stop").alias("dStop"), "t0", text("t_end").alias("t_end"), camel("t_end").alias("tEnd"), "state", "half", text("at").alias("closed_at"), camel("at").alias("closedAt"), text("px").alias("close_px"), camel("px").alias("closePx"), text("r").alias("r_realized"), camel("r").alias("R"))
+
+
+def ledger(spark, d):
+    return lg.normalise(raw_ledger(spark, d))
+
+
+@register("prj_ledger_norm", q.query("SELECT id, sym, sym AS disp, side, round(d_stop, 6) AS d_stop, t0, t_end, coalesce(state, 'open') AS state, half, closed_at, round(px, 6) AS close_px, round(r, 6) AS r FROM led"))
+def prj_ledger_norm(spark, d):
+    return b.r6(ledger(spark, d), "d_stop", "close_px", "r").select("id", "sym", "disp", "side", "d_stop", "t0", "t_end", "state", "half", "closed_at", "close_px", "r")
+
+
+@register("jn_audit", q.query("SELECT CASE WHEN sym = 'AF' THEN 'no_bars' WHEN state = 'flipped' THEN 'skipped' WHEN state = true_state AND abs(r - true_r) <= 1e-6 THEN 'ok' ELSE 'mismatch' END AS finding, count(*) AS n FROM led WHERE state IS NOT NULL GROUP BY 1"))
+def jn_audit(spark, d):
+    return lg.audit(ledger(spark, d), fx.bars_1d(spark, d).where("sym <> 'AF'")).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ag_track", q.query(f"SELECT m.*, o.open, o.total FROM ({q.metrics('ledr', 'tf')}) m JOIN (SELECT tf, count(*) FILTER (state = 'open') AS open, count(*) AS total FROM ledr GROUP BY tf) o USING (tf)",
+    ledr="SELECT '1d' AS tf, coalesce(state, 'open') AS state, coalesce(r, 0) AS r, 0 AS n FROM led"))
+def ag_track(spark, d):
+    return lg.track(ledger(spark, d))
+
+
+@register("tk_recent", q.query("SELECT id, sym, side, t0 FROM led ORDER BY t0 DESC, id LIMIT 200"))
+def tk_recent(spark, d):
+    return lg.recent(ledger(spark, d)).select("id", "sym", "side", "t0")
+
+
+@register("snk_public_json", q.query("SELECT count(*) AS n, '[' || string_agg('{\"id\":\"' || id || '\",\"sym\":\"' || sym || '\",\"side\":' || side || ',\"t0\":' || t0 || ',\"state\":\"' || state || '\"}', ',' ORDER BY t0, id) || ']' AS json FROM (SELECT id, sym, side, t0, coalesce(state, 'open') AS state FROM led ORDER BY t0 DESC, id LIMIT 200)"))
+def snk_public_json(spark, d):
+    path = rd.scratch(spark, "public")
+    s = lg.recent(ledger(spark, d)).select("id", "sym", "side", "t0", "state")
+    s.write.json(path)
+    back = spark.read.schema("id string, sym string, side int, t0 long, state string").json(path)
+    rows = back.select(F.struct("t0", "id").alias("k"), F.to_json(F.struct("id", "sym", "side", "t0", "state")).alias("j"))  # 200 rows at most
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("json"))
+
+
+@register("snk_ledger", q.query("SELECT id, coalesce(state, 'open') AS state, closed_at, round(px, 6) AS close_px, round(r, 6) AS r_realized, half FROM (SELECT id, state, CASE WHEN state IS NOT NULL THEN closed_at END AS closed_at, CASE WHEN state IS NOT NULL THEN px END AS px, r, half FROM led)"))
+def snk_ledger(spark, d):
+    """Insert (twice: the second time nothing is new), mark half, close; then the latest state of each signal."""
+    full = ledger(spark, d).persist()
+    path = rd.scratch(spark, "ledger")
+    cols = ["id", "state", "closed_at", "close_px", "r_realized", "half"]
+    none = lambda t: F.lit(None).cast(t)
+    insert = full.select("id", F.lit("open").alias("state"), none("long").alias("closed_at"), none("double").alias("close_px"), none("double").alias("r_realized"), F.lit(False).alias("half"))
+    insert.withColumn("seq", F.lit(0)).write.parquet(path)
+    rd.append_once(spark.read.parquet(path), insert.withColumn("seq", F.lit(0))).select(*cols, "seq").write.mode("append").parquet(path)
+    full.where("half").select("id", F.lit("open").alias("state"), none("long").alias("closed_at"), none("double").alias("close_px"), none("double").alias("r_realized"), F.lit(True).alias("half")).withColumn("seq", F.lit(1)).write.mode("append").parquet(path)
+    full.where("state <> 'open'").select("id", "state", "closed_at", "close_px", F.col("r").alias("r_realized"), "half").withColumn("seq", F.lit(2)).write.mode("append").parquet(path)
+    return b.r6(rd.ledger_view(spark.read.parquet(path)), "close_px", "r_realized").select(*cols)
+
+
+q.TABLES["runlog"] = "SELECT 'tf1' AS tf, a.anchor AS ran_at, count(p.plan_id) AS new_sigs FROM anchors a LEFT JOIN (SELECT * FROM book WHERE strat = 'revert3') p ON p.t0 = a.anchor GROUP BY a.anchor"
+
+
+def run_log(spark, d):
+    p = b.book(spark, d, ("revert3",)).groupBy(F.col("t0").alias("anchor")).agg(F.count(F.lit(1)).alias("k"))
+    return b.anchors(spark, d).join(p, "anchor", "left").select(F.lit("tf1").alias("tf"), F.col("anchor").alias("ran_at"), F.coalesce("k", F.lit(0)).alias("new_sigs"))
+
+
+@register("ag_runstats", q.query("SELECT r.tf, count(*) AS runs, CAST(sum(new_sigs) AS BIGINT) AS new_sigs, min(ran_at) AS first_run, any_value(s.silent) AS silent FROM runlog r JOIN (SELECT tf, coalesce(min(k) FILTER (new_sigs > 0), count(*) + 1) - 1 AS silent FROM (SELECT *, row_number() OVER (ORDER BY ran_at DESC) AS k FROM runlog) WHERE k <= 60 GROUP BY tf) s USING (tf) GROUP BY r.tf"))
+def ag_runstats(spark, d):
+    return lg.run_stats(run_log(spark, d))
+
+
+# ---- scan records: a rule-based stand-in for the model's (anchor, symbol, combination, repetition) rows ----
+
+q.TABLES["scan"] = """SELECT anchor, sym, side, hz, rm, side * ret20d / (vol * sqrt(20.0)) * 0.2 - 0.01 * rm + 0.001 * hz AS ev, 0.05 + vol AS se FROM arows, (VALUES (1), (-1)) s(side), (VALUES (15), (30)) h(hz), (VALUES (1.0), (2.0)) r(rm) WHERE vol > 0 AND ret20d IS NOT NULL"""
+q.TABLES["nulls"] = """SELECT anchor, rep, greatest(-9, max(abs(x) * 0.2 - 0.02)) AS ev FROM (SELECT anchor, rep, CASE WHEN substr(md5(sym || anchor || rep), 1, 1) < '8' THEN ret3d ELSE ret30d END / (vol * sqrt(20.0)) AS x FROM arows, range(12) p(rep) WHERE vol > 0 AND ret30d IS NOT NULL) GROUP BY anchor, rep"""
+q.TABLES["fam"] = "SELECT anchor, max(ev) AS fam_hi, list_sort(list(ev))[7] AS fam_med FROM nulls GROUP BY anchor"
+q.TABLES["tops"] = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY anchor, sym ORDER BY round(ev, 9) DESC, side DESC, hz, rm) AS k FROM scan) WHERE k = 1"
+q.TABLES["gated"] = "SELECT t.*, f.fam_hi, ev > fam_hi AS ok_chance, ev > 2 * se AS ok_error, CASE WHEN ev > fam_hi AND ev > 2 * se THEN 'hit' WHEN ev > fam_hi THEN 'near_miss' ELSE 'fail' END AS gate FROM tops t JOIN fam f USING (anchor)"
+
+
+def scan_rows(spark, d):
+    from barproof.operators import walk
+
+    rows = walk.symbols_at(b.anchors(spark, d), b.feats(spark, d), walk.FEATURES).where("vol > 0")
+    combos = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(h).alias("hz"), F.lit(float(r)).alias("rm")) for s in (1, -1) for h in (15, 30) for r in (1, 2)])
+    x = rows.where("ret20d IS NOT NULL").withColumn("_c", F.explode(combos)).select("anchor", "sym", "ret20d", "vol", "_c.*")
+    ev = F.col("side") * F.col("ret20d") / (F.col("vol") * F.sqrt(F.lit(20.0))) * 0.2 - 0.01 * F.col("rm") + 0.001 * F.col("hz")
+    scan = x.withColumns({"ev": ev, "se": 0.05 + F.col("vol")}).drop("ret20d", "vol")
+    n = rows.where("ret30d IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    first = F.substring(F.md5(F.concat("sym", F.col("anchor").cast("string"), F.col("rep").cast("string"))), 1, 1) < "8"
+    y = F.when(first, F.col("ret3d")).otherwise(F.col("ret30d")) / (F.col("vol") * F.sqrt(F.lit(20.0)))
+    return scan, n.select("anchor", "rep", (F.abs(y) * 0.2 - 0.02).alias("ev"))
+
+
+def family(nulls):
+    """Chance threshold over all assets and combinations: the largest of the repetitions' maxima, and their median."""
+    per = nulls.groupBy("anchor", "rep").agg(F.greatest(F.lit(-9.0), F.max("ev")).alias("ev"))
+    return per.groupBy("anchor").agg(F.max("ev").alias("fam_hi"), F.element_at(F.sort_array(F.collect_list("ev")), 7).alias("fam_med"))
+
+
+def best_combos(scan):
+    """Each asset's best combination (one row a group by a partial maximum; ties: long, short horizon, small ratio)."""
+    key = F.struct(F.round("ev", 9).alias("a"), F.col("side").alias("b"), (-F.col("hz")).alias("c"), (-F.col("rm")).alias("d"))
+    return scan.groupBy("anchor", "sym").agg(F.max_by(F.struct("side", "hz", "rm", "ev", "se"), key).alias("_b")).select("anchor", "sym", "_b.*")
+
+
+def gated(spark, d):
+    scan, nulls = scan_rows(spark, d)
+    return best_combos(scan).join(family(nulls), "anchor").withColumns(pl.gate(F.col("ev"), F.col("se"), F.col("fam_hi")))
+
+
+@register("ag_famhi", q.query("SELECT anchor, round(fam_hi, 6) AS fam_hi, round(fam_med, 6) AS fam_med FROM fam"))
+def ag_famhi(spark, d):
+    return b.r6(family(scan_rows(spark, d)[1]), "fam_hi", "fam_med")
+
+
+@register("tk_best", q.query("SELECT anchor, sym, side, hz, CAST(rm AS DOUBLE) AS rm, round(ev, 6) AS ev FROM tops"))
+def tk_best(spark, d):
+    return b.r6(best_combos(scan_rows(spark, d)[0]), "ev").select("anchor", "sym", "side", "hz", "rm", "ev")
+
+
+@register("prj_gate", q.query("SELECT anchor, sym, round(ev, 6) AS ev, ok_chance, ok_error, gate FROM gated"))
+def prj_gate(spark, d):
+    return b.r6(gated(spark, d), "ev").select("anchor", "sym", "ev", "ok_chance", "ok_error", "gate")
+
+
+q.TABLES["diag"] = "SELECT anchor, any_value(fam_hi) AS fam_hi, first(sym ORDER BY round(ev, 9) DESC, sym) AS best_sym, max(ev) AS best_ev, max(ev) - any_value(fam_hi) AS gap, count(*) FILTER (gate = 'hit') AS hits, count(*) FILTER (gate = 'near_miss') AS near_misses, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (gate = 'near_miss'), '') AS near_list FROM gated GROUP BY anchor"
+
+
+@register("rp_scan_diag", q.query("SELECT 'anchor' AS kind, anchor, best_sym, round(best_ev, 6) AS best_ev, round(gap, 6) AS gap, hits, near_misses, near_list FROM diag UNION ALL SELECT 'summary', NULL, NULL, round(avg(best_ev), 6), round(avg(gap), 6), CAST(sum(hits) AS BIGINT), CAST(sum(near_misses) AS BIGINT), '' FROM diag UNION ALL SELECT 'closest', anchor, best_sym, round(best_ev, 6), round(gap, 6), hits, near_misses, near_list FROM (SELECT * FROM diag ORDER BY round(gap, 9) DESC, anchor LIMIT 5)"))
+def rp_scan_diag(spark, d):
+    g = gated(spark, d)
+    miss = F.col("gate") == "near_miss"
+    diag = g.groupBy("anchor").agg(
+        F.first("fam_hi").alias("fam_hi"), F.min_by("sym", F.struct(-F.round("ev", 9), "sym")).alias("best_sym"), F.max("ev").alias("best_ev"), F.count(F.when(F.col("gate") == "hit", 1)).alias("hits"), F.count(F.when(miss, 1)).alias("near_misses"),
+        F.array_join(F.array_sort(F.collect_list(F.when(miss, F.col("sym")))), ",").alias("near_list")).withColumn("gap", F.col("best_ev") - F.col("fam_hi"))
+    cols = ["best_sym", "best_ev", "gap", "hits", "near_misses", "near_list"]
+    rows = b.r6(diag, "best_ev").select(F.lit("anchor").alias("kind"), "anchor", "best_sym", "best_ev", F.round("gap", 6).alias("gap"), "hits", "near_misses", "near_list")
+    total = diag.agg(F.round(F.avg("best_ev"), 6).alias("best_ev"), F.round(F.avg("gap"), 6).alias("gap"), F.sum("hits").alias("hits"), F.sum("near_misses").alias("near_misses"))
+    total = total.select(F.lit("summary").alias("kind"), F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("string").alias("best_sym"), "best_ev", "gap", "hits", "near_misses", F.lit("").alias("near_list"))
+    near = diag.orderBy(F.round("gap", 9).desc(), "anchor").limit(5).select(F.lit("closest").alias("kind"), "anchor", *[F.round(c, 6).alias(c) if c in ("best_ev", "gap") else c for c in cols])
+    return rows.unionByName(total).unionByName(near)
+
+

@@ -1 +1,63 @@
-"""Queries."""
+"""Streaming jobs over files, compared with the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barproof.jobs import base as b
+from barproof.jobs import sql as q
+from barproof.jobs.registry import register
+from barproof.operators import replay as rp
+from barproof.sources import fixtures as fx
+from barproof.sources import readers as rd
+from barproof.streaming import monitor as mo
+
+
+def run_to_end(query):
+    query.awaitTermination()
+    if query.exception():
+        raise RuntimeError(str(query.exception()))
+
+
+def collected(spark, df, name: str):
+    """Runs a stream over the files that are there and reads what it wrote."""
+    out, check = rd.scratch(spark, name), rd.scratch(spark, name + "-check")
+    run_to_end(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start())
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@register("sm_bars", q.query("SELECT sym, t, round(CASE WHEN i % 10 = 0 THEN c * 1.01 ELSE c END, 6) AS c FROM b0"))
+def sm_bars(spark, d):
+    from barproof.operators import features as ft
+
+    bars = ft.with_index(fx.bars_1d(spark, d))
+    again = bars.where("i % 10 = 0").withColumn("c", F.col("c") * 1.01).withColumn("seq", F.lit(1).cast("long"))
+    src, store = rd.scratch(spark, "in"), rd.scratch(spark, "store")
+    cols = ["sym", "t", "o", "h", "l", "c", "v", "seq"]
+    again.select(*cols).write.parquet(f"{src}/a")  # the newer version arrives first
+    bars.withColumn("seq", F.lit(0).cast("long")).select(*cols).write.parquet(f"{src}/b")
+    stream = spark.readStream.schema(mo.BAR_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(src)
+    run_to_end(mo.upsert_bars(stream, store, rd.scratch(spark, "check")))
+    return b.r6(mo.current_bars(spark, store), "c").select("sym", "t", "c")
+
+
+@register("sm_monitor", q.query(f"""SELECT plan_id, state AS event, "at", round(r, 6) AS r FROM runs WHERE strat = 'revert3' AND state IN ('stop', 'be', 'tp2')"""))
+def sm_monitor(spark, d):
+    p = b.book(spark, d, ("revert3",))
+    src = rd.scratch(spark, "follow")
+    names = ["plan_id", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end"]
+    bars = rp.range_join(p.select("sym", *names), fx.bars_1d(spark, d)).select(F.lit("bar").alias("kind"), *names, "t", "h", "l")
+    plans = p.select(F.lit("plan").alias("kind"), *names, *[F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("h", "double"), ("l", "double"))])
+    rows = plans.unionByName(bars)
+    rows.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(rows.schema).parquet(src)
+    out = collected(spark, mo.follow(stream), "events")
+    return out.where("event <> 'half'").select("plan_id", "event", "at", F.round("r", 6).alias("r"))
+
+
+@register("sm_admit", q.query("SELECT plan_id FROM plans WHERE strat = 'revert3'"))
+def sm_admit(spark, d):
+    c = b.cand(spark, d, ("revert3",)).select("strat", "sym", "plan_id", "t0", "side", "t_end")
+    src = rd.scratch(spark, "cand")
+    c.coalesce(1).write.parquet(src)
+    return collected(spark, mo.admit(spark.readStream.schema(c.schema).parquet(src)), "admitted").select("plan_id")
