@@ -153,7 +153,7 @@ def _classes(buf, offs, k):
     return h, base, keys, np.diff(base), np.sort(first)
 
 
-PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+PAIRS = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
@@ -165,7 +165,7 @@ def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
     _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
     sketch = np.stack([np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()])
     s, found = layouts.s, []
-    pair = table.column("pair")[0].as_py()
+    pair, cell = table.column("pair")[0].as_py(), table.column("cell")[0].as_py()
     for i in range(len(keys) - 1):
         a, b = n[i], n[i + 1 :]
         ok = (comp[i + 1 :] != comp[i]) & (np.minimum(a, b) * s.denominator >= np.maximum(a, b) * s.numerator)
@@ -199,7 +199,7 @@ def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
                 left.append(e)
             else:
                 up[x] = y
-                out.append((keys[e[1]], keys[e[2]]))
+                out.append((cell, keys[e[1]], keys[e[2]]))
         if not left:
             break
         found = left
@@ -295,11 +295,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return ids.join(label, ids.id == label.node, "left").select("key", F.coalesce("component", "id").alias("component")).checkpoint()
 
     # cells that still hold several components, until no pair is left to test
+    labels, todo = labels_of(tested), cells
     for turn in range(16):
-        labels = labels_of(tested)
-        placed = cells.join(labels, "key")
+        placed = todo.join(labels, "key")
         mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-        rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
+        base = rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
         if rest.isEmpty():
             break
         sketches = _sketches(texts, rest.select("key", "layout").distinct(), k, layouts)
@@ -309,11 +309,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rest = rest.withColumn("block", F.pmod(F.xxhash64("key", "cell"), n_blocks).cast("int"))
         other = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.least(j, F.col("block")) * 100_000 + F.greatest(j, F.col("block")))
         rest = rest.withColumn("pair", F.explode(other)).join(sketches, ["key", "layout"]).join(refuted, "key", "left")
-        pairs = rest.select("cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("cell", "pair").applyInArrow(_forests(layouts, 4**turn), "a binary, b binary")
-        new = _verify(texts, pairs.distinct(), k, layouts.s)
+        pairs = rest.select("cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("cell", "pair").applyInArrow(_forests(layouts, 4**turn), "cell long, a binary, b binary").checkpoint()
+        new = _verify(texts, pairs.select("a", "b").distinct(), k, layouts.s)
         if new.isEmpty():
             break
-        tested = tested.unionByName(new).checkpoint()
+        tested = tested.unionByName(new)
+        labels = labels_of(tested)
+        # where every pair of a cell's forests was a link, nothing is left to test: only other cells go on
+        again = pairs.join(new.where("NOT linked"), ["a", "b"], "left_semi").select("cell").distinct()
+        todo = base.select("cell", "key", "n", "layout").join(again, "cell", "left_semi").checkpoint()
     else:
         raise RuntimeError("links didn't settle")
     full, none = members.where("n > 0"), members.where("n = 0")
