@@ -132,12 +132,12 @@ def fn_side(spark, d):
 # ---- channel test ----
 
 q.TABLES["msgpx"] = "SELECT s.*, CASE WHEN z.last_t > s.t THEN f.t END AS bar_t, CASE WHEN z.last_t > s.t THEN f.c END AS px FROM sigs s ASOF LEFT JOIN bars f ON s.base = f.sym AND s.t >= f.t LEFT JOIN (SELECT sym AS zs, max(t) AS last_t FROM bars GROUP BY sym) z ON z.zs = s.base"
-q.TABLES["mplan0"] = f"""SELECT channel AS strat, channel || '|' || id AS plan_id, base AS sym, side, e AS entry, sl, CASE WHEN len(tps) > 1 THEN tps[1] END AS tp1, tps[-1] AS tp2, abs(ln(tps[-1] / e)) / abs(ln(e / sl)) AS rm, abs(ln(e / sl)) AS d_stop, t AS t0, t + 30 * {b.DAY} AS t_end, 720 AS hz,
+q.TABLES["mplan0"] = f"""SELECT channel AS strat, channel || '|' || id AS plan_id, base AS sym, side, e AS entry, sl, CASE WHEN len(tps) > 1 THEN tps[1] END AS tp1, tps[-1] AS tp2, abs(ln(tps[-1] / e)) / abs(ln(e / sl)) AS rm, abs(ln(e / sl)) AS d_stop, t AS t0, t + 30 * CAST({b.DAY} AS BIGINT) AS t_end, 720 AS hz,
   coalesce(abs(ln(entry / px)), 0) AS off_entry FROM (SELECT *, coalesce(entry, px) AS e FROM msgpx WHERE px IS NOT NULL)"""
 q.TABLES["mplans"] = "SELECT * FROM mplan0 WHERE off_entry <= 0.03"
 q.TABLES["mfill0"] = f"""SELECT p.plan_id, min(b.t) FILTER (touch) AS a, min(b.t) FILTER (over AND NOT touch) AS z FROM (SELECT p.plan_id, b.t, b.l <= p.entry AND b.h >= p.entry AS touch, CASE WHEN p.side > 0 THEN b.h >= p.tp2 OR b.l <= p.sl ELSE b.l <= p.tp2 OR b.h >= p.sl END AS over
-  FROM mplans p JOIN bars b ON p.sym = b.sym AND b.t > p.t0 AND b.t <= p.t0 + 3 * {b.DAY}) b JOIN mplans p USING (plan_id) GROUP BY p.plan_id"""
-q.TABLES["mfilled"] = f"SELECT p.* REPLACE (f.a AS t0, f.a + 30 * {b.DAY} AS t_end, CAST(NULL AS DOUBLE) AS tp1) FROM mplans p JOIN mfill0 f USING (plan_id) WHERE f.a IS NOT NULL AND (f.z IS NULL OR f.a < f.z)"
+  FROM mplans p JOIN bars b ON p.sym = b.sym AND b.t > p.t0 AND b.t <= p.t0 + 3 * CAST({b.DAY} AS BIGINT)) b JOIN mplans p USING (plan_id) GROUP BY p.plan_id"""
+q.TABLES["mfilled"] = f"SELECT p.* REPLACE (f.a AS t0, f.a + 30 * CAST({b.DAY} AS BIGINT) AS t_end, CAST(NULL AS DOUBLE) AS tp1) FROM mplans p JOIN mfill0 f USING (plan_id) WHERE f.a IS NOT NULL AND (f.z IS NULL OR f.a < f.z)"
 for _n, _s in (("mruns", "mplans"), ("sruns", "mfilled")):
     q.TABLES[_n] = q.replayed(_s)
     q.TABLES[_n + "_f"] = q.replayed(f"({q.mirrored(_s, True)})")
