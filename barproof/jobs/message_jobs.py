@@ -17,7 +17,7 @@ from barproof.sources import fixtures as fx
 from barproof.sources import readers as rd
 
 # Signals rendered as messages from bars; the fields are the expected result.
-q.TABLES["m0"] = """SELECT sym AS base, sym || 'USDT' AS sym, 'chan_' || (i % 3) AS channel, (t // 86400000) * 10 + (strpos('AFAONFNORFRO', sym) - 1) // 2 AS id, t + 3600000 AS t, i, CASE WHEN (i // 9) % 2 = 0 THEN 1 ELSE -1 END AS side,
+q.TABLES["m0"] = """SELECT sym AS base, sym || 'USDT' AS sym, 'chan_' || ((i // 27) % 3) AS channel, (t // 86400000) * 10 + (strpos('AFAONFNORFRO', sym) - 1) // 2 AS id, t + 3600000 AS t, i, CASE WHEN (i // 9) % 2 = 0 THEN 1 ELSE -1 END AS side,
   CAST((i // 9) % 6 AS INTEGER) AS mode, CASE WHEN i % 27 = 0 THEN c * 1.05 ELSE c END AS p FROM feats WHERE i % 9 = 0 AND i >= 60"""
 q.TABLES["m1"] = "SELECT *, round(p, 2) AS e, round(p * (1 - side * 0.04), 2) AS xsl, round(p * (1 + side * 0.03), 2) AS xtp1, round(p * (1 + side * 0.06), 2) AS xtp2 FROM m0"
 q.TABLES["sigs"] = """SELECT channel, id, t, base, sym, side, mode, CASE WHEN mode = 3 THEN NULL WHEN mode = 2 THEN (round(e - 0.2, 2) + round(e + 0.2, 2)) / 2 ELSE e END AS entry, xsl AS sl, CASE WHEN mode IN (3, 4) THEN [xtp2] ELSE [xtp1, xtp2] END AS tps FROM m1 WHERE mode <> 5"""
@@ -47,7 +47,7 @@ def rendered(spark, d):
     ]
     text = F.element_at(F.array(*forms), F.col("mode") + 1)
     no = F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)
-    return f.select(F.concat(lit("chan_"), (F.col("i") % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + no).alias("id"), (F.col("t") + b.HOUR).alias("t"), text.alias("text"))
+    return f.select(F.concat(lit("chan_"), (F.floor(F.col("i") / 27) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + no).alias("id"), (F.col("t") + b.HOUR).alias("t"), text.alias("text"))
 
 
 def talk(spark, d):
@@ -78,7 +78,7 @@ HTML = """<div class="tgme_widget_message_wrap"><div data-post="%s/%d"><div clas
 @register("src_messages_html", q.query("SELECT channel, id, t, 'x & <y> ' || chr(39) || 'z' || chr(39) || chr(10) || sym AS text FROM m0"))
 def src_messages_html(spark, d):
     """Rendered pages (one per channel and year) with markup and entities; raw web pages are negatives."""
-    f = b.feats(spark, d).where("i % 9 = 0 AND i >= 60").select(F.concat(F.lit("chan_"), (F.col("i") % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
+    f = b.feats(spark, d).where("i % 9 = 0 AND i >= 60").select(F.concat(F.lit("chan_"), (F.floor(F.col("i") / 27) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
     at = F.date_format(F.timestamp_add("MILLISECOND", F.col("t"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss")
     block = F.format_string(HTML, "channel", "id", F.concat(F.lit("x &amp; &lt;<b>y</b>&gt; &quot;z&#39;<br/>"), F.col("sym")), at)
     pages = f.withColumn("b", block).groupBy("channel", F.floor(F.col("t") / (366 * b.DAY)).alias("y")).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list("b"), ""), F.array_join(F.collect_list("b"), "")).alias("html"))
