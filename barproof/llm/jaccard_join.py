@@ -14,10 +14,13 @@ more than e of them.
 1. Texts with equal sets are one class; only classes are joined.
 2. Cells that stand in several classes (found as in ``repeats``) become rows
    (cell, class), and the texts of those classes are kept beside them, so that
-   later steps read no other text.  Each class is verified against the two
-   classes it shares the most cells with, of those that lead a cell.
+   later steps read no other text.  So are their sketches, folded by XOR to some
+   four bits for each allowed difference: folding can only bring sketches closer,
+   so a folded distance beyond the bound forbids a link too.  Each class is
+   verified against the two classes it shares the most cells with, of those that
+   lead a cell, where the folded sketches allow a link.
 3. Components of what is linked so far; only cells whose classes lie in several
-   components are left.  There, whole sketches are compared; of the pairs whose
+   components are left.  There, folded sketches are compared; of the pairs whose
    Hamming distance allows a link, those that would join components (a forest in
    each cell, not all pairs) are verified.  Refuted pairs are remembered, and the
    step repeats, with more forests each time, until no pair is left to test.  A very full cell is cut into
@@ -50,9 +53,12 @@ from barproof.llm import textkit as tk
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-BLOCK = 4096
-EMITTED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cell", pa.int64()), ("layout", pa.int32()), ("packed", pa.binary())])
-EMITTED_SQL = "id long, key binary, n long, cell long, layout int, packed binary"
+#: Classes of a block of a full cell; rows of a group of small cells, and how many classes a small cell has.
+BLOCK, TOGETHER, SMALL = 4096, 20_000, 64
+#: So many 16-byte keys, at most, are broadcast.
+MOST_KEYS = 1 << 18
+EMITTED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cell", pa.int64()), ("layout", pa.int32()), ("packed", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+EMITTED_SQL = "id long, key binary, n long, cell long, layout int, packed binary, sketch array<long>"
 
 
 class Layouts:
@@ -69,6 +75,7 @@ class Layouts:
         self.spare = np.array([e for e, _ in plans], np.int64)
         self.poor = np.array([low for _, low in plans], np.int64)
         self.cells = self.differ + 1 + self.spare
+        self.words = np.minimum(self.cells, (4 * self.differ + 128 + 63) // 64)
 
     @staticmethod
     def _spare(differ: int, size: int) -> tuple[int, int]:
@@ -109,6 +116,15 @@ class Layouts:
         np.bitwise_xor.at(sketch, at[entry] + cell, U64(1) << (own & U64(63)))
         return sketch, at
 
+    def folded(self, sketch: np.ndarray, at: np.ndarray, layout: np.ndarray):
+        """Sketches (as from ``sketches``) folded to ``words`` of their layout, and where each begins."""
+        words = self.words[layout]
+        to = np.concatenate(([0], np.cumsum(words)))
+        out = np.zeros(to[-1], np.uint64)
+        entry = np.repeat(np.arange(len(layout)), np.diff(at))
+        np.bitwise_xor.at(out, to[entry] + (np.arange(len(entry)) - at[entry]) % words[entry], sketch)
+        return out, to
+
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, end to end, and where each text's begin."""
@@ -156,20 +172,56 @@ def _classes(buf, offs, k):
 PAIRS = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
-def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
+def _candidates(table: pa.Table, s: Fraction) -> list[np.ndarray]:
+    """Of many small cells' classes, sorted by cell: the cells with a pair of different components whose sketches allow a link,
+    as positions of their rows."""
+    cell, comp, n = (table.column(c).to_numpy() for c in ("cell", "component", "n"))
+    sketch = table.column("sketch").combine_chunks()
+    flat, at = sketch.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(sketch.value_lengths().to_numpy().astype(np.int64))))
+    hit = np.zeros(len(cell), bool)
+    for step in range(1, len(cell)):
+        i = np.flatnonzero(cell[:-step] == cell[step:])
+        if not len(i):
+            break
+        i = i[(comp[i] != comp[i + step]) & (np.minimum(n[i], n[i + step]) * s.denominator >= np.maximum(n[i], n[i + step]) * s.numerator)]
+        if not len(i):
+            continue
+        length = at[i + 1] - at[i]
+        first = np.cumsum(length) - length
+        inner = np.arange(length.sum()) - np.repeat(first, length)
+        d = np.add.reduceat(np.bitwise_count(flat[np.repeat(at[i], length) + inner] ^ flat[np.repeat(at[i + step], length) + inner]).astype(np.int64), first)
+        hit[i[d * (s.denominator + s.numerator) <= (n[i] + n[i + step]) * (s.denominator - s.numerator)]] = True
+    cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+    some = np.add.reduceat(hit, cuts[:-1], dtype=np.int64) > 0
+    return [np.arange(x, y) for x, y in zip(cuts[:-1][some], cuts[1:][some])]
+
+
+def _forests(layouts: Layouts, width: int):
+    """For groups of many small cells, or of one full cell (or two of its blocks)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("pair")[0].as_py() >= 0:
+            return rp.rows(PAIRS, _forest(table, layouts, width))
+        table = table.sort_by([("cell", "ascending"), ("key", "ascending")])
+        return rp.rows(PAIRS, [row for at in _candidates(table, layouts.s) for row in _forest(table.take(pa.array(at)), layouts, width)])
+
+    return run
+
+
+def _forest(table: pa.Table, layouts: Layouts, width: int) -> list[tuple]:
     """Of one cell's classes (or two blocks of them): pairs, least distance first, that would join different
     components, where the sketches allow a link and the pair hasn't been refuted before; ``width`` such forests."""
     table = table.sort_by([("key", "ascending")])
     keys, bad = table.column("key").to_pylist(), [set(x or ()) for x in table.column("refuted").to_pylist()]
     n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
     _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
-    sketch = np.stack([np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()])
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
     s, found = layouts.s, []
     pair, cell = table.column("pair")[0].as_py(), table.column("cell")[0].as_py()
     for i in range(len(keys) - 1):
         a, b = n[i], n[i + 1 :]
         ok = (comp[i + 1 :] != comp[i]) & (np.minimum(a, b) * s.denominator >= np.maximum(a, b) * s.numerator)
-        if pair // 100_000 != pair % 100_000:
+        if pair >= 0 and pair // 100_000 != pair % 100_000:
             ok &= block[i + 1 :] != block[i]
         at = np.flatnonzero(ok) + i + 1
         if len(at):
@@ -203,14 +255,7 @@ def _forest(table: pa.Table, layouts: Layouts, width: int) -> pa.Table:
         if not left:
             break
         found = left
-    return rp.rows(PAIRS, out)
-
-
-def _forests(layouts: Layouts, width: int):
-    def run(table: pa.Table) -> pa.Table:
-        return _forest(table, layouts, width)
-
-    return run
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "4/5", chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -223,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by = docs.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(n_places))).groupBy("place")
 
     def cells_of(buf, offs):
-        """Of each slice: its sets, and (class, layout, cell) of what each class sends."""
+        """Of each slice: its sets, (class, layout, cell) of what each class sends, and all its sketches."""
         for lo, hi in tk.slices(offs, 1 << 19):
             h, base, keys, size, first = _classes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
             which, layout = layouts.of(size[first])
@@ -234,11 +279,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             few = (np.bincount(entry[poor], minlength=len(which)) <= layouts.spare[layout])[entry]
             sends = ~(poor & few)
             cell = tk.mix(sketch + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))
-            yield lo, keys, size, which[entry][sends], layout[entry][sends], cell[sends]
+            yield lo, keys, size, which[entry][sends], layout[entry][sends], cell[sends], (which, layout, sketch, at)
 
     def mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found, seen = [], set()
-        for _, keys, _, which, _, cell in cells_of(*tk.pack(table.column("text"))):
+        for _, keys, _, which, _, cell, _ in cells_of(*tk.pack(table.column("text"))):
             new = {}
             for w in np.unique(which).tolist():
                 if (x := keys[w].tobytes()) not in seen:
@@ -257,35 +302,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         known = np.sort(np.concatenate([tk.unpressed(b)[0] for b in marks.column("blob").to_pylist()])) if marks.num_rows else np.zeros(0, np.uint64)
         ids, texts, out, seen = table.column("id").combine_chunks(), table.column("text"), [], set()
         press = zstandard.ZstdCompressor(level=3)
-        for lo, keys, size, which, layout, cell in cells_of(*tk.pack(table.column("text"))):
+        def send(m: int, **columns) -> None:
+            out.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(m, f.type) for f in EMITTED], schema=EMITTED))
+
+        for lo, keys, size, which, layout, cell, (all_which, all_layout, sketch, at) in cells_of(*tk.pack(table.column("text"))):
             raw = [x.tobytes() for x in keys]
+            key_of = lambda w: pa.array([raw[i] for i in w.tolist()], pa.binary())  # noqa: B023, E731
             m = len(raw)
-            out.append(pa.table([ids.slice(lo, m), pa.array(raw, pa.binary()), pa.array(size), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=EMITTED))
+            send(m, id=ids.slice(lo, m), key=pa.array(raw, pa.binary()), n=pa.array(size))
             if len(known) and len(cell):
                 new = [w for w in np.unique(which).tolist() if raw[w] not in seen]
                 seen.update(raw[w] for w in new)
                 keep = rp.known_marks(cell, known) & np.isin(which, new)
-                w = which[keep]
-                out.append(pa.table([pa.nulls(len(w), pa.int64()), pa.array([raw[i] for i in w.tolist()], pa.binary()), pa.array(size[w]), pa.array(cell[keep].view(np.int64)), pa.array(layout[keep].astype(np.int32)), pa.nulls(len(w), pa.binary())], schema=EMITTED))
-                own = np.unique(w).tolist()
-                packed = [press.compress((texts[lo + i].as_py() or "").encode()) for i in own]
-                out.append(pa.table([pa.nulls(len(own), pa.int64()), pa.array([raw[i] for i in own], pa.binary()), pa.array(size[own]), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.array(packed, pa.binary())], schema=EMITTED))
+                w, own_layout = which[keep], layout[keep]
+                send(len(w), key=key_of(w), n=pa.array(size[w]), cell=pa.array(cell[keep].view(np.int64)), layout=pa.array(own_layout.astype(np.int32)))
+                own = np.unique(w)
+                packed = [press.compress((texts[lo + i].as_py() or "").encode()) for i in own.tolist()]
+                send(len(own), key=key_of(own), n=pa.array(size[own]), packed=pa.array(packed, pa.binary()))
+                used = np.isin(all_which << 16 | all_layout, np.unique(w << 16 | own_layout))
+                folded, to = layouts.folded(sketch, at, all_layout)
+                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(folded.view(np.int64))).filter(pa.array(used))
+                send(int(used.sum()), key=key_of(all_which[used]), layout=pa.array(all_layout[used].astype(np.int32)), sketch=lists)
         return pa.concat_tables(out)
 
     marks = by.applyInArrow(mark, rp.BLOBS_SQL).groupBy("place").applyInArrow(rp.repeated_marks, rp.BLOBS_SQL)
     emitted = by.cogroup(marks.groupBy("place")).applyInArrow(emit, EMITTED_SQL).checkpoint()
-    members = emitted.where("cell IS NULL AND packed IS NULL").select("id", "key", "n")
+    members = emitted.where("cell IS NULL AND packed IS NULL AND sketch IS NULL").select("id", "key", "n")
     classes = members.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")).checkpoint()
     known = classes.where("id IS NOT NULL").select("key")
     cells = emitted.where("cell IS NOT NULL").groupBy("cell", "key").agg(F.first("layout").alias("layout"), F.first("n").alias("n")).join(known, "key", "left_semi").checkpoint()
-    texts = emitted.where("packed IS NOT NULL").groupBy("key").agg(F.first("packed").alias("packed"))
+    texts = emitted.where("packed IS NOT NULL").select("key", "packed")
+    sketches = emitted.where("sketch IS NOT NULL").groupBy("key", "layout").agg(F.first("sketch").alias("sketch")).checkpoint()
 
     # the two leaders that each class shares the most cells with
     lead = cells.groupBy("cell").agg(F.min_by(F.struct("key", "n"), F.xxhash64("cell", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
     likely = (F.least("n", "lead.n") * layouts.s.denominator >= F.greatest("n", "lead.n") * layouts.s.numerator) & (F.col("key") != F.col("lead.key"))
-    shared = cells.join(lead, "cell").where(likely).groupBy("key", F.col("lead.key").alias("other")).agg(F.count(F.lit(1)).alias("m"))
-    top = shared.groupBy("key").agg(F.max(F.struct("m", "other")).alias("one"), F.max_by(F.struct("m", "other"), F.struct("m", F.xxhash64("other"))).alias("two"))
-    first = top.select("key", F.explode(F.array("one.other", "two.other")).alias("other"))
+    shared = cells.join(lead, "cell").where(likely).groupBy("key", "n", F.col("lead.key").alias("other"), F.col("lead.n").alias("n_other")).agg(F.count(F.lit(1)).alias("m"), F.min("layout").alias("layout"))
+    at = F.struct("m", "other", "n_other", "layout")
+    top = shared.groupBy("key", "n").agg(F.max(at).alias("one"), F.max_by(at, F.struct("m", F.xxhash64("other"))).alias("two"))
+    first = top.select("key", "n", F.inline(F.array("one", "two")))
+    theirs = sketches.select(F.col("key").alias("other"), "layout", F.col("sketch").alias("sketch_other"))
+    distance = F.aggregate(F.zip_with("sketch", "sketch_other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = distance * (layouts.s.denominator + layouts.s.numerator) <= (F.col("n") + F.col("n_other")) * (layouts.s.denominator - layouts.s.numerator)
+    first = first.join(sketches, ["key", "layout"]).join(theirs, ["other", "layout"]).where(near)
     tested = _verify(texts, first.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), k, layouts.s)
 
     def labels_of(tested: DataFrame) -> DataFrame:
@@ -302,14 +361,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         base = rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
         if rest.isEmpty():
             break
-        sketches = _sketches(texts, rest.select("key", "layout").distinct(), k, layouts)
         not_linked = tested.where("NOT linked")
         refuted = not_linked.unionByName(not_linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked")).groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("refuted"))
         n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("key", "cell"), n_blocks).cast("int"))
         other = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.least(j, F.col("block")) * 100_000 + F.greatest(j, F.col("block")))
-        rest = rest.withColumn("pair", F.explode(other)).join(sketches, ["key", "layout"]).join(refuted, "key", "left")
-        pairs = rest.select("cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("cell", "pair").applyInArrow(_forests(layouts, 4**turn), "cell long, a binary, b binary").checkpoint()
+        n_groups = math.ceil(rest.count() / TOGETHER)
+        small = F.col("m") <= SMALL  # many small cells make one group
+        rest = rest.withColumn("pair", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(other))).withColumn("group", F.when(small, F.pmod(F.xxhash64("cell"), F.lit(n_groups))).otherwise(F.col("cell")))
+        rest = rest.join(sketches, ["key", "layout"]).join(refuted, "key", "left")
+        pairs = rest.select("group", "cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("group", "pair").applyInArrow(_forests(layouts, 4**turn), "cell long, a binary, b binary").checkpoint()
         new = _verify(texts, pairs.select("a", "b").distinct(), k, layouts.s)
         if new.isEmpty():
             break
@@ -331,24 +392,13 @@ def _unpacked(column, k: int):
     return shingles(*tk.pack(pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary())), k)
 
 
-def _sketches(texts: DataFrame, wanted: DataFrame, k: int, layouts: Layouts) -> DataFrame:
-    """The sketches of classes in given layouts."""
-    schema = pa.schema([("key", pa.binary()), ("layout", pa.int32()), ("sketch", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                h, base = _unpacked(part.column("packed"), k)
-                layout = part.column("layout").to_numpy().astype(np.int64)
-                sketch, at = layouts.sketches(h, base, np.arange(len(layout)), layout)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("layout"), pa.array([sketch[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], schema=schema)
-
-    return wanted.join(texts, "key").select("key", "layout", "packed").mapInArrow(run, "key binary, layout int, sketch binary")
-
-
 def _verify(texts: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFrame:
     """The pairs (a, b) with ``linked``: whether their sets are similar enough."""
+    pairs = pairs.checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    if wanted.count() <= MOST_KEYS:  # else all texts are dealt by key
+        texts = texts.join(F.broadcast(wanted), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("packed").alias("packed"))
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
 
