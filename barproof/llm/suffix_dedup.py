@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 
 from barproof.llm import repeats as rp
 from barproof.llm import textkit as tk
+from barproof.llm.suffix_array import suffix_array
 
 U64 = np.uint64
 WINDOW, GRAM = 400, 32
+#: Bytes of leaves, at least, that one suffix array takes (leaves of one minimiser stay together).
+BATCH = 1 << 17
 FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())]
 SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
@@ -68,20 +71,51 @@ class ByteArrays:
         return out + rp.leaf_blobs(int(chunk), (mark[a] % U64(self.places)).astype(np.int64), columns, buf, at[a], at[a] + count + self.window - 1)
 
     def repeats(self, blobs):
+        """Leaves of one text are copies of each other, so all their windows recur.  Where a minimiser has leaves of
+        different texts, windows that recur are neighbours in the suffix array of these texts."""
         row, pos, mark, done, lengths, text = (np.concatenate(c) for c in zip(*blobs))
         ends = np.cumsum(lengths, dtype=np.int64)
         starts = ends - lengths
-        prefix = tk.prefix_hash(text)
+        raw, number = text.tobytes(), {}
+        same = np.array([number.setdefault((m, raw[a:b]), len(number)) for m, a, b in zip(mark.tolist(), starts.tolist(), ends.tolist())], np.int64)
+        _, first, copies = np.unique(same, return_index=True, return_counts=True)
         count = lengths.astype(np.int64) - self.window + 1
+        at = np.concatenate(([0], np.cumsum(count[first])))
+        again = np.repeat(copies > 1, count[first])  # by distinct leaf and window
+        order, begin, _ = tk.groups_of(mark[first])
+        size = np.diff(np.append(begin, len(order)))
+        batch, held = [], 0
+        for lo, m in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
+            batch.extend(order[lo : lo + m].tolist())
+            held += int(lengths[first[order[lo : lo + m]]].sum())
+            if held > BATCH:
+                self._sort(batch, first, starts, ends, text, at, again)
+                batch, held = [], 0
+        if batch:
+            self._sort(batch, first, starts, ends, text, at, again)
         which = np.repeat(np.arange(len(row)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        at = starts[which] + step
-        order, first, run = tk.groups_of(tk.span_hash(prefix, at, at + self.window))
-        again = np.zeros(len(at), bool)
-        again[order] = (np.diff(np.append(first, len(at))) > 1)[run]
-        gone = np.flatnonzero(again & (done[which] == 0))
+        gone = np.flatnonzero(again[at[same[which]] + step] & (done[which] == 0))
         return which[gone], (pos[which[gone]] + step[gone]).astype(np.int32)
 
+    def _sort(self, batch, first, starts, ends, text, at, again):
+        """Marks the windows of some leaves that stand beside an equal one in the order of all suffixes."""
+        parts, of = [], []
+        for x in batch:
+            a, b = starts[first[x]], ends[first[x]]
+            windows = b - a - self.window + 1
+            parts += [text[a:b].astype(np.int16) + 1, np.zeros(1, np.int16)]  # 0 ends a leaf
+            of.append(np.concatenate((np.arange(at[x], at[x] + windows), np.full(self.window, -1))))
+        joined, own = np.concatenate(parts), np.concatenate(of)
+        order = suffix_array(joined)
+        order = order[own[order] >= 0]
+        views = np.lib.stride_tricks.sliding_window_view(joined, self.window)
+        for lo in range(0, len(order) - 1, 4096):
+            x, y = order[lo : lo + 4096], order[lo + 1 : lo + 4097]
+            equal = (views[x[: len(y)]] == views[y]).all(1)
+            again[own[x[: len(y)][equal]]] = True
+            again[own[y[equal]]] = True
+
     def report(self, doc_ids, buf, offs, row, pos):
         gone = rp.covered(len(buf), offs[row] + pos, self.window)
         data, out = buf.tobytes(), []

@@ -175,3 +175,14 @@ def test_mix_is_a_bijection():
 
     x = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
     assert (textkit.unmix(textkit.mix(x)) == x).all()
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    from barproof.llm.suffix_array import suffix_array
+
+    rng = np.random.default_rng(0)
+    for _ in range(400):
+        a = rng.integers(0, int(rng.integers(1, 5)) + 1, int(rng.integers(0, 40)))
+        assert suffix_array(a).tolist() == sorted(range(len(a)), key=lambda i: a[i:].tolist())
