@@ -49,7 +49,8 @@ def fit_accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -
     """Share of good texts and P(vote | good or bad) for each heuristic, as [heuristic, class, vote + 1]."""
     k = patterns.shape[1]
     table = np.empty((k, 2, 3))
-    p = np.where((patterns < 0).any(1), 0.1, 0.9)  # to begin with, one bad vote makes a text doubtful
+    said, bad = np.maximum((patterns != 0).sum(1), 1), (patterns < 0).sum(1)
+    p = np.where(bad > 0, 0.3 * (1 - bad / said), 0.9)  # to begin with, a bad vote makes a text doubtful, the more the larger its share
     for _ in range(rounds):
         good = float(np.clip((weight * p).sum() / weight.sum(), 0.01, 0.99))
         for y, q in ((1, weight * p), (0, weight * (1 - p))):
