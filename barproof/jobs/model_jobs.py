@@ -38,9 +38,13 @@ def wn_blend(spark, d):
     return md.blend_weights(fx.bars_1d(spark, d), 1, HZ)
 
 
-def groups(spark, d, every: int = 400):
+#: The reference's walk-forward: an anchor a day after a year's bars, 1,500 paths, and 12 repetitions of the chance run.
+WARMUP, STEP, PATHS, REPS = 365, 1, 1500, 12
+
+
+def groups(spark, d):
     bars = fx.bars_1d(spark, d)
-    return md.prefixes(bars, walk.anchors(bars, 700, every))
+    return md.prefixes(bars, walk.anchors(bars, WARMUP, STEP))
 
 
 KEY = "sym string, anchor long"
@@ -106,24 +110,26 @@ EVAL = f"{KEY}, side int, hz int, q double, rm double, ev double, se double, p_w
 
 
 def _evaluate(s, paths: int, seed: int, cond: bool = False, demean: bool = False):
-    out, near = [], {}
+    out, near, walked = [], {}, {}
     if cond:
         z, now = md.state(s)
         near = {hz: md.neighbours(z, now, hz) for hz in s["horizons"]}
     for side, hz, q_, rm in md.combos(s):
-        if r := md.evaluate(s, side, hz, q_, rm, paths, seed, demean, near.get(hz)):
+        if hz not in walked and len(s["u"]) >= hz * 4:
+            walked[hz] = md.walks(s, hz, paths, seed, demean, near.get(hz))
+        if r := md.evaluate(s, side, hz, q_, rm, paths, seed, demean, near.get(hz), walked=walked.get(hz)):
             out.append((side, hz, q_, rm, float(r["ev"]), float(r["se"]), r["p_win"], r["p_loss"], float(r["d_stop"]), r["t_med"]))
     return out
 
 
 @register("md_eval")
 def md_eval(spark, d):
-    return md.per_group(groups(spark, d, 800), 1, lambda s: _evaluate(s, 500, 987654), EVAL)
+    return md.per_group(groups(spark, d), 1, lambda s: _evaluate(s, PATHS, 987654), EVAL)
 
 
 @register("md_eval_cond")
 def md_eval_cond(spark, d):
-    return md.per_group(groups(spark, d, 800), 1, lambda s: _evaluate(s, 500, 987654, True), EVAL)
+    return md.per_group(groups(spark, d), 1, lambda s: _evaluate(s, PATHS, 987654, True), EVAL)
 
 
 @register("md_single")
@@ -131,7 +137,7 @@ def md_single(spark, d):
     """Direction-free expectation of the book's last plans, per symbol, with the symbol's own returns."""
     def kernel(s):
         stop = float(s["sig"][-1] * 5**0.5)
-        return [(side, *md.undirected(s["ret"][1:], side, stop, 2 * stop, 1000, 60, 7)) for side in md.SIDES]
+        return [(side, *md.undirected(s["ret"][1:], side, stop, 2 * stop, 4000, 60, 7)) for side in md.SIDES]
 
     return md.per_group(groups(spark, d), 1, kernel, f"{KEY}, side int, p_win double, p_loss double, mean_r double, median_bars double")
 
@@ -142,10 +148,12 @@ def st_model_scan(spark, d):
     schema = f"{KEY}, rep int, side int, hz int, q double, rm double, ev double, se double, p_win double, p_loss double, d_stop double, t_med int"
 
     def kernel(s):
-        real = [(-1, *x) for x in _evaluate(s, 300, 987654)]
-        return real + [(rep, *x) for rep in range(12) for x in _evaluate(s, 300, 3000 + rep * 7919, demean=True)]
+        real = [(-1, *x) for x in _evaluate(s, PATHS, 987654)]
+        # of each chance run only the largest expectation counts, so only its row leaves the group
+        chance = [(rep, *max(found, key=lambda x: x[4])) for rep in range(REPS) if (found := _evaluate(s, PATHS, 3000 + rep * 7919, demean=True))]
+        return real + chance
 
-    rows = md.per_group(groups(spark, d, 1200), 1, kernel, schema).persist()
+    rows = md.per_group(groups(spark, d), 1, kernel, schema).persist()
     fam = family(rows.where("rep >= 0").select("anchor", "rep", "ev"))
     best = rows.where("rep = -1").groupBy("anchor", "sym").agg(F.max_by(F.struct("side", "hz", "q", "rm", "ev", "se", "d_stop", "t_med"), F.struct("ev", "side")).alias("_b")).select("anchor", "sym", "_b.*")
     return best.join(fam, "anchor").withColumns(pl.gate(F.col("ev"), F.col("se"), F.col("fam_hi")))

@@ -1,11 +1,13 @@
 """Distribution model: small numpy kernels that run per (symbol, anchor) group.
 
-A group is one symbol's bars up to an anchor, at most ``most`` of them, so its
-size is bounded; groups are equal in size and many, so they spread well.
+A group is one symbol's bars up to an anchor: the whole prefix, so warm-up,
+season, blend weights and bootstrap pool are those of all the past.  Groups are
+many, one for each symbol and anchor, so they spread well.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -262,6 +264,7 @@ def neighbours(z: np.ndarray, now: np.ndarray, hz: int, share: float = 0.15, lea
     return cand[np.argsort(d, kind="stable")[: min(len(cand), max(least, int(share * len(cand))))]]
 
 
+@functools.lru_cache(64)
 def xorshift(seed: int, n: int) -> np.ndarray:
     """n draws in [0, 1) of the 32-bit xorshift generator (13, 17, 5)."""
     x, out = (seed | 1) & 0xFFFFFFFF, np.empty(n)
@@ -273,12 +276,9 @@ def xorshift(seed: int, n: int) -> np.ndarray:
     return out
 
 
-def evaluate(s: dict, side: int, hz: int, q: float, rm: float, paths: int, seed: int, demean: bool = False, starts: np.ndarray | None = None, cost: float = pl.COST) -> dict | None:
-    """Block-bootstrap barrier simulation of one combination: all paths as one (paths x hz) matrix."""
+def walks(s: dict, hz: int, paths: int, seed: int, demean: bool = False, starts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Bootstrap paths (paths x hz) of closes, lowest and highest points, and the extremes of the last two; all combinations of a horizon share them."""
     u = s["u"]
-    if len(u) < hz * 4:
-        return None
-    stop = abs((s["q"][hz][q] if side > 0 else s["q"][hz][round(1 - q, 2)]) * math.sqrt(s["vc"][hz - 1]))
     sf = np.sqrt(np.diff(np.concatenate(([0.0], s["vc"][:hz]))))
     draw = xorshift(seed, paths)
     at = (draw * (len(u) - hz)).astype(int) if starts is None else starts[(draw * len(starts)).astype(int)]
@@ -286,11 +286,20 @@ def evaluate(s: dict, side: int, hz: int, q: float, rm: float, paths: int, seed:
     mean = (u.mean() if starts is None else u[(starts[:, None] + np.arange(hz))].mean()) if demean else 0.0
     close = np.cumsum((u[block] - mean) * sf, 1)
     before = np.concatenate((np.zeros((paths, 1)), close[:, :-1]), 1)
-    low, high = (s["ul"], s["uh"]) if side > 0 else (s["uh"], s["ul"])
-    lost = side * (before + (low[block] - mean) * sf) <= -stop
-    won = side * (before + (high[block] - mean) * sf) >= stop * rm
-    first = lambda x: np.where(x.any(1), x.argmax(1), hz)
-    a, b = first(lost), first(won)
+    low, high = before + (s["ul"][block] - mean) * sf, before + (s["uh"][block] - mean) * sf
+    return close, low, high, low.min(1), high.max(1)
+
+
+def evaluate(s: dict, side: int, hz: int, q: float, rm: float, paths: int, seed: int, demean: bool = False, starts: np.ndarray | None = None, cost: float = pl.COST, walked: tuple[np.ndarray, ...] | None = None) -> dict | None:
+    """Block-bootstrap barrier simulation of one combination: all paths as one (paths x hz) matrix (``walked``, if made before)."""
+    u = s["u"]
+    if len(u) < hz * 4:
+        return None
+    stop = abs((s["q"][hz][q] if side > 0 else s["q"][hz][round(1 - q, 2)]) * math.sqrt(s["vc"][hz - 1]))
+    close, low, high, least, most = walked or walks(s, hz, paths, seed, demean, starts)
+    under = lambda x: np.where(least <= x, (low <= x).argmax(1), hz)
+    over = lambda x: np.where(most >= x, (high >= x).argmax(1), hz)
+    a, b = (under(-stop), over(stop * rm)) if side > 0 else (over(stop), under(-stop * rm))
     r = np.where((a <= b) & (a < hz), -1.0, np.where(b < hz, rm, side * close[:, -1] / stop)) - cost / stop
     out = np.minimum(np.minimum(a, b) + 1, hz)
     n_eff = max(8, (len(u) if starts is None else len(starts)) // hz)
@@ -311,13 +320,13 @@ def undirected(ret: np.ndarray, side: int, d_stop: float, d_tgt: float, paths: i
 # ---- groups ----
 
 
-def prefixes(bars: DataFrame, anchors: DataFrame, most: int = 1500) -> DataFrame:
-    """Each anchor's last ``most`` bars per symbol: anchors are few, and a bar meets only anchors of the time it can serve."""
+def prefixes(bars: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Each anchor's whole prefix of bars (t up to the anchor) per symbol."""
     b = ft.with_index(bars).withColumn("how", ft.ny_hour_of_week(F.col("t")))
     from barproof.operators import walk
 
     at = walk.symbols_at(anchors, b, ["i"]).select("anchor", "sym", F.col("i").alias("_last"))
-    wide = at.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_last") - most + 1), F.col("_last"))))
+    wide = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
     return wide.join(b, ["sym", "i"]).select("anchor", "sym", "t", "h", "l", "c", "how")
 
 

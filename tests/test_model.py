@@ -42,3 +42,39 @@ def test_season_sees_only_the_past():
     r2[2500:] *= 9
     same = slice(0, 2490)
     assert np.allclose(np.nan_to_num(a[same]), np.nan_to_num(md.season(r2, how, 24)[same]))
+
+
+def bars_of(n, step):
+    rng = np.random.default_rng(6)
+    c = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    return [("S", int(i * step), float(x), float(x * 1.004), float(x * 0.996), float(x), 1.0) for i, x in enumerate(c)]
+
+
+BARS = "sym string, t long, o double, h double, l double, c double, v double"
+
+
+def test_each_day_has_an_anchor_with_its_whole_prefix(spark, monkeypatch):
+    from barproof.jobs import model_jobs as mj
+
+    bars = spark.createDataFrame(bars_of(1600, 86_400_000), BARS)
+    monkeypatch.setattr(mj.fx, "bars_1d", lambda *_: bars)
+    found = {r.anchor // 86_400_000: r["count"] for r in mj.groups(spark, None).groupBy("anchor").count().collect()}
+    assert found == {i: i + 1 for i in range(365, 1600)}
+    assert (mj.PATHS, mj.REPS) == (1500, 12)
+
+
+def test_four_hour_groups_have_rows(spark):
+    bars = spark.createDataFrame(bars_of(1700, 14_400_000), BARS)
+    last = bars.agg({"t": "max"}).toDF("anchor")
+    out = md.per_group(md.prefixes(bars, last), 6, lambda s: [(len(s["ret"]),)], "sym string, anchor long, n int").collect()
+    assert [r.n for r in out] == [1700]
+
+
+def test_combinations_share_paths():
+    from barproof.jobs import model_jobs as mj
+
+    _, t, _, h, l, c, _ = (np.array(x) for x in zip(*bars_of(900, 86_400_000)))
+    s = md.core(t, h, l, c, np.arange(900) * 24 % 168, 1)
+    for demean in (False, True):
+        for side, hz, q, rm, ev, *_ in mj._evaluate(s, 200, 5, demean=demean):
+            assert md.evaluate(s, side, hz, q, rm, 200, 5, demean)["ev"] == ev
