@@ -3,13 +3,17 @@
 Lines that begin with ``>`` marks are quotes; their level is the number of
 marks.  Consecutive lines of one level form a passage.  Quoted passages are
 normalised (marks off, white space squeezed, lower case) and hashed, and joined
-to the hashes of messages' own passages and whole own texts: first in the same
+to the hashes of messages' own lines, runs of lines and whole own texts: first in the same
 conversation, to the nearest earlier message, else to the first message that
 has the passage anywhere.  A message's parent is the original of its first
 passage of level one.  Messages lose their quoted lines, and each gets a reply
 path: its parent's path with its own turn, so that ordering a conversation by
 path puts replies after what they answer.
 
+A quote of several lines can be an excerpt.  Its first line and number of lines
+say where in own texts such a run of lines could begin; only these runs are made
+and compared.  Blank lines don't count, quoted lines don't interrupt own ones.
+
 Frequent passages: originals are reduced to one row for each hash (and for each
 conversation and hash) by partial sums before the join, and only hashes that
 somebody quotes are kept, so no passage is collected.
@@ -39,20 +43,38 @@ def _normal(text: Column) -> Column:
 
 
 def passages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv, turn, pos, level, body (normalised), hash of each passage; level 0 is the message's own words."""
+    """conv, turn, pos, level, body (normalised), hash, first (hash of its first line) and n (lines) of each passage; level 0 is the message's own words."""
     lines = F.split(F.col("text"), r"\r?\n")
     parsed = F.transform(lines, lambda x, i: F.struct(_level(x).alias("level"), F.trim(F.regexp_replace(x, MARKS, "")).alias("line"), i.alias("i")))
     # a passage begins where the level changes or, among own lines, at each line
     merged = F.aggregate(
         parsed, F.expr("cast(array() as array<struct<level:int,line:string>>)"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]) & (x["level"] > 0),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws(" ", F.element_at(acc, -1)["line"], x["line"]).alias("line")))))
+                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", F.element_at(acc, -1)["line"], x["line"]).alias("line")))))
         .otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("line"))))))
     own = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
     plain = own.where(~F.col("text").rlike(r"(?m)" + MARKS)).select("conv", "turn", F.posexplode(lines).alias("pos", "line")).select("conv", "turn", "pos", F.lit(0).alias("level"), "line")
     quoting = own.where(F.col("text").rlike(r"(?m)" + MARKS)).select("conv", "turn", F.posexplode(merged).alias("pos", "p")).select("conv", "turn", "pos", "p.level", "p.line")
     out = plain.union(quoting).withColumn("body", _normal(F.col("line"))).where("body <> ''")
-    return out.select("conv", "turn", "pos", "level", "body", F.xxhash64("body").alias("hash"))
+    several = _lines(F.col("line"))
+    return out.select("conv", "turn", "pos", "level", "body", F.xxhash64("body").alias("hash"), F.when(F.col("level") > 0, F.xxhash64(F.element_at(several, 1))).alias("first"), F.when(F.col("level") > 0, F.size(several)).alias("n"))
+
+
+def _lines(text: Column) -> Column:
+    """Normalised lines that aren't blank."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), _normal), lambda x: x != "")
+
+
+def excerpts(own: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv, turn, body of the runs of own lines (own: conv, turn, text without quotes) that begin and count as a quoted passage of several lines does."""
+    asked = quoted.where("n > 1").select("first", "n").distinct()
+    known = own.where("conv IS NOT NULL AND turn IS NOT NULL AND text LIKE '%\n%'").withColumn("key", F.xxhash64("text"))
+    # where runs could begin: lines travel as hashes, and only messages that have such a line are read again
+    begin = known.select("conv", "turn", "key", F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x))).alias("at", "first"))
+    begin = begin.join(asked, "first").groupBy("conv", "turn", "key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    found = known.join(begin, ["conv", "turn", "key"]).select("conv", "turn", _lines(F.col("text")).alias("all"), F.explode("runs").alias("run"))
+    found = found.where(F.col("run.at") + F.col("run.n") <= F.size("all"))
+    return found.select("conv", "turn", F.array_join(F.slice("all", F.col("run.at") + 1, F.col("run.n")), " ").alias("body"))
 
 
 def without_quotes(text: Column) -> Column:
@@ -63,17 +85,18 @@ def without_quotes(text: Column) -> Column:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conv, turn, pos, level, hash of each quoted passage, with the original's to_conv and to_turn (null if none)."""
     found = passages(messages, conv_col, turn_col, text_col)
-    quoted = found.where("level > 0").select("conv", "turn", "pos", "level", "hash", "body")
+    quoted = found.where("level > 0").select("conv", "turn", "pos", "level", "hash", "body", "first", "n")
     wanted = quoted.select("hash", "body").distinct()
-    whole = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), _normal(without_quotes(F.col(text_col).cast("string"))).alias("body"))
-    originals = found.where("level = 0").select("conv", "turn", "body").union(whole.where("body <> ''")).withColumn("hash", F.xxhash64("body"))
+    own = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), without_quotes(F.col(text_col).cast("string")).alias("text"))
+    whole = own.select("conv", "turn", _normal(F.col("text")).alias("body"))
+    originals = found.where("level = 0").select("conv", "turn", "body").union(whole.where("body <> ''")).union(excerpts(own, quoted)).withColumn("hash", F.xxhash64("body"))
     originals = originals.join(wanted, ["hash", "body"], "left_semi")
     # nearest earlier message of the same conversation: an aggregate for each quote, with partial maxima
     asked = quoted.select("conv", "turn", "hash", "body").distinct()
     in_conv = originals.select("conv", "hash", "body", F.col("turn").alias("to")).distinct()
     near = asked.join(in_conv, ["conv", "hash", "body"]).where("to < turn").groupBy("conv", "turn", "hash", "body").agg(F.max("to").alias("near"))
     anywhere = originals.groupBy("hash", "body").agg(F.min(F.struct("conv", "turn")).alias("first"))
-    out = quoted.join(near, ["conv", "turn", "hash", "body"], "left").join(anywhere, ["hash", "body"], "left")
+    out = quoted.drop("first", "n").join(near, ["conv", "turn", "hash", "body"], "left").join(anywhere, ["hash", "body"], "left")
     other = F.col("first.conv") != F.col("conv")
     return out.select("conv", "turn", "pos", "level", "hash", F.when(F.col("near").isNotNull(), F.col("conv")).when(other, F.col("first.conv")).alias("to_conv"), F.when(F.col("near").isNotNull(), F.col("near")).when(other, F.col("first.turn")).alias("to_turn"))
 

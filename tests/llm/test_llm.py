@@ -170,6 +170,18 @@ def test_quotes(spark):
     assert sorted(out, key=lambda k: (k[0], out[k].path))[:3] == [(1, 0), (1, 1), (1, 2)]
 
 
+def test_quotes_of_some_lines(spark):
+    said = [
+        (1, 0, "u", "a\nb\n\nc\nd"), (1, 1, "a", "> a\n> b\nyes"), (1, 2, "a", "> B\n>\n> c\nand"), (1, 3, "a", "> b\n> d\nno"), (1, 4, "a", "> d\n> e\nno"),
+        (1, 5, "u", "> > b\n> > c\n> and\nfar"), (1, 6, "u", "x\r\n> and\r\ny\r\nz"), (1, 7, "u", "> x\n> y\nok"), (2, 0, "u", "> c\n> d\nelsewhere"),
+    ]
+    out = {(r.conv_id, r.turn): r for r in quotes.build_conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r.parent_conv, r.parent_turn, r.n_quotes, r.n_linked) for k, r in out.items() if r.n_quotes} == {
+        (1, 1): (1, 0, 1, 1), (1, 2): (1, 0, 1, 1), (1, 3): (None, None, 1, 0), (1, 4): (None, None, 1, 0), (1, 5): (1, 2, 2, 2), (1, 6): (1, 2, 1, 1), (1, 7): (1, 6, 1, 1), (2, 0): (1, 0, 1, 1),
+    }
+    assert out[1, 1].path == "000000000000/000000000001"
+
+
 def test_mix_is_a_bijection():
     import numpy as np
 
