@@ -20,8 +20,8 @@ somebody quotes are kept, so no passage is collected.
 
 Defined results: null text has no passages and stays null; a quote without an
 original links nowhere; a link to a later message or to itself is none; a
-repeated (conversation, turn) gives one row each, of one path; paths are cut at
-``most_depth`` ancestors (the depth is then that bound).
+repeated (conversation, turn) gives one row each, of one path; paths begin at the
+root, however deep a reply is.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     return out.select("conv", "turn", "pos", "level", "hash", F.when(F.col("near").isNotNull(), F.col("conv")).when(other, F.col("first.conv")).alias("to_conv"), F.when(F.col("near").isNotNull(), F.col("near")).when(other, F.col("first.turn")).alias("to_turn"))
 
 
-def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", most_depth: int = 64) -> DataFrame:
+def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, text without quotes, n_quotes, n_linked, parent_conv, parent_turn, depth and path of each message."""
     graph.ensure_checkpoint_dir(messages)
     links = link_quotes(messages, conv_col, turn_col, text_col)
@@ -109,17 +109,16 @@ def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col
         F.count(F.lit(1)).alias("n_quotes"), F.count("to_turn").alias("n_linked"),
         F.min(F.when((F.col("level") == 1) & F.col("to_turn").isNotNull(), F.struct("pos", "to_conv", "to_turn"))).alias("p")).checkpoint()
     step = lambda c: F.lpad(c.cast("string"), 12, "0")
-    # a parent in the same conversation decides the path; each round adds the parent's parent
+    # a parent in the same conversation decides the path; each round joins the path of the top found so far, so that lengths double
     inside = per.where("p IS NOT NULL AND p.to_conv = conv").select("conv", "turn", F.col("p.to_turn").alias("up"))
-    paths = inside.select("conv", "turn", "up", F.concat_ws("/", step(F.col("up")), step(F.col("turn"))).alias("path"), F.lit(1).alias("depth")).checkpoint()
-    parents = inside.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"))
-    for _ in range(most_depth - 1):
-        if paths.join(parents, ["conv", "up"], "left_semi").isEmpty():
-            break
-        more = F.col("further").isNotNull()
-        paths = paths.join(parents, ["conv", "up"], "left").select(
-            "conv", "turn", F.when(more, F.col("further")).alias("up"), F.when(more, F.concat_ws("/", step(F.col("further")), F.col("path"))).otherwise(F.col("path")).alias("path"),
-            (F.col("depth") + more.cast("int")).alias("depth")).checkpoint()
+    paths = inside.select("conv", "turn", "up", step(F.col("turn")).alias("path"), F.lit(1).alias("depth")).checkpoint()
+    further = lambda: paths.select("conv", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+    while not paths.join(further(), ["conv", "up"], "left_semi").isEmpty():  # links go to earlier turns, so this ends
+        more = F.col("_up").isNotNull()
+        paths = paths.join(further(), ["conv", "up"], "left").select(
+            "conv", "turn", F.coalesce("_up", "up").alias("up"), F.when(more, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")).checkpoint()
+    paths = paths.withColumn("path", F.concat_ws("/", step(F.col("up")), "path"))
     own = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), without_quotes(F.col(text_col).cast("string")).alias("text"))
     out = own.join(per, ["conv", "turn"], "left").join(paths.select("conv", "turn", "path", "depth"), ["conv", "turn"], "left")
     return out.select(

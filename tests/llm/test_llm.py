@@ -182,6 +182,14 @@ def test_quotes_of_some_lines(spark):
     assert out[1, 1].path == "000000000000/000000000001"
 
 
+def test_reply_paths_begin_at_the_root(spark):
+    n = 150
+    said = [(1, 0, "u", "line 0")] + [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, n)]
+    out = {r.turn: r for r in quotes.build_conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert {i: r.depth for i, r in out.items()} == {i: i for i in range(n)}
+    assert out[n - 1].path == "/".join(f"{i:012}" for i in range(n))
+
+
 def test_mix_is_a_bijection():
     import numpy as np
 
