@@ -439,7 +439,8 @@ def st_event_control(spark, d):
     return h2_plans(spark, d, ev)
 
 
-K = 200
+#: Draws of the placebo; the SQL still has K.
+DRAWS, K = 2000, 200
 q.TABLES["evgroups"] = "SELECT tur, bar FROM calendar UNION ALL SELECT 'FOMC+CPI' AS tur, bar FROM calendar"
 q.TABLES["dayno"] = "SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS nd FROM freedays"
 q.TABLES["placebo"] = f"""SELECT p.tur, p.draw, avg(f.fwd_abs) AS m FROM (SELECT e.tur, x.draw, CAST(('0x' || substr(md5(e.tur || '|' || x.draw || '|' || e.bar), 1, 7)) AS BIGINT) % (SELECT any_value(nd) FROM dayno) AS k FROM evgroups e, range({K}) x(draw)) p JOIN dayno USING (k) JOIN fwd f ON f.t = dayno.day WHERE f.fwd_abs IS NOT NULL GROUP BY p.tur, p.draw"""
@@ -460,7 +461,7 @@ def ag_event_h1(spark, d):
     years = years.withColumn("_base", F.sum("_n").over(Window.orderBy("_y")) - F.col("_n"))
     numbered = numbered.join(years.select("_y", "_base"), "_y").withColumn("k", F.col("_base") + F.row_number().over(Window.partitionBy("_y").orderBy("day")) - 1)
     total = years.agg(F.sum("_n").alias("nd"))
-    draws = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(K - 1)))).crossJoin(total)
+    draws = pooled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).crossJoin(total)
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "tur", F.col("draw").cast("string"), F.col("bar").cast("string"))), 1, 7), 16, 10).cast("long")
     placed = draws.withColumn("k", h % F.col("nd")).join(numbered.select("k", "day"), "k")
     m = placed.join(f.select(F.col("t").alias("day"), "fwd_abs"), "day").groupBy("tur", "draw").agg(F.avg("fwd_abs").alias("m"))
