@@ -8,17 +8,21 @@ deduplication (bytes).  Windows of a fixed length are compared over all texts:
 2. *Marks.*  Each window has a minimiser, the least hash of its short grams.
    Equal windows have equal minimisers, so a window can only recur if its
    minimiser does.  Each chunk sends its distinct minimisers (8 bytes for
-   several windows), with a flag for those it holds more than once; what meets
-   another chunk's, or is flagged, is sent back.
+   several windows) and how often it holds each; what stands more than once is
+   sent back, with a flag if it does more than ``HEAVY`` times.
 3. *Leaves.*  Each chunk collapses its own equal windows, so that a passage that
    stands in a third of all texts leaves each chunk once.  Runs of windows with
    one minimiser travel together, as text, to the group of their minimiser.
+   Windows of a heavy minimiser (a short passage that many texts have in
+   different surroundings) travel one by one, as hashes, to the place of their
+   own hash: equal ones still meet, and no place gets all of them.
 4. *Groups.*  Each memory-sized group compares its windows (suffix tree or
    suffix array) and sends back those that are repeats.
 5. Each chunk marks what the repeated windows cover and reports each text.
 
-No step gathers more than one bounded group: marks and leaves of a very frequent
-passage number one for each chunk.
+No step gathers more than one bounded group: marks of a very frequent passage,
+and its windows, number one for each chunk; a minimiser has at most ``HEAVY``
+leaves.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 from barproof.llm import textkit as tk
 
 U64 = np.uint64
+#: Occurrences, in all texts, beyond which a minimiser's windows are dealt by their own hashes.
+HEAVY = 1000
 
 
 def whole(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,8 +64,8 @@ BLOBS = pa.schema([("place", pa.int64()), ("source", pa.int64()), ("kind", pa.in
 BLOBS_SQL = "place long, source long, kind int, blob binary"
 
 
-def repeated_marks(table: pa.Table) -> pa.Table:
-    """Of one place's marks, those of more than one chunk or flagged, for each chunk that has them."""
+def repeated_marks(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
+    """Of one place's marks, those that stand more than once, for each chunk that has them, and which stand over ``heavy`` times."""
     marks, chunk, often = [], [], []
     for source, blob in zip(table.column("source").to_pylist(), table.column("blob").to_pylist()):
         m, f = tk.unpressed(blob)
@@ -68,12 +74,13 @@ def repeated_marks(table: pa.Table) -> pa.Table:
         chunk.append(np.full(len(m), source))
     m, c, f = np.concatenate(marks), np.concatenate(chunk), np.concatenate(often)
     order, first, run = tk.groups_of(m)
-    keep = ((np.diff(np.append(first, len(m))) > 1) | np.logical_or.reduceat(f[order].astype(bool), first))[run]
-    m, c = m[order][keep], c[order][keep]
-    return rows(BLOBS, [(int(k), -1, 0, tk.pressed(m[at])) for k, at in tk.split_by(c)])
+    total = (np.add.reduceat(f[order].astype(np.int64), first) if len(m) else np.zeros(0, np.int64))[run]
+    keep = total > 1
+    m, c, total = m[order][keep], c[order][keep], total[keep]
+    return rows(BLOBS, [(int(k), -1, 0, tk.pressed(m[at], (total[at] > heavy).astype(np.uint8))) for k, at in tk.split_by(c)])
 
 
-def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int, heavy: int = HEAVY) -> DataFrame:
     """``docs`` has id and text (see ``whole``).  ``kit`` knows windows, marks, groups and results."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / chunk_bytes))
@@ -87,16 +94,17 @@ def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int) ->
             found.append(kit.marks(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
         m = np.sort(np.concatenate(found))
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, int)
-        often = np.diff(np.append(first, len(m))) > 1
+        often = np.diff(np.append(first, len(m)))
         m = m[first]
-        return rows(BLOBS, [(int(k), key[0].as_py(), 0, tk.pressed(m[at], often[at].astype(np.uint8))) for k, at in tk.split_by((m % U64(n)).astype(np.int64))])
+        return rows(BLOBS, [(int(k), key[0].as_py(), 0, tk.pressed(m[at], often[at].astype(np.uint32))) for k, at in tk.split_by((m % U64(n)).astype(np.int64))])
 
     def leaves(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
             return rows(BLOBS, [])
-        known = np.sort(np.concatenate([tk.unpressed(b)[0] for b in marks.column("blob").to_pylist()]))
+        known, often = (np.concatenate(c) for c in zip(*(tk.unpressed(b) for b in marks.column("blob").to_pylist())))
+        order = np.argsort(known)
         table = in_order(table)
-        return rows(BLOBS, kit.leaves(key[0].as_py(), *tk.pack(table.column("text")), ids_of(table), known))
+        return rows(BLOBS, kit.leaves(key[0].as_py(), *tk.pack(table.column("text")), ids_of(table), known[order], often[order].astype(bool)))
 
     def group(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
@@ -107,6 +115,11 @@ def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int) ->
             source = np.concatenate([np.full(len(x[0]), s) for s, x in some])[leaf]
             row = np.concatenate([x[0] for _, x in some])[leaf]
             out += [(int(s), -1, 1, tk.pressed(row[hit], pos[hit])) for s, hit in tk.split_by(source)]
+        if some := [(s, tk.unpressed(b)) for s, k, b in blobs if k == 2]:
+            source = np.concatenate([np.full(len(x[0]), s) for s, x in some])
+            row, pos, window, other = (np.concatenate(c) for c in zip(*(x for _, x in some)))
+            gone = np.flatnonzero(kit.equal(window, other))
+            out += [(int(s), -1, 1, tk.pressed(row[gone[hit]], pos[gone[hit]])) for s, hit in tk.split_by(source[gone])]
         return rows(BLOBS, out)
 
     def report(table: pa.Table, hits: pa.Table) -> pa.Table:
@@ -119,7 +132,7 @@ def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int) ->
         return kit.report(table.column("id"), *tk.pack(table.column("text")), row, pos)
 
     by = dealt.groupBy("place")
-    marks = by.applyInArrow(mark, BLOBS_SQL).groupBy("place").applyInArrow(repeated_marks, BLOBS_SQL)
+    marks = by.applyInArrow(mark, BLOBS_SQL).groupBy("place").applyInArrow(lambda table: repeated_marks(table, heavy), BLOBS_SQL)
     sent = by.cogroup(marks.groupBy("place")).applyInArrow(leaves, BLOBS_SQL)
     hits = sent.groupBy("place").applyInArrow(group, BLOBS_SQL)
     return by.cogroup(hits.groupBy("place")).applyInArrow(report, kit.sql)
@@ -134,6 +147,11 @@ def leaf_blobs(chunk: int, places: np.ndarray, columns: list[np.ndarray], buf: n
     return out
 
 
+def window_blobs(chunk: int, windows: np.ndarray, row: np.ndarray, pos: np.ndarray, other: np.ndarray, places: int) -> list[tuple]:
+    """Windows by their hashes, packed for the places of these."""
+    return [(int(k), chunk, 2, tk.pressed(row[at].astype(np.int32), pos[at].astype(np.int32), windows[at], other[at])) for k, at in tk.split_by((windows % U64(places)).astype(np.int64))]
+
+
 def runs_of(*columns: np.ndarray) -> np.ndarray:
     """Where a run of equal neighbours begins."""
     new = np.ones(len(columns[0]), dtype=bool)

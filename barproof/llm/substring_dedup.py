@@ -53,6 +53,7 @@ class WordTrees:
 
     def ready(self, docs: DataFrame, n: int) -> None:
         """Choose the prefixes: a count of two-word prefixes (65,536 sums, whatever the corpus) sets the groups."""
+        self.places = n
         bins = docs.select("id", "text").mapInArrow(self._prefix_counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
         count = np.zeros(BINS, np.int64)
         for r in bins:
@@ -110,7 +111,7 @@ class WordTrees:
         order, least, valid = self._windows(doc, h)
         return order[rp.chosen(order, least, valid, self.width)] if len(least) else least
 
-    def leaves(self, chunk, buf, offs, ids, known):
+    def leaves(self, chunk, buf, offs, ids, known, heavy):
         starts, ends, doc, h = _words(buf, offs)
         _, least, valid = self._windows(doc, h)
         if not len(least):
@@ -120,18 +121,29 @@ class WordTrees:
             return []
         row, mark = doc[at], least[at]
         base = np.searchsorted(doc, np.arange(len(offs) - 1))
-        order, first, run = tk.groups_of(tk.gram_hash(h, self.window)[at])
+        key = tk.gram_hash(h, self.window)[at]
+        order, first, run = tk.groups_of(key)
         own = ids[row]
         low = np.empty(len(at), np.int64)
         low[order] = np.minimum.reduceat(own[order], first)[run]
         done = own > low
         out = [(int(chunk), int(chunk), 1, tk.pressed(row[done].astype(np.int32), (at - base[row])[done].astype(np.int32)))] if done.any() else []
-        at, row, mark = at[~done], row[~done], mark[~done]
+        hot = heavy[np.searchsorted(known, mark)]
+        own_hot = ~done & hot
+        out += rp.window_blobs(int(chunk), key[own_hot], row[own_hot], (at - base[row])[own_hot], own[own_hot], self.places)
+        at, row, mark = (x[~done & ~hot] for x in (at, row, mark))
         a = rp.runs_of(mark, row, at - np.arange(len(at)))
         count = np.diff(np.append(a, len(at)))
         columns = [row[a].astype(np.int32), (at - base[row])[a].astype(np.int32), count.astype(np.int32), ids[row[a]]]
         return out + rp.leaf_blobs(int(chunk), self._place(mark[a]), columns, buf, starts[at[a]], ends[at[a] + count + self.window - 2])
 
+    def equal(self, window, ids):
+        """Which of one place's windows of heavy minimisers are also in a text of smaller id."""
+        order, first, run = tk.groups_of(window)
+        low = np.empty(len(window), np.int64)
+        low[order] = np.minimum.reduceat(ids[order], first)[run]
+        return ids > low
+
     def repeats(self, blobs):
         row, pos, count, ids, lengths, text = (np.concatenate(c) for c in zip(*blobs))
         offs = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
@@ -171,8 +183,8 @@ class WordTrees:
         return pa.table([*columns, pa.array(kept_texts)] if self.texts else columns, names=SCHEMA.names[: 4 + self.texts])
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, texts: bool = True, heavy: int = rp.HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, kept_text of each document."""
     kit = WordTrees(window, texts=texts)
     schema = SCHEMA if texts else pa.schema(list(SCHEMA)[:4])
-    return rp.remove_repeats(rp.whole(docs, id_col, text_col), kit, schema, chunk_bytes)
+    return rp.remove_repeats(rp.whole(docs, id_col, text_col), kit, schema, chunk_bytes, heavy)

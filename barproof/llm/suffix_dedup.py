@@ -45,7 +45,7 @@ class ByteArrays:
         order, least, valid, _ = self._windows(buf, offs)
         return order[rp.chosen(order, least, valid, self.width)] if len(least) else least
 
-    def leaves(self, chunk, buf, offs, ids, known):
+    def leaves(self, chunk, buf, offs, ids, known, heavy):
         parts = []
         for lo, hi in tk.slices(offs):
             b = buf[offs[lo] : offs[hi]]
@@ -64,12 +64,22 @@ class ByteArrays:
         many[order] = (np.diff(np.append(first, len(at))) > 1)[run]
         lead[order[first]] = True
         out = [(int(chunk), int(chunk), 1, tk.pressed(row[many].astype(np.int32), (at - offs[row])[many].astype(np.int32)))] if many.any() else []
-        at, row, mark, many = at[lead], row[lead], mark[lead], many[lead]
+        at, row, mark, many, key = at[lead], row[lead], mark[lead], many[lead], key[lead]
+        hot = heavy[np.searchsorted(known, mark)]
+        out += rp.window_blobs(int(chunk), key[hot], row[hot], (at - offs[row])[hot], many[hot].astype(np.uint8), self.places)
+        at, row, mark, many = at[~hot], row[~hot], mark[~hot], many[~hot]
         a = rp.runs_of(mark, row, many, at - np.arange(len(at)))
         count = np.diff(np.append(a, len(at)))
         columns = [row[a].astype(np.int32), (at - offs[row])[a].astype(np.int32), mark[a], many[a].astype(np.uint8)]
         return out + rp.leaf_blobs(int(chunk), (mark[a] % U64(self.places)).astype(np.int64), columns, buf, at[a], at[a] + count + self.window - 1)
 
+    def equal(self, window, done):
+        """Which of one place's windows of heavy minimisers recur and aren't marked yet."""
+        order, first, run = tk.groups_of(window)
+        again = np.empty(len(window), bool)
+        again[order] = (np.diff(np.append(first, len(window))) > 1)[run]
+        return again & (done == 0)
+
     def repeats(self, blobs):
         """Leaves of one text are copies of each other, so all their windows recur.  Where a minimiser has leaves of
         different texts, windows that recur are neighbours in the suffix array of these texts."""
@@ -131,7 +141,7 @@ class ByteArrays:
         return pa.table([doc_ids, *(pa.array(c, f[1]) for c, f in zip(columns, fields[1:]))], names=[f[0] for f in fields])
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, texts: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, texts: bool = True, heavy: int = rp.HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the kept bytes and
     their text (without the pieces of characters that were cut through) of each document."""
-    return rp.remove_repeats(rp.whole(docs, id_col, text_col), ByteArrays(window, texts), pa.schema(FIELDS[: 5 + 2 * texts]), chunk_bytes)
+    return rp.remove_repeats(rp.whole(docs, id_col, text_col), ByteArrays(window, texts), pa.schema(FIELDS[: 5 + 2 * texts]), chunk_bytes, heavy)

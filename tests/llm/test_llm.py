@@ -32,6 +32,48 @@ def rows(df, n):
     return {r[0]: tuple(r)[1:n] for r in df.collect()}
 
 
+FOOTER = " ".join(hashlib.md5(bytes([i])).hexdigest() for i in range(9))
+
+
+def around(i):
+    return " ".join(f"a{i * 131 + k}" for k in range(60)) + f" {FOOTER} " + " ".join(f"b{(i // 2) * 131 + k}" for k in range(80))
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_heavy_minimisers_give_the_same(spark, heavy):
+    texts = [(i, around(i)) for i in range(40)] + [(50, around(3)), (51, around(7))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    words = {i: t.split() for i, t in texts}
+    low, seen = {}, Counter(t.encode()[k : k + 400] for _, t in texts for k in range(len(t.encode()) - 399))
+    for i, w in words.items():
+        for k in range(len(w) - 12):
+            low.setdefault(tuple(w[k : k + 13]), i)
+    gone = {i: len({p for k in range(len(w) - 12) if low[tuple(w[k : k + 13])] < i for p in range(k, k + 13)}) for i, w in words.items()}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_words(docs, chunk_bytes=4000, heavy=heavy).collect()} == gone
+    gone = {i: len({p for k in range(len(t) - 399) if seen[t.encode()[k : k + 400]] > 1 for p in range(k, k + 400)}) for i, t in texts}
+    assert any(gone.values()) and {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(docs, chunk_bytes=4000, heavy=heavy).collect()} == gone
+
+
+@pytest.mark.parametrize("make", [lambda: substring_dedup.WordTrees(), lambda: suffix_dedup.ByteArrays()])
+def test_windows_of_a_heavy_minimiser_are_spread(spark, make):
+    import numpy as np
+    import pyarrow as pa
+
+    kit = make()
+    texts = [around(2 * i) for i in range(300)]
+    kit.ready(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), 16)
+    buf, offs = textkit.pack(pa.array(texts))
+    known, count = np.unique(kit.marks(buf, offs), return_counts=True)
+    known = known[count > 100]
+    heavy = np.ones(len(known), bool)
+    assert len(known)
+    sent = Counter()
+    for place, _, kind, blob in kit.leaves(0, buf, offs, np.arange(300), known, heavy):
+        assert kind == 2
+        sent[place] += len(textkit.unpressed(blob)[0])
+    assert len(sent) == 16 and max(sent.values()) < 2 * sum(sent.values()) / 16
+
+
 def sha(b):
     return hashlib.sha256(b).hexdigest()
 
