@@ -67,7 +67,7 @@ def _sent(dictionaries: list[list[bytes]], n: int) -> tuple[list[bytes], list[tu
     words = sorted(set().union(*dictionaries))
     data, lengths = _joined(words)
     ends = np.cumsum(lengths)
-    h = tk.span_hash(tk.prefix_hash(data), ends - lengths, ends)
+    h = tk.span_hash(data, ends - lengths, ends)
     return words, [(int(k), at) for k, at in tk.split_by((h % np.uint64(n)).astype(np.int64))]
 
 

@@ -32,7 +32,7 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """Every entry of COUNTS for each text."""
     n = len(offs) - 1
     starts, ends, doc = tk.word_spans(buf, offs)
-    h = tk.span_hash(tk.prefix_hash(buf), starts, ends)
+    h = tk.span_hash(buf, starts, ends)
     space = tk.SPACE[buf]
     out = {"n_words": np.bincount(doc, minlength=n), "word_chars": per_text(BEGINS[buf] & ~space, offs), "n_symbols": per_text(SYMBOLS[buf], offs)}
     out["n_digits"] = per_text((buf >= 0x30) & (buf <= 0x39), offs)

@@ -131,7 +131,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     n = len(offs) - 1
     buf = LOWER[buf]
     starts, ends, doc = tk.word_spans(buf, offs)
-    h = tk.span_hash(tk.prefix_hash(buf), starts, ends)
+    h = tk.span_hash(buf, starts, ends)
     if len(h) >= k:
         at = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
         g, own = tk.gram_hash(h, k)[at], doc[at]

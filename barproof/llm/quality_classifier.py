@@ -70,7 +70,7 @@ def hashed(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray | None = None)
     """Hashed words and word shapes of texts: the mean weight of each, or (text, slot, share) entries."""
     n = len(offs) - 1
     starts, ends, doc = tk.word_spans(buf, offs)
-    h = tk.span_hash(tk.prefix_hash(buf), starts, ends)
+    h = tk.span_hash(buf, starts, ends)
     shape = np.minimum(ends - starts, 30) + 31 * (docstats.SYMBOLS[buf[ends - 1]] * 2 + docstats.PUNCTUATION[buf[ends - 1]])
     slot = np.concatenate(((h % U64(WIDTH - 128)).astype(np.int64) + 128, shape))
     text = np.concatenate((doc, doc))

@@ -3,26 +3,27 @@
 Shared skeleton of the substring deduplication (words) and the suffix-array
 deduplication (bytes).  Windows of a fixed length are compared over all texts:
 
-1. Texts are dealt by a hash of their id into chunks of bounded size.  The same
+1. Texts are dealt by a hash of id and text into chunks of bounded size.  The same
    exchange feeds steps 2, 3 and 5, so texts move once.
 2. *Marks.*  Each window has a minimiser, the least hash of its short grams.
    Equal windows have equal minimisers, so a window can only recur if its
-   minimiser does.  Each chunk sends its distinct minimisers (8 bytes for
-   several windows) and how often it holds each; what stands more than once is
-   sent back, with a flag if it does more than ``HEAVY`` times.
-3. *Leaves.*  Each chunk collapses its own equal windows, so that a passage that
-   stands in a third of all texts leaves each chunk once.  Runs of windows with
-   one minimiser travel together, as text, to the group of their minimiser.
-   Windows of a heavy minimiser (a short passage that many texts have in
-   different surroundings) travel one by one, as hashes, to the place of their
-   own hash: equal ones still meet, and no place gets all of them.
+   minimiser does.  Each chunk sends its distinct minimisers (one for several
+   windows) and how often it holds each; what stands more than once is sent
+   back, with a flag if it does more than ``HEAVY`` times.
+3. *Leaves.*  Runs of windows with one minimiser travel together, as text, to the
+   place of their minimiser; leaves of one text leave a chunk once (compared as
+   text), so a passage that stands in a third of all texts leaves each chunk
+   once.  Windows of a heavy minimiser (a short passage that many texts have in
+   different surroundings) travel one by one, as two independent 64-bit hashes,
+   to the place of these: equal ones still meet, and no place gets all of them.
 4. *Groups.*  Each memory-sized group compares its windows (suffix tree or
    suffix array) and sends back those that are repeats.
 5. Each chunk marks what the repeated windows cover and reports each text.
 
-No step gathers more than one bounded group: marks of a very frequent passage,
-and its windows, number one for each chunk; a minimiser has at most ``HEAVY``
-leaves.
+Every message is a plain row that Spark's own exchange deals out: rows grow with
+the texts, not with chunks times places.  No step gathers more than one bounded
+group: marks of a very frequent passage, and its windows, number one for each
+chunk; a minimiser has at most ``HEAVY`` leaves.
 """
 
 from __future__ import annotations
@@ -47,6 +48,16 @@ def whole(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
 
+def places_of(docs: DataFrame, chunk_bytes: int) -> int:
+    """Into how many chunks the texts are dealt."""
+    return max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / chunk_bytes))
+
+
+def dealt(docs: DataFrame, n: int) -> DataFrame:
+    """Rows with their chunk; the text decides with the id, so rows without an id, or with one id, are spread too."""
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+
+
 def in_order(table: pa.Table) -> pa.Table:
     """The rows of a chunk in an order that doesn't depend on how they arrived (null ids last)."""
     return table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("text", "ascending")]))
@@ -60,96 +71,108 @@ def rows(schema: pa.Schema, data: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t.type) for c, t in zip(zip(*data), schema)] if data else [pa.array([], t.type) for t in schema], schema=schema)
 
 
-BLOBS = pa.schema([("place", pa.int64()), ("source", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-BLOBS_SQL = "place long, source long, kind int, blob binary"
+def gathered(batches, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_batches(list(batches), schema)
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+MARKS = pa.schema([("mark", pa.int64()), ("chunk", pa.int32()), ("often", pa.int32())])
+MARKS_SQL = "mark long, chunk int, often int"
+KNOWN = pa.schema([("chunk", pa.int32()), ("mark", pa.int64()), ("heavy", pa.bool_())])
+KNOWN_SQL = "chunk int, mark long, heavy boolean"
+#: kind 0: leaves of n windows; 1: windows that are repeats already; 2: windows of heavy minimisers, as two hashes (mark, other)
+LEAVES = pa.schema([("place", pa.int64()), ("chunk", pa.int32()), ("kind", pa.int32()), ("row", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("mark", pa.int64()), ("other", pa.int64()), ("extra", pa.int64()), ("text", pa.binary())])
+LEAVES_SQL = "place long, chunk int, kind int, row int, pos int, n int, mark long, other long, extra long, text binary"
+HITS = pa.schema([("chunk", pa.int32()), ("row", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
+HITS_SQL = "chunk int, row int, pos int, n int"
+
 
+def marks_of(chunk: int, marks: np.ndarray) -> pa.Table:
+    """A chunk's distinct marks, and how often it has each."""
+    m = np.sort(marks)
+    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, int)
+    often = np.diff(np.append(first, len(m))).astype(np.int32)
+    return pa.table([m[first].view(np.int64), np.full(len(first), chunk, np.int32), often], schema=MARKS)
 
-def repeated_marks(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
-    """Of one place's marks, those that stand more than once, for each chunk that has them, and which stand over ``heavy`` times."""
-    marks, chunk, often = [], [], []
-    for source, blob in zip(table.column("source").to_pylist(), table.column("blob").to_pylist()):
-        m, f = tk.unpressed(blob)
-        marks.append(m)
-        often.append(f)
-        chunk.append(np.full(len(m), source))
-    m, c, f = np.concatenate(marks), np.concatenate(chunk), np.concatenate(often)
-    order, first, run = tk.groups_of(m)
-    total = (np.add.reduceat(f[order].astype(np.int64), first) if len(m) else np.zeros(0, np.int64))[run]
+
+def repeated_marks(batches, heavy: int = HEAVY):
+    """Of one partition's marks, those that stand more than once, for each chunk that has them, and whether they stand over ``heavy`` times."""
+    table = gathered(batches, MARKS)
+    if not table.num_rows:
+        return
+    order, first, run = tk.groups_of(column(table, "mark"))
+    total = np.add.reduceat(column(table, "often")[order].astype(np.int64), first)[run]
     keep = total > 1
-    m, c, total = m[order][keep], c[order][keep], total[keep]
-    return rows(BLOBS, [(int(k), -1, 0, tk.pressed(m[at], (total[at] > heavy).astype(np.uint8))) for k, at in tk.split_by(c)])
+    at = order[keep]
+    yield from pa.table([column(table, "chunk")[at], column(table, "mark")[at], total[keep] > heavy], schema=KNOWN).to_batches()
+
+
+def known_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated marks of a chunk, sorted, and which of them are heavy."""
+    known = column(table, "mark").view(np.uint64) if table.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(known)
+    return known[order], (table.column("heavy").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool))[order]
+
+
+def leaf_table(kind: int, chunk: int, place, row, pos, n, mark, other, extra, text=None) -> pa.Table:
+    size = len(row)
+    filled = lambda x, t: np.full(size, x, t) if np.isscalar(x) else np.ascontiguousarray(x).astype(t)
+    word = lambda x: filled(x, np.int64) if np.isscalar(x) else x.view(np.int64)
+    columns = [filled(place, np.int64), filled(chunk, np.int32), filled(kind, np.int32), filled(row, np.int32), filled(pos, np.int32), filled(n, np.int32), word(mark), word(other), filled(extra, np.int64)]
+    return pa.table([*columns, pa.nulls(size, pa.binary()) if text is None else pa.array(text, pa.binary())], schema=LEAVES)
 
 
 def remove_repeats(docs: DataFrame, kit, schema: pa.Schema, chunk_bytes: int, heavy: int = HEAVY) -> DataFrame:
     """``docs`` has id and text (see ``whole``).  ``kit`` knows windows, marks, groups and results."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / chunk_bytes))
+    n = places_of(docs, chunk_bytes)
     kit.ready(docs, n)
-    dealt = docs.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(n)))
 
     def mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         buf, offs = tk.pack(table.column("text"))
-        found = []
-        for lo, hi in tk.slices(offs):
-            found.append(kit.marks(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
-        m = np.sort(np.concatenate(found))
-        first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, int)
-        often = np.diff(np.append(first, len(m)))
-        m = m[first]
-        return rows(BLOBS, [(int(k), key[0].as_py(), 0, tk.pressed(m[at], often[at].astype(np.uint32))) for k, at in tk.split_by((m % U64(n)).astype(np.int64))])
+        return marks_of(key[0].as_py(), np.concatenate([kit.marks(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in tk.slices(offs)]))
 
     def leaves(key: tuple[pa.Scalar, ...], table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
-            return rows(BLOBS, [])
-        known, often = (np.concatenate(c) for c in zip(*(tk.unpressed(b) for b in marks.column("blob").to_pylist())))
-        order = np.argsort(known)
+            return LEAVES.empty_table()
         table = in_order(table)
-        return rows(BLOBS, kit.leaves(key[0].as_py(), *tk.pack(table.column("text")), ids_of(table), known[order], often[order].astype(bool)))
+        return pa.concat_tables([LEAVES.empty_table(), *kit.leaves(key[0].as_py(), *tk.pack(table.column("text")), ids_of(table), *known_of(marks))])
 
     def group(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        blobs = list(zip(table.column("source").to_pylist(), kinds, table.column("blob").to_pylist()))
-        out = [(s, -1, 1, b) for s, k, b in blobs if k == 1]
-        if some := [(s, tk.unpressed(b)) for s, k, b in blobs if k == 0]:
-            leaf, pos = kit.repeats([x for _, x in some])
-            source = np.concatenate([np.full(len(x[0]), s) for s, x in some])[leaf]
-            row = np.concatenate([x[0] for _, x in some])[leaf]
-            out += [(int(s), -1, 1, tk.pressed(row[hit], pos[hit])) for s, hit in tk.split_by(source)]
-        if some := [(s, tk.unpressed(b)) for s, k, b in blobs if k == 2]:
-            source = np.concatenate([np.full(len(x[0]), s) for s, x in some])
-            row, pos, window, other = (np.concatenate(c) for c in zip(*(x for _, x in some)))
-            gone = np.flatnonzero(kit.equal(window, other))
-            out += [(int(s), -1, 1, tk.pressed(row[gone[hit]], pos[gone[hit]])) for s, hit in tk.split_by(source[gone])]
-        return rows(BLOBS, out)
+        kind = column(table, "kind")
+        of = lambda k: table.filter(pa.array(kind == k))
+        done = of(1)
+        out = [done.select(HITS.names)]
+        if (some := of(0)).num_rows:
+            leaf, pos, many = kit.repeats(some)
+            out.append(pa.table([column(some, "chunk")[leaf], column(some, "row")[leaf], pos.astype(np.int32), many.astype(np.int32)], schema=HITS))
+        if (some := of(2)).num_rows:
+            out.append(some.filter(pa.array(kit.equal(column(some, "mark"), column(some, "other"), column(some, "extra")))).select(HITS.names))
+        return pa.concat_tables([x.cast(HITS) for x in out])
 
     def report(table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return rows(schema, [])
+            return schema.empty_table()
         table = in_order(table)
-        pairs = [tk.unpressed(b) for b in hits.column("blob").to_pylist()]
-        row = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int32)
-        pos = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int32)
-        return kit.report(table.column("id"), *tk.pack(table.column("text")), row, pos)
+        row, pos, many = (column(hits, c).astype(np.int64) if hits.num_rows else np.zeros(0, np.int64) for c in ("row", "pos", "n"))
+        return kit.report(table.column("id"), *tk.pack(table.column("text")), row, pos, many)
 
-    by = dealt.groupBy("place")
-    marks = by.applyInArrow(mark, BLOBS_SQL).groupBy("place").applyInArrow(lambda table: repeated_marks(table, heavy), BLOBS_SQL)
-    sent = by.cogroup(marks.groupBy("place")).applyInArrow(leaves, BLOBS_SQL)
-    hits = sent.groupBy("place").applyInArrow(group, BLOBS_SQL)
-    return by.cogroup(hits.groupBy("place")).applyInArrow(report, kit.sql)
+    by = dealt(docs, n).groupBy("chunk")
+    known = by.applyInArrow(mark, MARKS_SQL).repartition(n, "mark").mapInArrow(lambda b: repeated_marks(b, heavy), KNOWN_SQL)
+    sent = by.cogroup(known.groupBy("chunk")).applyInArrow(leaves, LEAVES_SQL)
+    hits = sent.groupBy("place").applyInArrow(group, HITS_SQL)
+    return by.cogroup(hits.groupBy("chunk")).applyInArrow(report, kit.sql)
 
 
-def leaf_blobs(chunk: int, places: np.ndarray, columns: list[np.ndarray], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
-    """Leaves, each with its text, packed for their places."""
-    out = []
-    for k, at in tk.split_by(places):
-        lengths = ends[at] - starts[at]
-        out.append((int(k), chunk, 0, tk.pressed(*(c[at] for c in columns), lengths.astype(np.int32), tk.gather(buf, starts[at], lengths))))
-    return out
-
-
-def window_blobs(chunk: int, windows: np.ndarray, row: np.ndarray, pos: np.ndarray, other: np.ndarray, places: int) -> list[tuple]:
-    """Windows by their hashes, packed for the places of these."""
-    return [(int(k), chunk, 2, tk.pressed(row[at].astype(np.int32), pos[at].astype(np.int32), windows[at], other[at])) for k, at in tk.split_by((windows % U64(places)).astype(np.int64))]
+def same_twice(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``groups_of``, by two hashes."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(first), np.cumsum(first) - 1
 
 
 def runs_of(*columns: np.ndarray) -> np.ndarray:
@@ -161,6 +184,8 @@ def runs_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def known_marks(marks: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(marks), bool)
     at = np.searchsorted(known, marks)
     at[at == len(known)] = 0
     return known[at] == marks
@@ -173,9 +198,15 @@ def chosen(order: np.ndarray, least: np.ndarray, valid: np.ndarray, width: int)
     return (most == order) & (most > 0)
 
 
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
-    """Of n units, which lie in a window that starts at one of these."""
+def first_of_each(texts: list) -> np.ndarray:
+    """For each entry, the number of the first equal one."""
+    seen: dict = {}
+    return np.fromiter((seen.setdefault(t, i) for i, t in enumerate(texts)), np.int64, len(texts))
+
+
+def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of n units, which lie in one of these spans."""
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, starts, 1)
-    np.add.at(step, starts + length, -1)
+    np.add.at(step, starts + lengths, -1)
     return np.cumsum(step[:-1]) > 0

@@ -10,9 +10,13 @@ group's memory.  Each group grows its suffix tree top-down, level by level: the
 suffixes under a node are split by their next word, lone suffixes are leaves and
 go no further, and the nodes that are left at depth ``WINDOW`` are the repeats.
 
+Words are compared by their bytes (numbered in a dictionary of the group);
+windows of heavy minimisers by two independent 64-bit hashes.
+
 Defined results: a null or empty text has no words; documents with equal ids
-don't remove from one another; a null id counts as larger than all others;
-columns other than the two named are ignored.
+don't remove from one another, so of repeated rows each loses the same; a null id
+counts as larger than all others; very long texts are handled whole, in the chunk
+they were dealt to; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from barproof.llm import repeats as rp
 from barproof.llm import textkit as tk
 
 U64 = np.uint64
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM = 13, 4
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 SQL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 BINS = 1 << 16
@@ -37,7 +41,7 @@ BINS = 1 << 16
 
 def _words(buf, offs):
     starts, ends, doc = tk.word_spans(buf, offs)
-    return starts, ends, doc, tk.span_hash(tk.prefix_hash(buf), starts, ends)
+    return starts, ends, doc, tk.span_hash(buf, starts, ends)
 
 
 class WordTrees:
@@ -121,55 +125,73 @@ class WordTrees:
             return []
         row, mark = doc[at], least[at]
         base = np.searchsorted(doc, np.arange(len(offs) - 1))
-        key = tk.gram_hash(h, self.window)[at]
-        order, first, run = tk.groups_of(key)
-        own = ids[row]
-        low = np.empty(len(at), np.int64)
-        low[order] = np.minimum.reduceat(own[order], first)[run]
-        done = own > low
-        out = [(int(chunk), int(chunk), 1, tk.pressed(row[done].astype(np.int32), (at - base[row])[done].astype(np.int32)))] if done.any() else []
-        hot = heavy[np.searchsorted(known, mark)]
-        own_hot = ~done & hot
-        out += rp.window_blobs(int(chunk), key[own_hot], row[own_hot], (at - base[row])[own_hot], own[own_hot], self.places)
-        at, row, mark = (x[~done & ~hot] for x in (at, row, mark))
         a = rp.runs_of(mark, row, at - np.arange(len(at)))
         count = np.diff(np.append(a, len(at)))
-        columns = [row[a].astype(np.int32), (at - base[row])[a].astype(np.int32), count.astype(np.int32), ids[row[a]]]
-        return out + rp.leaf_blobs(int(chunk), self._place(mark[a]), columns, buf, starts[at[a]], ends[at[a] + count + self.window - 2])
+        at, row, mark = at[a], row[a], mark[a]
+        pos, own, hot, out = at - base[row], ids[row], heavy[np.searchsorted(known, mark)], []
+        if hot.any():
+            out.append(self._single(chunk, h, at[hot], row[hot], pos[hot], count[hot], own[hot]))
+        at, row, mark, pos, count, own = (x[~hot] for x in (at, row, mark, pos, count, own))
+        raw = buf.tobytes()
+        text = [raw[x:y] for x, y in zip(starts[at].tolist(), ends[at + count + self.window - 2].tolist())]
+        lead = rp.first_of_each(text)
+        low = np.full(len(lead), np.iinfo(np.int64).max)
+        np.minimum.at(low, lead, own)
+        gone = own > low[lead]  # a leaf of the same text stands in a text of smaller id
+        out.append(rp.leaf_table(1, chunk, chunk, row[gone], pos[gone], count[gone], 0, 0, 0))
+        keep = np.flatnonzero(~gone)
+        out.append(rp.leaf_table(0, chunk, self._place(mark[keep]), row[keep], pos[keep], count[keep], mark[keep], 0, own[keep], [text[i] for i in keep.tolist()]))
+        return out
+
+    def _single(self, chunk, h, at, row, pos, count, own):
+        """Windows of heavy minimisers; those that repeat within the chunk leave it once."""
+        each = tk.ranges(at, count)
+        row, pos, own = np.repeat(row, count), tk.ranges(pos, count), np.repeat(own, count)
+        one, two = tk.gram_hash(h, self.window)[each], tk.gram_hash(tk.mix(h ^ tk._STEP), self.window)[each]
+        order, first, run = rp.same_twice(one, two)
+        low = np.empty(len(order), np.int64)
+        low[order] = np.minimum.reduceat(own[order], first)[run]
+        gone = own > low
+        done = rp.leaf_table(1, chunk, chunk, row[gone], pos[gone], 1, 0, 0, 0)
+        k = ~gone
+        return pa.concat_tables([done, rp.leaf_table(2, chunk, (one[k] % U64(self.places)).astype(np.int64), row[k], pos[k], 1, one[k], two[k], own[k])])
 
-    def equal(self, window, ids):
+    def equal(self, one, two, ids):
         """Which of one place's windows of heavy minimisers are also in a text of smaller id."""
-        order, first, run = tk.groups_of(window)
-        low = np.empty(len(window), np.int64)
+        order, first, run = rp.same_twice(one, two)
+        low = np.empty(len(one), np.int64)
         low[order] = np.minimum.reduceat(ids[order], first)[run]
         return ids > low
 
-    def repeats(self, blobs):
-        row, pos, count, ids, lengths, text = (np.concatenate(c) for c in zip(*blobs))
-        offs = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-        _, _, leaf, h = _words(text, offs)
-        base = np.searchsorted(leaf, np.arange(len(row)))
-        which = np.repeat(np.arange(len(row)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    def repeats(self, leaves):
+        """(leaf, first position, number of windows) of the runs of windows that also stand in a text of smaller id."""
+        pos, count, ids = (rp.column(leaves, c).astype(np.int64) for c in ("pos", "n", "extra"))
+        words, number = b" ".join(leaves.column("text").to_pylist()).split(), {}
+        word = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))  # words by their bytes, not by a hash
+        size = count + self.window - 1
+        base = np.cumsum(size) - size
+        which = np.repeat(np.arange(len(count)), count)
+        step = tk.ranges(np.zeros(len(count), np.int64), count)
         suffix = base[which] + step
         # the tree, a level at a time: node of each suffix that isn't alone under its node
-        node = np.zeros(len(suffix), np.uint64)
-        live = np.arange(len(suffix))
+        node, live, width = np.zeros(len(suffix), np.int64), np.arange(len(suffix)), len(number)
         for depth in range(self.window):
-            order, first, run = tk.groups_of(tk.mix(node * tk._STEP + h[suffix[live] + depth]))
+            order, first, run = tk.groups_of(node * width + word[suffix[live] + depth])
             inner = (np.diff(np.append(first, len(live))) > 1)[run]
-            live, node = live[order[inner]], run[inner].astype(np.uint64)
+            live, node = live[order[inner]], run[inner]
             if not len(live):
-                return live, live.astype(np.int32)
+                return live, live, live
         order, first, run = tk.groups_of(node)
         own = ids[which[live[order]]]
-        gone = live[order][own > np.minimum.reduceat(own, first)[run]]
-        return which[gone], (pos[which[gone]] + step[gone]).astype(np.int32)
+        gone = np.sort(live[order][own > np.minimum.reduceat(own, first)[run]])
+        leaf, p = which[gone], pos[which[gone]] + step[gone]
+        a = rp.runs_of(leaf, p - np.arange(len(p)))
+        return leaf[a], p[a], np.diff(np.append(a, len(p)))
 
-    def report(self, doc_ids, buf, offs, row, pos):
+    def report(self, doc_ids, buf, offs, row, pos, many):
         starts, _, doc, = tk.word_spans(buf, offs)
         base = np.searchsorted(doc, np.arange(len(offs)))
-        gone = rp.covered(len(doc), base[row] + pos, self.window)
+        gone = rp.covered(len(doc), base[row] + pos, many + self.window - 1)
         n_gone = np.add.reduceat(np.append(gone, False), base[:-1]) if len(base) > 1 else np.zeros(0)
         n_words = np.diff(base)
         data, shas, kept_texts = buf.tobytes(), [], []

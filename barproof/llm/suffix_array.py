@@ -1,4 +1,4 @@
-"""Suffix arrays by linear grouping.
+"""Suffix arrays by linear grouping, of one string or of many at once.
 
 Suffixes are put into groups by their Lyndon prefix (the longest prefix that is
 smaller than all its own suffixes), then ordered within them; no string is renamed
@@ -13,6 +13,10 @@ and forms a new one; those pointed at more often come later in order.
 *Order.*  From the least suffix upwards: the suffixes whose Lyndon prefix ends
 where the current suffix begins are those on the pointer path from the byte before
 it; each takes the next free place of its group.
+
+``suffix_arrays`` takes many strings and moves them on together: a step takes the
+highest group left of every string, in whole arrays.  Strings never meet, so this
+changes no order; it only spreads the cost of a step over all of them.
 """
 
 from __future__ import annotations
@@ -21,6 +25,103 @@ from collections import Counter
 
 import numpy as np
 
+from barproof.llm import textkit as tk
+
+#: Fewer strings than this are sorted one by one.
+TOGETHER = 12
+
+
+def suffix_arrays(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The suffix arrays of all strings text[offs[k]:offs[k+1]], end to end, as positions in ``text``."""
+    if len(offs) - 1 < TOGETHER:
+        return np.concatenate([suffix_array(text[a:b]) + a for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]) if len(offs) > 1 else np.zeros(0, np.int64)
+    group, before = _groups_of_many(text, offs)
+    return _ordered_of_many(group, before, offs)
+
+
+def _groups_of_many(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_groups``, for all strings; a position before a string's first means none."""
+    n, base, end = len(text), offs[:-1], offs[1:].copy()
+    string = np.repeat(np.arange(len(base)), np.diff(offs))
+    members = np.lexsort((text, string))
+    place = np.empty(n, np.int64)
+    place[members] = np.arange(n)
+    new = np.ones(n, bool)
+    new[1:] = (text[members[1:]] != text[members[:-1]]) | (string[1:] != string[:-1])
+    first = np.flatnonzero(new)
+    group, size, chosen = np.empty(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    group[members] = first[np.cumsum(new) - 1]
+    size[first] = np.diff(np.append(first, n))
+    before = np.arange(-1, n - 1)  # until it is known, the way there leads over the neighbour
+    live = np.flatnonzero(end > base)
+    while len(live):
+        g = group[members[end[live] - 1]]
+        many = end[live] - g
+        s, own, low = members[tk.ranges(g, many)], np.repeat(g, many), np.repeat(base[live], many)
+        p = s - 1
+        on = np.flatnonzero((p >= low) & (group[p] >= own))
+        while len(on):
+            q = p[on] = before[p[on]]
+            on = on[(q >= low[on]) & (group[q] >= own[on])]
+        before[s] = p
+        end[live] = g
+        aims = np.sort(p[p >= low])
+        if len(aims):
+            begin = np.flatnonzero(np.concatenate(([True], aims[1:] != aims[:-1])))
+            times, aims = np.diff(np.append(begin, len(aims))), aims[begin]
+            for m in range(int(times.max()), 0, -1):
+                if len(some := aims[times == m]):
+                    _split_many(some, members, place, group, size, chosen)
+        live = live[g > base[live]]
+    return group, before
+
+
+def _split_many(some: np.ndarray, members: np.ndarray, place: np.ndarray, group: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> None:
+    """As ``_split``, in arrays: who stands at the end of a group without being chosen changes places with who is chosen elsewhere."""
+    g = group[some]
+    order = np.argsort(g, kind="stable")
+    some, g = some[order], g[order]
+    begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    many, g = np.diff(np.append(begin, len(g))), g[begin]
+    named = g + size[g] - many
+    chosen[some] = True
+    last = members[tk.ranges(named, many)]
+    out = last[~chosen[last]]
+    into = some[place[some] < np.repeat(named, many)]
+    at, to = place[into], place[out]
+    members[to], place[into] = into, to
+    members[at], place[out] = out, at
+    chosen[some] = False
+    size[g] -= many
+    size[named] = many
+    group[some] = np.repeat(named, many)
+
+
+def _ordered_of_many(group: np.ndarray, before: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    n = len(group)
+    free, order, waits = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+    some = offs[1:] > offs[:-1]
+    base, end = offs[:-1][some], offs[1:][some]
+    i, s = base.copy(), end - 1
+    while len(s):
+        ok = (s >= base) & waits[s]
+        x = s[ok]
+        waits[x] = False
+        g = group[x]
+        order[free[g]] = x
+        free[g] += 1
+        s[ok] = before[x]
+        rest = np.flatnonzero(~ok)
+        ended = i[rest] == end[rest]
+        on = rest[~ended]
+        s[on] = order[i[on]] - 1
+        i[on] += 1
+        if ended.any():
+            keep = np.ones(len(s), bool)
+            keep[rest[ended]] = False
+            base, end, i, s = base[keep], end[keep], i[keep], s[keep]
+    return order
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The starts of all suffixes of an array of small integers, in lexicographic order (a prefix comes first)."""

@@ -1,4 +1,18 @@
-"""Suffix-array deduplication of byte passages."""
+"""Suffix-array deduplication of byte passages.
+
+Each byte that lies in a ``WINDOW``-byte string that also starts anywhere else
+(same text included) is removed.  Windows meet by minimiser (see ``repeats``).
+There, leaves that agree on neither half a window to the left nor one to the
+right of the minimiser can't have a window in common; what is left falls into
+parts, each part's suffixes are ordered by linear grouping (``suffix_array``),
+and windows that recur stand beside an equal one in that order, which is tested
+byte by byte.
+
+Defined results: null and empty texts have no bytes and lose none; repeated rows
+are copies of each other and lose all windows; a null id stays null; ties don't
+matter (every occurrence is removed); very long texts are handled in chunks of
+their own; columns other than the two named are ignored.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +24,12 @@ from pyspark.sql import DataFrame
 
 from barproof.llm import repeats as rp
 from barproof.llm import textkit as tk
-from barproof.llm.suffix_array import suffix_array
+from barproof.llm.suffix_array import suffix_arrays
 
 U64 = np.uint64
 WINDOW, GRAM = 400, 32
-#: Bytes of leaves, at least, that one suffix array takes (leaves of one minimiser stay together).
-BATCH = 1 << 17
+#: Bytes of leaves, at most, that are sorted at once (one part is never cut).
+BATCH = 1 << 21
 FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string())]
 SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
@@ -34,100 +48,153 @@ class ByteArrays:
     def _windows(self, buf, offs):
         n = len(buf) - self.window + 1
         if n <= 0:
-            return (z := np.zeros(0, np.uint64)), z, z.astype(bool), z
-        prefix = tk.prefix_hash(buf)
-        at = np.arange(len(buf) - self.gram + 1)
-        order = tk.span_hash(prefix, at, at + self.gram)
+            return (z := np.zeros(0, np.uint64)), z, z.astype(bool)
+        order = tk.byte_grams(buf, self.gram)
         left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(buf))
-        return order, tk.sliding(order, self.width), left[:n] >= self.window, prefix
+        return order, tk.sliding(order, self.width), left[:n] >= self.window
 
     def marks(self, buf, offs):
-        order, least, valid, _ = self._windows(buf, offs)
+        order, least, valid = self._windows(buf, offs)
         return order[rp.chosen(order, least, valid, self.width)] if len(least) else least
 
     def leaves(self, chunk, buf, offs, ids, known, heavy):
         parts = []
         for lo, hi in tk.slices(offs):
-            b = buf[offs[lo] : offs[hi]]
-            _, least, valid, prefix = self._windows(b, offs[lo : hi + 1] - offs[lo])
+            _, least, valid = self._windows(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             if len(least):
                 at = np.flatnonzero(valid & rp.known_marks(least, known))
-                parts.append((at + offs[lo], least[at], tk.span_hash(prefix, at, at + self.window)))
-        if not parts:
-            return []
-        at, mark, key = (np.concatenate(c) for c in zip(*parts))
+                parts.append((at + offs[lo], least[at]))
+        at, mark = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
         if not len(at):
             return []
         row = np.searchsorted(offs, at, "right") - 1
-        order, first, run = tk.groups_of(key)
-        many, lead = np.empty(len(at), bool), np.zeros(len(at), bool)
-        many[order] = (np.diff(np.append(first, len(at))) > 1)[run]
-        lead[order[first]] = True
-        out = [(int(chunk), int(chunk), 1, tk.pressed(row[many].astype(np.int32), (at - offs[row])[many].astype(np.int32)))] if many.any() else []
-        at, row, mark, many, key = at[lead], row[lead], mark[lead], many[lead], key[lead]
-        hot = heavy[np.searchsorted(known, mark)]
-        out += rp.window_blobs(int(chunk), key[hot], row[hot], (at - offs[row])[hot], many[hot].astype(np.uint8), self.places)
-        at, row, mark, many = at[~hot], row[~hot], mark[~hot], many[~hot]
-        a = rp.runs_of(mark, row, many, at - np.arange(len(at)))
+        a = rp.runs_of(mark, row, at - np.arange(len(at)))
         count = np.diff(np.append(a, len(at)))
-        columns = [row[a].astype(np.int32), (at - offs[row])[a].astype(np.int32), mark[a], many[a].astype(np.uint8)]
-        return out + rp.leaf_blobs(int(chunk), (mark[a] % U64(self.places)).astype(np.int64), columns, buf, at[a], at[a] + count + self.window - 1)
+        at, row, mark = at[a], row[a], mark[a]
+        pos, hot, out = at - offs[row], heavy[np.searchsorted(known, mark)], []
+        for some in (h for h in np.array_split(np.flatnonzero(hot), -(-int(hot.sum()) // 1024) or 1) if len(h)):
+            out.append(self._single(chunk, buf, at[some], row[some], pos[some], count[some]))
+        at, row, mark, pos, count = (x[~hot] for x in (at, row, mark, pos, count))
+        raw = buf.tobytes()
+        text = [raw[x:y] for x, y in zip(at.tolist(), (at + count + self.window - 1).tolist())]
+        lead = rp.first_of_each(text)
+        copies = np.bincount(lead, minlength=len(lead))[lead] > 1  # leaves of one text repeat each other
+        out.append(rp.leaf_table(1, chunk, chunk, row[copies], pos[copies], count[copies], 0, 0, 0))
+        own = np.flatnonzero(lead == np.arange(len(lead)))
+        place = (mark[own] % U64(self.places)).astype(np.int64)
+        out.append(rp.leaf_table(0, chunk, place, row[own], pos[own], count[own], mark[own], 0, copies[own], [text[i] for i in own.tolist()]))
+        return out
+
+    def _single(self, chunk, buf, at, row, pos, count):
+        """Windows of heavy minimisers; those that repeat within the chunk leave it once."""
+        lengths = count + self.window - 1
+        joined = tk.gather(buf, at, lengths)
+        begin = tk.ranges(np.cumsum(lengths) - lengths, count)
+        one, two = (tk.window_hash(joined, self.window, seed)[begin] for seed in (1, 2))
+        row, pos = np.repeat(row, count), tk.ranges(pos, count)
+        order, first, run = rp.same_twice(one, two)
+        many, lead = np.empty(len(order), bool), np.zeros(len(order), bool)
+        many[order] = (np.diff(np.append(first, len(order))) > 1)[run]
+        lead[order[first]] = True
+        done = rp.leaf_table(1, chunk, chunk, row[many], pos[many], 1, 0, 0, 0)
+        place = (one[lead] % U64(self.places)).astype(np.int64)
+        return pa.concat_tables([done, rp.leaf_table(2, chunk, place, row[lead], pos[lead], 1, one[lead], two[lead], many[lead])])
 
-    def equal(self, window, done):
+    def equal(self, one, two, done):
         """Which of one place's windows of heavy minimisers recur and aren't marked yet."""
-        order, first, run = tk.groups_of(window)
-        again = np.empty(len(window), bool)
-        again[order] = (np.diff(np.append(first, len(window))) > 1)[run]
+        order, first, run = rp.same_twice(one, two)
+        again = np.empty(len(one), bool)
+        again[order] = (np.diff(np.append(first, len(one))) > 1)[run]
         return again & (done == 0)
 
-    def repeats(self, blobs):
-        """Leaves of one text are copies of each other, so all their windows recur.  Where a minimiser has leaves of
-        different texts, windows that recur are neighbours in the suffix array of these texts."""
-        row, pos, mark, done, lengths, text = (np.concatenate(c) for c in zip(*blobs))
-        ends = np.cumsum(lengths, dtype=np.int64)
-        starts = ends - lengths
-        raw, number = text.tobytes(), {}
-        same = np.array([number.setdefault((m, raw[a:b]), len(number)) for m, a, b in zip(mark.tolist(), starts.tolist(), ends.tolist())], np.int64)
-        _, first, copies = np.unique(same, return_index=True, return_counts=True)
-        count = lengths.astype(np.int64) - self.window + 1
-        at = np.concatenate(([0], np.cumsum(count[first])))
-        again = np.repeat(copies > 1, count[first])  # by distinct leaf and window
-        order, begin, _ = tk.groups_of(mark[first])
-        size = np.diff(np.append(begin, len(order)))
+    def repeats(self, leaves):
+        """(leaf, first position, number of windows) of the runs of windows that recur.  Leaves of one text are copies of
+        each other, so all their windows recur; of different texts, windows are compared in suffix arrays."""
+        pos, count, done, mark = (rp.column(leaves, c) for c in ("pos", "n", "extra", "mark"))
+        texts = leaves.column("text").to_pylist()
+        same = rp.first_of_each(texts)
+        copies = np.bincount(same, minlength=len(same))
+        first = np.flatnonzero(same == np.arange(len(same)))
+        at = np.zeros(len(same) + 1, np.int64)
+        windows = np.where(same == np.arange(len(same)), count, 0).astype(np.int64)
+        at[1:] = np.cumsum(windows)
+        again = np.repeat(copies > 1, windows)
+        for parts in self._batches(self._parts(first, texts, mark), texts):
+            self._sort(parts, texts, at, again)
+        which = np.repeat(np.arange(len(same)), count)
+        step = tk.ranges(np.zeros(len(count), np.int64), count)
+        gone = np.flatnonzero(again[at[same[which]] + step] & (done[which] == 0))
+        leaf, p = which[gone], pos[which[gone]] + step[gone]
+        a = rp.runs_of(leaf, p - np.arange(len(p)))
+        return leaf[a], p[a], np.diff(np.append(a, len(p)))
+
+    def _parts(self, first: np.ndarray, texts: list[bytes], mark: np.ndarray) -> list[list[int]]:
+        """Leaves of one minimiser that may have a window in common: those that agree on half a window to the left of the
+        minimiser, or on the other half from it on, directly or by way of others."""
+        left, right = self.window // 2, self.window - self.window // 2
+        joined, size = np.frombuffer(b"".join([texts[i] for i in first.tolist()]), np.uint8), np.array([len(texts[i]) for i in first.tolist()], np.int64)
+        begin = np.cumsum(size) - size
+        anchor = np.flatnonzero(tk.byte_grams(joined, self.gram) == np.repeat(mark[first].view(np.uint64), size)[: max(0, len(joined) - self.gram + 1)])
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        seen: dict[tuple, int] = {}
+        leaf = np.searchsorted(begin, anchor, "right") - 1
+        within = set(first[np.flatnonzero(np.bincount(leaf, minlength=len(first)) > 1)].tolist())  # may repeat themselves
+        marks = mark.tolist()
+        for k, o in zip(first[leaf].tolist(), (anchor - begin[leaf]).tolist()):
+            text = texts[k]
+            if o >= left:
+                up[top(k)] = top(seen.setdefault((marks[k], 0, text[o - left : o]), k))
+            if len(text) - o >= right:
+                up[top(k)] = top(seen.setdefault((marks[k], 1, text[o : o + right]), k))
+        parts: dict[int, list[int]] = {}
+        for k in sorted(up):
+            parts.setdefault(top(k), []).append(k)
+        return [p for p in parts.values() if len(p) > 1 or p[0] in within]
+
+    @staticmethod
+    def _batches(parts: list[list[int]], texts: list[bytes]):
+        """Parts of like length together: they move on step by step (see ``suffix_arrays``)."""
+        sized = sorted((sum(len(texts[k]) + 1 for k in p), p) for p in parts)
         batch, held = [], 0
-        for lo, m in zip(begin[size > 1].tolist(), size[size > 1].tolist()):
-            batch.extend(order[lo : lo + m].tolist())
-            held += int(lengths[first[order[lo : lo + m]]].sum())
-            if held > BATCH:
-                self._sort(batch, first, starts, ends, text, at, again)
+        for size, p in sized:
+            if batch and (held + size > BATCH or size > 2 * batch[0][0]):
+                yield [x for _, x in batch]
                 batch, held = [], 0
+            batch.append((size, p))
+            held += size
         if batch:
-            self._sort(batch, first, starts, ends, text, at, again)
-        which = np.repeat(np.arange(len(row)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        gone = np.flatnonzero(again[at[same[which]] + step] & (done[which] == 0))
-        return which[gone], (pos[which[gone]] + step[gone]).astype(np.int32)
-
-    def _sort(self, batch, first, starts, ends, text, at, again):
-        """Marks the windows of some leaves that stand beside an equal one in the order of all suffixes."""
-        parts, of = [], []
-        for x in batch:
-            a, b = starts[first[x]], ends[first[x]]
-            windows = b - a - self.window + 1
-            parts += [text[a:b].astype(np.int16) + 1, np.zeros(1, np.int16)]  # 0 ends a leaf
-            of.append(np.concatenate((np.arange(at[x], at[x] + windows), np.full(self.window, -1))))
-        joined, own = np.concatenate(parts), np.concatenate(of)
-        order = suffix_array(joined)
+            yield [x for _, x in batch]
+
+    def _sort(self, parts: list[list[int]], texts: list[bytes], at: np.ndarray, again: np.ndarray) -> None:
+        """Marks the windows that stand beside an equal one in the order of all suffixes of their part."""
+        leaves = [k for p in parts for k in p]
+        size = np.array([len(texts[k]) for k in leaves], np.int64)
+        joined = np.frombuffer(b"\0".join([texts[k] for k in leaves]) + b"\0", np.uint8).astype(np.int16) + 1
+        ends = np.cumsum(size + 1)
+        joined[ends - 1] = 0  # ends a leaf
+        own = np.full(len(joined), -1, np.int64)
+        windows = size - self.window + 1
+        own[tk.ranges(ends - size - 1, windows)] = tk.ranges(at[leaves], windows)
+        bounds = np.concatenate(([0], ends[np.cumsum([len(p) for p in parts]) - 1]))
+        order = suffix_arrays(joined, bounds)
         order = order[own[order] >= 0]
         views = np.lib.stride_tricks.sliding_window_view(joined, self.window)
         for lo in range(0, len(order) - 1, 4096):
             x, y = order[lo : lo + 4096], order[lo + 1 : lo + 4097]
-            equal = (views[x[: len(y)]] == views[y]).all(1)
-            again[own[x[: len(y)][equal]]] = True
-            again[own[y[equal]]] = True
-
-    def report(self, doc_ids, buf, offs, row, pos):
-        gone = rp.covered(len(buf), offs[row] + pos, self.window)
+            x = x[: len(y)]
+            near = joined[x + self.window - 1] == joined[y + self.window - 1]
+            near[near] = (views[x[near]] == views[y[near]]).all(1)
+            again[own[x[near]]] = True
+            again[own[y[near]]] = True
+
+    def report(self, doc_ids, buf, offs, row, pos, many):
+        gone = rp.covered(len(buf), offs[row] + pos, many + self.window - 1)
         data, out = buf.tobytes(), []
         for i in range(len(offs) - 1):
             a, b = int(offs[i]), int(offs[i + 1])

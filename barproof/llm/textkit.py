@@ -6,38 +6,24 @@ to end and an offsets array.  Null texts are empty.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE, _STEP = 0x9E3779B97F4A7C15, U64(0xD1342543DE82EF95)
-_POW = np.ones(1, dtype=np.uint64)
-_INV = np.ones(1, dtype=np.uint64)
+_STEP = U64(0xD1342543DE82EF95)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Spans of more bytes are hashed by a library, one by one.
+LONG = 512
 
 #: Bytes of white space: \x20 and \x09 to \x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 1 << 20)
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            np.cumprod(p, out=p)
-            if base == _BASE:
-                _POW = p
-            else:
-                _INV = p
-    return _POW[:n], _INV[:n]
-
-
 def pack(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """One text column -> (bytes, offsets); null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,18 +71,56 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; see ``span_hash``."""
-    p, _ = _powers(len(buf))
-    out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * p, out=out[1:])
-    return out
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one integer (zeros beyond the end)."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
 
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans.
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans."""
-    _, inv = _powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    Eight bytes at a time go through ``mix``, each step depending on all before it: no linear
+    recurrence, so texts with a pattern collide no more often than others.
+    """
+    at, n = eights(buf), ends - starts
+    h = mix((at[starts] & _MASK[np.minimum(n, 8)]) ^ mix(n.astype(np.uint64) + _STEP))
+    live, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        h[live] = mix(h[live] ^ (at[starts[live] + done] & _MASK[np.minimum(n[live] - done, 8)]))
+        done += 8
+        live = live[n[live] > done]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def window_hash(buf: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of every ``width`` consecutive bytes, from halves that overlap (a width of 8 or more)."""
+    if len(buf) < width:
+        return np.zeros(0, np.uint64)
+    h, size = mix(eights(buf)[: len(buf) - 7] + U64(seed * int(_STEP) % (1 << 64))), 8
+    while size < width:
+        step = min(size, width - size)
+        h = mix(h[:-step] * _STEP + h[step:])
+        size += step
+    return h
+
+
+def byte_grams(buf: np.ndarray, width: int) -> np.ndarray:
+    """Cheaper hashes of every ``width`` consecutive bytes, good enough to deal texts out by."""
+    if len(buf) < width:
+        return np.zeros(0, np.uint64)
+    if width < 8:
+        return mix(eights(buf)[: len(buf) - width + 1] & _MASK[width])
+    h, size = eights(buf)[: len(buf) - 7] * _STEP, 8
+    while size < width:
+        step = min(size, width - size)
+        h ^= h >> U64(31)
+        h = h[:-step] * _STEP + h[step:]
+        size += step
+    return mix(h)
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE):
@@ -146,11 +170,7 @@ def sliding(a: np.ndarray, w: int, of=np.minimum) -> np.ndarray:
 
 def gather(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The bytes of all spans, end to end."""
-    total = int(lengths.sum())
-    if not total:
-        return np.zeros(0, np.uint8)
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return buf[at + np.arange(total)]
+    return buf[ranges(starts, lengths)]
 
 
 def pressed(*arrays) -> bytes:
@@ -171,6 +191,14 @@ def unpressed(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All integers of all ranges, end to end."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(total)
+
+
 def split_by(keys: np.ndarray, n: int | None = None):
     """Stable grouping: yields (key, positions)."""
     order = np.argsort(keys, kind="stable")
