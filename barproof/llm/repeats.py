@@ -40,7 +40,7 @@ from barproof.llm import textkit as tk
 
 U64 = np.uint64
 #: Occurrences, in all texts, beyond which a minimiser's windows are dealt by their own hashes.
-HEAVY = 1000
+HEAVY = 5000
 
 
 def whole(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

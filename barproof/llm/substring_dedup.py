@@ -152,7 +152,9 @@ class WordTrees:
         low = np.empty(len(order), np.int64)
         low[order] = np.minimum.reduceat(own[order], first)[run]
         gone = own > low
-        done = rp.leaf_table(1, chunk, chunk, row[gone], pos[gone], 1, 0, 0, 0)
+        r, p = row[gone], pos[gone]
+        a = rp.runs_of(r, p - np.arange(len(p)))
+        done = rp.leaf_table(1, chunk, chunk, r[a], p[a], np.diff(np.append(a, len(p))), 0, 0, 0)
         k = ~gone
         return pa.concat_tables([done, rp.leaf_table(2, chunk, (one[k] % U64(self.places)).astype(np.int64), row[k], pos[k], 1, one[k], two[k], own[k])])
 

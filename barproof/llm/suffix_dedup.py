@@ -1,8 +1,8 @@
 """Suffix-array deduplication of byte passages.
 
 Each byte that lies in a ``WINDOW``-byte string that also starts anywhere else
-(same text included) is removed.  Windows meet by minimiser (see ``repeats``).
-There, leaves that agree on neither half a window to the left nor one to the
+(same text included) is removed.  Windows meet by minimiser (see ``repeats``);
+only those travel whose least grams, in two orders, both recur.  There, leaves that agree on neither half a window to the left nor one to the
 right of the minimiser can't have a window in common; what is left falls into
 parts, each part's suffixes are ordered by linear grouping (``suffix_array``),
 and windows that recur stand beside an equal one in that order, which is tested
@@ -46,23 +46,26 @@ class ByteArrays:
         self.places = n
 
     def _windows(self, buf, offs):
+        """Hashes of all grams, the least of each window in two orders (the second turns the first round), and which windows lie in one text."""
         n = len(buf) - self.window + 1
         if n <= 0:
-            return (z := np.zeros(0, np.uint64)), z, z.astype(bool)
+            return (z := np.zeros(0, np.uint64)), z, z, z.astype(bool)
         order = tk.byte_grams(buf, self.gram)
         left = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(buf))
-        return order, tk.sliding(order, self.width), left[:n] >= self.window
+        return order, tk.sliding(order, self.width), tk.sliding(~order, self.width), left[:n] >= self.window
 
     def marks(self, buf, offs):
-        order, least, valid = self._windows(buf, offs)
-        return order[rp.chosen(order, least, valid, self.width)] if len(least) else least
+        """A window recurs only if its least gram does in both orders."""
+        order, least, other, valid = self._windows(buf, offs)
+        return np.concatenate((order[rp.chosen(order, least, valid, self.width)], (~order)[rp.chosen(~order, other, valid, self.width)])) if len(least) else least
 
     def leaves(self, chunk, buf, offs, ids, known, heavy):
         parts = []
         for lo, hi in tk.slices(offs):
-            _, least, valid = self._windows(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            _, least, other, valid = self._windows(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             if len(least):
                 at = np.flatnonzero(valid & rp.known_marks(least, known))
+                at = at[rp.known_marks(other[at], known)]
                 parts.append((at + offs[lo], least[at]))
         at, mark = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
         if not len(at):
@@ -96,7 +99,9 @@ class ByteArrays:
         many, lead = np.empty(len(order), bool), np.zeros(len(order), bool)
         many[order] = (np.diff(np.append(first, len(order))) > 1)[run]
         lead[order[first]] = True
-        done = rp.leaf_table(1, chunk, chunk, row[many], pos[many], 1, 0, 0, 0)
+        r, p = row[many], pos[many]
+        a = rp.runs_of(r, p - np.arange(len(p)))
+        done = rp.leaf_table(1, chunk, chunk, r[a], p[a], np.diff(np.append(a, len(p))), 0, 0, 0)
         place = (one[lead] % U64(self.places)).astype(np.int64)
         return pa.concat_tables([done, rp.leaf_table(2, chunk, place, row[lead], pos[lead], 1, one[lead], two[lead], many[lead])])
 
