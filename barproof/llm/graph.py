@@ -1,12 +1,70 @@
-"""Connected components of links, in Spark."""
+"""Tables of an iteration, and connected components of links."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(df: DataFrame) -> str:
+    """A folder that driver and executors share: the cluster names it in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not (folder := context.getConf().get("spark.checkpoint.dir")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+class Tables:
+    """Intermediate tables, as Parquet in the shared folder: they cut lineage, outlive executors and go when the work is done.
+
+    Shuffle files behind a table go as soon as it is written.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.folder, self.kept = df.sparkSession, f"{shared_folder(df)}/tables-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.kept)}"
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept[path] = out
+        return out
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """A table that outlives the work."""
+        out = self.keep(df)
+        self.kept[next(p for p, t in self.kept.items() if t is out)] = None
+        return out
 
-def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.kept.items() if any(t is x for x in tables)]:
+            self._delete(path)
+            self.kept[path] = None
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop(*(t for t in self.kept.values() if t is not None))
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """links (a, b) -> (node, component): the smallest node that each node reaches.
 
     Alternates large-star and small-star steps: every node links its larger
@@ -14,37 +72,21 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     the least of them is an aggregate with partial sums, and links of a node with
     very many neighbours are spread by the join.  Ends when no link changes.
     """
-    edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct().checkpoint()
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    edges = tables.keep(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        edges = small.distinct().checkpoint()
+        old, edges = edges, tables.keep(small.distinct())
+        tables.drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now[0] == 0 or now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components didn't settle")
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.union(centres)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset, as in tests, a temporary one is made."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))

@@ -11,28 +11,35 @@ share: with e spare cells a linked pair has e + 1 equal cells, and whether a cel
 is poor depends on its bits alone, so a text sends its poor cells only if it has
 more than e of them.
 
-1. Texts with equal sets are one class; only classes are joined.
-2. Cells that stand in several classes (found as in ``repeats``) become rows
-   (cell, class), and the texts of those classes are kept beside them, so that
-   later steps read no other text.  So are their sketches, folded by XOR to some
-   four bits for each allowed difference: folding can only bring sketches closer,
-   so a folded distance beyond the bound forbids a link too.  Each class is
-   verified against the two classes it shares the most cells with, of those that
-   lead a cell, where the folded sketches allow a link.
-3. Components of what is linked so far; only cells whose classes lie in several
-   components are left.  There, folded sketches are compared; of the pairs whose
-   Hamming distance allows a link, those that would join components (a forest in
-   each cell, not all pairs) are verified.  Refuted pairs are remembered, and the
-   step repeats, with more forests each time, until no pair is left to test.  A very full cell is cut into
-   blocks, compared two by two in tasks of their own.
-
-Verification compares the sets themselves.  In the end each pair that shares a
-cell lies in one component, or its sketches forbid a link, or its sets were
-compared; so no component is lost.
+1. Texts with equal sets are one class (by 128 bits of hash sums); only classes
+   are joined.  Each has a number, and one text of it is stored.
+2. Cells (hash, class) are dealt by hash; those that stand in one class only go.
+3. *Likely links.*  In a sixteenth of the cells, chosen by hash, each class meets
+   the cell's leader; each class is verified against the two leaders that share
+   most of these cells with it.  Components of the links follow.
+4. *All other links.*  Cells whose classes lie in one component go.  A class of
+   which fewer cells are left, in a layout, than a linked pair shares can't have a
+   link to another component: it goes too.  Of the others only the rarest cells
+   stay, one more than a linked pair may miss (a prefix in one order of all cells).
+   There, sketches folded by XOR to ``BITS`` bits for each allowed difference are
+   compared (folding can only bring sketches closer, so a distance beyond the bound
+   forbids a link); of the pairs whose distance allows a link, those that would
+   join components (a forest in each cell, not all pairs) are verified.  The step
+   repeats, with more forests each time, until no untested pair is left.
+
+Verification compares the sets themselves (of 64-bit shingle hashes).  In the end
+each pair that shares a cell lies in one component, or its sketches forbid a link,
+or its sets were compared; so no component is lost.
+
+A full cell of classes that stay unlike is cut into blocks of ``BLOCK``, compared
+two by two in tasks of their own: memory is bounded and no pair leaves a task that
+its sketches refute, but comparisons grow with the square of such a cell.
 
 Defined results: null, empty and word-less texts have the empty set, link with
-nothing and are their own component; rows with one id are one node; a row with a
-null id belongs to the component of its class's least id, or null.
+nothing and are their own component; rows with one id are one node; rows with a
+null id take part in links like others, and their component is null only if no
+text in it has an id; very long texts have more cells, and nothing else changes;
+columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +49,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,12 +59,12 @@ from barproof.llm import textkit as tk
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: Bits of a folded sketch for each allowed difference.
+BITS = 8
 #: Classes of a block of a full cell; rows of a group of small cells, and how many classes a small cell has.
 BLOCK, TOGETHER, SMALL = 4096, 20_000, 64
-#: So many 16-byte keys, at most, are broadcast.
-MOST_KEYS = 1 << 18
-EMITTED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("cell", pa.int64()), ("layout", pa.int32()), ("packed", pa.binary()), ("sketch", pa.list_(pa.int64()))])
-EMITTED_SQL = "id long, key binary, n long, cell long, layout int, packed binary, sketch array<long>"
+#: Layouts of more cells than MANY show every SAMPLED-th cell, by hash, to the search for likely links.
+SAMPLED, MANY = 16, 64
 
 
 class Layouts:
@@ -75,7 +81,7 @@ class Layouts:
         self.spare = np.array([e for e, _ in plans], np.int64)
         self.poor = np.array([low for _, low in plans], np.int64)
         self.cells = self.differ + 1 + self.spare
-        self.words = np.minimum(self.cells, (4 * self.differ + 128 + 63) // 64)
+        self.words = np.minimum(self.cells, (BITS * self.differ + 128 + 63) // 64)
 
     @staticmethod
     def _spare(differ: int, size: int) -> tuple[int, int]:
@@ -152,30 +158,133 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return g, np.searchsorted(own, np.arange(n + 1))
 
 
-def _keys(h: np.ndarray, base: np.ndarray) -> np.ndarray:
+def keys_of(h: np.ndarray, base: np.ndarray) -> list[bytes]:
     """16 bytes for each set: two sums over its elements."""
     out = np.zeros((len(base) - 1, 2), np.uint64)
     for j, v in enumerate((tk.mix(h), tk.mix(h ^ U64(0x5BF03635D1F2A7C9)))):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v)))
         out[:, j] = total[base[1:]] - total[base[:-1]]
-    return out
+    raw = out.tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
-def _classes(buf, offs, k):
-    """Distinct sets of some texts: hashes, their base, one text of each, and each text's key and size."""
-    h, base = shingles(buf, offs, k)
-    keys = _keys(h, base)
-    _, first = np.unique(keys, axis=0, return_index=True)
-    return h, base, keys, np.diff(base), np.sort(first)
+KEYED = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("text", pa.string())])
+CELLS = pa.schema([("mark", pa.int64()), ("cid", pa.int64()), ("tag", pa.int32())])
+SHARED = pa.schema([*CELLS, ("m", pa.int32()), ("leader", pa.int64())])
+SHARED_SQL = "mark long, cid long, tag int, m int, leader long"
+MIXED = pa.schema([*CELLS, ("comp", pa.int64()), ("m", pa.int32())])
+MIXED_SQL = "mark long, cid long, tag int, comp long, m int"
+SKETCHES = pa.schema([("cid", pa.int64()), ("layout", pa.int32()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+PAIRS = pa.schema([("mark", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+#: tag: the layout, and how many equal cells (of those sent) a linked pair has at least
+LAYOUT, NEED = 24, (1 << 24) - 1
 
 
-PAIRS = pa.schema([("cell", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+def keyed(k: int):
+    """(id, key of the set, its size, text); of an empty set no text."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = tk.pack(batch.column("text"))
+            for lo, hi in tk.slices(offs):
+                h, base = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
+                n = np.diff(base)
+                text = batch.column("text").slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(keys_of(h, base), pa.binary()), pa.array(n), text], schema=KEYED)
+
+    return run
+
+
+def cells_of(layouts: Layouts, k: int):
+    """(mark, class, tag) of each cell that a class sends."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = tk.pack(batch.column("text"))
+            cid = batch.column("cid").to_numpy()
+            for lo, hi in tk.slices(offs, 1 << 19):
+                h, base = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
+                which, layout = layouts.of(np.diff(base))
+                sketch, at = layouts.sketches(h, base, which, layout)
+                entry = np.repeat(np.arange(len(which)), np.diff(at))
+                poor = np.bitwise_count(sketch) <= layouts.poor[layout][entry]
+                n_poor = np.bincount(entry[poor], minlength=len(which))
+                few = n_poor <= layouts.spare[layout]
+                sends = ~(poor & few[entry])
+                need = np.minimum(layouts.spare[layout] + 1 - np.where(few, n_poor, 0), NEED)
+                mark = tk.mix(sketch + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))[sends]
+                entry = entry[sends]
+                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(cid[lo + which[entry]]), pa.array((layout << LAYOUT | need)[entry].astype(np.int32))], schema=CELLS)
+
+    return run
+
+
+def shared_cells(layouts: Layouts):
+    """Of one partition's cells, those of several classes, with their number of classes and, for likely links, a leader."""
+
+    def run(batches):
+        table = rp.gathered(batches, CELLS)
+        mark, cid, tag = (rp.column(table, c) for c in CELLS.names)
+        order = np.lexsort((tk.mix(cid.view(np.uint64) ^ tk.mix(mark.view(np.uint64))), mark))
+        first = np.flatnonzero(np.concatenate(([True], mark[order][1:] != mark[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+        m = np.diff(np.append(first, len(order)))
+        run_ = np.repeat(np.arange(len(first)), m)
+        keep = m[run_] > 1
+        at, lead, m = order[keep], order[first[run_[keep]]], m[run_[keep]]
+        shows = (layouts.cells[tag[at] >> LAYOUT] <= MANY) | (mark[at] % SAMPLED == 0)
+        out = pa.table([pa.array(mark[at]), pa.array(cid[at]), pa.array(tag[at]), pa.array(m.astype(np.int32)), pa.array(cid[lead], mask=~shows)], schema=SHARED)
+        yield from out.to_batches()
+
+    return run
+
+
+def mixed_cells(batches):
+    """Of one partition's cells, those whose classes lie in several components."""
+    table = rp.gathered(batches, MIXED)
+    mark, comp = rp.column(table, "mark"), rp.column(table, "comp")
+    order = np.lexsort((comp, mark))
+    a, c = mark[order], comp[order]
+    first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(a)))
+    keep = np.repeat(c[first] != c[first + size - 1], size)
+    out = table.take(pa.array(order[keep]))
+    yield from out.set_column(4, "m", pa.array(np.repeat(size, size)[keep].astype(np.int32))).to_batches()
+
+
+def rarest_cells(batches):
+    """Of each class and layout, the rarest cells, one more than a linked pair may miss; none if there are too few for a link."""
+    table = rp.gathered(batches, MIXED)
+    mark, cid, tag, m = (rp.column(table, c) for c in ("mark", "cid", "tag", "m"))
+    order = np.lexsort((mark, m, tag, cid))
+    c, t = cid[order], tag[order]
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))) if len(c) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(c)))
+    place = np.arange(len(c)) - np.repeat(first, size)
+    keep = place < np.repeat(size, size) - (t & NEED) + 1
+    yield from table.take(pa.array(order[keep])).to_batches()
+
+
+def sketches_of(layouts: Layouts, k: int):
+    """Folded sketches of each class, one for each layout it takes part in."""
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = tk.pack(batch.column("text"))
+            for lo, hi in tk.slices(offs, 1 << 19):
+                h, base = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
+                n = np.diff(base)
+                which, layout = layouts.of(n)
+                folded, to = layouts.folded(*layouts.sketches(h, base, which, layout), layout)
+                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(folded.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("cid").slice(lo, hi - lo).take(pa.array(which)), pa.array(layout.astype(np.int32)), pa.array(n[which]), lists], schema=SKETCHES)
+
+    return run
 
 
 def _candidates(table: pa.Table, s: Fraction) -> list[np.ndarray]:
     """Of many small cells' classes, sorted by cell: the cells with a pair of different components whose sketches allow a link,
     as positions of their rows."""
-    cell, comp, n = (table.column(c).to_numpy() for c in ("cell", "component", "n"))
+    cell, comp, n = (rp.column(table, c) for c in ("mark", "comp", "n"))
     sketch = table.column("sketch").combine_chunks()
     flat, at = sketch.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(sketch.value_lengths().to_numpy().astype(np.int64))))
     hit = np.zeros(len(cell), bool)
@@ -187,55 +296,54 @@ def _candidates(table: pa.Table, s: Fraction) -> list[np.ndarray]:
         if not len(i):
             continue
         length = at[i + 1] - at[i]
-        first = np.cumsum(length) - length
-        inner = np.arange(length.sum()) - np.repeat(first, length)
-        d = np.add.reduceat(np.bitwise_count(flat[np.repeat(at[i], length) + inner] ^ flat[np.repeat(at[i + step], length) + inner]).astype(np.int64), first)
+        inner = tk.ranges(np.zeros(len(i), np.int64), length)
+        d = np.add.reduceat(np.bitwise_count(flat[np.repeat(at[i], length) + inner] ^ flat[np.repeat(at[i + step], length) + inner]).astype(np.int64), np.cumsum(length) - length)
         hit[i[d * (s.denominator + s.numerator) <= (n[i] + n[i + step]) * (s.denominator - s.numerator)]] = True
     cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
     some = np.add.reduceat(hit, cuts[:-1], dtype=np.int64) > 0
     return [np.arange(x, y) for x, y in zip(cuts[:-1][some], cuts[1:][some])]
 
 
-def _forests(layouts: Layouts, width: int):
+def _forests(s: Fraction, width: int):
     """For groups of many small cells, or of one full cell (or two of its blocks)."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("pair")[0].as_py() >= 0:
-            return rp.rows(PAIRS, _forest(table, layouts, width))
-        table = table.sort_by([("cell", "ascending"), ("key", "ascending")])
-        return rp.rows(PAIRS, [row for at in _candidates(table, layouts.s) for row in _forest(table.take(pa.array(at)), layouts, width)])
+            return rp.rows(PAIRS, _forest(table, s, width))
+        table = table.sort_by([("mark", "ascending"), ("cid", "ascending")])
+        return rp.rows(PAIRS, [row for at in _candidates(table, s) for row in _forest(table.take(pa.array(at)), s, width)])
 
     return run
 
 
-def _forest(table: pa.Table, layouts: Layouts, width: int) -> list[tuple]:
+def _forest(table: pa.Table, s: Fraction, width: int) -> list[tuple]:
     """Of one cell's classes (or two blocks of them): pairs, least distance first, that would join different
-    components, where the sketches allow a link and the pair hasn't been refuted before; ``width`` such forests."""
-    table = table.sort_by([("key", "ascending")])
-    keys, bad = table.column("key").to_pylist(), [set(x or ()) for x in table.column("refuted").to_pylist()]
-    n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-    _, comp = np.unique(table.column("component").to_numpy(), return_inverse=True)
-    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
-    s, found = layouts.s, []
-    pair, cell = table.column("pair")[0].as_py(), table.column("cell")[0].as_py()
-    for i in range(len(keys) - 1):
-        a, b = n[i], n[i + 1 :]
-        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(a, b) * s.denominator >= np.maximum(a, b) * s.numerator)
-        if pair >= 0 and pair // 100_000 != pair % 100_000:
+    components, where the sketches allow a link; ``width`` such forests, and whether more pairs are left."""
+    table = table.sort_by([("cid", "ascending")])
+    cid, n, block = (rp.column(table, c) for c in ("cid", "n", "block"))
+    _, comp = np.unique(rp.column(table, "comp"), return_inverse=True)
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cid), -1)
+    pair, cell = table.column("pair")[0].as_py(), table.column("mark")[0].as_py()
+    two, more, found = pair >= 0 and pair >> 32 != pair & 0xFFFFFFFF, False, []
+    for i in range(len(cid) - 1):
+        ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i], n[i + 1 :]) * s.denominator >= np.maximum(n[i], n[i + 1 :]) * s.numerator)
+        if two:
             ok &= block[i + 1 :] != block[i]
         at = np.flatnonzero(ok) + i + 1
         if len(at):
             d = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
-            ok = d * (s.denominator + s.numerator) <= (a + n[at]) * (s.denominator - s.numerator)
+            ok = d * (s.denominator + s.numerator) <= (n[i] + n[at]) * (s.denominator - s.numerator)
             at, d = at[ok], d[ok]
             order = np.lexsort((d, comp[at]))
             last, many = -1, 0
             for j, x in zip(at[order].tolist(), d[order].tolist()):
                 if comp[j] != last:
                     last, many = comp[j], 0
-                if many < width and keys[j] not in bad[i]:  # the nearest of each other component
+                if many < width:  # the nearest of each other component
                     found.append((x, i, j))
                     many += 1
+                else:
+                    more = True
     out, found = [], sorted(found)
     for _ in range(width):
         up, left = list(range(int(comp.max()) + 1)), []
@@ -251,162 +359,102 @@ def _forest(table: pa.Table, layouts: Layouts, width: int) -> list[tuple]:
                 left.append(e)
             else:
                 up[x] = y
-                out.append((cell, keys[e[1]], keys[e[2]]))
+                out.append((cell, int(cid[e[1]]), int(cid[e[2]])))
+        found = left
         if not left:
             break
-        found = left
-    return out
+    more |= bool(found)
+    return [(*row, more) for row in out]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "4/5", chunk_bytes: int = 4 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: Fraction | str = "4/5", chunk_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    graph.ensure_checkpoint_dir(docs)
-    layouts = Layouts(Fraction(similarity))
+    s = Fraction(similarity)
+    layouts = Layouts(s)
     docs = rp.whole(docs, id_col, text_col)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_places = max(1, math.ceil(total / chunk_bytes))
-    by = docs.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(n_places))).groupBy("place")
-
-    def cells_of(buf, offs):
-        """Of each slice: its sets, (class, layout, cell) of what each class sends, and all its sketches."""
-        for lo, hi in tk.slices(offs, 1 << 19):
-            h, base, keys, size, first = _classes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
-            which, layout = layouts.of(size[first])
-            which = first[which]
-            sketch, at = layouts.sketches(h, base, which, layout)
-            entry = np.repeat(np.arange(len(which)), np.diff(at))
-            poor = np.bitwise_count(sketch) <= layouts.poor[layout][entry]
-            few = (np.bincount(entry[poor], minlength=len(which)) <= layouts.spare[layout])[entry]
-            sends = ~(poor & few)
-            cell = tk.mix(sketch + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))
-            yield lo, keys, size, which[entry][sends], layout[entry][sends], cell[sends], (which, layout, sketch, at)
-
-    def mark(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        found, seen = [], set()
-        for _, keys, _, which, _, cell, _ in cells_of(*tk.pack(table.column("text"))):
-            new = {}
-            for w in np.unique(which).tolist():
-                if (x := keys[w].tobytes()) not in seen:
-                    seen.add(x)
-                    new[w] = True
-            found.append(cell[np.isin(which, list(new))] if new else cell[:0])
-        m = np.sort(np.concatenate(found))
-        first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1]))) if len(m) else np.zeros(0, int)
-        often = np.diff(np.append(first, len(m))) > 1
-        m = m[first]
-        return rp.rows(rp.BLOBS, [(int(p), key[0].as_py(), 0, tk.pressed(m[at], often[at].astype(np.uint8))) for p, at in tk.split_by((m % U64(n_places)).astype(np.int64))])
-
-    def emit(table: pa.Table, marks: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return EMITTED.empty_table()
-        known = np.sort(np.concatenate([tk.unpressed(b)[0] for b in marks.column("blob").to_pylist()])) if marks.num_rows else np.zeros(0, np.uint64)
-        ids, texts, out, seen = table.column("id").combine_chunks(), table.column("text"), [], set()
-        press = zstandard.ZstdCompressor(level=3)
-        def send(m: int, **columns) -> None:
-            out.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(m, f.type) for f in EMITTED], schema=EMITTED))
-
-        for lo, keys, size, which, layout, cell, (all_which, all_layout, sketch, at) in cells_of(*tk.pack(table.column("text"))):
-            raw = [x.tobytes() for x in keys]
-            key_of = lambda w: pa.array([raw[i] for i in w.tolist()], pa.binary())  # noqa: B023, E731
-            m = len(raw)
-            send(m, id=ids.slice(lo, m), key=pa.array(raw, pa.binary()), n=pa.array(size))
-            if len(known) and len(cell):
-                new = [w for w in np.unique(which).tolist() if raw[w] not in seen]
-                seen.update(raw[w] for w in new)
-                keep = rp.known_marks(cell, known) & np.isin(which, new)
-                w, own_layout = which[keep], layout[keep]
-                send(len(w), key=key_of(w), n=pa.array(size[w]), cell=pa.array(cell[keep].view(np.int64)), layout=pa.array(own_layout.astype(np.int32)))
-                own = np.unique(w)
-                packed = [press.compress((texts[lo + i].as_py() or "").encode()) for i in own.tolist()]
-                send(len(own), key=key_of(own), n=pa.array(size[own]), packed=pa.array(packed, pa.binary()))
-                used = np.isin(all_which << 16 | all_layout, np.unique(w << 16 | own_layout))
-                folded, to = layouts.folded(sketch, at, all_layout)
-                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(folded.view(np.int64))).filter(pa.array(used))
-                send(int(used.sum()), key=key_of(all_which[used]), layout=pa.array(all_layout[used].astype(np.int32)), sketch=lists)
-        return pa.concat_tables(out)
-
-    marks = by.applyInArrow(mark, rp.BLOBS_SQL).groupBy("place").applyInArrow(rp.repeated_marks, rp.BLOBS_SQL)
-    emitted = by.cogroup(marks.groupBy("place")).applyInArrow(emit, EMITTED_SQL).checkpoint()
-    members = emitted.where("cell IS NULL AND packed IS NULL AND sketch IS NULL").select("id", "key", "n")
-    classes = members.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")).checkpoint()
-    known = classes.where("id IS NOT NULL").select("key")
-    cells = emitted.where("cell IS NOT NULL").groupBy("cell", "key").agg(F.first("layout").alias("layout"), F.first("n").alias("n")).join(known, "key", "left_semi").checkpoint()
-    texts = emitted.where("packed IS NOT NULL").select("key", "packed")
-    sketches = emitted.where("sketch IS NOT NULL").groupBy("key", "layout").agg(F.first("sketch").alias("sketch")).checkpoint()
-
-    # the two leaders that each class shares the most cells with
-    lead = cells.groupBy("cell").agg(F.min_by(F.struct("key", "n"), F.xxhash64("cell", "key")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    likely = (F.least("n", "lead.n") * layouts.s.denominator >= F.greatest("n", "lead.n") * layouts.s.numerator) & (F.col("key") != F.col("lead.key"))
-    shared = cells.join(lead, "cell").where(likely).groupBy("key", "n", F.col("lead.key").alias("other"), F.col("lead.n").alias("n_other")).agg(F.count(F.lit(1)).alias("m"), F.min("layout").alias("layout"))
-    at = F.struct("m", "other", "n_other", "layout")
-    top = shared.groupBy("key", "n").agg(F.max(at).alias("one"), F.max_by(at, F.struct("m", F.xxhash64("other"))).alias("two"))
-    first = top.select("key", "n", F.inline(F.array("one", "two")))
-    theirs = sketches.select(F.col("key").alias("other"), "layout", F.col("sketch").alias("sketch_other"))
-    distance = F.aggregate(F.zip_with("sketch", "sketch_other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = distance * (layouts.s.denominator + layouts.s.numerator) <= (F.col("n") + F.col("n_other")) * (layouts.s.denominator - layouts.s.numerator)
-    first = first.join(sketches, ["key", "layout"]).join(theirs, ["other", "layout"]).where(near)
-    tested = _verify(texts, first.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), k, layouts.s)
-
-    def labels_of(tested: DataFrame) -> DataFrame:
-        ids = classes.select("key", "id")
-        linked = tested.where("linked").join(ids.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
-        label = graph.components(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        return ids.join(label, ids.id == label.node, "left").select("key", F.coalesce("component", "id").alias("component")).checkpoint()
-
-    # cells that still hold several components, until no pair is left to test
-    labels, todo = labels_of(tested), cells
-    for turn in range(16):
-        placed = todo.join(labels, "key")
-        mixed = placed.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-        base = rest = placed.join(mixed.select("cell", "m"), "cell").checkpoint()
-        if rest.isEmpty():
-            break
-        not_linked = tested.where("NOT linked")
-        refuted = not_linked.unionByName(not_linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "linked")).groupBy(F.col("a").alias("key")).agg(F.collect_set("b").alias("refuted"))
-        n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("key", "cell"), n_blocks).cast("int"))
-        other = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.least(j, F.col("block")) * 100_000 + F.greatest(j, F.col("block")))
-        n_groups = math.ceil(rest.count() / TOGETHER)
-        small = F.col("m") <= SMALL  # many small cells make one group
-        rest = rest.withColumn("pair", F.explode(F.when(small, F.array(F.lit(-1))).otherwise(other))).withColumn("group", F.when(small, F.pmod(F.xxhash64("cell"), F.lit(n_groups))).otherwise(F.col("cell")))
-        rest = rest.join(sketches, ["key", "layout"]).join(refuted, "key", "left")
-        pairs = rest.select("group", "cell", "pair", "key", "n", "component", "block", "sketch", "refuted").groupBy("group", "pair").applyInArrow(_forests(layouts, 4**turn), "cell long, a binary, b binary").checkpoint()
-        new = _verify(texts, pairs.select("a", "b").distinct(), k, layouts.s)
-        if new.isEmpty():
-            break
-        tested = tested.unionByName(new)
+    parts = rp.places_of(docs, chunk_bytes)
+    sets = docs.mapInArrow(keyed(k), "id long, key binary, n long, text string")
+    members = sets.select("id", "key", "n")
+    with graph.Tables(docs) as tables:
+        own = sets.where("n > 0").groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("id"))
+        classes = tables.keep(own.select(F.monotonically_increasing_id().alias("cid"), "key", "id", "text"))
+        cells = classes.select("cid", "text").mapInArrow(cells_of(layouts, k), "mark long, cid long, tag int")
+        shared = tables.keep(cells.repartition(parts, "mark").mapInArrow(shared_cells(layouts), SHARED_SQL))
+
+        # likely links: leaders that share most of the cells that are shown
+        shown = F.element_at(F.array(*[F.lit(int(c) if c <= MANY else math.ceil(c / SAMPLED)) for c in layouts.cells]), F.shiftright("tag", LAYOUT) + 1)
+        met = shared.where("leader IS NOT NULL AND leader <> cid").groupBy("cid", "leader", "tag").agg(F.count(F.lit(1)).alias("m"))
+        met = met.where(F.col("m") * 3 >= shown).withColumn("at", F.struct("m", "leader"))
+        top = met.groupBy("cid").agg(F.max("at").alias("one"), F.max_by("at", F.struct("m", F.xxhash64("leader"))).alias("two"))
+        first = top.select("cid", F.explode(F.array("one.leader", "two.leader")).alias("other"))
+        tested = tables.keep(_verify(classes, first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), k, s))
+        # rows of one id are one node
+        same = members.where("id IS NOT NULL AND n > 0").join(classes.select("key", "cid"), "key").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("all")).where("a <> z")
+        same = tables.keep(same.select("a", F.explode("all").alias("b")).where("a <> b"))
+
+        def labels_of(tested: DataFrame) -> DataFrame:
+            return tables.keep(graph.components(tested.where("linked").select("a", "b").union(same), tables).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
+
+        def placed(cells: DataFrame, labels: DataFrame) -> DataFrame:
+            return cells.drop("comp").join(labels, "cid", "left").select("mark", "cid", "tag", F.coalesce("comp", "cid").alias("comp"), "m")
+
+        # cells that hold several components, until no pair is left to test
         labels = labels_of(tested)
-        # where every pair of a cell's forests was a link, nothing is left to test: only other cells go on
-        again = pairs.join(new.where("NOT linked"), ["a", "b"], "left_semi").select("cell").distinct()
-        todo = base.select("cell", "key", "n", "layout").join(again, "cell", "left_semi").checkpoint()
-    else:
-        raise RuntimeError("links didn't settle")
-    full, none = members.where("n > 0"), members.where("n = 0")
-    out = full.join(labels, "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return out.union(none.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
-
-
-def _unpacked(column, k: int):
-    """Shingle sets of packed texts."""
-    press = zstandard.ZstdDecompressor()
-    return shingles(*tk.pack(pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary())), k)
-
-
-def _verify(texts: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFrame:
+        mixed = placed(shared, labels).repartition(parts, "mark").mapInArrow(mixed_cells, MIXED_SQL)
+        left = tables.keep(mixed.repartition(parts, "cid").mapInArrow(rarest_cells, MIXED_SQL))
+        tables.drop(shared)
+        wanted = left.select("cid").distinct()
+        sketches = tables.keep(classes.select("cid", "text").join(wanted, "cid", "left_semi").mapInArrow(sketches_of(layouts, k), "cid long, layout int, n long, sketch array<long>"))
+        width = 1
+        while True:
+            todo = placed(left, labels)
+            mixed = todo.groupBy("mark").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_cell")).where("x <> y").select("mark", "n_cell")
+            rest = tables.keep(todo.drop("m").join(mixed, "mark").withColumn("layout", F.shiftright("tag", LAYOUT)).drop("tag"))
+            if not (n_rest := rest.count()):
+                break
+            pairs = tables.keep(_pairs(rest, sketches, s, width, math.ceil(n_rest / TOGETHER)))
+            new = pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            now = tables.keep(_verify(classes, new, k, s))
+            n_new = now.count()
+            if n_new:
+                tested = tested.unionByName(now)
+                labels = labels_of(tested)
+            again = pairs.where("more").select("mark").distinct()
+            if not n_new and again.isEmpty():
+                break
+            # a cell whose pairs were all tested has nothing more to give; one with a refuted pair may have others
+            refuted = pairs.join(now.where("NOT linked"), ["a", "b"], "left_semi").select("mark")
+            left = tables.keep(left.join(again.union(refuted).distinct(), "mark", "left_semi"))
+            width *= 4
+        least = placed(classes.select(F.lit(0).alias("mark"), "cid", F.lit(0).alias("tag"), F.lit(0).alias("m")), labels).join(classes.select("cid", "key", "id"), "cid")
+        names = least.groupBy("comp").agg(F.min("id").alias("component_id"))
+        named = tables.result(least.join(names, "comp").select("key", "component_id"))
+    full = members.where("n > 0").join(named, "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return full.union(members.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def _pairs(rest: DataFrame, sketches: DataFrame, s: Fraction, width: int, groups: int) -> DataFrame:
+    """Pairs of classes to verify; many small cells make one group, a full cell's blocks meet two by two."""
+    n_blocks = F.ceil(F.col("n_cell") / BLOCK).cast("long")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("cid", "mark"), n_blocks))
+    other = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.shiftleft(F.least(j, F.col("block")), 32) + F.greatest(j, F.col("block")))
+    small = F.col("n_cell") <= SMALL
+    rest = rest.withColumn("pair", F.explode(F.when(small, F.array(F.lit(-1).cast("long"))).otherwise(other))).withColumn("group", F.when(small, F.pmod(F.xxhash64("mark"), F.lit(groups))).otherwise(F.col("mark")))
+    rest = rest.join(sketches, ["cid", "layout"]).select("group", "pair", "mark", "cid", "n", "comp", "block", "sketch")
+    return rest.groupBy("group", "pair").applyInArrow(_forests(s, width), "mark long, a long, b long, more boolean")
+
+
+def _verify(classes: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFrame:
     """The pairs (a, b) with ``linked``: whether their sets are similar enough."""
-    pairs = pairs.checkpoint()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    if wanted.count() <= MOST_KEYS:  # else all texts are dealt by key
-        texts = texts.join(F.broadcast(wanted), "key", "left_semi")
-    texts = texts.groupBy("key").agg(F.first("packed").alias("packed"))
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
+    texts = lambda c: classes.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(texts("a"), "a").join(texts("b"), "b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
     def test(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                (ha, ba), (hb, bb) = _unpacked(part.column("pa"), k), _unpacked(part.column("pb"), k)
+                (ha, ba), (hb, bb) = (shingles(*tk.pack(part.column(c)), k) for c in ("text_a", "text_b"))
                 linked = []
                 for i in range(part.num_rows):
                     x, y = ha[ba[i] : ba[i + 1]], hb[bb[i] : bb[i + 1]]
@@ -414,4 +462,4 @@ def _verify(texts: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFram
                     linked.append(same > 0 and same * s.denominator >= (len(x) + len(y) - same) * s.numerator)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_())], schema=schema)
 
-    return both.select("a", "b", "pa", "pb").mapInArrow(test, "a binary, b binary, linked boolean").checkpoint()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long, linked boolean")

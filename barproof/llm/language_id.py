@@ -127,7 +127,7 @@ def _normal(logs: Column) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", address_col: str | None = "source", declared: Column | None = None, least: float = 0.5, most_trigrams: int = 60, smoothing: float = 20.0) -> DataFrame:
     """doc_id, lang_found, posterior and kept of each text.  ``declared`` defaults to the markup's own declaration."""
-    graph.ensure_checkpoint_dir(docs)
+    graph.shared_folder(docs)
     spark = docs.sparkSession
     text = docs[text_col].cast("string")
     host = host_of(docs[address_col].cast("string")) if address_col else F.lit(None).cast("string")

@@ -103,7 +103,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, text without quotes, n_quotes, n_linked, parent_conv, parent_turn, depth and path of each message."""
-    graph.ensure_checkpoint_dir(messages)
+    graph.shared_folder(messages)
     links = link_quotes(messages, conv_col, turn_col, text_col)
     per = links.groupBy("conv", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("to_turn").alias("n_linked"),

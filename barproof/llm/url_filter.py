@@ -63,7 +63,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, ratio: float = 1.0, least: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each page."""
-    graph.ensure_checkpoint_dir(pages)
+    graph.shared_folder(pages)
     host, path = host_and_path(pages[url_col].cast("string"))
     own = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), *([pages[html_col].cast("string").alias("html")] if html_col else []))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
