@@ -5,8 +5,12 @@ n-gram Jaccard join (five words, 0.8: the document of the least id of each group
 stays), suffix-array deduplication (repeated passages are cut out of texts),
 benchmark decontamination (contaminated documents go) and byte-level BPE.
 
-Rows with a null doc_id can't be told apart and go in the first stage; of rows
-with one doc_id, the second keeps one.  All other columns pass through.
+Within a stage a row is known by ``ROW``, a hash of its doc_id, text, language and
+source, so rows with a null doc_id or with one doc_id are told apart; rows that
+are equal in all four are decided alike, and of them the second stage keeps one.
+All other columns pass through, whatever their names; without ``lang`` or
+``source`` the first stage has less evidence, and ``n_chars`` follows the text where
+it exists.  An empty table passes through empty.
 """
 
 from __future__ import annotations
@@ -19,30 +23,42 @@ from pyspark.sql import functions as F
 
 from barproof.llm import bpe, decontaminate, graph, jaccard_join, language_id, suffix_dedup
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_pipeline_row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    known = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    return docs.withColumn(ROW, F.xxhash64(*[F.coalesce(c, F.lit("\0null")) for c in known]))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").select(COLUMNS)
+    own = with_row(docs)
+    known = own if "lang" in docs.columns else own.withColumn("lang", F.lit(None).cast("string"))
+    found = language_id.identify(known, ROW, address_col="source" if "source" in docs.columns else None)
+    return own.join(found.where("kept").select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_semi").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.jaccard_components(docs)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(COLUMNS)
+    own = with_row(docs)
+    groups = jaccard_join.jaccard_components(own, ROW).select(F.col("doc_id").alias(ROW), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    first = own.select("doc_id", ROW).join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return own.join(first, ROW, "left_semi").dropDuplicates([ROW]).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.remove_repeated_bytes(docs).select("doc_id", F.col("kept_text").alias("text"))
-    rest = docs.drop("text", "n_chars")
-    return rest.join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    own = with_row(docs)
+    kept = suffix_dedup.remove_repeated_bytes(own, ROW).select(F.col("doc_id").alias(ROW), F.col("kept_text").alias("_kept_text")).dropDuplicates([ROW])
+    out = own.join(kept, ROW).withColumn("text", F.when(F.col("text").isNotNull(), F.col("_kept_text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = decontaminate.decontaminate(docs, items, full=False).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(COLUMNS)
+    own, items = with_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = decontaminate.decontaminate(own, items, ROW, full=False).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return own.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the cluster's shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    graph.ensure_checkpoint_dir(docs)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = f"{graph.shared_folder(docs)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
