@@ -1,15 +1,22 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-A word here is one match of the tokenizer's pattern.  Texts become, once, arrays
-of positions into a small dictionary of their block's words.  Each place (a
-bounded group of blocks) sends its distinct words to the place of their hash,
+A word here is one match of the tokenizer's pattern.  Texts become, once, blocks
+of bounded size: positions into a small dictionary of the block's words.  A block
+is named by its content.  It sends its distinct words to the bucket of their hash,
 where each distinct word is encoded once; token ids come back in the order in
 which the words were sent, and the texts' ids are put together by position.
-Decoding joins the token-byte table, again once for each distinct word.
+Decoding joins the token-byte table, again by position.
+
+A frequent word costs one entry for each block, never one for each occurrence.
+Words travel packed, one parcel for each block and bucket.  Buckets grow with the
+root of the number of blocks, so parcels grow with its power 1.5; parcels stream
+through a bucket, which holds its distinct words only (and these grow slower than
+texts).  Reading the input again must give its rows in the same order, as scans
+do; a block that finds no answer fails rather than guesses.
 
-A frequent word costs one entry for each place, never one for each occurrence.
 Defined results: null text encodes as empty; a null id stays null; repeated ids
-give one row each; other columns are ignored.
+or rows give one row each; very long texts make a block of their own; an empty
+table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,13 +69,25 @@ def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _sent(dictionaries: list[list[bytes]], n: int) -> tuple[list[bytes], list[tuple[int, np.ndarray]]]:
-    """The distinct words of a place in a fixed order, and which go where."""
-    words = sorted(set().union(*dictionaries))
+def _begin(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths, dtype=np.int64) - lengths
+
+
+def _sent(lengths: np.ndarray, data: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Which of a block's words go where."""
+    starts = _begin(lengths)
+    return [(int(k), at) for k, at in tk.split_by((tk.span_hash(data, starts, starts + lengths) % np.uint64(buckets)).astype(np.int64))]
+
+
+def _listed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte strings as one array, with starts and lengths."""
     data, lengths = _joined(words)
-    ends = np.cumsum(lengths)
-    h = tk.span_hash(data, ends - lengths, ends)
-    return words, [(int(k), at) for k, at in tk.split_by((h % np.uint64(n)).astype(np.int64))]
+    return data, _begin(lengths), lengths
+
+
+BLOCKS = pa.schema([("place", pa.int64()), ("blob", pa.binary())])
+PARCELS = pa.schema([("bucket", pa.int64()), ("place", pa.int64()), ("blob", pa.binary())])
+PARCELS_SQL = "bucket long, place long, blob binary"
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", place_bytes: int = 8 << 20, full: bool = True) -> DataFrame:
@@ -76,89 +95,93 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id
     with ``full`` also ``ids`` and ``decoded``."""
     spark = docs.sparkSession
     docs = rp.whole(docs, id_col, text_col)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / place_bytes))
+    buckets = math.ceil(8 * math.sqrt(rp.places_of(docs, place_bytes)))
     table = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
-    big = max(ranks.values(), default=0) > 0xFFFF
     sql = SQL + (", ids array<int>, decoded binary" if full else "")
 
     def blocks(batches):
         wide, narrow = splitters(pattern)
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text")
+            texts = batch.column("text")
             _, offs = tk.pack(texts)
-            for lo, hi in tk.slices(offs):
+            for lo, hi in tk.slices(offs, place_bytes):
                 known: dict[str, int] = {}
                 counts, at = [], []
                 for text in texts.slice(lo, hi - lo).to_pylist():
                     text = text or ""
-                    found = (narrow if not text or max(text) < "Ā" else wide).findall(text)
+                    found = (narrow if not text or max(text) < "\u0100" else wide).findall(text)
                     counts.append(len(found))
                     at += [known.setdefault(w, len(known)) for w in found]
                 words, lengths = _joined([w.encode() for w in known])
-                own = ids.slice(lo, hi - lo)
+                own = batch.column("id").slice(lo, hi - lo)
                 some = own.is_valid().to_numpy(zero_copy_only=False)
-                own = own.fill_null(0).to_numpy(zero_copy_only=False)
-                place = int(tk.mix(own[:1].astype(np.uint64) + np.uint64(1))[0] % np.uint64(n))
-                yield pa.RecordBatch.from_pylist([{"place": place, "source": -1, "kind": 0, "blob": tk.pressed(own, some, np.array(counts, np.int32), np.array(at, np.int32), lengths.astype(np.int32), words)}], rp.BLOBS)
-
-    def opened(table_: pa.Table):
-        return [(x, _cut(x[4], x[5])) for x in map(tk.unpressed, table_.column("blob").to_pylist())]
+                blob = tk.pressed(own.fill_null(0).to_numpy(zero_copy_only=False), some, np.array(counts, np.int32), np.array(at, np.int32), lengths.astype(np.int32), words)
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)]), pa.array([blob], pa.binary())], schema=BLOCKS)
 
     def distinct(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        words, sent = _sent([w for _, w in opened(t)], n)
-        out = []
-        for k, at in sent:
-            data, lengths = _joined([words[i] for i in at.tolist()])
-            out.append((k, key[0].as_py(), 0, tk.pressed(lengths.astype(np.int32), data)))
-        return rp.rows(rp.BLOBS, out)
-
-    def encode(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        *_, lengths, data = tk.unpressed(t.column("blob")[0].as_py())  # blocks of one place are equal
+        lengths, starts = lengths.astype(np.int64), _begin(lengths)
+        return rp.rows(PARCELS, [(k, key[0].as_py(), tk.pressed(lengths[at].astype(np.int32), tk.gather(data, starts[at], lengths[at]))) for k, at in _sent(lengths, data, buckets)])
+
+    def encode(batches):
         core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table.value, special_tokens={})._core_bpe
         known: dict[bytes, list[int]] = {}
-        out = []
-        for source, blob in zip(t.column("source").to_pylist(), t.column("blob").to_pylist()):
-            ids = []
-            for w in _cut(*tk.unpressed(blob)):
-                if (x := known.get(w)) is None:
-                    x = known[w] = core.encode_single_piece(w)
-                ids.append(x)
-            flat = np.fromiter((i for x in ids for i in x), np.uint32 if big else np.uint16)
-            out.append((source, key[0].as_py(), 0, tk.pressed(np.fromiter(map(len, ids), np.int32, len(ids)), flat)))
-        return rp.rows(rp.BLOBS, out)
+        for batch in batches:  # parcels stream through; only distinct words stay
+            for bucket, place, blob in zip(*(batch.column(c).to_pylist() for c in PARCELS.names)):
+                ids = []
+                for w in _cut(*tk.unpressed(blob)):
+                    if (x := known.get(w)) is None:
+                        x = known[w] = core.encode_single_piece(w)
+                    ids.append(x)
+                flat = np.fromiter((i for x in ids for i in x), np.uint32)
+                flat = flat.astype(np.uint16) if not len(flat) or flat.max() <= 0xFFFF else flat
+                yield from rp.rows(PARCELS, [(bucket, place, tk.pressed(np.fromiter(map(len, ids), np.int32, len(ids)), flat))]).to_batches()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * full)
 
     def assemble(t: pa.Table, coded: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return pa.table({})
+            return schema.empty_table()
+        own, some, counts, at, lengths, data = tk.unpressed(t.column("blob")[0].as_py())
+        reply = {k: tk.unpressed(b) for k, b in zip(coded.column("bucket").to_pylist(), coded.column("blob").to_pylist())}
+        # the ids of every distinct word, end to end
+        sent = _sent(lengths.astype(np.int64), data, buckets)
+        many, first = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        flat, held = [np.zeros(0, np.int64)], 0
+        for k, words in sent:
+            n, ids = reply[k]
+            many[words], first[words] = n, held + _begin(n)
+            flat.append(ids.astype(np.int64))
+            held += len(ids)
+        flat = np.concatenate(flat)
+        # what each token stands for, as bytes and as a number
         token = {i: b for b, i in table.value.items()}
-        inside = opened(t)
-        words, sent = _sent([w for _, w in inside], n)
-        reply = {s: tk.unpressed(b) for s, b in zip(coded.column("source").to_pylist(), coded.column("blob").to_pylist())}
-        of: list[list[int]] = [[]] * len(words)
-        for k, at in sent:
-            lengths, flat = reply[k]
-            ends, flat = np.cumsum(lengths).tolist(), flat.tolist()
-            for i, a, b in zip(at.tolist(), [0, *ends], ends):
-                of[i] = flat[a:b]
-        said = [" ".join(map(str, x)) for x in of]
-        meant = [b"".join([token[i] for i in x]) for x in of]
-        many = np.fromiter(map(len, of), np.int64, len(of))
-        where = {w: i for i, w in enumerate(words)}
-        out = []
-        for (ids, some, counts, at, *_), own in inside:
-            at = np.fromiter(map(where.__getitem__, own), np.int64, len(own))[at] if len(own) else at
-            ends = np.cumsum(counts).tolist()
-            for doc, is_id, a, b in zip(ids.tolist(), some.tolist(), [0, *ends], ends):
-                p = at[a:b]
-                q = p.tolist()
-                decoded = b"".join([meant[i] for i in q])
-                row = (doc if is_id else None, int(many[p].sum()), hashlib.sha256(" ".join([said[i] for i in q]).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                out.append((*row, [j for i in q for j in of[i]], decoded) if full else row)
-        schema = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * full
-        return rp.rows(pa.schema(schema), out)
-
-    by = docs.mapInArrow(blocks, rp.BLOBS_SQL).groupBy("place")
-    coded = by.applyInArrow(distinct, rp.BLOBS_SQL).groupBy("place").applyInArrow(encode, rp.BLOBS_SQL)
+        some_ids = np.unique(flat)
+        code = np.searchsorted(some_ids, flat)
+        meant = _listed([token[i] for i in some_ids.tolist()])
+        said = _listed([b"%d " % i for i in some_ids.tolist()])
+        ends, out = np.cumsum(counts).tolist(), []
+        for (doc, is_id), a, b in zip(zip(own.tolist(), some.tolist()), [0, *ends], ends):
+            n_tokens, shas, parts = 0, (hashlib.sha256(), hashlib.sha256()), []
+            held_back = b""
+            for lo in range(a, b, 1 << 17):  # a very long text by pieces
+                p = at[lo : min(b, lo + (1 << 17))]
+                ids = code[tk.ranges(first[p], many[p])]
+                n_tokens += len(ids)
+                shas[0].update(held_back)
+                number = tk.gather(said[0], said[1][ids], said[2][ids])
+                shas[0].update(number[:-1])
+                held_back = b" "
+                text = tk.gather(meant[0], meant[1][ids], meant[2][ids])
+                shas[1].update(text)
+                if full:
+                    parts.append((some_ids[ids], text.tobytes()))
+            row = (doc if is_id else None, n_tokens, shas[0].hexdigest(), shas[1].hexdigest())
+            out.append((*row, [i for x, _ in parts for i in x.tolist()], b"".join(x for _, x in parts)) if full else row)
+        return rp.rows(schema, out * t.num_rows)
+
+    by = docs.mapInArrow(blocks, "place long, blob binary").groupBy("place")
+    coded = by.applyInArrow(distinct, PARCELS_SQL).repartition(buckets, "bucket").mapInArrow(encode, PARCELS_SQL)
     return by.cogroup(coded.groupBy("place")).applyInArrow(assemble, sql)
 
 
