@@ -6,13 +6,17 @@ ends there.  A match of ``window`` words or more is an occurrence of an item's
 window; an item shorter than that (but with words) is one window as a whole.
 
 The automaton is broadcast, and its size is checked first: items of more than
-``most_bytes`` are cut into slices of at most that size, each with an automaton
-of its own and a pass over the texts, with a checkpoint between passes.  An
+``most_bytes`` are cut into slices of about that size, each collected, built and
+sent on its own, with a pass over the texts and a checkpoint between passes.  A
+slice of b bytes has at most b states and 1.5 b transitions (words are two bytes
+with their space, and an automaton of n words has at most 2n states and 3n
+transitions), kept in one table.  An
 item's windows never depend on other items, so slicing changes no result.
 
 Defined results: null or empty texts have no words and aren't contaminated;
 items without words match nothing; a null item id counts no item but its words
-are hit; repeated item ids count once.
+are hit; repeated item ids count once; repeated documents give one row each; very
+long texts are read whole; without items nothing is hit; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barproof.llm import graph
 from barproof.llm import repeats as rp
 
 WINDOW = 13
@@ -68,6 +73,8 @@ class Automaton:
             own = tuple(short.get(s, ()))
             self.short[s] = self.short[self.link[s]] + own if own else self.short[self.link[s]]
         self.any_short = bool(short)
+        self.step = {s << 32 | w: t for s, own in enumerate(self.next) for w, t in own.items()}
+        self.next = []
 
     def _up(self, s: int) -> int:
         if self.length[s] < self.window:
@@ -125,15 +132,18 @@ class Automaton:
         """Merged spans [from, to) of words in occurring windows, and the items that have them."""
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
-        step, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        step, link, length, window, short = self.step, self.link, self.length, self.window, self.short
         look = min(window, 1) if self.any_short else window
         s = n = 0
         for i, w in enumerate(map(self.ids.get, words)):
-            t = step[s].get(w)
+            if w is None:
+                s = n = 0
+                continue
+            t = step.get(s << 32 | w)
             while t is None and s:
                 s = link[s]
                 n = length[s]
-                t = step[s].get(w)
+                t = step.get(s << 32 | w)
             if t is None:
                 n = 0
                 continue
@@ -158,20 +168,20 @@ class Automaton:
         return spans, items
 
 
-def _slices(items: DataFrame, id_col: str, text_col: str, most_bytes: int) -> list[list[tuple]]:
-    own = items.select(items[id_col].cast("string").alias("id"), items[text_col].cast("string").alias("text"))
+def _slices(items: DataFrame, id_col: str, text_col: str, most_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct items with the number of their slice, and the number of slices."""
+    own = items.select(items[id_col].cast("string").alias("id"), items[text_col].cast("string").alias("text")).distinct()
     size = own.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16)).first()[0] or 0
     n = math.ceil(size / most_bytes) or 1
-    cut = own.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    for k in range(n):
-        yield [(r.id, r.text) for r in cut.where(F.col("slice") == k).collect()]  # at most about most_bytes
+    return own.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.05, most_bytes: int = 8 << 20, full: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.05, most_bytes: int = 2 << 20, full: bool = True) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (coverage reached); with ``full`` also
     ``items``, ``spans`` (word positions) and ``kept_text`` (the words outside all spans)."""
     spark = docs.sparkSession
-    parts = list(_slices(items, item_id_col, item_text_col, most_bytes))
+    graph.shared_folder(docs)
+    cut, n_slices = _slices(items, item_id_col, item_text_col, most_bytes)
     df = rp.whole(docs, id_col, text_col).withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")).withColumn("items", F.lit(None).cast("array<string>"))
     sql = "id long, text string, spans array<struct<a:int,b:int>>, items array<string>"
     out_sql = SQL + (", items array<string>, spans array<struct<a:int,b:int>>, kept_text string" if full else "")
@@ -209,9 +219,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
         return run
 
-    for k, part in enumerate(parts):
-        sent = spark.sparkContext.broadcast(Automaton(part, window))  # of at most most_bytes of items
-        last = k == len(parts) - 1
+    for k in range(n_slices):
+        part = [(r.id, r.text) for r in cut.where(F.col("slice") == k).collect()]  # about most_bytes
+        sent = spark.sparkContext.broadcast(Automaton(part, window))
+        last = k == n_slices - 1
         df = df.mapInArrow(one_pass(sent, last), out_sql if last else sql)
         if not last:
             df = df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,12 +13,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(df: DataFrame) -> str:
-    """A folder that driver and executors share: the cluster names it in spark.checkpoint.dir."""
+    """A folder that driver and executors share: the cluster names it in spark.checkpoint.dir.
+
+    Only where it is unset and everything runs in one process, as in tests, a temporary one is made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not (folder := context.getConf().get("spark.checkpoint.dir")):
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 

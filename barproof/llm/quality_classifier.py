@@ -4,23 +4,30 @@ Overlapping heuristics vote good, bad or nothing on each text.  Expectation-
 maximisation estimates each heuristic's accuracy and the share of good texts;
 it runs on counts of distinct vote patterns (at most 3^heuristics of them,
 grouped over all texts), so each step is exact for the whole corpus and costs
-the same at any size.  The posterior labels then train a linear scorer on hashed
-words and hashed shapes, by at most ``sample`` texts (those of the least hash of
-the id; the bound is a parameter); scores cover every text.
+the same at any size.  Which class is the good one is an assumption, stated here:
+taken together, heuristics are right more often than wrong, so good is the class
+in which fewer of them vote bad.  The posterior labels then train a linear scorer
+on hashed words and hashed shapes, by at most ``sample`` distinct texts (those of
+the least hash of id and text; the bound is a parameter), which come to the driver
+as at most ``WIDTH`` hashed shares each, not as texts; scores cover every text.
+
+The verdict: a text is dropped if its posterior is at most ``surely_bad``, or if
+it is below ``least_posterior`` and the score is below ``least_score``.
 
 Defined results: null and empty texts get votes like any other (they are bad);
-on an empty table nothing is learned and nothing returned; repeated ids give one
-row each.
+on an empty table nothing is learned and nothing returned; repeated ids or rows
+give one row each and teach once; without any text that has words the scorer
+knows its bias only; very long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barproof.llm import docstats, quality_rules
+from barproof.llm import docstats, graph, quality_rules
 from barproof.llm import repeats as rp
 from barproof.llm import textkit as tk
 
@@ -58,6 +65,8 @@ def fit_accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -
                 table[:, y, v + 1] = ((patterns == v) * q[:, None]).sum(0) + 1e-3
             table[:, y] /= table[:, y].sum(1, keepdims=True)
         p = posterior(patterns, good, table)
+    if table[:, 1, 0].sum() > table[:, 0, 0].sum():  # the classes are named by which of them more heuristics call bad
+        good, table = 1 - good, table[:, ::-1]
     return good, table
 
 
@@ -81,12 +90,11 @@ def hashed(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray | None = None)
     return key // WIDTH, key % WIDTH, count / many[key // WIDTH]
 
 
-def train(buf: np.ndarray, offs: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic regression to soft labels, by full-batch AdaGrad."""
+def train(text: np.ndarray, slot: np.ndarray, share: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression to soft labels, by full-batch AdaGrad, on (text, slot, share) entries."""
     w, bias, seen = np.zeros(WIDTH), 0.0, np.full(WIDTH, 1e-6)
     if not len(y):
         return w, bias
-    text, slot, share = hashed(buf, offs)
     seen_b = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(text, weights=w[slot] * share, minlength=len(y)) + bias, -30, 30)))
@@ -98,46 +106,57 @@ def train(buf: np.ndarray, offs: np.ndarray, y: np.ndarray, rounds: int = 60, ra
     return w, bias
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_posterior: float = 0.2, least_score: float = 0.5) -> DataFrame:
-    """doc_id, label (posterior of the votes), score (of the linear scorer) and kept: false only if both speak against it."""
+def _coded() -> Column:
+    """A vote pattern as a number from 1."""
+    code = F.lit(1)
+    for j, v in enumerate(VOTES):
+        code = code + (F.col(v) + 1) * 3**j
+    return code.cast("int")
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_posterior: float = 0.2, least_score: float = 0.5, surely_bad: float = 0.01) -> DataFrame:
+    """doc_id, label (posterior of the votes), score (of the linear scorer) and kept."""
     own = rp.whole(docs, id_col, text_col)
-    stats = votes(quality_rules.features(docstats.count_texts(own, "id", "text")))
-    found = stats.groupBy(*VOTES).count().toPandas()  # at most 3^6 patterns
-    if not len(found):
-        return stats.select("doc_id", F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).limit(0)
-    patterns = found[list(VOTES)].to_numpy(int)
-    good, table = fit_accuracies(patterns, found["count"].to_numpy(float))
-    label = dict(zip(map(tuple, patterns.tolist()), posterior(patterns, good, table).tolist()))
-    picked = own.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow() if sample else None
-    buf, offs = tk.pack(picked.column("text"))
-    y = _labels(buf, offs, label)
-    w, bias = train(buf, offs, y)
-    sent = docs.sparkSession.sparkContext.broadcast((w, bias, label))  # WIDTH weights and the patterns
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("score", pa.float64()), ("kept", pa.bool_())])
+    judged = lambda df: votes(quality_rules.features(df))
+    with graph.Tables(docs) as tables:
+        found = judged(docstats.count_texts(own, "id", "text")).groupBy(*VOTES).count().toPandas()  # at most 3^6 patterns
+        if not len(found):
+            return own.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).limit(0)
+        patterns = found[list(VOTES)].to_numpy(int)
+        label = np.full(3 ** len(VOTES), 0.5)
+        label[((patterns + 1) * 3 ** np.arange(len(VOTES))).sum(1)] = posterior(patterns, *fit_accuracies(patterns, found["count"].to_numpy(float)))
+        labels = F.element_at(F.array(*[F.lit(float(x)) for x in label]), _coded())
+
+        # hashes first, then the texts of the chosen ones only, each once
+        row = F.xxhash64("id", "text").alias("row")
+        chosen = own.select(row).distinct().orderBy("row").limit(sample)
+        taught = own.select(row, "text").join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+        taught = tables.keep(taught.select(F.col("row").alias("doc_id"), "text"))
+        y = judged(docstats.count_texts(taught)).select("doc_id", labels.alias("label")).orderBy("doc_id").toPandas()
+        shares = taught.mapInArrow(_shares, "row long, slot int, share double").toArrow()
+    place = np.searchsorted(y["doc_id"].to_numpy(), shares.column("row").to_numpy())
+    w, bias = train(place, shares.column("slot").to_numpy(), shares.column("share").to_numpy(), y["label"].to_numpy(float))
+    sent = docs.sparkSession.sparkContext.broadcast((w, bias))  # WIDTH weights
+    schema = pa.schema([*docstats.SCHEMA, ("score", pa.float64())])
 
     def run(batches):
-        w, bias, label = sent.value
+        w, bias = sent.value
         for batch in batches:
             buf, offs = tk.pack(batch.column("text"))
             for lo, hi in tk.slices(offs):
                 b, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                p = _labels(b, o, label)
+                c = docstats.counts(b, o)
                 s = 1 / (1 + np.exp(-np.clip(hashed(b, o, w) + bias, -30, 30)))
-                kept = (p >= least_posterior) | (s >= least_score)
-                kept &= p > 0.01
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(p.round(6)), pa.array(s.round(6)), pa.array(kept)], schema=schema)
-
-    return own.mapInArrow(run, "doc_id long, label double, score double, kept boolean")
-
-
-def _labels(buf: np.ndarray, offs: np.ndarray, label: dict) -> np.ndarray:
-    """Posterior of each text by its votes; the same thresholds as in ``votes``."""
-    c = {k: v.astype(float) for k, v in docstats.counts(buf, offs).items()}
-    share = lambda a, b: np.round(c[a] / np.maximum(c[b], 1), 6)
-    vote = lambda bad, good: np.where(bad, -1, np.where(good, 1, 0))
-    n, rep, sym, dup, mark, up, dig = c["n_words"], c["n_repeat_words"], share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_marks", "n_words"), share("n_upper", "word_chars"), share("n_digits", "word_chars")
-    own = np.stack([
-        vote(n < 20, n >= 50), vote(100 * rep > 30 * n, 100 * rep <= 5 * n), vote(sym > 0.05, sym < 0.01), vote(dup > 0.3, dup < 0.05),
-        vote(mark > 0.6, (mark > 0.01) & (mark < 0.3)), vote((up > 0.3) | (dig > 0.2), (up < 0.1) & (dig < 0.05)),
-    ], 1)
-    return np.array([label.get(t, 0.5) for t in map(tuple, own.tolist())])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *(pa.array(c[k], pa.int64()) for k in docstats.COUNTS), pa.array(s)], schema=schema)
+
+    out = judged(own.mapInArrow(run, docstats.SQL + ", score double")).withColumn("label", labels)
+    bad = (F.col("label") <= surely_bad) | ((F.col("label") < least_posterior) & (F.col("score") < least_score))
+    return out.select("doc_id", F.round("label", 6).alias("label"), F.round("score", 6).alias("score"), (~bad).alias("kept"))
+
+
+def _shares(batches):
+    for batch in batches:
+        buf, offs = tk.pack(batch.column("text"))
+        for lo, hi in tk.slices(offs):
+            text, slot, share = hashed(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).take(pa.array(text)), pa.array(slot, pa.int32()), pa.array(share)], ["row", "slot", "share"])

@@ -20,13 +20,15 @@ somebody quotes are kept, so no passage is collected.
 
 Defined results: null text has no passages and stays null; a quote without an
 original links nowhere; a link to a later message or to itself is none; a
-repeated (conversation, turn) gives one row each, of one path; paths begin at the
-root, however deep a reply is.
+repeated (conversation, turn) gives one row each, of one path; rows with a null
+conversation or turn link nowhere; paths begin at the root, however deep a reply
+is, and hold turns of any size or sign; very long texts are parsed whole; an empty
+table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barproof.llm import graph
@@ -45,16 +47,16 @@ def _normal(text: Column) -> Column:
 def passages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """conv, turn, pos, level, body (normalised), hash, first (hash of its first line) and n (lines) of each passage; level 0 is the message's own words."""
     lines = F.split(F.col("text"), r"\r?\n")
-    parsed = F.transform(lines, lambda x, i: F.struct(_level(x).alias("level"), F.trim(F.regexp_replace(x, MARKS, "")).alias("line"), i.alias("i")))
-    # a passage begins where the level changes or, among own lines, at each line
-    merged = F.aggregate(
-        parsed, F.expr("cast(array() as array<struct<level:int,line:string>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["level"] == x["level"]) & (x["level"] > 0),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["level"].alias("level"), F.concat_ws("\n", F.element_at(acc, -1)["line"], x["line"]).alias("line")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["line"].alias("line"))))))
     own = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).cast("string").alias("text"))
     plain = own.where(~F.col("text").rlike(r"(?m)" + MARKS)).select("conv", "turn", F.posexplode(lines).alias("pos", "line")).select("conv", "turn", "pos", F.lit(0).alias("level"), "line")
-    quoting = own.where(F.col("text").rlike(r"(?m)" + MARKS)).select("conv", "turn", F.posexplode(merged).alias("pos", "p")).select("conv", "turn", "pos", "p.level", "p.line")
+    # a passage begins where the level changes or, among own lines, at each line; each step reads the arrays of the one before
+    quoting = own.where(F.col("text").rlike(r"(?m)" + MARKS)).select("conv", "turn", lines.alias("lines"))
+    quoting = quoting.select("conv", "turn", F.transform("lines", lambda x: F.trim(F.regexp_replace(x, MARKS, ""))).alias("lines"), F.transform("lines", _level).alias("levels"))
+    starts = F.zip_with("levels", F.concat(F.array(F.lit(-1)), F.slice("levels", 1, F.size("levels") - 1)), lambda x, before: (x == 0) | (x != before))
+    quoting = quoting.withColumn("begin", F.filter(F.transform(starts, lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
+    quoting = quoting.withColumn("end", F.concat(F.slice("begin", 2, F.size("begin")), F.array(F.size("lines"))))
+    merged = F.zip_with("begin", "end", lambda x, y: F.struct(F.element_at(F.col("levels"), x + 1).alias("level"), F.array_join(F.slice(F.col("lines"), x + 1, y - x), "\n").alias("line")))
+    quoting = quoting.select("conv", "turn", F.posexplode(merged).alias("pos", "p")).select("conv", "turn", "pos", "p.level", "p.line")
     out = plain.union(quoting).withColumn("body", _normal(F.col("line"))).where("body <> ''")
     several = _lines(F.col("line"))
     return out.select("conv", "turn", "pos", "level", "body", F.xxhash64("body").alias("hash"), F.when(F.col("level") > 0, F.xxhash64(F.element_at(several, 1))).alias("first"), F.when(F.col("level") > 0, F.size(several)).alias("n"))
@@ -91,10 +93,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     whole = own.select("conv", "turn", _normal(F.col("text")).alias("body"))
     originals = found.where("level = 0").select("conv", "turn", "body").union(whole.where("body <> ''")).union(excerpts(own, quoted)).withColumn("hash", F.xxhash64("body"))
     originals = originals.join(wanted, ["hash", "body"], "left_semi")
-    # nearest earlier message of the same conversation: an aggregate for each quote, with partial maxima
+    # nearest earlier message of the same conversation: one pass over originals and quotes in order of turns
     asked = quoted.select("conv", "turn", "hash", "body").distinct()
-    in_conv = originals.select("conv", "hash", "body", F.col("turn").alias("to")).distinct()
-    near = asked.join(in_conv, ["conv", "hash", "body"]).where("to < turn").groupBy("conv", "turn", "hash", "body").agg(F.max("to").alias("near"))
+    in_conv = originals.select("conv", "turn", "hash", "body").distinct()
+    both = in_conv.withColumn("to", F.col("turn")).unionByName(asked.withColumn("to", F.lit(None).cast("long")))
+    before = Window.partitionBy("conv", "hash", "body").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.last("to", ignorenulls=True).over(before)).where("to IS NULL AND near IS NOT NULL").drop("to")
     anywhere = originals.groupBy("hash", "body").agg(F.min(F.struct("conv", "turn")).alias("first"))
     out = quoted.drop("first", "n").join(near, ["conv", "turn", "hash", "body"], "left").join(anywhere, ["hash", "body"], "left")
     other = F.col("first.conv") != F.col("conv")
@@ -108,7 +112,8 @@ def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col
     per = links.groupBy("conv", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("to_turn").alias("n_linked"),
         F.min(F.when((F.col("level") == 1) & F.col("to_turn").isNotNull(), F.struct("pos", "to_conv", "to_turn"))).alias("p")).checkpoint()
-    step = lambda c: F.lpad(c.cast("string"), 12, "0")
+    # every turn a long can be, in an order that strings keep: "-" stands before all digits
+    step = lambda c: F.when(c < 0, F.concat(F.lit("-"), F.lpad((c.cast("decimal(20,0)") + F.lit(2**63 - 1) + F.lit(1)).cast("string"), 19, "0"))).otherwise(F.lpad(c.cast("string"), 19, "0"))
     # a parent in the same conversation decides the path; each round joins the path of the top found so far, so that lengths double
     inside = per.where("p IS NOT NULL AND p.to_conv = conv").select("conv", "turn", F.col("p.to_turn").alias("up"))
     paths = inside.select("conv", "turn", "up", step(F.col("turn")).alias("path"), F.lit(1).alias("depth")).checkpoint()

@@ -22,7 +22,7 @@ from barproof.llm import graph
 #: (verdict, host and path prefix)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)<a\s[^>]{0,500}?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
+LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,44 +45,44 @@ def _most(verdict: str) -> Column:
     return (2 * F.count(F.when(F.col("ruled") == verdict, 1)) > F.count(F.lit(1))).cast("int")
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """edges (src, dst, w), seeds (node) -> (node, rank); rank that leaves the graph goes back to the seeds."""
-    out = edges.groupBy("src").agg(F.sum("w").alias("all"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("all")).alias("share")).checkpoint()
-    n = seeds.count()
-    start = seeds.select("node", F.lit(1.0 / max(n, 1)).alias("seed")).checkpoint()
-    rank = start.select("node", F.col("seed").alias("rank"))
-    if n == 0 or steps.isEmpty():
-        return rank
-    for k in range(rounds):
-        moved = rank.join(steps, rank.node == steps.src).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share") * damping).alias("got"))
-        kept = moved.agg(F.sum("got")).first()[0] or 0.0
-        rank = moved.select(F.col("dst").alias("node"), F.col("got").alias("rank")).unionByName(start.select("node", (F.col("seed") * (1.0 - kept)).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank")).checkpoint()
-    return rank
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, tables: graph.Tables, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """edges (kind, src, dst, w), seeds (kind, node) -> (kind, node, rank), one ranking for each kind.
+
+    Rank starts at the seeds and goes along edges, ``damping`` of it at each step, until less than ``tolerance`` of it is
+    still on its way; the sum of all that passed a node is its rank (scaled to a sum of one, which is what rank that
+    leaves the graph or stops comes to if it goes back to the seeds)."""
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("all"))
+    steps = tables.keep(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("node"), "dst", (damping * F.col("w") / F.col("all")).alias("share")))
+    many = seeds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    now = tables.keep(seeds.join(F.broadcast(many), "kind").select("kind", "node", (F.lit(1.0) / F.col("n")).alias("rank")))  # a row for each kind
+    passed = now
+    while True:
+        now = tables.keep(now.join(steps, ["kind", "node"]).groupBy("kind", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("rank")))
+        on_way = now.groupBy("kind").agg(F.sum("rank").alias("r")).agg(F.max("r")).first()[0]
+        if on_way is None:
+            break
+        passed = passed.unionByName(now)
+        if on_way < tolerance:
+            break
+    rank = passed.groupBy("kind", "node").agg(F.sum("rank").alias("rank"))
+    return rank.join(F.broadcast(passed.groupBy("kind").agg(F.sum("rank").alias("total"))), "kind").select("kind", "node", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", rules=RULES, ratio: float = 1.0, least: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of each page."""
-    graph.shared_folder(pages)
     host, path = host_and_path(pages[url_col].cast("string"))
     own = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"), *([pages[html_col].cast("string").alias("html")] if html_col else []))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = own.drop("html").withColumns({"rule": rule, "ruled": verdict})
-    if html_col:
-        to = own.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
-        edges = to.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")).checkpoint()
-    else:
-        edges = None
-    hosts = judged.where("host <> ''").groupBy("host").agg(_most("allow").alias("good"), _most("block").alias("bad")).checkpoint()
-    if edges is None or edges.isEmpty():
-        seeds = hosts.agg(F.sum("good"), F.sum("bad"), F.count(F.lit(1))).first()
-        scores = hosts.select("host", F.when(F.col("good") == 1, F.lit(1.0 / (seeds[0] or 1))).alias("trust"), F.when(F.col("bad") == 1, F.lit(1.0 / (seeds[1] or 1))).alias("distrust"))
-        mean = 1.0 / max(seeds[2], 1)
-    else:
-        trust = personalised_pagerank(edges, hosts.where("good = 1").select(F.col("host").alias("node")))
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-        distrust = personalised_pagerank(back, hosts.where("bad = 1").select(F.col("host").alias("node")))
-        scores = trust.select(F.col("node").alias("host"), F.col("rank").alias("trust")).join(distrust.select(F.col("node").alias("host"), F.col("rank").alias("distrust")), "host", "full")
+    with graph.Tables(pages) as tables:
+        hosts = tables.keep(judged.where("host <> ''").groupBy("host").agg(_most("allow").alias("good"), _most("block").alias("bad")))
+        links = own.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst")) if html_col else hosts.where("false").select(F.col("host").alias("src"), F.col("host").alias("dst"))
+        forth = tables.keep(links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w")))
+        edges = forth.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(forth.select(F.lit("distrust"), F.col("dst"), F.col("src"), "w"))
+        seeds = hosts.where("good = 1").select(F.lit("trust").alias("kind"), F.col("host").alias("node")).union(hosts.where("bad = 1").select(F.lit("distrust"), "host"))
+        rank = personalised_pagerank(edges, seeds, tables)
+        pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)
+        scores = tables.result(rank.groupBy(F.col("node").alias("host")).agg(pick("trust"), pick("distrust")))
         mean = 1.0 / max(hosts.count(), 1)
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     found = F.when((d > ratio * t) & (d > least * mean), F.lit("block")).otherwise(F.lit("allow"))

@@ -223,7 +223,7 @@ def test_quotes_of_some_lines(spark):
     assert {k: (r.parent_conv, r.parent_turn, r.n_quotes, r.n_linked) for k, r in out.items() if r.n_quotes} == {
         (1, 1): (1, 0, 1, 1), (1, 2): (1, 0, 1, 1), (1, 3): (None, None, 1, 0), (1, 4): (None, None, 1, 0), (1, 5): (1, 2, 2, 2), (1, 6): (1, 2, 1, 1), (1, 7): (1, 6, 1, 1), (2, 0): (1, 0, 1, 1),
     }
-    assert out[1, 1].path == "000000000000/000000000001"
+    assert out[1, 1].path == "0000000000000000000/0000000000000000001"
 
 
 def test_reply_paths_begin_at_the_root(spark):
@@ -231,7 +231,7 @@ def test_reply_paths_begin_at_the_root(spark):
     said = [(1, 0, "u", "line 0")] + [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, n)]
     out = {r.turn: r for r in quotes.build_conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
     assert {i: r.depth for i, r in out.items()} == {i: i for i in range(n)}
-    assert out[n - 1].path == "/".join(f"{i:012}" for i in range(n))
+    assert out[n - 1].path == "/".join(f"{i:019}" for i in range(n))
 
 
 def test_mix_is_a_bijection():
