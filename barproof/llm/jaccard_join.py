@@ -63,6 +63,8 @@ LOWER[0x41:0x5B] += 32
 BITS = 8
 #: Classes of a block of a full cell; rows of a group of small cells, and how many classes a small cell has.
 BLOCK, TOGETHER, SMALL = 4096, 20_000, 64
+#: So many 8-byte keys, at most, are broadcast.
+MOST_KEYS = 1 << 18
 #: Layouts of more cells than MANY show every SAMPLED-th cell, by hash, to the search for likely links.
 SAMPLED, MANY = 16, 64
 
@@ -374,8 +376,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = rp.whole(docs, id_col, text_col)
     parts = rp.places_of(docs, chunk_bytes)
     sets = docs.mapInArrow(keyed(k), "id long, key binary, n long, text string")
-    members = sets.select("id", "key", "n")
     with graph.Tables(docs) as tables:
+        # empty sets link with nothing: names of their own keep them apart, and from meeting in one task
+        members = tables.result(sets.select("id", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("id "), F.coalesce("id", F.lit(0)).cast("string")).cast("binary")).alias("key"), "n"))
         own = sets.where("n > 0").groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("id"))
         classes = tables.keep(own.select(F.monotonically_increasing_id().alias("cid"), "key", "id", "text"))
         cells = classes.select("cid", "text").mapInArrow(cells_of(layouts, k), "mark long, cid long, tag int")
@@ -387,7 +390,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met = met.where(F.col("m") * 3 >= shown).withColumn("at", F.struct("m", "leader"))
         top = met.groupBy("cid").agg(F.max("at").alias("one"), F.max_by("at", F.struct("m", F.xxhash64("leader"))).alias("two"))
         first = top.select("cid", F.explode(F.array("one.leader", "two.leader")).alias("other"))
-        tested = tables.keep(_verify(classes, first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct(), k, s))
+        likely = tables.keep(first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
+        tested = tables.keep(_verify(classes, likely, k, s))
         # rows of one id are one node
         same = members.where("id IS NOT NULL AND n > 0").join(classes.select("key", "cid"), "key").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("all")).where("a <> z")
         same = tables.keep(same.select("a", F.explode("all").alias("b")).where("a <> b"))
@@ -413,7 +417,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not (n_rest := rest.count()):
                 break
             pairs = tables.keep(_pairs(rest, sketches, s, width, math.ceil(n_rest / TOGETHER)))
-            new = pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            new = tables.keep(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
             now = tables.keep(_verify(classes, new, k, s))
             n_new = now.count()
             if n_new:
@@ -429,8 +433,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         least = placed(classes.select(F.lit(0).alias("mark"), "cid", F.lit(0).alias("tag"), F.lit(0).alias("m")), labels).join(classes.select("cid", "key", "id"), "cid")
         names = least.groupBy("comp").agg(F.min("id").alias("component_id"))
         named = tables.result(least.join(names, "comp").select("key", "component_id"))
-    full = members.where("n > 0").join(named, "key").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    return full.union(members.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    return members.join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _pairs(rest: DataFrame, sketches: DataFrame, s: Fraction, width: int, groups: int) -> DataFrame:
@@ -446,6 +449,9 @@ def _pairs(rest: DataFrame, sketches: DataFrame, s: Fraction, width: int, groups
 
 def _verify(classes: DataFrame, pairs: DataFrame, k: int, s: Fraction) -> DataFrame:
     """The pairs (a, b) with ``linked``: whether their sets are similar enough."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    if wanted.count() <= MOST_KEYS:  # else all texts are dealt by class
+        classes = classes.join(F.broadcast(wanted), "cid", "left_semi")
     texts = lambda c: classes.select(F.col("cid").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(texts("a"), "a").join(texts("b"), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
