@@ -11,6 +11,7 @@ from barproof.operators import plans as pl
 from barproof.operators import replay as rp
 from barproof.operators import walk
 from barproof.sources import fixtures as fx
+from barproof.sources import readers as rd
 
 DAY, HOUR = fx.DAY, fx.HOUR
 
@@ -20,44 +21,50 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def feats(spark: SparkSession, d: str) -> DataFrame:
-    return walk.features_for(fx.bars_1d(spark, d), 1)
+    """Bars with all rule features, as a table: plans, anchors and replay all read it."""
+    return rd.stored(walk.features_for(fx.bars_1d(spark, d), 1), "feats")
 
 
-def anchors(spark: SparkSession, d: str) -> DataFrame:
-    return walk.anchors(fx.bars_1d(spark, d), q.WARMUP)
+def anchors(bars: DataFrame) -> DataFrame:
+    return walk.anchors(bars, q.WARMUP)
 
 
-def cand(spark: SparkSession, d: str, names=q.BOOK) -> DataFrame:
+def cand(spark: SparkSession, d: str, names=q.BOOK, f: DataFrame | None = None) -> DataFrame:
+    f = feats(spark, d) if f is None else f
     perp = any(walk.RULES[n].perp for n in names)
-    return walk.candidates(list(names), feats(spark, d), anchors(spark, d), 1, DAY, fx.funding(spark, d) if perp else None)
+    return walk.candidates(list(names), f, anchors(f), 1, DAY, fx.funding(spark, d) if perp else None)
 
 
-def book(spark: SparkSession, d: str, names=q.BOOK) -> DataFrame:
-    return walk.admit(cand(spark, d, names))
+def book(spark: SparkSession, d: str, names=q.BOOK, f: DataFrame | None = None) -> DataFrame:
+    return walk.admit(cand(spark, d, names, f))
 
 
-def runs(spark: SparkSession, d: str, names=q.BOOK, flip: bool = False) -> DataFrame:
-    p = book(spark, d, names)
-    return rp.run(pl.mirror(p) if flip else p, fx.bars_1d(spark, d))
+def runs(spark: SparkSession, d: str, names=q.BOOK) -> DataFrame:
+    f = feats(spark, d)
+    return rp.run(book(spark, d, names, f), f)
 
 
-def both_runs(spark: SparkSession, d: str, names=q.BOOK) -> tuple[DataFrame, DataFrame]:
-    """Real and mirrored plans, replayed in one pass."""
-    p = book(spark, d, names)
-    all_ = p.withColumn("_m", F.lit(0)).unionByName(pl.mirror(p).withColumn("_m", F.lit(1)))
-    out = rp.run(all_.withColumn("plan_id", F.concat_ws("#", "plan_id", F.col("_m").cast("string"))), fx.bars_1d(spark, d))
-    out = out.withColumn("plan_id", F.regexp_replace("plan_id", "#[01]$", "")).persist()  # two rows a plan, read by several aggregates
+def two_sided(plans: DataFrame, bars: DataFrame, own_tp1: bool = False, bucket_ms: int = DAY) -> DataFrame:
+    """Real (_m = 0) and mirrored (_m = 1) plans, replayed in one pass."""
+    both = plans.withColumn("_m", F.lit(0)).unionByName(pl.mirror(plans, own_tp1).withColumn("_m", F.lit(1)))
+    out = rp.run(both.withColumn("plan_id", F.concat_ws("#", "plan_id", F.col("_m").cast("string"))), bars, bucket_ms=bucket_ms)
+    return out.withColumn("plan_id", F.regexp_replace("plan_id", "#[01]$", ""))
+
+
+def sides(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two-sided runs, as a table, since several aggregates read both sides."""
+    out = rd.stored(runs, "runs")
     return out.where("_m = 0").drop("_m"), out.where("_m = 1").drop("_m")
 
 
-def perp_runs(spark: SparkSession, d: str, names=q.STRATS) -> tuple[DataFrame, DataFrame]:
-    """As both_runs, with realised funding for the strategies that hold perpetuals."""
-    f = fx.funding(spark, d)
+def both_runs(spark: SparkSession, d: str, names=q.BOOK) -> tuple[DataFrame, DataFrame]:
+    f = feats(spark, d)
+    return sides(two_sided(rd.stored(book(spark, d, names, f), "book"), f))
 
-    def paid(runs: DataFrame) -> DataFrame:
-        out = mt.add_funding(runs, f)
-        perp = F.col("strat").isin([n for n in names if walk.RULES[n].perp])
-        return out.withColumn("r", F.when(perp, F.col("r")).otherwise(F.col("r") - F.col("fund_r"))).withColumn("fund_r", F.when(perp, F.col("fund_r")).otherwise(0.0))
 
-    real, flipped = both_runs(spark, d, names)
-    return paid(real), paid(flipped)
+def perp_runs(spark: SparkSession, d: str, names=q.STRATS) -> tuple[DataFrame, DataFrame]:
+    """As both_runs, with realised funding for the strategies that hold perpetuals."""
+    f = feats(spark, d)
+    out = mt.add_funding(two_sided(rd.stored(book(spark, d, names, f), "book"), f), fx.funding(spark, d))
+    perp = F.col("strat").isin([n for n in names if walk.RULES[n].perp])
+    return sides(out.withColumn("r", F.when(perp, F.col("r")).otherwise(F.col("r") - F.col("fund_r"))).withColumn("fund_r", F.when(perp, F.col("fund_r")).otherwise(0.0)))

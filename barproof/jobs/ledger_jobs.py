@@ -9,6 +9,8 @@ from barproof.jobs import sql as q
 from barproof.jobs.registry import register
 from barproof.operators import ledger as lg
 from barproof.operators import plans as pl
+from barproof.operators import replay as rp
+from barproof.operators import walk
 from barproof.sources import fixtures as fx
 from barproof.sources import readers as rd
 
@@ -17,6 +19,9 @@ q.TABLES["led"] = f"""SELECT sym || '|1d|' || t0 AS id, sym, side, entry, sl, tp
   CASE WHEN state IN ('open', 'wait') THEN NULL WHEN t0 // {b.DAY} % 10 = 0 THEN r + 0.5 ELSE r END AS r, state AS true_state, r AS true_r FROM runs WHERE strat = 'xsmom30'"""
 
 
+q.TABLES["runlog"] = "SELECT 'tf1' AS tf, a.anchor AS ran_at, count(p.plan_id) AS new_sigs FROM anchors a LEFT JOIN (SELECT * FROM book WHERE strat = 'revert3') p ON p.t0 = a.anchor GROUP BY a.anchor"
+
+
 def raw_ledger(spark, d):
     r = b.runs(spark, d, ("xsmom30",))
     day = F.floor(F.col("t0") / b.DAY)
@@ -55,20 +60,22 @@ def tk_recent(spark, d):
     return lg.recent(ledger(spark, d)).select("id", "sym", "side", "t0")
 
 
-@register("snk_public_json", q.query("SELECT count(*) AS n, '[' || string_agg('{\"id\":\"' || id || '\",\"sym\":\"' || sym || '\",\"side\":' || side || ',\"t0\":' || t0 || ',\"state\":\"' || state || '\"}', ',' ORDER BY t0, id) || ']' AS json FROM (SELECT id, sym, side, t0, coalesce(state, 'open') AS state FROM led ORDER BY t0 DESC, id LIMIT 200)"))
+@register("snk_public_json", q.query("""SELECT s.runs, s.signals, s.first_run, l.* FROM (SELECT id, sym, sym AS disp, '1d' AS tf, side, round(entry, 6) AS entry, round(sl, 6) AS sl, round(tp1, 6) AS tp1, round(tp2, 6) AS tp2, CAST(rm AS DOUBLE) AS rm, round(d_stop, 6) AS d_stop, t0, t_end, coalesce(state, 'open') AS state, half, closed_at, round(px, 6) AS close_px, round(r, 6) AS r FROM led ORDER BY t0 DESC, id LIMIT 200) l,
+ (SELECT count(*) AS runs, CAST(sum(new_sigs) AS BIGINT) AS signals, min(ran_at) AS first_run FROM runlog) s"""))
 def snk_public_json(spark, d):
+    """The public ledger as one document (200 signals at most), written, read back and taken apart."""
     path = rd.scratch(spark, "public")
-    s = lg.recent(ledger(spark, d)).select("id", "sym", "side", "t0", "state")
-    s.write.json(path)
-    back = spark.read.schema("id string, sym string, side int, t0 long, state string").json(path)
-    rows = back.select(F.struct("t0", "id").alias("k"), F.to_json(F.struct("id", "sym", "side", "t0", "state")).alias("j"))  # 200 rows at most
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("json"))
+    lg.public_json(ledger(spark, d), lg.run_stats(run_log(spark, d)).drop("tf")).select("json").write.text(path)
+    doc = spark.read.schema(lg.PUBLIC).json(path)
+    rows = doc.select("stats.*", F.explode("signals").alias("s")).select(F.col("runs"), F.col("signals"), F.col("firstRun").alias("first_run"), "s.*")
+    names = {"dStop": "d_stop", "tEnd": "t_end", "closedAt": "closed_at", "closePx": "close_px", "R": "r"}
+    return b.r6(rows.withColumnsRenamed(names), "entry", "sl", "tp1", "tp2", "d_stop", "close_px", "r")
 
 
 @register("snk_ledger", q.query("SELECT id, coalesce(state, 'open') AS state, closed_at, round(px, 6) AS close_px, round(r, 6) AS r_realized, half FROM (SELECT id, state, CASE WHEN state IS NOT NULL THEN closed_at END AS closed_at, CASE WHEN state IS NOT NULL THEN px END AS px, r, half FROM led)"))
 def snk_ledger(spark, d):
     """Insert (twice: the second time nothing is new), mark half, close; then the latest state of each signal."""
-    full = ledger(spark, d).persist()
+    full = rd.stored(ledger(spark, d), "full")
     path = rd.scratch(spark, "ledger")
     cols = ["id", "state", "closed_at", "close_px", "r_realized", "half"]
     none = lambda t: F.lit(None).cast(t)
@@ -80,12 +87,11 @@ def snk_ledger(spark, d):
     return b.r6(rd.ledger_view(spark.read.parquet(path)), "close_px", "r_realized").select(*cols)
 
 
-q.TABLES["runlog"] = "SELECT 'tf1' AS tf, a.anchor AS ran_at, count(p.plan_id) AS new_sigs FROM anchors a LEFT JOIN (SELECT * FROM book WHERE strat = 'revert3') p ON p.t0 = a.anchor GROUP BY a.anchor"
 
 
 def run_log(spark, d):
     p = b.book(spark, d, ("revert3",)).groupBy(F.col("t0").alias("anchor")).agg(F.count(F.lit(1)).alias("k"))
-    return b.anchors(spark, d).join(p, "anchor", "left").select(F.lit("tf1").alias("tf"), F.col("anchor").alias("ran_at"), F.coalesce("k", F.lit(0)).alias("new_sigs"))
+    return b.anchors(fx.bars_1d(spark, d)).join(p, "anchor", "left").select(F.lit("tf1").alias("tf"), F.col("anchor").alias("ran_at"), F.coalesce("k", F.lit(0)).alias("new_sigs"))
 
 
 @register("ag_runstats", q.query("SELECT r.tf, count(*) AS runs, CAST(sum(new_sigs) AS BIGINT) AS new_sigs, min(ran_at) AS first_run, any_value(s.silent) AS silent FROM runlog r JOIN (SELECT tf, coalesce(min(k) FILTER (new_sigs > 0), count(*) + 1) - 1 AS silent FROM (SELECT *, row_number() OVER (ORDER BY ran_at DESC) AS k FROM runlog) WHERE k <= 60 GROUP BY tf) s USING (tf) GROUP BY r.tf"))
@@ -102,10 +108,8 @@ q.TABLES["tops"] = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PART
 q.TABLES["gated"] = "SELECT t.*, f.fam_hi, ev > fam_hi AS ok_chance, ev > 2 * se AS ok_error, CASE WHEN ev > fam_hi AND ev > 2 * se THEN 'hit' WHEN ev > fam_hi THEN 'near_miss' ELSE 'fail' END AS gate FROM tops t JOIN fam f USING (anchor)"
 
 
-def scan_rows(spark, d):
-    from barproof.operators import walk
-
-    rows = walk.symbols_at(b.anchors(spark, d), b.feats(spark, d), walk.FEATURES).where("vol > 0")
+def scan_rows(f):
+    rows = walk.symbols_at(b.anchors(f), f, walk.FEATURES).where("vol > 0")
     combos = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(h).alias("hz"), F.lit(float(r)).alias("rm")) for s in (1, -1) for h in (15, 30) for r in (1, 2)])
     x = rows.where("ret20d IS NOT NULL").withColumn("_c", F.explode(combos)).select("anchor", "sym", "ret20d", "vol", "_c.*")
     ev = F.col("side") * F.col("ret20d") / (F.col("vol") * F.sqrt(F.lit(20.0))) * 0.2 - 0.01 * F.col("rm") + 0.001 * F.col("hz")
@@ -128,24 +132,32 @@ def best_combos(scan):
     return scan.groupBy("anchor", "sym").agg(F.max_by(F.struct("side", "hz", "rm", "ev", "se"), key).alias("_b")).select("anchor", "sym", "_b.*")
 
 
-def gated(spark, d):
-    scan, nulls = scan_rows(spark, d)
+def gated(f):
+    scan, nulls = scan_rows(f)
     return best_combos(scan).join(family(nulls), "anchor").withColumns(pl.gate(F.col("ev"), F.col("se"), F.col("fam_hi")))
 
 
 @register("ag_famhi", q.query("SELECT anchor, round(fam_hi, 6) AS fam_hi, round(fam_med, 6) AS fam_med FROM fam"))
 def ag_famhi(spark, d):
-    return b.r6(family(scan_rows(spark, d)[1]), "fam_hi", "fam_med")
+    return b.r6(family(scan_rows(b.feats(spark, d))[1]), "fam_hi", "fam_med")
 
 
 @register("tk_best", q.query("SELECT anchor, sym, side, hz, CAST(rm AS DOUBLE) AS rm, round(ev, 6) AS ev FROM tops"))
 def tk_best(spark, d):
-    return b.r6(best_combos(scan_rows(spark, d)[0]), "ev").select("anchor", "sym", "side", "hz", "rm", "ev")
+    return b.r6(best_combos(scan_rows(b.feats(spark, d))[0]), "ev").select("anchor", "sym", "side", "hz", "rm", "ev")
 
 
 @register("prj_gate", q.query("SELECT anchor, sym, round(ev, 6) AS ev, ok_chance, ok_error, gate FROM gated"))
 def prj_gate(spark, d):
-    return b.r6(gated(spark, d), "ev").select("anchor", "sym", "ev", "ok_chance", "ok_error", "gate")
+    return b.r6(gated(b.feats(spark, d)), "ev").select("anchor", "sym", "ev", "ok_chance", "ok_error", "gate")
+
+
+def diagnosed(g):
+    """What each anchor's scan came to."""
+    miss = F.col("gate") == "near_miss"
+    return g.groupBy("anchor").agg(
+        F.first("fam_hi").alias("fam_hi"), F.min_by("sym", F.struct(-F.round("ev", 9), "sym")).alias("best_sym"), F.max("ev").alias("best_ev"), F.count(F.when(F.col("gate") == "hit", 1)).alias("hits"), F.count(F.when(miss, 1)).alias("near_misses"),
+        F.array_join(F.array_sort(F.collect_list(F.when(miss, F.col("sym")))), ",").alias("near_list")).withColumn("gap", F.col("best_ev") - F.col("fam_hi"))
 
 
 q.TABLES["diag"] = "SELECT anchor, any_value(fam_hi) AS fam_hi, first(sym ORDER BY round(ev, 9) DESC, sym) AS best_sym, max(ev) AS best_ev, max(ev) - any_value(fam_hi) AS gap, count(*) FILTER (gate = 'hit') AS hits, count(*) FILTER (gate = 'near_miss') AS near_misses, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (gate = 'near_miss'), '') AS near_list FROM gated GROUP BY anchor"
@@ -153,11 +165,7 @@ q.TABLES["diag"] = "SELECT anchor, any_value(fam_hi) AS fam_hi, first(sym ORDER
 
 @register("rp_scan_diag", q.query("SELECT 'anchor' AS kind, anchor, best_sym, round(best_ev, 6) AS best_ev, round(gap, 6) AS gap, hits, near_misses, near_list FROM diag UNION ALL SELECT 'summary', NULL, NULL, round(avg(best_ev), 6), round(avg(gap), 6), CAST(sum(hits) AS BIGINT), CAST(sum(near_misses) AS BIGINT), '' FROM diag UNION ALL SELECT 'closest', anchor, best_sym, round(best_ev, 6), round(gap, 6), hits, near_misses, near_list FROM (SELECT * FROM diag ORDER BY round(gap, 9) DESC, anchor LIMIT 5)"))
 def rp_scan_diag(spark, d):
-    g = gated(spark, d)
-    miss = F.col("gate") == "near_miss"
-    diag = g.groupBy("anchor").agg(
-        F.first("fam_hi").alias("fam_hi"), F.min_by("sym", F.struct(-F.round("ev", 9), "sym")).alias("best_sym"), F.max("ev").alias("best_ev"), F.count(F.when(F.col("gate") == "hit", 1)).alias("hits"), F.count(F.when(miss, 1)).alias("near_misses"),
-        F.array_join(F.array_sort(F.collect_list(F.when(miss, F.col("sym")))), ",").alias("near_list")).withColumn("gap", F.col("best_ev") - F.col("fam_hi"))
+    diag = rd.stored(diagnosed(gated(b.feats(spark, d))), "diag")
     cols = ["best_sym", "best_ev", "gap", "hits", "near_misses", "near_list"]
     rows = b.r6(diag, "best_ev").select(F.lit("anchor").alias("kind"), "anchor", "best_sym", "best_ev", F.round("gap", 6).alias("gap"), "hits", "near_misses", "near_list")
     total = diag.agg(F.round(F.avg("best_ev"), 6).alias("best_ev"), F.round(F.avg("gap"), 6).alias("gap"), F.sum("hits").alias("hits"), F.sum("near_misses").alias("near_misses"))
@@ -166,3 +174,63 @@ def rp_scan_diag(spark, d):
     return rows.unionByName(total).unionByName(near)
 
 
+# ---- plans of the gates: hits are real, near misses go to the shadow ledger ----
+
+q.TABLES["gcand"] = q.plan_levels("SELECT 'gates' AS strat, g.sym, 'gates|' || g.sym || '|' || g.anchor AS plan_id, CAST(g.side AS INTEGER) AS side, f.c AS entry, f.vol, CAST(g.hz AS BIGINT) AS hz, CAST(g.rm AS DOUBLE) AS rm, g.anchor AS t0, g.gate = 'near_miss' AS shadow FROM gated g JOIN arows f USING (anchor, sym) WHERE g.gate IN ('hit', 'near_miss')")
+q.TABLES["gord"] = "SELECT *, row_number() OVER (PARTITION BY sym, shadow ORDER BY t0, side) AS k FROM gcand"
+q.TABLES["gadm"] = """SELECT DISTINCT sym, shadow, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS lt, CAST(-1 AS BIGINT) AS st, false AS ok FROM gcand
+UNION ALL SELECT o.sym, o.shadow, o.k,
+  CASE WHEN o.side = 1 THEN CASE WHEN a.lt > o.t0 THEN a.lt ELSE o.t_end END WHEN o.shadow OR a.st > o.t0 THEN a.lt WHEN a.lt > o.t0 THEN -1 ELSE a.lt END,
+  CASE WHEN o.side = -1 THEN CASE WHEN a.st > o.t0 THEN a.st ELSE o.t_end END WHEN o.shadow OR a.lt > o.t0 THEN a.st WHEN a.st > o.t0 THEN -1 ELSE a.st END,
+  CASE WHEN o.side = 1 THEN NOT a.lt > o.t0 ELSE NOT a.st > o.t0 END
+FROM gadm a JOIN gord o ON a.sym = o.sym AND a.shadow = o.shadow AND o.k = a.k + 1"""
+_LATER = "OVER (PARTITION BY sym, shadow ORDER BY t0 RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+q.TABLES["gplans"] = f"""SELECT * EXCLUDE (t_end, fl), least(t_end, coalesce(fl, t_end)) AS t_end, coalesce(fl < t_end, false) AS flipped FROM
+ (SELECT o.*, CASE WHEN shadow THEN NULL WHEN side = 1 THEN min(CASE WHEN side = -1 THEN t0 END) {_LATER} ELSE min(CASE WHEN side = 1 THEN t0 END) {_LATER} END AS fl FROM gord o JOIN gadm a USING (sym, shadow, k) WHERE a.ok)"""
+q.TABLES["gruns"] = q.replayed("gplans")
+
+
+def gate_plans(spark, d, f, g):
+    """Admitted plans of the gates from features and gated scan rows."""
+    now = g.where("gate IN ('hit', 'near_miss')").select(F.lit("gates").alias("strat"), "sym", "side", "hz", "rm", "anchor", (F.col("gate") == "near_miss").alias("shadow"))
+    rows = walk.as_of(now, f, ["sym"], "anchor", "t", ["c", "vol"]).withColumnRenamed("c", "entry").withColumnRenamed("anchor", "t0").drop("found_t")
+    rows = rows.withColumn("tf_ms", F.lit(b.DAY).cast("long")).withColumn("plan_id", F.concat_ws("|", "strat", "sym", F.col("t0").cast("string")))
+    return walk.admit(pl.levels(rows))
+
+
+@register("rp_admit", q.query("SELECT plan_id, side, t0, t_end, flipped, false AS shadow FROM book UNION ALL SELECT plan_id, side, t0, t_end, flipped, shadow FROM gplans"))
+def rp_admit(spark, d):
+    f = b.feats(spark, d)
+    rules = b.book(spark, d, f=f).withColumn("shadow", F.lit(False))
+    cols = ["plan_id", "side", "t0", "t_end", "flipped", "shadow"]
+    return rules.select(*cols).unionByName(gate_plans(spark, d, f, gated(f)).select(*cols))
+
+
+@register("so_union", q.query("SELECT 'bars' AS kind, sym, '1d' AS tf, t, round(c, 6) AS c, NULL AS shadow, NULL AS state, NULL AS r FROM bars UNION ALL SELECT 'bars', sym, '1h', t, round(c, 6), NULL, NULL, NULL FROM hbars UNION ALL SELECT 'plans', sym, '1d', t0, round(entry, 6), shadow, state, round(r, 6) FROM gruns"))
+def so_union(spark, d):
+    """Symbol frames on one grid, and real with shadow results."""
+    f = b.feats(spark, d)
+    bars = f.select("sym", F.lit("1d").alias("tf"), "t", "c").unionByName(fx.bars_1h(spark, d).select("sym", F.lit("1h").alias("tf"), "t", "c"))
+    runs = rp.run(gate_plans(spark, d, f, gated(f)), f).select(F.lit("plans").alias("kind"), "sym", F.lit("1d").alias("tf"), F.col("t0").alias("t"), F.col("entry").alias("c"), "shadow", "state", "r")
+    return b.r6(bars.withColumn("kind", F.lit("bars")).unionByName(runs, allowMissingColumns=True), "c", "r").select("kind", "sym", "tf", "t", "c", "shadow", "state", "r")
+
+
+@register("snk_plans_csv", q.query(f"""SELECT 'plan' AS kind, t0, sym, side, hz, round(CAST(rm AS DOUBLE), 6) AS rm, NULL AS state, NULL AS r, NULL AS bars, NULL AS closed_at, NULL AS shadow, NULL AS fam_hi, NULL AS best, NULL AS gap, NULL AS near_miss, NULL AS plans, NULL AS shadow_plans FROM book
+ UNION ALL SELECT 'result', t0, sym, side, NULL, NULL, state, round(r, 6), n, "at", CAST(shadow AS INTEGER), NULL, NULL, NULL, NULL, NULL, NULL FROM gruns
+ UNION ALL SELECT 'scan', anchor, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, round(fam_hi, 6), best_sym, round(gap, 6), nullif(replace(near_list, ',', '|'), ''), hits, near_misses FROM diag"""))
+def snk_plans_csv(spark, d):
+    """Three lists as CSV with a header, read back: plans, results (real and shadow) and what each anchor's scan said."""
+    f = b.feats(spark, d)
+    g = rd.stored(gated(f), "gated")
+    at = rd.scratch(spark, "csv")
+    lists = {
+        "plan": (b.book(spark, d, f=f).select("t0", "sym", "side", "hz", "rm"), "t0 long, sym string, side int, hz int, rm double"),
+        "result": (rp.run(gate_plans(spark, d, f, g), f).select("t0", "sym", "side", "state", "r", F.col("n").alias("bars"), F.col("at").alias("closed_at"), F.col("shadow").cast("int").alias("shadow")), "t0 long, sym string, side int, state string, r double, bars long, closed_at long, shadow int"),
+        "scan": (diagnosed(g).select(F.col("anchor").alias("t0"), "fam_hi", F.col("best_sym").alias("best"), "gap", F.replace("near_list", F.lit(","), F.lit("|")).alias("near_miss"), F.col("hits").alias("plans"), F.col("near_misses").alias("shadow_plans")), "t0 long, fam_hi double, best string, gap double, near_miss string, plans long, shadow_plans long"),
+    }
+    out = None
+    for kind, (df, schema) in lists.items():
+        df.write.option("header", "true").csv(f"{at}/{kind}")
+        back = spark.read.schema(schema).option("header", "true").csv(f"{at}/{kind}").withColumn("kind", F.lit(kind))
+        out = back if out is None else out.unionByName(back, allowMissingColumns=True)
+    return b.r6(out, "rm", "r", "fam_hi", "gap").select("kind", "t0", "sym", "side", "hz", "rm", "state", "r", "bars", "closed_at", "shadow", "fam_hi", "best", "gap", "near_miss", "plans", "shadow_plans")

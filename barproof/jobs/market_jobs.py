@@ -30,11 +30,16 @@ def plan_cols(df):
 # ---- sources ----
 
 
-@register("src_bars", q.query(f"SELECT sym, '1d' AS tf, t, {R(*'ohlc')}, v FROM bars"))
+@register("src_bars", q.query(f"SELECT sym, '1d' AS tf, format, t, {R(*'ohlc')}, v FROM bars, (VALUES ('lines'), ('array'), ('csv')) f(format)"))
 def src_bars(spark, d):
-    path = rd.scratch(spark, "bars")
-    rd.write_bars_json(fx.bars_1d(spark, d), path, "1d")
-    return b.r6(rd.read_bars_json(spark, path), *"ohlc")
+    """The same bars as JSON lines, as files of one JSON array each, and as CSV."""
+    path, bars = rd.scratch(spark, "bars"), fx.bars_1d(spark, d)
+    out = None
+    for form, (write, read) in rd.BAR_FORMATS.items():
+        write(bars, f"{path}/{form}", "1d")
+        back = read(spark, f"{path}/{form}").withColumn("format", F.lit(form))
+        out = back if out is None else out.unionByName(back)
+    return b.r6(out, *"ohlc").select("sym", "tf", "format", "t", *"ohlcv")
 
 
 @register("src_bars_merge", q.query("SELECT sym, t, round(CASE WHEN i % 10 = 0 THEN c * 1.01 ELSE c END, 6) AS c, v FROM b0"))
@@ -69,7 +74,7 @@ def src_calendar(spark, d):
 
 
 LIST_SQL = f"""SELECT *, CASE WHEN i % 35 = 0 THEN 'ZZ' ELSE sym END AS xsym, CASE WHEN i % 45 = 0 THEN t + 400000 * CAST({b.DAY} AS BIGINT) ELSE t END AS xt, (i // 5) % 7 AS w, CASE WHEN i % 10 = 0 THEN 24 ELSE 5 END AS xhz, CASE WHEN i % 20 = 0 THEN 2.0 ELSE 1.5 END AS xrm,
-  CASE WHEN (i // 5) % 7 < 3 THEN 1 WHEN (i // 5) % 7 < 6 THEN -1 END AS xside, CASE WHEN i % 30 = 0 THEN round(c * 0.95, 2) END AS xsl, CASE WHEN i % 30 = 0 THEN round(c * 1.1, 2) END AS xtp FROM feats WHERE i % 5 = 0"""
+  CASE WHEN (i // 5) % 7 < 3 THEN 1 WHEN (i // 5) % 7 < 6 THEN -1 END AS xside, CASE WHEN i % 30 = 0 THEN round(c * 0.95, 2) END AS xsl, CASE WHEN i % 30 = 0 THEN round(c * 1.1, 2) END AS xtp FROM feats"""
 LIST_TABLES = dict(
     xl=LIST_SQL,
     xr="SELECT x.*, CASE WHEN xsym = 'ZZ' THEN 'sym' WHEN xt <> t THEN 'bar' WHEN xside IS NULL THEN 'side' WHEN xsl > 0 AND (xside = -1 OR xsl >= c OR xtp <= c) THEN 'vol' WHEN xsl IS NULL AND NOT coalesce(vol > 0, false) THEN 'vol' END AS reason FROM xl x",
@@ -79,7 +84,7 @@ LIST_TABLES = dict(
 
 def plan_list(spark, d):
     """An external list rendered from bars: mixed times, symbols and side words, some rows wrong."""
-    f = b.feats(spark, d).where("i % 5 = 0")
+    f = b.feats(spark, d)
     words = F.array(*[F.lit(w) for w in ("1", "long", "BUY", "-1", "short", "Sell", "??")])
     t = F.when(F.col("i") % 45 == 0, F.col("t") + 400_000 * b.DAY).otherwise(F.col("t"))
     iso = F.date_format(F.timestamp_add("MILLISECOND", t, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd")
@@ -99,13 +104,6 @@ def src_plans_csv(spark, d):
     return raw.select(tx.clean_symbol(F.col("sym")).alias("sym"), rd.iso_millis(F.col("t0")).alias("t0"), tx.side_word(F.col("side")).alias("side"), F.col("hz").cast("int").alias("hz"), *[F.col(c).cast("double").alias(c) for c in ("rm", "sl", "tp")])
 
 
-@register("snk_plans_csv", q.query(f"SELECT t0, sym, side, hz, round(rm, 6) AS rm FROM book"))
-def snk_plans_csv(spark, d):
-    path = rd.scratch(spark, "book")
-    b.book(spark, d).select("t0", "sym", "side", "hz", "rm").write.option("header", "true").csv(path)
-    return spark.read.schema("t0 long, sym string, side int, hz int, rm double").option("header", "true").csv(path)
-
-
 # ---- plans ----
 
 
@@ -172,14 +170,15 @@ def jn_replay_range(spark, d):
 
 @register("jn_asof_bar", q.query("SELECT anchor, sym, t AS found_t, i, round(c, 6) AS c, round(vol, 9) AS vol FROM arows"))
 def jn_asof_bar(spark, d):
-    rows = walk.symbols_at(b.anchors(spark, d), b.feats(spark, d), walk.FEATURES)
+    f = b.feats(spark, d)
+    rows = walk.symbols_at(b.anchors(f), f, walk.FEATURES)
     return rows.select("anchor", "sym", "found_t", "i", F.round("c", 6).alias("c"), F.round("vol", 9).alias("vol"))
 
 
 @register("jn_asof_funding", q.query("SELECT p.anchor, p.sym, f.t AS found_t, round(f.r, 8) AS r FROM (SELECT anchor + 1 AS anchor, sym FROM anchors CROSS JOIN syms) p ASOF JOIN funding f ON p.sym = f.sym AND p.anchor >= f.t"))
 def jn_asof_funding(spark, d):
     f = fx.funding(spark, d)
-    pairs = b.anchors(spark, d).withColumn("anchor", F.col("anchor") + 1).crossJoin(f.select("sym").distinct())
+    pairs = b.anchors(fx.bars_1d(spark, d)).withColumn("anchor", F.col("anchor") + 1).crossJoin(f.select("sym").distinct())
     return walk.as_of(pairs, f, ["sym"], "anchor", "t", ["r"]).where("found_t IS NOT NULL").withColumn("r", F.round("r", 8))
 
 
@@ -256,11 +255,6 @@ def rp_anchors(spark, d):
     return walk.anchors(fx.bars_1d(spark, d), 60, 7, 800_000_000_000, 900_000_000_000)
 
 
-@register("rp_admit", q.query("SELECT plan_id, side, t0, t_end, flipped FROM book"))
-def rp_admit(spark, d):
-    return b.book(spark, d).select("plan_id", "side", "t0", "t_end", "flipped")
-
-
 # ---- aggregates ----
 
 
@@ -439,11 +433,11 @@ def st_event_control(spark, d):
     return h2_plans(spark, d, ev)
 
 
-#: Draws of the placebo; the SQL still has K.
-DRAWS, K = 2000, 200
+#: Draws of the placebo, made for each type of event and for the pool.
+DRAWS = 2000
 q.TABLES["evgroups"] = "SELECT tur, bar FROM calendar UNION ALL SELECT 'FOMC+CPI' AS tur, bar FROM calendar"
 q.TABLES["dayno"] = "SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS nd FROM freedays"
-q.TABLES["placebo"] = f"""SELECT p.tur, p.draw, avg(f.fwd_abs) AS m FROM (SELECT e.tur, x.draw, CAST(('0x' || substr(md5(e.tur || '|' || x.draw || '|' || e.bar), 1, 7)) AS BIGINT) % (SELECT any_value(nd) FROM dayno) AS k FROM evgroups e, range({K}) x(draw)) p JOIN dayno USING (k) JOIN fwd f ON f.t = dayno.day WHERE f.fwd_abs IS NOT NULL GROUP BY p.tur, p.draw"""
+q.TABLES["placebo"] = f"""SELECT p.tur, p.draw, avg(f.fwd_abs) AS m FROM (SELECT e.tur, x.draw, CAST(('0x' || substr(md5(e.tur || '|' || x.draw || '|' || e.bar), 1, 7)) AS BIGINT) % (SELECT any_value(nd) FROM dayno) AS k FROM evgroups e, range({DRAWS}) x(draw)) p JOIN dayno USING (k) JOIN fwd f ON f.t = dayno.day WHERE f.fwd_abs IS NOT NULL GROUP BY p.tur, p.draw"""
 
 
 @register("ag_event_h1", q.query("""SELECT tur, events, windows, round(real, 6) AS real, round(placebo, 6) AS placebo, round(real / placebo, 6) AS ratio, round(p, 6) AS p, peak_median, peak_q75, CASE WHEN p <= 0.01 AND real / placebo >= 1.3 THEN 'pass' ELSE 'fail' END AS decision FROM
@@ -533,9 +527,3 @@ def ag_fold_threshold(spark, d):
 def fn_funding_year(spark, d):
     f = ft.with_funding_avg(fx.funding(spark, d)).where("avg_n IS NOT NULL")
     return f.select("sym", "t", F.round(tx.funding_year(F.col("avg_n")), 6).alias("yearly"), F.when(F.col("avg_n") >= 0.0003, "short").when(F.col("avg_n") <= -0.0003, "long").otherwise("none").alias("view"))
-
-
-@register("so_union", q.query("SELECT sym, '1d' AS tf, t, round(c, 6) AS c FROM bars UNION ALL SELECT sym, '1h', t, round(c, 6) FROM hbars"))
-def so_union(spark, d):
-    day, hour = fx.bars_1d(spark, d).withColumn("tf", F.lit("1d")), fx.bars_1h(spark, d).withColumn("tf", F.lit("1h"))
-    return b.r6(day.unionByName(hour), "c").select("sym", "tf", "t", "c")

@@ -12,23 +12,23 @@ from barproof.operators import joins as jn
 from barproof.operators import messages as ms
 from barproof.operators import metrics as mt
 from barproof.operators import plans as pl
-from barproof.operators import replay as rp
+from barproof.operators import walk
 from barproof.sources import fixtures as fx
 from barproof.sources import readers as rd
 
 # Signals rendered as messages from bars; the fields are the expected result.
-q.TABLES["m0"] = """SELECT sym AS base, sym || 'USDT' AS sym, 'chan_' || ((i // 27) % 3) AS channel, (t // 86400000) * 10 + (strpos('AFAONFNORFRO', sym) - 1) // 2 AS id, t + 3600000 AS t, i, CASE WHEN (i // 9) % 2 = 0 THEN 1 ELSE -1 END AS side,
-  CAST((i // 9) % 6 AS INTEGER) AS mode, CASE WHEN i % 27 = 0 THEN c * 1.05 ELSE c END AS p FROM feats WHERE i % 9 = 0 AND i >= 60"""
+q.TABLES["m0"] = """SELECT sym AS base, sym || 'USDT' AS sym, 'chan_' || ((i // 3) % 3) AS channel, (t // 86400000) * 10 + (strpos('AFAONFNORFRO', sym) - 1) // 2 AS id, t + 3600000 AS t, i, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS side,
+  CAST(i % 6 AS INTEGER) AS mode, CASE WHEN i % 3 = 0 THEN c * 1.05 ELSE c END AS p FROM feats WHERE i >= 60"""
 q.TABLES["m1"] = "SELECT *, round(p, 2) AS e, round(p * (1 - side * 0.04), 2) AS xsl, round(p * (1 + side * 0.03), 2) AS xtp1, round(p * (1 + side * 0.06), 2) AS xtp2 FROM m0"
 q.TABLES["sigs"] = """SELECT channel, id, t, base, sym, side, mode, CASE WHEN mode = 3 THEN NULL WHEN mode = 2 THEN (round(e - 0.2, 2) + round(e + 0.2, 2)) / 2 ELSE e END AS entry, xsl AS sl, CASE WHEN mode IN (3, 4) THEN [xtp2] ELSE [xtp1, xtp2] END AS tps FROM m1 WHERE mode <> 5"""
 
 
 def rendered(spark, d):
     """channel, id, t, text: signals in several formats and languages, ambiguous ones, and plain talk."""
-    f = b.feats(spark, d).where("i % 9 = 0 AND i >= 60")
-    k = F.floor(F.col("i") / 9)
+    f = b.feats(spark, d).where("i >= 60")
+    k = F.col("i")
     side = F.when(k % 2 == 0, 1).otherwise(-1)
-    p = F.when(F.col("i") % 27 == 0, F.col("c") * 1.05).otherwise(F.col("c"))
+    p = F.when(F.col("i") % 3 == 0, F.col("c") * 1.05).otherwise(F.col("c"))
     f = f.withColumns({"side": side, "mode": (k % 6).cast("int"), "p": p})
     num = lambda x: F.format_string("%.2f", F.round(x, 2))
     comma = lambda x: F.replace(num(x), F.lit("."), F.lit(","))
@@ -47,7 +47,7 @@ def rendered(spark, d):
     ]
     text = F.element_at(F.array(*forms), F.col("mode") + 1)
     no = F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)
-    return f.select(F.concat(lit("chan_"), (F.floor(F.col("i") / 27) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + no).alias("id"), (F.col("t") + b.HOUR).alias("t"), text.alias("text"))
+    return f.select(F.concat(lit("chan_"), (F.floor(F.col("i") / 3) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + no).alias("id"), (F.col("t") + b.HOUR).alias("t"), text.alias("text"))
 
 
 def talk(spark, d):
@@ -78,7 +78,7 @@ HTML = """<div class="tgme_widget_message_wrap"><div data-post="%s/%d"><div clas
 @register("src_messages_html", q.query("SELECT channel, id, t, 'x & <y> ' || chr(39) || 'z' || chr(39) || chr(10) || sym AS text FROM m0"))
 def src_messages_html(spark, d):
     """Rendered pages (one per channel and year) with markup and entities; raw web pages are negatives."""
-    f = b.feats(spark, d).where("i % 9 = 0 AND i >= 60").select(F.concat(F.lit("chan_"), (F.floor(F.col("i") / 27) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
+    f = b.feats(spark, d).where("i >= 60").select(F.concat(F.lit("chan_"), (F.floor(F.col("i") / 3) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
     at = F.date_format(F.timestamp_add("MILLISECOND", F.col("t"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss")
     block = F.format_string(HTML, "channel", "id", F.concat(F.lit("x &amp; &lt;<b>y</b>&gt; &quot;z&#39;<br/>"), F.col("sym")), at)
     pages = f.withColumn("b", block).groupBy("channel", F.floor(F.col("t") / (366 * b.DAY)).alias("y")).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list("b"), ""), F.array_join(F.collect_list("b"), "")).alias("html"))
@@ -117,7 +117,7 @@ def fn_nums(spark, d):
 
 @register("fn_symbol_norm", q.query("SELECT DISTINCT base, form, base AS clean, base || 'USDT' AS usdt FROM sigs, range(4) r(form) UNION SELECT DISTINCT base, 9, base || 'PERP', base || 'USDT' FROM sigs"))
 def fn_symbol_norm(spark, d):
-    base = b.feats(spark, d).where("i % 9 = 0 AND i >= 60").select(F.col("sym").alias("base")).distinct()
+    base = b.feats(spark, d).where("i >= 60").select(F.col("sym").alias("base")).distinct()
     a, z = F.substring("base", 1, 1), F.substring("base", 2, 1)
     forms = F.array(*[F.struct(F.lit(k).alias("form"), x.alias("x")) for k, x in ((0, F.lower("base")), (1, F.concat(a, F.lit("/"), z)), (2, F.concat(a, F.lit("-"), z)), (3, F.concat(F.lit(" "), F.col("base"), F.lit(" "))), (9, F.concat(F.col("base"), F.lit("PERP"))))])
     return base.withColumn("_f", F.explode(forms)).select("base", F.col("_f.form").cast("long").alias("form"), tx.clean_symbol(F.col("_f.x")).alias("clean"), tx.usdt_symbol(F.col("_f.x")).alias("usdt"))
@@ -143,48 +143,47 @@ for _n, _s in (("mruns", "mplans"), ("sruns", "mfilled")):
     q.TABLES[_n + "_f"] = q.replayed(f"({q.mirrored(_s, True)})")
 
 
-def signals(spark, d):
+def signals(messages):
     """Parsed signals with the symbol as bars know it."""
-    p = ms.parse(messages(spark, d))
-    return p.withColumn("sym", F.regexp_replace("sym", "USDT$", ""))
-
-
-def priced(spark, d):
-    return jn.as_of_message(signals(spark, d).select("channel", "id", "t", "sym", "side", "entry", "sl", "tps"), fx.bars_1d(spark, d))
+    p = ms.parse(messages).withColumn("sym", F.regexp_replace("sym", "USDT$", ""))
+    return p.select("channel", "id", "t", "sym", "side", "entry", "sl", "tps")
 
 
-def channel_plans(spark, d):
-    p = ms.to_plan(priced(spark, d).where("px IS NOT NULL"))
+def channel_plans(px):
+    p = ms.to_plan(px.where("px IS NOT NULL"))
     return p.withColumns({"strat": F.col("channel"), "plan_id": F.concat_ws("|", "channel", F.col("id").cast("string")), "hz": F.lit(720)})
 
 
-def near_plans(spark, d):
-    return channel_plans(spark, d).where("off_entry <= 0.03")
+def near_plans(px):
+    return channel_plans(px).where("off_entry <= 0.03")
 
 
-def channel_runs(spark, d, strict: bool):
-    bars = fx.bars_1d(spark, d)
-    p = near_plans(spark, d)
+def channel_runs(px, bars, strict: bool):
+    p = near_plans(px)
     p = (jn.fill(p, bars) if strict else p).select("strat", "plan_id", "sym", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end", "hz")
-    both = p.withColumn("_m", F.lit(0)).unionByName(pl.mirror(p, own_tp1=True).withColumn("_m", F.lit(1)))
-    out = rp.run(both.withColumn("plan_id", F.concat_ws("#", "plan_id", F.col("_m").cast("string"))), bars, bucket_ms=8 * b.DAY)
-    out = out.withColumn("plan_id", F.regexp_replace("plan_id", "#[01]$", "")).persist()
-    return out.where("_m = 0").drop("_m"), out.where("_m = 1").drop("_m")
+    return b.sides(b.two_sided(rd.stored(p, "plans"), bars, own_tp1=True, bucket_ms=8 * b.DAY))
+
+
+def market(spark, d):
+    """Bars and priced signals, as tables that all steps read."""
+    bars = rd.stored(fx.bars_1d(spark, d), "bars")
+    return bars, rd.stored(jn.as_of_message(signals(messages(spark, d)), bars), "priced")
 
 
 @register("jn_asof_msg", q.query("SELECT channel, id, bar_t, round(px, 6) AS px FROM msgpx"))
 def jn_asof_msg(spark, d):
-    return priced(spark, d).select("channel", "id", "bar_t", F.round("px", 6).alias("px"))
+    return market(spark, d)[1].select("channel", "id", "bar_t", F.round("px", 6).alias("px"))
 
 
 @register("prj_toplan", q.query("SELECT plan_id, sym, side, round(entry, 6) AS entry, sl, round(tp1, 6) AS tp1, round(tp2, 6) AS tp2, round(rm, 6) AS rm, round(d_stop, 6) AS d_stop, t0, t_end, round(off_entry, 6) AS off_entry FROM mplan0"))
 def prj_toplan(spark, d):
-    return b.r6(channel_plans(spark, d), "entry", "tp1", "tp2", "rm", "d_stop", "off_entry").select("plan_id", "sym", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end", "off_entry")
+    return b.r6(channel_plans(market(spark, d)[1]), "entry", "tp1", "tp2", "rm", "d_stop", "off_entry").select("plan_id", "sym", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end", "off_entry")
 
 
 @register("jn_fill", q.query("SELECT plan_id, t0, t_end, round(entry, 6) AS entry, round(tp2, 6) AS tp2 FROM mfilled"))
 def jn_fill(spark, d):
-    return b.r6(jn.fill(near_plans(spark, d), fx.bars_1d(spark, d)), "entry", "tp2").select("plan_id", "t0", "t_end", "entry", "tp2")
+    bars, px = market(spark, d)
+    return b.r6(jn.fill(near_plans(px), bars), "entry", "tp2").select("plan_id", "t0", "t_end", "entry", "tp2")
 
 
 TOP = 4
@@ -193,25 +192,26 @@ q.TABLES["topsym"] = f"SELECT channel, sym, m FROM (SELECT channel, sym, count(*
 
 @register("jn_topsym", q.query("SELECT channel, count(*) FILTER (kept) AS kept_signals, count(*) FILTER (NOT kept) AS dropped_signals, count(DISTINCT sym) FILTER (NOT kept) AS dropped_symbols FROM (SELECT s.channel, s.sym, t.m IS NOT NULL AS kept FROM sigs s LEFT JOIN topsym t USING (channel, sym)) GROUP BY channel"))
 def jn_topsym(spark, d):
-    s = signals(spark, d)
+    s = rd.stored(signals(messages(spark, d)), "signals")
     top = ms.top_symbols(s, TOP).withColumn("_k", F.lit(True))
     j = s.join(top, ["channel", "sym"], "left")
     no = F.col("_k").isNull()
     return j.groupBy("channel").agg(F.count("_k").alias("kept_signals"), F.count(F.when(no, 1)).alias("dropped_signals"), F.countDistinct(F.when(no, F.col("sym"))).alias("dropped_symbols"))
 
 
-LINKS = """SELECT 'chan_' || (conv_id % 40) AS channel, 'see t.me/s/Chan_' || ((conv_id * 7 + 3) % 50) || ' and t.me/joinchat t.me/chan_' || (conv_id % 40) AS text FROM conversations WHERE turn = 0"""
+LINKS = """SELECT 'chan_' || (conv_id % 40) AS channel, coalesce(text, '') || ' see t.me/s/Chan_' || ((conv_id * 7 + 3) % 50) || ' and t.me/joinchat t.me/chan_' || (conv_id % 40) AS text FROM conversations"""
 q.TABLES["lm"] = LINKS
 q.TABLES["le"] = "SELECT DISTINCT lower(channel) AS src, 'chan_' || regexp_extract(lower(text), 't\\.me/s/chan_(\\d+)', 1) AS dst FROM lm"
 q.TABLES["lreach"] = "SELECT 'chan_1' AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM lreach r JOIN le e ON e.src = r.node WHERE e.dst IN (SELECT lower(channel) FROM lm) AND r.depth < 45"
 
 
-@register("jn_link_frontier", q.query("SELECT node AS channel, min(depth) AS depth, 0 AS signals FROM lreach GROUP BY node ORDER BY channel LIMIT 40"))
+@register("jn_link_frontier", q.query("SELECT node AS channel, min(depth) AS depth, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS signals FROM lreach LEFT JOIN (SELECT channel, count(*) AS n FROM sigs GROUP BY channel) s ON s.channel = node GROUP BY node ORDER BY coalesce(any_value(s.n), 0) DESC, node LIMIT 40"))
 def jn_link_frontier(spark, d):
-    c = fx.table(spark, d, "conversations").where("turn = 0")
-    text = F.concat(F.lit("see t.me/s/Chan_"), ((F.col("conv_id") * 7 + 3) % 50).cast("string"), F.lit(" and t.me/joinchat t.me/chan_"), (F.col("conv_id") % 40).cast("string"))
-    m = c.select(F.concat(F.lit("chan_"), (F.col("conv_id") % 40).cast("string")).alias("channel"), text.alias("text"))
-    return ms.frontier(m, spark.range(1).select(F.lit("chan_1").alias("channel"))).select("channel", "depth", F.col("signals").cast("int").alias("signals"))
+    """Links stand in what people say; three of the channels also publish signals."""
+    link = F.concat(F.lit(" see t.me/s/Chan_"), ((F.col("conv_id") * 7 + 3) % 50).cast("string"), F.lit(" and t.me/joinchat t.me/chan_"), (F.col("conv_id") % 40).cast("string"))
+    said = fx.table(spark, d, "conversations").select(F.concat(F.lit("chan_"), (F.col("conv_id") % 40).cast("string")).alias("channel"), F.concat(F.coalesce("text", F.lit("")), link).alias("text"))
+    m = rd.stored(said.unionByName(rendered(spark, d).select("channel", "text")), "messages")
+    return ms.frontier(m, spark.range(1).select(F.lit("chan_1").alias("channel"))).select("channel", "depth", "signals")
 
 
 MONKEY = f"SELECT strat AS channel, t.n, real_r, control_mean, band_lo, band_hi, p, t, CASE WHEN t.n < 30 THEN 'insufficient' WHEN p <= 0.02 AND t >= 2.5 THEN 'beats_chance' ELSE 'not_beating' END AS verdict FROM ({{c}}) c JOIN ({{t}}) t USING (strat)"
@@ -228,23 +228,27 @@ def monkey(real, flipped):
 
 @register("ag_monkey", q.query(monkey_sql("mruns")))
 def ag_monkey(spark, d):
-    return monkey(*channel_runs(spark, d, False))
+    bars, px = market(spark, d)
+    return monkey(*channel_runs(px, bars, False))
 
 
 q.TABLES["mhold"] = f"SELECT s.strat AS channel, arg_max(b.c, b.t) FILTER (b.t <= s.z) / arg_min(b.c, b.t) FILTER (b.t >= s.a) - 1 AS hold FROM (SELECT strat, min(t0) AS a, max(coalesce(\"at\", t_end)) AS z FROM sruns WHERE state IN {q.CLOSED} GROUP BY strat) s JOIN bars b ON b.sym = 'AF' GROUP BY s.strat"
 
 
 def hold(runs, bars):
-    span = pl.closed(runs).groupBy("strat").agg(F.min("t0").alias("a"), F.max(F.coalesce("at", "t_end")).alias("z"))
-    j = bars.select("t", "c").crossJoin(span)  # a row per channel
-    g = j.groupBy("strat").agg(F.min_by("c", F.when(F.col("t") >= F.col("a"), F.col("t"))).alias("c0"), F.max_by("c", F.when(F.col("t") <= F.col("z"), F.col("t"))).alias("c1"))
-    return g.select(F.col("strat").alias("channel"), (F.col("c1") / F.col("c0") - 1).alias("hold"))
+    """What holding the base symbol over a channel's span would have made: two looked-up prices a channel."""
+    span = pl.closed(runs).groupBy("strat").agg(F.min("t0").alias("a"), F.max(F.coalesce("at", "t_end")).alias("z")).withColumn("sym", F.lit("AF")).withColumn("_back", -F.col("a"))
+    own = bars.select("sym", "t", "c").withColumn("_back", -F.col("t"))
+    out = walk.as_of(span, own.withColumnRenamed("c", "c0"), ["sym"], "_back", "_back", ["c0"], "_t0")  # the first bar from a on
+    out = walk.as_of(out, own.withColumnRenamed("c", "c1"), ["sym"], "z", "t", ["c1"], "_t1")
+    return out.select(F.col("strat").alias("channel"), (F.col("c1") / F.col("c0") - 1).alias("hold"))
 
 
 @register("ag_hold", q.query("SELECT channel, round(hold, 6) AS hold FROM mhold"))
 def ag_hold(spark, d):
-    real, _ = channel_runs(spark, d, True)
-    return b.r6(hold(real, fx.bars_1d(spark, d).where("sym = 'AF'")), "hold")
+    bars, px = market(spark, d)
+    real, _ = channel_runs(px, bars, True)
+    return b.r6(hold(real, bars.where("sym = 'AF'")), "hold")
 
 
 q.TABLES["mdel"] = "SELECT channel, CASE WHEN count(DISTINCT id) > 1 THEN 1 - count(DISTINCT id) / CAST(max(id) - min(id) + 1 AS DOUBLE) END AS deleted FROM m0 GROUP BY channel"
@@ -255,24 +259,33 @@ def ag_deleted(spark, d):
     return b.r6(ms.deleted_share(rendered(spark, d)), "deleted")
 
 
-CARD = f"""SELECT c.channel, m.messages, g.parsed, c.n AS tested, g.no_data, g.far, g.unfilled, c.real_r, c.control_mean, c.band_lo, c.band_hi, c.p, c.t, x.win_rate, dd.max_drawdown, round(h.hold, 6) AS hold, round(e.deleted, 6) AS deleted, c.verdict
- FROM ({monkey_sql('sruns')}) c JOIN (SELECT channel, count(*) AS messages FROM m0 GROUP BY channel) m USING (channel) JOIN mhold h USING (channel) JOIN mdel e USING (channel)
- JOIN (SELECT strat AS channel, win_rate FROM ({q.metrics('sruns')})) x USING (channel) JOIN (SELECT strat AS channel, max_drawdown FROM ({q.drawdown('sruns')})) dd USING (channel)
- JOIN (SELECT s.channel, count(*) AS parsed, count(*) FILTER (s.px IS NULL) AS no_data, count(*) FILTER (p.off_entry > 0.03) AS far, count(*) FILTER (p.off_entry <= 0.03 AND f.plan_id IS NULL) AS unfilled FROM msgpx s LEFT JOIN mplan0 p ON p.plan_id = s.channel || '|' || s.id LEFT JOIN mfilled f ON f.plan_id = p.plan_id GROUP BY s.channel) g USING (channel)"""
+def card_sql(mode: str, plans: str, runs: str) -> str:
+    return f"""SELECT c.channel, '{mode}' AS mode, m.messages, g.parsed, c.n AS tested, g.no_data, g.far, g.unfilled, c.real_r, c.control_mean, c.band_lo, c.band_hi, c.p, c.t, x.win_rate, dd.max_drawdown, round(h.hold, 6) AS hold, round(e.deleted, 6) AS deleted, c.verdict,
+  CASE WHEN c.verdict = 'beats_chance' AND (z.now - m.last_t) / {b.DAY}.0 <= 90 AND e.deleted <= 0.05 THEN 'badge' ELSE 'none' END AS badge
+  FROM ({monkey_sql(runs)}) c JOIN (SELECT channel, count(*) AS messages, max(t) AS last_t FROM m0 GROUP BY channel) m USING (channel) JOIN (SELECT s.strat AS channel, arg_max(b.c, b.t) FILTER (b.t <= s.z) / arg_min(b.c, b.t) FILTER (b.t >= s.a) - 1 AS hold FROM (SELECT strat, min(t0) AS a, max(coalesce("at", t_end)) AS z FROM {runs} WHERE state IN {q.CLOSED} GROUP BY strat) s JOIN bars b ON b.sym = 'AF' GROUP BY s.strat) h USING (channel)
+  JOIN mdel e USING (channel) JOIN (SELECT strat AS channel, win_rate FROM ({q.metrics(runs)})) x USING (channel) JOIN (SELECT strat AS channel, max_drawdown FROM ({q.drawdown(runs)})) dd USING (channel) CROSS JOIN (SELECT max(t) AS now FROM bars) z
+  JOIN (SELECT s.channel, count(*) AS parsed, count(*) FILTER (s.px IS NULL) AS no_data, count(*) FILTER (p.off_entry > 0.03) AS far, count(*) FILTER (p.off_entry <= 0.03 AND f.plan_id IS NULL) AS unfilled FROM msgpx s LEFT JOIN mplan0 p ON p.plan_id = s.channel || '|' || s.id LEFT JOIN {plans} f ON f.plan_id = p.plan_id GROUP BY s.channel) g USING (channel)"""
 
 
-@register("ag_channel_card", q.query(CARD))
-def ag_channel_card(spark, d):
-    real, flipped = channel_runs(spark, d, True)
-    plan = channel_plans(spark, d).select("channel", "id", "plan_id", "off_entry").persist()
-    px = priced(spark, d).select("channel", "id", "px")
-    filled = real.select("plan_id", F.lit(1).alias("_f"))
-    g = px.join(plan, ["channel", "id"], "left").join(filled, "plan_id", "left").groupBy("channel").agg(
+def card(m, px, bars, mode: str):
+    """One row a channel: strict tests what the market filled, lenient what was said; both against their own chance band."""
+    real, flipped = channel_runs(px, bars, mode == "strict")
+    done = real.select("plan_id", F.lit(1).alias("_f"))
+    g = px.join(channel_plans(px).select("channel", "id", "plan_id", "off_entry"), ["channel", "id"], "left").join(done, "plan_id", "left").groupBy("channel").agg(
         F.count(F.lit(1)).alias("parsed"), F.count(F.when(F.col("px").isNull(), 1)).alias("no_data"), F.count(F.when(F.col("off_entry") > 0.03, 1)).alias("far"),
         F.count(F.when((F.col("off_entry") <= 0.03) & F.col("_f").isNull(), 1)).alias("unfilled"))
-    m = rendered(spark, d)
-    out = monkey(real, flipped).withColumnRenamed("n", "tested").join(m.groupBy("channel").agg(F.count(F.lit(1)).alias("messages")), "channel").join(g, "channel")
-    out = out.join(hold(real, fx.bars_1d(spark, d).where("sym = 'AF'")), "channel").join(ms.deleted_share(m), "channel")
+    said = m.groupBy("channel").agg(F.count(F.lit(1)).alias("messages"), F.max("t").alias("last_t"))
+    now = bars.agg(F.max("t")).first()[0]
     ch = lambda df: df.withColumnRenamed("strat", "channel")
-    out = out.join(ch(mt.metrics(real)).select("channel", "win_rate"), "channel").join(ch(mt.drawdown(real)).select("channel", "max_drawdown"), "channel")
-    return b.r6(out, "hold", "deleted").select("channel", "messages", "parsed", "tested", "no_data", "far", "unfilled", "real_r", "control_mean", "band_lo", "band_hi", "p", "t", "win_rate", "max_drawdown", "hold", "deleted", "verdict")
+    out = monkey(real, flipped).withColumnRenamed("n", "tested").join(said, "channel").join(g, "channel").join(hold(real, bars.where("sym = 'AF'")), "channel").join(ms.deleted_share(m), "channel")
+    out = out.join(ch(mt.metrics(real)).select("channel", "win_rate"), "channel").join(ch(mt.drawdown(real)).select("channel", "max_drawdown"), "channel").withColumn("mode", F.lit(mode))
+    out = out.withColumn("badge", pl.badge(F.col("tested"), F.col("t"), F.col("p"), (F.lit(now) - F.col("last_t")) / float(b.DAY), F.col("deleted")))
+    return b.r6(out, "hold", "deleted").select("channel", "mode", "messages", "parsed", "tested", "no_data", "far", "unfilled", "real_r", "control_mean", "band_lo", "band_hi", "p", "t", "win_rate", "max_drawdown", "hold", "deleted", "verdict", "badge")
+
+
+@register("ag_channel_card", q.query(card_sql("strict", "mfilled", "sruns") + " UNION ALL " + card_sql("lenient", "mplans", "mruns")))
+def ag_channel_card(spark, d):
+    m = rd.stored(rendered(spark, d), "messages")
+    bars = rd.stored(fx.bars_1d(spark, d), "bars")
+    px = rd.stored(jn.as_of_message(signals(m.unionByName(talk(spark, d))), bars), "priced")
+    return card(m, px, bars, "strict").unionByName(card(m, px, bars, "lenient"))

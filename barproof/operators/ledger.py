@@ -47,7 +47,17 @@ def recent(signals: DataFrame, n: int = 200) -> DataFrame:
     return signals.orderBy(F.desc("t0"), "id").limit(n)
 
 
-def public_json(signals: DataFrame, n: int = 200) -> DataFrame:
-    """The newest signals as one JSON document (n rows at most)."""
-    s = recent(signals, n).select(F.struct("t0", "id").alias("k"), F.to_json(F.struct("id", "sym", "side", F.round("entry", 4).alias("entry"), "t0", F.col("t_end").alias("tEnd"), "state")).alias("j"))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "j"))), lambda x: x["j"]), ","), F.lit("]")).alias("json"))
+#: The public document.
+PUBLIC = """stats struct<runs: long, signals: long, firstRun: long>, signals array<struct<id: string, sym: string, disp: string, tf: string, side: int, entry: double, sl: double, tp1: double, tp2: double, rm: double, dStop: double,
+  t0: long, tEnd: long, state: string, half: boolean, closedAt: long, closePx: double, R: double>>"""
+
+
+def public_json(signals: DataFrame, stats: DataFrame, n: int = 200) -> DataFrame:
+    """The newest signals (n at most, newest first) and the run statistics as one JSON document: n, json."""
+    names = {"d_stop": "dStop", "t_end": "tEnd", "closed_at": "closedAt", "close_px": "closePx", "r": "R"}
+    fields = ["id", "sym", "disp", "tf", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end", "state", "half", "closed_at", "close_px", "r"]
+    one = recent(signals, n).select((-F.col("t0")).alias("k"), "id", F.struct(*[F.col(c).alias(names.get(c, c)) for c in fields]).alias("s"))
+    listed = one.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id", "s"))), lambda x: x["s"]).alias("signals"))
+    said = stats.agg(F.first(F.struct(F.col("runs"), F.col("new_sigs").alias("signals"), F.col("first_run").alias("firstRun"))).alias("stats"))
+    both = listed.withColumn("_one", F.lit(1)).join(said.withColumn("_one", F.lit(1)), "_one")  # one row each
+    return both.select(F.size("signals").alias("n"), F.to_json(F.struct("stats", "signals")).alias("json"))

@@ -24,11 +24,24 @@ def metrics(runs: DataFrame, by: str = "strat") -> DataFrame:
         *[count(F.col("state") == s).alias(f"n_{s}") for s in pl.CLOSED], count(~done).alias("skipped"))
 
 
-def drawdown(runs: DataFrame, by: str = "strat", order: tuple[str, ...] = ("t0", "sym")) -> DataFrame:
-    """Largest fall of the running total below its peak (peak starts at 0), in plan order within a strategy."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    e = pl.closed(runs).withColumn("_eq", F.sum("r").over(w)).withColumn("_peak", F.greatest(F.lit(0.0), F.max("_eq").over(w)))
-    return e.groupBy(by).agg(F.round(F.max(F.col("_peak") - F.col("_eq")), 6).alias("max_drawdown"), F.round(F.max_by("_eq", F.struct(*order)), 6).alias("final_equity"))
+#: Length of the blocks of plans by start, in milliseconds.
+BLOCK = 512 * 86_400_000
+
+
+def drawdown(runs: DataFrame, by: str = "strat", order: tuple[str, ...] = ("t0", "sym"), block_ms: int = BLOCK) -> DataFrame:
+    """Largest fall of the running total below its peak (peak starts at 0), in plan order within a strategy.
+
+    Blocks of time have their own running totals; a block's total, highest and
+    lowest point and largest fall say all that later blocks need.
+    """
+    w = Window.partitionBy(by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    e = pl.closed(runs).withColumn("_b", F.floor(F.col(order[0]) / block_ms)).withColumn("_eq", F.sum("r").over(w)).withColumn("_peak", F.max("_eq").over(w))
+    g = e.groupBy(by, "_b").agg(F.sum("r").alias("_sum"), F.max("_eq").alias("_high"), F.min("_eq").alias("_low"), F.max(F.col("_peak") - F.col("_eq")).alias("_fall"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    g = g.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    g = g.withColumn("_top", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_high")).over(before)))
+    fall = F.greatest(F.col("_fall"), F.col("_top") - F.col("_base") - F.col("_low"))
+    return g.groupBy(by).agg(F.round(F.max(fall), 6).alias("max_drawdown"), F.round(F.sum("_sum"), 6).alias("final_equity"))
 
 
 def t_stat(r: Column) -> Column:
@@ -40,11 +53,14 @@ def t_stats(runs: DataFrame, by: str = "strat") -> DataFrame:
     return pl.closed(runs).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(t_stat(F.col("r")), F.lit(0.0)), 6).alias("t"))
 
 
-def halves(runs: DataFrame, by: str = "strat", order: tuple[str, ...] = ("t0", "sym")) -> DataFrame:
-    """Mean R of the first floor(n/2) closed runs and of the rest."""
+def halves(runs: DataFrame, by: str = "strat", order: tuple[str, ...] = ("t0", "sym"), block_ms: int = BLOCK) -> DataFrame:
+    """Mean R of the first floor(n/2) closed runs and of the rest; places come from counts of blocks and places within them."""
+    e = pl.closed(runs).withColumn("_b", F.floor(F.col(order[0]) / block_ms))
+    blocks = e.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(by)
-    e = pl.closed(runs).withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    first = F.col("_i") <= F.floor(F.col("_n") / 2)
+    blocks = blocks.withColumns({"_n": F.sum("_m").over(w), "_first": F.sum("_m").over(w.orderBy("_b")) - F.col("_m")})  # one row a block
+    e = e.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order))).join(blocks, [by, "_b"])
+    first = F.col("_first") + F.col("_i") <= F.floor(F.col("_n") / 2)
     return e.groupBy(by).agg(F.round(F.coalesce(F.avg(F.when(first, F.col("r"))), F.lit(0.0)), 6).alias("h1"), F.round(F.coalesce(F.avg(F.when(~first, F.col("r"))), F.lit(0.0)), 6).alias("h2"))
 
 

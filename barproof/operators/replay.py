@@ -40,12 +40,12 @@ def replay(plans: DataFrame, bars: DataFrame, bucket_ms: int = DAY) -> DataFrame
     j = j.select("plan_id", "entry", "t", "c", stopped(F.col("sl")).alias("x_sl"), stopped(F.col("entry")).alias("x_be"),
                  (hit(F.col("tp1")) & (F.col("tp1") != 0)).alias("x_1"), hit(F.col("tp2")).alias("x_2"))
     w = Window.partitionBy("plan_id")
-    j = j.withColumn("t_1", F.min(F.when(F.col("x_1"), F.col("t"))).over(w))
-    g = j.groupBy("plan_id").agg(
-        F.min(F.when(F.col("x_sl"), F.col("t"))).alias("t_sl"), F.first("t_1").alias("t_1"), F.min(F.when(F.col("x_2"), F.col("t"))).alias("t_2"),
-        F.min(F.when(F.col("x_2") & (F.col("t") >= F.col("t_1")), F.col("t"))).alias("t_2h"),
-        F.min(F.when(F.col("x_be") & (F.col("t") > F.col("t_1")), F.col("t"))).alias("t_be"),
-        F.max("t").alias("t_last"), F.max_by("c", "t").alias("c_last"), F.sort_array(F.collect_list("t")).alias("ts"))
+    first = lambda c: F.min(F.when(c, F.col("t"))).over(w)
+    j = j.withColumns({"t_sl": first(F.col("x_sl")), "t_1": first(F.col("x_1")), "t_2": first(F.col("x_2")), "t_last": F.max("t").over(w)})
+    j = j.withColumns({"t_2h": first(F.col("x_2") & (F.col("t") >= F.col("t_1"))), "t_be": first(F.col("x_be") & (F.col("t") > F.col("t_1")))})
+    times = ("t_sl", "t_1", "t_2", "t_2h", "t_be", "t_last")
+    # bars up to each time that can end the plan
+    g = j.groupBy("plan_id").agg(*[F.first(t).alias(t) for t in times], F.max_by("c", "t").alias("c_last"), *[F.count(F.when(F.col("t") <= F.col(t), 1)).alias(f"n{t[1:]}") for t in times if t != "t_1"])
     out = plans.join(g, "plan_id", "left")
     far = F.lit(2**62)
     c = lambda n: F.coalesce(n, far)
@@ -63,8 +63,8 @@ def replay(plans: DataFrame, bars: DataFrame, bucket_ms: int = DAY) -> DataFrame
     r = F.when(F.col("t_last").isNull(), 0.0).when(stop, -1.0).when(full, F.col("rm")).when(half & be, 0.5).when(half & tp2h, 0.5 + 0.5 * F.col("rm")).when(half, 0.5 + 0.5 * open_r).otherwise(open_r)
     is_half = F.coalesce(F.col("t_last").isNotNull() & ~stop & ~full & half, F.lit(False))
     out = out.withColumns({"state": kind, "at": at.cast("long"), "px": px, "r": r, "half": is_half})
-    n = F.size(F.filter("ts", lambda t: t <= F.col("at")))
-    return out.withColumn("n", F.when(F.col("t_last").isNull(), 0).otherwise(n).cast("long")).drop("t_sl", "t_1", "t_2", "t_2h", "t_be", "t_last", "c_last", "ts")
+    n = F.when(stop, F.col("n_sl")).when(full, F.col("n_2")).when(half & be, F.col("n_be")).when(half & tp2h, F.col("n_2h")).otherwise(F.col("n_last"))
+    return out.withColumn("n", F.when(F.col("t_last").isNull(), 0).otherwise(n).cast("long")).drop(*times, "c_last", *[f"n{t[1:]}" for t in times])
 
 
 def run(plans: DataFrame, bars: DataFrame, f8: float | None = None, bucket_ms: int = DAY) -> DataFrame:

@@ -36,12 +36,28 @@ def anchors(bars: DataFrame, warmup: int = 0, step: int = 1, start: int | None =
     return out.select(F.col("t").alias("anchor"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, values: list[str], found: str = "found_t") -> DataFrame:
-    """Backward, inclusive as-of join: the last right row with right_t <= left_t, by union and one window (no range join)."""
+#: Length of the spans that an as-of join is split into, in milliseconds.
+SPAN = 512 * 86_400_000
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, values: list[str], found: str = "found_t", span_ms: int = SPAN) -> DataFrame:
+    """Backward, inclusive as-of join: the last right row with right_t <= left_t, by union and windows (no range join).
+
+    A key's rows are split by spans of time, so a key that holds most rows is
+    spread: each span is one window of its own, and what holds when a span begins
+    is carried in from one row for each key and span before it.
+    """
     r = right.select(*keys, F.col(right_t).alias("_t"), F.lit(0).alias("_k"), F.struct(F.col(right_t).alias("_rt"), *values).alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
     l = left.select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"), F.struct(*[left[c] for c in left.columns]).alias("_l"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_k = 1")
+    span = F.floor(F.col("_t") / span_ms).alias("_s")
+    ends = r.groupBy(*keys, span).agg(F.max_by("_v", "_t").alias("_c"))
+    w = Window.partitionBy(*keys, "_s").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(l).withColumn("_s", F.floor(F.col("_t") / span_ms)).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_k = 1")
+    # the carry: spans that have left rows, each as-of in the ends (few rows a key)
+    asked = l.select(*keys, span).distinct().withColumn("_c", F.lit(None).cast(r.schema["_v"].dataType)).withColumn("_q", F.lit(0))
+    line = ends.select(*keys, "_s", "_c").withColumn("_q", F.lit(1)).unionByName(asked)
+    carried = line.withColumn("_c", F.last("_c", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_s", "_q").rowsBetween(Window.unboundedPreceding, -1))).where("_q = 0").drop("_q")
+    both = both.join(carried, [*keys, "_s"], "left").withColumn("_v", F.coalesce("_v", "_c"))
     return both.select("_l.*", F.col("_v._rt").alias(found), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -112,31 +128,32 @@ def candidates(names: list[str], feats: DataFrame, anchor_rows: DataFrame, per_d
 def admit(cand: DataFrame) -> DataFrame:
     """Keeps a plan unless one of its symbol and side is open; an open opposite plan is cut at the new plan's time.
 
-    The fold is order-dependent, so it runs per (strategy, symbol) on what it
-    needs only: time, side and expiry of candidates (at most one per anchor).
-    What a flip cuts is found afterwards by a window.
+    Shadow plans (``shadow``, where there is such a column) have a ledger of their
+    own, in which nothing is cut.  The fold is order-dependent, so it runs per
+    (strategy, symbol, ledger) on what it needs only: time, side and expiry of
+    candidates (at most one per anchor).  What a flip cuts is found afterwards by
+    a window.
     """
-    schema = "plan_id string"
+    by = ["strat", "sym"] + ["shadow"] * ("shadow" in cand.columns)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t0", "side"], kind="stable")
+        shadow = "shadow" in pdf and bool(pdf["shadow"].iloc[0])
         ends, keep = {1: None, -1: None}, []
         for pid, t, side, end in zip(pdf["plan_id"], pdf["t0"], pdf["side"], pdf["t_end"]):
             if ends[side] is not None and ends[side] > t:
                 continue
-            if ends[-side] is not None and ends[-side] > t:
+            if not shadow and ends[-side] is not None and ends[-side] > t:
                 ends[-side] = None
             ends[side] = end
             keep.append(pid)
         return pd.DataFrame({"plan_id": keep})
 
-    kept = cand.select("strat", "sym", "plan_id", "t0", "side", "t_end").groupBy("strat", "sym").applyInPandas(fold, schema)
+    kept = cand.select(*by, "plan_id", "t0", "side", "t_end").groupBy(*by).applyInPandas(fold, "plan_id string")
     out = cand.join(kept, "plan_id", "left_semi")
-    nxt = F.min(F.when(F.col("side") == 1, F.col("t0"))).over(_after()), F.min(F.when(F.col("side") == -1, F.col("t0"))).over(_after())
+    later = Window.partitionBy(*by).orderBy("t0").rangeBetween(1, Window.unboundedFollowing)
+    nxt = F.min(F.when(F.col("side") == 1, F.col("t0"))).over(later), F.min(F.when(F.col("side") == -1, F.col("t0"))).over(later)
     flip = F.when(F.col("side") == 1, nxt[1]).otherwise(nxt[0])
-    cut = flip.isNotNull() & (flip < F.col("t_end"))
+    if "shadow" in by:
+        flip = F.when(~F.col("shadow"), flip)
     return out.withColumn("_flip", flip).withColumns({"flipped": F.coalesce(F.col("_flip") < F.col("t_end"), F.lit(False)), "t_end": F.least("t_end", F.coalesce("_flip", "t_end"))}).drop("_flip")
-
-
-def _after():
-    return Window.partitionBy("strat", "sym").orderBy("t0").rangeBetween(1, Window.unboundedFollowing)

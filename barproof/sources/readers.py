@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,11 +14,27 @@ BAR_SCHEMA = T.StructType([T.StructField("t", T.LongType()), *(T.StructField(x,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (a temporary one only where none is set, as in tests)."""
-    import tempfile
+    """A new path in the cluster's shared folder (a temporary one only where none is set and everything runs in one process, as in tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barproof-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='barproof-')}/{name}-{uuid.uuid4().hex}"
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, however many steps read them, and kept if executors go."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _with_path(df: DataFrame) -> DataFrame:
+    """Symbol and timeframe come from the path."""
+    at = F.input_file_name()
+    return df.select(F.regexp_extract(at, r"sym=([^/]+)", 1).alias("sym"), F.regexp_extract(at, r"tf=([^/]+)", 1).alias("tf"), *"tohlcv")
 
 
 def write_bars_json(bars: DataFrame, path: str, tf: str) -> None:
@@ -25,10 +43,32 @@ def write_bars_json(bars: DataFrame, path: str, tf: str) -> None:
 
 
 def read_bars_json(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of all symbols and timeframes; symbol and timeframe come from the path."""
-    at = F.input_file_name()
-    df = spark.read.schema(BAR_SCHEMA).option("recursiveFileLookup", "true").json(path)
-    return df.select(F.regexp_extract(at, r"sym=([^/]+)", 1).alias("sym"), F.regexp_extract(at, r"tf=([^/]+)", 1).alias("tf"), *"tohlcv")
+    """Bars of all symbols and timeframes, from JSON lines."""
+    return _with_path(spark.read.schema(BAR_SCHEMA).option("recursiveFileLookup", "true").json(path))
+
+
+def write_bars_array(bars: DataFrame, path: str, tf: str, span_ms: int = 366 * 86_400_000) -> None:
+    """Files that hold one JSON array of a symbol's bars each, in order of time; a file spans a year, so none grows without bound."""
+    one = bars.groupBy("sym", F.floor(F.col("t") / span_ms).alias("_y")).agg(F.array_sort(F.collect_list(F.struct(*"tohlcv"))).alias("_a"))
+    one.select("sym", F.lit(tf).alias("tf"), "_y", F.to_json("_a").alias("value")).write.partitionBy("sym", "tf", "_y").text(path)
+
+
+def read_bars_array(spark: SparkSession, path: str) -> DataFrame:
+    """Bars from files of one JSON array each."""
+    return _with_path(spark.read.schema(BAR_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path))
+
+
+def write_bars_csv(bars: DataFrame, path: str, tf: str) -> None:
+    """One folder of CSV files with a header per symbol and timeframe."""
+    bars.select("sym", F.lit(tf).alias("tf"), *"tohlcv").write.partitionBy("sym", "tf").option("header", "true").csv(path)
+
+
+def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Bars from CSV files with a header."""
+    return _with_path(spark.read.schema(BAR_SCHEMA).option("header", "true").option("recursiveFileLookup", "true").csv(path))
+
+
+BAR_FORMATS = {"lines": (write_bars_json, read_bars_json), "array": (write_bars_array, read_bars_array), "csv": (write_bars_csv, read_bars_csv)}
 
 
 def latest(pages: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -78,7 +118,7 @@ def read_plans_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def messages_from_html(pages: DataFrame) -> DataFrame:
     """(channel, html) of saved channel pages -> one row per message id: channel, id, t, text."""
-    block = F.explode(F.slice(F.split("html", "tgme_widget_message_wrap"), 2, 1_000_000))
+    block = F.explode(F.filter(F.split("html", "tgme_widget_message_wrap"), lambda x, i: i > 0))
     b = pages.select("channel", block.alias("b"))
     grab = lambda p: F.regexp_extract("b", p, 1)
     text = grab(r'(?s)tgme_widget_message_text[^>]*>(.*?)</div>')
