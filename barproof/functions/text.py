@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: what counts as a number, and the borders of words
 NUMBER = r"(?<![A-Za-z])([0-9][0-9.,]*)(?![0-9])"
 BORDER_L, BORDER_R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def number(s: Column) -> Column:
     """'1.234,56' -> 1234.56, '63,000' -> 63000, '0,45' -> 0.45; a trailing mark is ignored; else null."""
+    # fixed values: decimal comma after points, thousands with commas, leading number
     s = F.regexp_replace(s, r"\s", "")
     local = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     text = F.when(s.rlike(r",\d{1,2}$") & s.contains("."), local).when(s.rlike(r"^\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(s, F.lit(","), F.lit("")))

@@ -1,17 +1,12 @@
-"""Queries on the distribution model."""
+"""Queries on the distribution model's variance windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barproof.jobs import base as b
 from barproof.jobs import sql as q
-from barproof.jobs.ledger_jobs import family
 from barproof.jobs.registry import register
-from barproof.operators import features as ft
 from barproof.operators import model as md
-from barproof.operators import plans as pl
-from barproof.operators import walk
 from barproof.sources import fixtures as fx
 
 W30 = "avg(CASE WHEN i >= 1 THEN r1 * r1 END) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
@@ -36,124 +31,3 @@ def wn_zscore(spark, d):
   WHERE i >= 180 AND i % {HZ // 2} = 0 AND s > 0 AND l > 0 AND f > 0 GROUP BY sym, k) GROUP BY sym"""))
 def wn_blend(spark, d):
     return md.blend_weights(fx.bars_1d(spark, d), 1, HZ)
-
-
-#: The reference's walk-forward: an anchor a day after a year's bars, 1,500 paths, and 12 repetitions of the chance run.
-WARMUP, STEP, PATHS, REPS = 365, 1, 1500, 12
-
-
-def groups(spark, d):
-    bars = fx.bars_1d(spark, d)
-    return md.prefixes(bars, walk.anchors(bars, WARMUP, STEP))
-
-
-KEY = "sym string, anchor long"
-
-
-@register("wn_season")
-def wn_season(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        ret = np.concatenate(([0.0], np.diff(np.log(pdf["c"].to_numpy()))))
-        return pd.DataFrame({"sym": pdf["sym"], "t": pdf["t"], "sea": md.season(ret, pdf["how"].to_numpy(), 24)})
-
-    h = fx.bars_1h(spark, d).withColumn("how", ft.ny_hour_of_week(F.col("t")))
-    return h.select("sym", "t", "c", "how").groupBy("sym").applyInPandas(run, "sym string, t long, sea double").withColumn("sea", F.nanvl("sea", F.lit(None).cast("double")))
-
-
-@register("md_quantreg")
-def md_quantreg(spark, d):
-    def kernel(s):
-        z, x = s["u"][1:], abs(s["u"][:-1])
-        return [(t, *md.quantile_regression(z, x, t)) for t in (0.1, 0.25, 0.5, 0.75, 0.9)]
-
-    return md.per_group(groups(spark, d), 1, kernel, f"{KEY}, tau double, a double, b double")
-
-
-@register("md_gpd")
-def md_gpd(spark, d):
-    def kernel(s):
-        import numpy as np
-
-        u = np.abs(s["u"])
-        cut = np.quantile(u, 0.85)
-        fit = md.gpd_fit(u[u > cut] - cut)
-        return [] if fit is None else [(*map(float, fit), float(cut + md.gpd_quantile(fit, 0.05 / 0.15)))]
-
-    return md.per_group(groups(spark, d), 1, kernel, f"{KEY}, shape double, scale double, q95 double")
-
-
-@register("md_calib")
-def md_calib(spark, d):
-    return md.per_group(groups(spark, d), 1, lambda s: [(hz, p, float(v)) for hz in s["horizons"] for p, v in s["q"][hz].items()], f"{KEY}, hz int, p double, z double")
-
-
-@register("md_cone")
-def md_cone(spark, d):
-    return md.per_group(groups(spark, d), 1, md.cone, f"{KEY}, step int, p double, price double")
-
-
-@register("md_state")
-def md_state(spark, d):
-    return md.per_group(groups(spark, d), 1, lambda s: [tuple(map(float, md.state(s)[1]))], f"{KEY}, mom5 double, mom20 double, regime double")
-
-
-@register("md_neighbors")
-def md_neighbors(spark, d):
-    return md.per_group(groups(spark, d), 1, lambda s: [(hz, int(j)) for hz in s["horizons"][:1] for j in md.neighbours(*md.state(s), hz)], f"{KEY}, hz int, j int")
-
-
-EVAL = f"{KEY}, side int, hz int, q double, rm double, ev double, se double, p_win double, p_loss double, d_stop double, t_med int"
-
-
-def _evaluate(s, paths: int, seed: int, cond: bool = False, demean: bool = False):
-    out, near, walked = [], {}, {}
-    if cond:
-        z, now = md.state(s)
-        near = {hz: md.neighbours(z, now, hz) for hz in s["horizons"]}
-    for side, hz, q_, rm in md.combos(s):
-        if hz not in walked and len(s["u"]) >= hz * 4:
-            walked[hz] = md.walks(s, hz, paths, seed, demean, near.get(hz))
-        if r := md.evaluate(s, side, hz, q_, rm, paths, seed, demean, near.get(hz), walked=walked.get(hz)):
-            out.append((side, hz, q_, rm, float(r["ev"]), float(r["se"]), r["p_win"], r["p_loss"], float(r["d_stop"]), r["t_med"]))
-    return out
-
-
-@register("md_eval")
-def md_eval(spark, d):
-    return md.per_group(groups(spark, d), 1, lambda s: _evaluate(s, PATHS, 987654), EVAL)
-
-
-@register("md_eval_cond")
-def md_eval_cond(spark, d):
-    return md.per_group(groups(spark, d), 1, lambda s: _evaluate(s, PATHS, 987654, True), EVAL)
-
-
-@register("md_single")
-def md_single(spark, d):
-    """Direction-free expectation of the book's last plans, per symbol, with the symbol's own returns."""
-    def kernel(s):
-        stop = float(s["sig"][-1] * 5**0.5)
-        return [(side, *md.undirected(s["ret"][1:], side, stop, 2 * stop, 4000, 60, 7)) for side in md.SIDES]
-
-    return md.per_group(groups(spark, d), 1, kernel, f"{KEY}, side int, p_win double, p_loss double, mean_r double, median_bars double")
-
-
-@register("st_model_scan")
-def st_model_scan(spark, d):
-    """Model scan: real and demeaned (chance) evaluations per group, family threshold by anchor, best combination per asset, two gates."""
-    schema = f"{KEY}, rep int, side int, hz int, q double, rm double, ev double, se double, p_win double, p_loss double, d_stop double, t_med int"
-
-    def kernel(s):
-        real = [(-1, *x) for x in _evaluate(s, PATHS, 987654)]
-        # of each chance run only the largest expectation counts, so only its row leaves the group
-        chance = [(rep, *max(found, key=lambda x: x[4])) for rep in range(REPS) if (found := _evaluate(s, PATHS, 3000 + rep * 7919, demean=True))]
-        return real + chance
-
-    rows = md.per_group(groups(spark, d), 1, kernel, schema).persist()
-    fam = family(rows.where("rep >= 0").select("anchor", "rep", "ev"))
-    best = rows.where("rep = -1").groupBy("anchor", "sym").agg(F.max_by(F.struct("side", "hz", "q", "rm", "ev", "se", "d_stop", "t_med"), F.struct("ev", "side")).alias("_b")).select("anchor", "sym", "_b.*")
-    return best.join(fam, "anchor").withColumns(pl.gate(F.col("ev"), F.col("se"), F.col("fam_hi")))

@@ -1,29 +1,11 @@
-"""Distribution model: small numpy kernels that run per (symbol, anchor) group.
-
-A group is one symbol's bars up to an anchor: the whole prefix, so warm-up,
-season, blend weights and bootstrap pool are those of all the past.  Groups are
-many, one for each symbol and anchor, so they spread well.
-"""
+"""Variance windows of the distribution model, with built-in functions."""
 
 from __future__ import annotations
 
-import functools
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barproof.operators import features as ft
-from barproof.operators import plans as pl
-
-QUANTILES = (0.05, 0.10, 0.25, 0.75, 0.90, 0.95)
-HORIZONS, CAP = (15, 30, 60, 120), 120
-SIDES, STOPS, RATIOS = (1, -1), (0.05, 0.10, 0.25), (1.0, 1.5, 2.0, 3.0)
-
-
-# ---- windows with built-in functions ----
 
 
 def with_base_vol(bars: DataFrame, per_day: int, days: int = 30, season: str | None = None) -> DataFrame:
@@ -60,290 +42,3 @@ def blend_weights(bars: DataFrame, per_day: int, hz: int, short: int = 30, long:
     g = p.groupBy("sym", "k").agg(F.sum(err).alias("e"), F.count(F.lit(1)).alias("n"))
     best = g.groupBy("sym").agg(F.min_by("k", F.struct(F.round("e", 9), "k")).alias("k"), F.max("n").alias("n"))
     return best.select("sym", F.round(F.when(F.col("n") < least, 1.0).otherwise(F.col("k") * 0.05), 2).alias("w"), "n")
-
-
-# ---- kernels ----
-
-
-def basis(how: np.ndarray) -> np.ndarray:
-    """Fourier terms of the hour of the day and of the week."""
-    cols = [np.ones(len(how))]
-    for period, order in ((24, 4), (168, 3)):
-        for k in range(1, order + 1):
-            a = 2 * np.pi * k * how / period
-            cols += [np.cos(a), np.sin(a)]
-    return np.stack(cols, 1)
-
-
-def season(ret: np.ndarray, how: np.ndarray, per_day: int) -> np.ndarray:
-    """Causal variance factor by hour of week: expanding regression of log squared returns, refitted every 30 days.
-
-    There are 168 distinct regressors, so each refit works on sums by hour.
-    """
-    n = len(ret)
-    y = np.log(ret**2 + 1e-12)
-    warm, refit = min(int(n * 0.35), 180 * per_day), 30 * per_day
-    x, out = basis(np.arange(168)), np.full(n, np.nan)
-    for t0 in range(max(warm, 2), n, refit):
-        m = np.bincount(how[1:t0], minlength=168).astype(float)
-        s = np.bincount(how[1:t0], weights=y[1:t0], minlength=168)
-        coef = np.linalg.lstsq((x * m[:, None]).T @ x, x.T @ s, rcond=1e-10)[0]
-        fit = x @ coef
-        end = min(t0 + refit, n)
-        out[t0:end] = np.exp(fit[how[t0:end]] - (fit * m).sum() / m.sum())
-    return out
-
-
-def quantile_regression(y: np.ndarray, x: np.ndarray, tau: float, rounds: int = 140, tol: float = 1e-6) -> tuple[float, float]:
-    """a + b x at quantile tau by iteratively reweighted least squares from the empirical quantile."""
-    a, b = float(np.sort(y)[min(len(y) - 1, max(0, round(tau * (len(y) - 1))))]), 0.0
-    for _ in range(rounds):
-        r = y - (a + b * x)
-        w = np.where(r > 0, tau, 1 - tau) / np.maximum(np.abs(r), 1e-3)
-        s0, s1, s2, t0, t1 = w.sum(), (w * x).sum(), (w * x * x).sum(), (w * y).sum(), (w * x * y).sum()
-        det = s0 * s2 - s1 * s1
-        if abs(det) < 1e-14:
-            break
-        na, nb = (t0 * s2 - t1 * s1) / det, (s0 * t1 - s1 * t0) / det
-        moved, a, b = abs(na - a) + abs(nb - b), na, nb
-        if moved < tol:
-            break
-    return a, b
-
-
-def gpd_fit(excess: np.ndarray) -> tuple[float, float] | None:
-    """Generalised Pareto (shape, scale) by probability-weighted moments; none below 25 excesses."""
-    y = np.sort(excess)
-    n = len(y)
-    if n < 25:
-        return None
-    a0, a1 = y.mean(), (y * (n - np.arange(1, n + 1)) / (n - 1)).mean()
-    den = a0 - 2 * a1
-    if abs(den) < 1e-12:
-        return None
-    k, s = a0 / den - 2, 2 * a0 * a1 / den
-    return (k, s) if s > 0 and math.isfinite(k) else None
-
-
-def gpd_quantile(fit: tuple[float, float], p: float) -> float:
-    k, s = fit
-    return -s * math.log(p) if abs(k) < 1e-6 else s / k * (1 - p**k)
-
-
-def calibrate(z: np.ndarray, mg: np.ndarray, now: float) -> dict[float, float] | None:
-    """Conditional quantiles: the middle by quantile regression, tails by scaled residuals with a shrunk Pareto fit; monotone."""
-    ok = np.isfinite(z) & np.isfinite(mg)
-    z, mg = z[ok], mg[ok]
-    if len(z) < 150:
-        return None
-    step = -(-len(z) // 2000)
-    z, mg = z[::step], mg[::step]
-    fits = {t: quantile_regression(z, mg, t) for t in (0.10, 0.25, 0.50, 0.75, 0.90)}
-    at = lambda t, x: fits[t][0] + fits[t][1] * x
-    scale = (at(0.90, mg) - at(0.10, mg)) / 2
-    good = scale > 1e-9
-    e = np.sort(((z - at(0.50, mg))[good]) / scale[good])
-    now_scale = (at(0.90, now) - at(0.10, now)) / 2
-    if len(e) < 120 or not now_scale > 1e-9:
-        return None
-    pick = lambda q: e[min(len(e) - 1, max(0, round(q * (len(e) - 1))))]
-    hi, lo, out = pick(0.85), pick(0.15), {}
-    for p in QUANTILES:
-        if 0.10 - 1e-9 <= p <= 0.90 + 1e-9:
-            out[p] = at(p, now)
-            continue
-        up = p > 0.5
-        excess = e[e > hi] - hi if up else lo - e[e < lo]
-        fit, value = gpd_fit(excess), pick(p)
-        if fit:
-            w = min(1.0, max(0.0, (len(excess) - 25) / 50))
-            far = gpd_quantile(fit, ((1 - p) if up else p) / 0.15)
-            value = w * (hi + far if up else lo - far) + (1 - w) * value
-        out[p] = at(0.50, now) + value * now_scale
-    run = -math.inf
-    for p in QUANTILES:
-        out[p] = run = max(run, out[p])
-    return out
-
-
-def core(t: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray, how: np.ndarray, per_day: int) -> dict | None:
-    """All that evaluation needs from one symbol's bars: horizons, quantiles, forward variance, normalised bars."""
-    n = len(c)
-    ret = np.concatenate(([0.0], np.diff(np.log(c))))
-    warm = min(int(n * 0.35), 180 * per_day)
-    sea = np.where(np.isfinite(s := season(ret, how, per_day)), s, 1.0)
-    d = ret**2 / np.maximum(sea, 1e-6)
-    d[0] = 0
-    cd, cs, cr = (np.concatenate(([0.0], np.cumsum(v))) for v in (d, sea, ret))
-    i = np.arange(n + 1)
-
-    def mean_back(w: int) -> np.ndarray:
-        a = np.maximum(1, i - w)
-        return (cd[i] - cd[np.minimum(a, i)]) / np.maximum(1, i - a)
-
-    b30, b1y = mean_back(30 * per_day), mean_back(min(int(n * 0.6), 365 * per_day))
-    sig = np.sqrt(b30[:n] * sea)
-    start = max(warm + max(120 * per_day, 300) + 10, int(n * 0.6))
-    cap = min(CAP, (n - warm) // 4, n - warm - max(120 * per_day, 300) - 10, (n - start) // 13)
-    if cap < 1:
-        return None
-    horizons = sorted({min(x, cap) for x in HORIZONS})
-    s2 = np.concatenate(([0.0], np.cumsum(np.where(np.isfinite(sig), sig**2, 0.0))))
-    k5 = 5 * per_day
-    mg = np.full(n, np.nan)
-    v5 = s2[k5:n] - s2[: n - k5]
-    mg[k5:] = np.where(v5 > 0, np.abs((cr[k5:n] - cr[: n - k5]) / np.sqrt(np.where(v5 > 0, v5, 1))), np.nan)
-    window = max(120 * per_day, 300)
-    quantiles, weights = {}, {}
-    for hz in horizons:
-        ks = np.arange(warm + 120 * per_day, n - hz, max(1, hz // 2))
-        f = (cd[ks + hz] - cd[ks]) / hz
-        ok = (b30[ks] > 0) & (b1y[ks] > 0) & (f > 0)
-        w = 1.0
-        if ok.sum() >= 40:
-            grid = np.arange(21) * 0.05
-            err = ((np.log(f[ok])[None] - grid[:, None] * np.log(b30[ks][ok])[None] - (1 - grid)[:, None] * np.log(b1y[ks][ok])[None]) ** 2).sum(1)
-            w = float(grid[err.argmin()])
-        weights[hz] = w
-        k = np.arange(max(warm, n - hz - window), n - hz)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            vh = np.exp(w * np.log(b30[k]) + (1 - w) * np.log(b1y[k])) * (cs[k + hz] - cs[k])
-            z = (cr[k + hz] - cr[k]) / np.sqrt(vh)
-        q = calibrate(z, mg[k], mg[n - 1] if np.isfinite(mg[n - 1]) else 0.0)
-        if q is None:
-            return None
-        quantiles[hz] = q
-    steps = horizons[-1]
-    w_at = np.interp(np.arange(1, steps + 1), horizons, [weights[x] for x in horizons])
-    forward = np.cumsum(np.repeat(sea[-1] if per_day == 1 else 1.0, steps))
-    vc = np.maximum.accumulate(np.exp(w_at * np.log(b30[n]) + (1 - w_at) * np.log(b1y[n])) * forward)
-    pc = np.concatenate(([c[0]], c[:-1]))
-    use = (np.arange(n) >= warm) & np.isfinite(sig) & (sig > 0)
-    u, uh, ul = ret[use] / sig[use], np.log(np.maximum(h, c) / pc)[use] / sig[use], np.log(np.minimum(l, c) / pc)[use] / sig[use]
-    return {"price": c[-1], "horizons": horizons, "q": quantiles, "vc": vc, "u": u, "uh": uh, "ul": ul, "mg": mg, "sig": sig, "warm": warm, "ret": ret, "use": use, "per_day": per_day}
-
-
-def cone(s: dict) -> list[tuple[int, float, float]]:
-    """(step, quantile, price) of the forecast cone."""
-    steps = np.arange(1, len(s["vc"]) + 1)
-    out = []
-    for p in QUANTILES:
-        z = np.interp(steps, s["horizons"], [s["q"][x][p] for x in s["horizons"]])
-        out += [(int(k), p, float(v)) for k, v in zip(steps, s["price"] * np.exp(z * np.sqrt(s["vc"])))]
-    return out
-
-
-def state(s: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Standardised momentum (5 and 20 days) and volatility regime at each used bar, and now."""
-    cr, cv = np.cumsum(s["ret"]), np.cumsum(np.where(np.isfinite(s["sig"]), s["sig"] ** 2, 0.0))
-    n = len(cr)
-    med = np.sort(s["sig"][s["use"]])[s["use"].sum() // 2]
-    cols = []
-    for days in (5, 20):
-        w = days * s["per_day"]
-        m = np.full(n, np.nan)
-        v = cv[w:] - cv[:-w]
-        m[w:] = np.where(v > 0, (cr[w:] - cr[:-w]) / np.sqrt(np.where(v > 0, v, 1)), np.nan)
-        cols.append(m)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cols.append(np.log(s["sig"] / med))
-    f = np.stack(cols, 1)
-    own = f[s["use"]]
-    good = own[np.isfinite(own).all(1)]
-    sd = good.std(0, ddof=1)
-    sd[sd == 0] = 1
-    return (own - good.mean(0)) / sd, (f[-1] - good.mean(0)) / sd
-
-
-def neighbours(z: np.ndarray, now: np.ndarray, hz: int, share: float = 0.15, least: int = 200) -> np.ndarray:
-    """The past windows nearest to now, by index order among ties; none overruns the horizon."""
-    cand = np.flatnonzero(np.isfinite(z[: len(z) - hz]).all(1))
-    if not np.isfinite(now).all():
-        return cand
-    d = ((z[cand] - now) ** 2).sum(1)
-    return cand[np.argsort(d, kind="stable")[: min(len(cand), max(least, int(share * len(cand))))]]
-
-
-@functools.lru_cache(64)
-def xorshift(seed: int, n: int) -> np.ndarray:
-    """n draws in [0, 1) of the 32-bit xorshift generator (13, 17, 5)."""
-    x, out = (seed | 1) & 0xFFFFFFFF, np.empty(n)
-    for k in range(n):
-        x ^= (x << 13) & 0xFFFFFFFF
-        x ^= x >> 17
-        x ^= (x << 5) & 0xFFFFFFFF
-        out[k] = x / 4294967296
-    return out
-
-
-def walks(s: dict, hz: int, paths: int, seed: int, demean: bool = False, starts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Bootstrap paths (paths x hz) of closes, lowest and highest points, and the extremes of the last two; all combinations of a horizon share them."""
-    u = s["u"]
-    sf = np.sqrt(np.diff(np.concatenate(([0.0], s["vc"][:hz]))))
-    draw = xorshift(seed, paths)
-    at = (draw * (len(u) - hz)).astype(int) if starts is None else starts[(draw * len(starts)).astype(int)]
-    block = at[:, None] + np.arange(hz)
-    mean = (u.mean() if starts is None else u[(starts[:, None] + np.arange(hz))].mean()) if demean else 0.0
-    close = np.cumsum((u[block] - mean) * sf, 1)
-    before = np.concatenate((np.zeros((paths, 1)), close[:, :-1]), 1)
-    low, high = before + (s["ul"][block] - mean) * sf, before + (s["uh"][block] - mean) * sf
-    return close, low, high, low.min(1), high.max(1)
-
-
-def evaluate(s: dict, side: int, hz: int, q: float, rm: float, paths: int, seed: int, demean: bool = False, starts: np.ndarray | None = None, cost: float = pl.COST, walked: tuple[np.ndarray, ...] | None = None) -> dict | None:
-    """Block-bootstrap barrier simulation of one combination: all paths as one (paths x hz) matrix (``walked``, if made before)."""
-    u = s["u"]
-    if len(u) < hz * 4:
-        return None
-    stop = abs((s["q"][hz][q] if side > 0 else s["q"][hz][round(1 - q, 2)]) * math.sqrt(s["vc"][hz - 1]))
-    close, low, high, least, most = walked or walks(s, hz, paths, seed, demean, starts)
-    under = lambda x: np.where(least <= x, (low <= x).argmax(1), hz)
-    over = lambda x: np.where(most >= x, (high >= x).argmax(1), hz)
-    a, b = (under(-stop), over(stop * rm)) if side > 0 else (over(stop), under(-stop * rm))
-    r = np.where((a <= b) & (a < hz), -1.0, np.where(b < hz, rm, side * close[:, -1] / stop)) - cost / stop
-    out = np.minimum(np.minimum(a, b) + 1, hz)
-    n_eff = max(8, (len(u) if starts is None else len(starts)) // hz)
-    return {"ev": r.mean(), "se": r.std() / math.sqrt(n_eff), "p_win": float(((b < a) & (b < hz)).mean()), "p_loss": float(((a <= b) & (a < hz)).mean()), "d_stop": stop, "t_med": int(np.sort(out)[(paths + 1) // 2 - 1])}
-
-
-def undirected(ret: np.ndarray, side: int, d_stop: float, d_tgt: float, paths: int, hz: int, seed: int, cost: float = pl.COST) -> tuple[float, float, float, float]:
-    """Expectation without a view on direction: past returns in blocks, each with a random sign."""
-    rng = np.random.default_rng(seed)
-    block = (rng.integers(0, len(ret), paths)[:, None] + np.arange(hz)) % len(ret)
-    c = side * np.cumsum(ret[block] * rng.choice((-1.0, 1.0), (paths, hz)), 1)
-    first = lambda x: np.where(x.any(1), x.argmax(1), hz)
-    a, b = first(c <= -d_stop), first(c >= d_tgt)
-    r = np.where((a < b), -1.0, np.where(b < hz, d_tgt / d_stop, c[:, -1] / d_stop)) - cost / d_stop
-    return float((b < a).mean()), float((a < b).mean()), float(r.mean()), float(np.median(np.minimum(np.minimum(a, b) + 1, hz)))
-
-
-# ---- groups ----
-
-
-def prefixes(bars: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each anchor's whole prefix of bars (t up to the anchor) per symbol."""
-    b = ft.with_index(bars).withColumn("how", ft.ny_hour_of_week(F.col("t")))
-    from barproof.operators import walk
-
-    at = walk.symbols_at(anchors, b, ["i"]).select("anchor", "sym", F.col("i").alias("_last"))
-    wide = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
-    return wide.join(b, ["sym", "i"]).select("anchor", "sym", "t", "h", "l", "c", "how")
-
-
-def per_group(rows: DataFrame, per_day: int, kernel, schema: str) -> DataFrame:
-    """kernel(core) -> tuples, for each (symbol, anchor)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        names = [x.split()[0] for x in schema.split(", ")]
-        s = core(*(pdf[x].to_numpy() for x in ("t", "h", "l", "c", "how")), per_day) if len(pdf) >= 260 * per_day else None
-        out = [] if s is None else [(pdf["sym"].iloc[0], int(pdf["anchor"].iloc[0]), *x) for x in kernel(s)]
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy("sym", "anchor").applyInPandas(run, schema)
-
-
-def combos(s: dict):
-    return [(side, hz, q, rm) for side in SIDES for hz in s["horizons"] for q in STOPS for rm in RATIOS]
-
-

@@ -118,6 +118,7 @@ def read_plans_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def messages_from_html(pages: DataFrame) -> DataFrame:
     """(channel, html) of saved channel pages -> one row per message id: channel, id, t, text."""
+    # fixed values: the markup of saved channel pages
     block = F.explode(F.filter(F.split("html", "tgme_widget_message_wrap"), lambda x, i: i > 0))
     b = pages.select("channel", block.alias("b"))
     grab = lambda p: F.regexp_extract("b", p, 1)
@@ -131,6 +132,7 @@ def messages_from_html(pages: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["channel", "id"])
 
 
+# fixed values: the line that begins a pasted message
 DATE_LINE = r"(?m)^[ \t]*\[?(\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})[ T,]+(\d{1,2}:\d{2})"
 
 
