@@ -3,13 +3,16 @@
 A text's shingles flip bits of a sketch: a shingle chooses a cell of 64 bits and
 a bit in it.  Two sketches of one layout then differ in at most as many bits as
 the shingle sets differ in elements, and one differing shingle changes one cell.
+For the join a cell is named by the XOR of its shingles' whole hashes, which the
+same argument holds for, and which unlike texts share only where they share the
+cell's shingles.
 Texts meet in layouts by size band; where Jaccard similarity is at least s, sets
 of sizes a and b differ in at most (1-s)/(1+s) (a+b) elements, so of one cell
 more than that at least one is equal (pigeonhole).  Spare cells make up for poor
-ones, with no more than two bits (or one, or none), which many unlike texts
-share: with e spare cells a linked pair has e + 1 equal cells, and whether a cell
-is poor depends on its bits alone, so a text sends its poor cells only if it has
-more than e of them.
+ones, with no more than one shingle (or none), which many unlike texts share: with
+e spare cells a linked pair has e + 1 equal cells, and whether a cell is poor
+depends on its shingles alone, so a text sends its poor cells only if it has more
+than e of them.
 
 1. Texts with equal sets are one class (by 128 bits of hash sums); only classes
    are joined.  Each has a number, and one text of it is stored.
@@ -87,9 +90,9 @@ class Layouts:
 
     @staticmethod
     def _spare(differ: int, size: int) -> tuple[int, int]:
-        """How many spare cells a layout has, and up to how many set bits a cell is poor: as many bits as
-        few enough spare cells allow (cells fill as by a Poisson law)."""
-        for low in (2, 1, 0):
+        """How many spare cells a layout has, and up to how many shingles a cell is poor: one if few enough
+        spare cells allow it (cells fill as by a Poisson law)."""
+        for low in (1, 0):
             spare = 3
             for _ in range(30):
                 mean = 0.9 * size / (differ + 1 + spare)
@@ -112,17 +115,28 @@ class Layouts:
         use = self.differ[layout] > 0  # else only equal sets link, and those are one class
         return which[use], layout[use]
 
-    def sketches(self, h: np.ndarray, base: np.ndarray, which: np.ndarray, layout: np.ndarray):
-        """Cells of each (text, layout), end to end, and where each begins."""
+    def _entries(self, h: np.ndarray, base: np.ndarray, which: np.ndarray, layout: np.ndarray):
+        """Each (text, layout)'s shingles with the places of their cells, and where each one's cells begin."""
         cells = self.cells[layout]
         at = np.concatenate(([0], np.cumsum(cells)))
-        sketch = np.zeros(at[-1], np.uint64)
         count = np.diff(base)[which]
         entry = np.repeat(np.arange(len(which)), count)
-        own = h[np.repeat(base[which] - (np.cumsum(count) - count), count) + np.arange(len(entry))]
-        cell = ((own >> U64(8)) % cells[entry].astype(np.uint64)).astype(np.int64)
-        np.bitwise_xor.at(sketch, at[entry] + cell, U64(1) << (own & U64(63)))
-        return sketch, at
+        own = h[tk.ranges(base[which], count)]
+        return own, at[entry] + ((own >> U64(8)) % cells[entry].astype(np.uint64)).astype(np.int64), at
+
+    def sums(self, h: np.ndarray, base: np.ndarray, which: np.ndarray, layout: np.ndarray):
+        """Of each (text, layout), end to end: the XOR of the hashes of each cell's shingles, their number, and where its cells begin."""
+        own, place, at = self._entries(h, base, which, layout)
+        out = np.zeros(at[-1], np.uint64)
+        np.bitwise_xor.at(out, place, tk.mix(own ^ U64(0x2545F4914F6CDD1D)))
+        return out, np.bincount(place, minlength=at[-1]), at
+
+    def sketches(self, h: np.ndarray, base: np.ndarray, which: np.ndarray, layout: np.ndarray):
+        """Cells as bits: each shingle flips one of its cell's 64."""
+        own, place, at = self._entries(h, base, which, layout)
+        out = np.zeros(at[-1], np.uint64)
+        np.bitwise_xor.at(out, place, U64(1) << (own & U64(63)))
+        return out, at
 
     def folded(self, sketch: np.ndarray, at: np.ndarray, layout: np.ndarray):
         """Sketches (as from ``sketches``) folded to ``words`` of their layout, and where each begins."""
@@ -207,14 +221,14 @@ def cells_of(layouts: Layouts, k: int):
             for lo, hi in tk.slices(offs, 1 << 19):
                 h, base = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k)
                 which, layout = layouts.of(np.diff(base))
-                sketch, at = layouts.sketches(h, base, which, layout)
+                value, held, at = layouts.sums(h, base, which, layout)
                 entry = np.repeat(np.arange(len(which)), np.diff(at))
-                poor = np.bitwise_count(sketch) <= layouts.poor[layout][entry]
+                poor = held <= layouts.poor[layout][entry]
                 n_poor = np.bincount(entry[poor], minlength=len(which))
                 few = n_poor <= layouts.spare[layout]
                 sends = ~(poor & few[entry])
                 need = np.minimum(layouts.spare[layout] + 1 - np.where(few, n_poor, 0), NEED)
-                mark = tk.mix(sketch + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))[sends]
+                mark = tk.mix(value + tk.mix((layout[entry] << 32).astype(np.uint64) + (np.arange(len(entry)) - at[entry]).astype(np.uint64)))[sends]
                 entry = entry[sends]
                 yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(cid[lo + which[entry]]), pa.array((layout << LAYOUT | need)[entry].astype(np.int32))], schema=CELLS)
 
