@@ -3,10 +3,11 @@
 import hashlib
 import re
 from collections import Counter
-from fractions import Fraction
 
 import pytest
 
+from tests_llm_brute import brute_components
+
 from barproof.llm import bpe, decontaminate, docstats, jaccard_join, language_id, quality_classifier, quality_rules, quotes, substring_dedup, suffix_dedup, url_filter
 
 CLASH = ("id", "key", "n", "chunk", "place", "row", "mark", "cid", "comp", "kind", "spans", "items", "said", "label", "score", "rule", "said_by", "y")
@@ -82,29 +83,6 @@ def test_suffix_dedup(docs, none, heavy):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
-def brute_components(rows, k, s):
-    sets = []
-    for _, t in rows:
-        w = re.findall(SPACE, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append(frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
-    up = list(range(len(rows)))
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, (i, _) in enumerate(rows):
-        for b in range(a):
-            x, y = sets[a], sets[b]
-            if (i is not None and i == rows[b][0] and x and y) or (x and y and len(x & y) >= Fraction(s) * len(x | y)):
-                up[top(a)] = top(b)
-    least = {}
-    for a, (i, _) in enumerate(rows):
-        least.setdefault(top(a), []).extend([i] if i is not None else [])
-    return Counter((i, len(sets[a]), (min(least[top(a)]) if least[top(a)] else None) if sets[a] else i) for a, (i, _) in enumerate(rows))
-
-
 def test_jaccard(docs, none):
     assert listed(jaccard_join.jaccard_components(docs, k=3, similarity="9/10", chunk_bytes=100_000), 3) == brute_components([r[:2] for r in ROWS], 3, "9/10")
     assert jaccard_join.jaccard_components(none).count() == 0
