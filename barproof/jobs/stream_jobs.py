@@ -38,18 +38,20 @@ def sm_bars(spark, d):
     bars.withColumn("seq", F.lit(0).cast("long")).select(*cols).write.parquet(f"{src}/b")
     stream = spark.readStream.schema(mo.BAR_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(src)
     run_to_end(mo.upsert_bars(stream, store, rd.scratch(spark, "check")))
+    mo.compact(spark, store)
     return b.r6(mo.current_bars(spark, store), "c").select("sym", "t", "c")
 
 
 @register("sm_monitor", q.query(f"""SELECT plan_id, state AS event, "at", round(r, 6) AS r FROM runs WHERE strat = 'revert3' AND state IN ('stop', 'be', 'tp2')"""))
 def sm_monitor(spark, d):
-    p = b.book(spark, d, ("revert3",))
+    f = b.feats(spark, d)
+    p = rd.stored(b.book(spark, d, ("revert3",), f), "book")
     src = rd.scratch(spark, "follow")
     names = ["plan_id", "side", "entry", "sl", "tp1", "tp2", "rm", "d_stop", "t0", "t_end"]
-    bars = rp.range_join(p.select("sym", *names), fx.bars_1d(spark, d)).select(F.lit("bar").alias("kind"), *names, "t", "h", "l")
+    bars = rp.range_join(p.select("sym", *names), f).select(F.lit("bar").alias("kind"), *names, "t", "h", "l")
     plans = p.select(F.lit("plan").alias("kind"), *names, *[F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("h", "double"), ("l", "double"))])
     rows = plans.unionByName(bars)
-    rows.coalesce(1).write.parquet(src)
+    rows.write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
     out = collected(spark, mo.follow(stream), "events")
     return out.where("event <> 'half'").select("plan_id", "event", "at", F.round("r", 6).alias("r"))
@@ -59,5 +61,5 @@ def sm_monitor(spark, d):
 def sm_admit(spark, d):
     c = b.cand(spark, d, ("revert3",)).select("strat", "sym", "plan_id", "t0", "side", "t_end")
     src = rd.scratch(spark, "cand")
-    c.coalesce(1).write.parquet(src)
+    c.write.parquet(src)
     return collected(spark, mo.admit(spark.readStream.schema(c.schema).parquet(src)), "admitted").select("plan_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,61 +12,96 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barproof.operators import plans as pl
 
+MONTH = 31 * 86_400_000
 BAR_SCHEMA = "sym string, t long, o double, h double, l double, c double, v double, seq long"
 
 
-def upsert_bars(stream: DataFrame, store: str, checkpoint: str):
-    """Bars arriving late or again: every micro-batch appends its versions to months of the store; a reader takes the newest of each (sym, t)."""
+def upsert_bars(stream: DataFrame, store: str, checkpoint: str, late: str = "3650 days"):
+    """Bars arriving late or again: every micro-batch appends its versions to months of the store; a reader takes the newest of each (sym, t).
+
+    A version that was seen before is dropped; what is remembered for that is
+    bounded by a watermark on bar time, and a bar later than ``late`` is ignored.
+    """
+    fresh = stream.withColumn("_at", F.timestamp_millis("t")).withWatermark("_at", late).dropDuplicatesWithinWatermark(["sym", "t", "seq"]).drop("_at")
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("month", F.floor(F.col("t") / (31 * 86_400_000))).write.mode("append").partitionBy("month").parquet(f"{store}/epoch={epoch}")
+        batch.withColumn("month", F.floor(F.col("t") / MONTH)).write.mode("overwrite").partitionBy("month").parquet(f"{store}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_bars(spark, store: str) -> DataFrame:
+    return _newest(spark, store).select("sym", "t", "b.*")
+
+
+def _newest(spark, store: str) -> DataFrame:
     versions = spark.read.option("recursiveFileLookup", "true").schema(BAR_SCHEMA).parquet(store)
-    return versions.groupBy("sym", "t").agg(F.max_by(F.struct("o", "h", "l", "c", "v"), "seq").alias("b")).select("sym", "t", "b.*")
+    return versions.groupBy("sym", "t").agg(F.max_by(F.struct("o", "h", "l", "c", "v"), "seq").alias("b"), F.max("seq").alias("seq"))
+
+
+def compact(spark, store: str) -> None:
+    """One version of each bar instead of all: the merged folder is written first, then the old ones go, so a reader finds every bar at any time."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(store)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in fs.listStatus(root)]
+    _newest(spark, store).select("sym", "t", "b.*", "seq").withColumn("month", F.floor(F.col("t") / MONTH)).write.partitionBy("month").parquet(f"{store}/merged={uuid.uuid4().hex}")
+    for path in old:
+        fs.delete(path, True)
 
 
 EVENTS = "plan_id string, event string, at long, r double"
-STATE = "plan_id string, side int, entry double, sl double, tp1 double, tp2 double, rm double, d_stop double, t0 long, t_end long, half boolean, done boolean, last_t long"
+STATE = "plan_id string, side int, entry double, sl double, tp1 double, tp2 double, rm double, d_stop double, t0 long, t_end long, half boolean, last_t long, early array<struct<t: long, h: double, l: double>>"
+
+
+FIELDS = tuple(f.split(" ")[0] for f in STATE.split(", early")[0].split(", ")) + ("early",)
 
 
 def follow(stream: DataFrame) -> DataFrame:
     """Rows of plans (kind 'plan') and bars (kind 'bar') with plan_id -> a row when a plan halves or closes, and only then.
 
-    State is one plan with its half flag; bars not after the last one seen are
-    ignored, so a late bar can't reopen or change a closed plan.
+    State is one plan with its half flag, or the bars that came before their plan;
+    it goes when the plan closes or a bar past its end comes.  Bars not after the
+    last one seen are ignored, and bars of a plan that is gone find no state, so a
+    late bar can't reopen or change a closed plan.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
-        s = dict(zip([f.split(" ")[0] for f in STATE.split(", ")], state.get)) if state.exists else None
-        out = []
+        s = dict(zip(FIELDS, state.get)) if state.exists else dict.fromkeys(FIELDS)
+        bars = [(int(b["t"]), b["h"], b["l"]) for b in s["early"] or ()] + [(int(b.t), b.h, b.l) for b in rows[rows.kind == "bar"].itertuples()]
         for p in rows[rows.kind == "plan"].itertuples():
-            if s is None:
-                s = {"plan_id": key[0], "side": int(p.side), "entry": p.entry, "sl": p.sl, "tp1": None if pd.isna(p.tp1) else p.tp1, "tp2": p.tp2, "rm": p.rm, "d_stop": p.d_stop, "t0": int(p.t0), "t_end": int(p.t_end), "half": False, "done": False, "last_t": int(p.t0)}
-        if s is not None:
-            for b in rows[rows.kind == "bar"].sort_values("t").itertuples():
-                if s["done"] or b.t <= s["last_t"] or b.t > s["t_end"]:
-                    continue
-                s["last_t"] = int(b.t)
-                up = s["side"] > 0
-                adv, fav = (b.l, b.h) if up else (b.h, b.l)
-                stop = s["entry"] if s["half"] else s["sl"]
-                beyond = lambda x, y: x >= y if up else x <= y
-                if round(adv, 9) <= round(stop, 9) if up else round(adv, 9) >= round(stop, 9):
-                    out.append((key[0], "be" if s["half"] else "stop", int(b.t), (0.5 if s["half"] else -1.0) - pl.COST / s["d_stop"]))
-                    s["done"] = True
-                    continue
-                if s["tp1"] and not s["half"] and beyond(round(fav, 9), round(s["tp1"], 9)):
-                    s["half"] = True
-                    out.append((key[0], "half", int(b.t), None))
-                if beyond(round(fav, 9), round(s["tp2"], 9)):
-                    out.append((key[0], "tp2", int(b.t), (0.5 + 0.5 * s["rm"] if s["half"] else s["rm"]) - pl.COST / s["d_stop"]))
-                    s["done"] = True
-            state.update(tuple(s.values()))
+            if s["plan_id"] is None:
+                s = {"plan_id": key[0], "side": int(p.side), "entry": p.entry, "sl": p.sl, "tp1": None if pd.isna(p.tp1) else p.tp1, "tp2": p.tp2, "rm": p.rm, "d_stop": p.d_stop, "t0": int(p.t0), "t_end": int(p.t_end), "half": False, "last_t": int(p.t0)}
+        if s["plan_id"] is None:  # bars of a plan that isn't here yet, or is gone
+            state.update(tuple({**s, "early": [{"t": t, "h": h, "l": lo} for t, h, lo in bars]}.values()))
+            yield pd.DataFrame(columns=["plan_id", "event", "at", "r"])
+            return
+        out, s["early"] = [], None
+        for t, h, lo in sorted(bars):
+            if t <= s["last_t"]:
+                continue
+            if t > s["t_end"]:
+                break
+            s["last_t"] = t
+            up = s["side"] > 0
+            adv, fav = (lo, h) if up else (h, lo)
+            stop = s["entry"] if s["half"] else s["sl"]
+            beyond = lambda x, y: x >= y if up else x <= y
+            if round(adv, 9) <= round(stop, 9) if up else round(adv, 9) >= round(stop, 9):
+                out.append((key[0], "be" if s["half"] else "stop", t, (0.5 if s["half"] else -1.0) - pl.COST / s["d_stop"]))
+                break
+            if s["tp1"] and not s["half"] and beyond(round(fav, 9), round(s["tp1"], 9)):
+                s["half"] = True
+                out.append((key[0], "half", t, None))
+            if beyond(round(fav, 9), round(s["tp2"], 9)):
+                out.append((key[0], "tp2", t, (0.5 + 0.5 * s["rm"] if s["half"] else s["rm"]) - pl.COST / s["d_stop"]))
+                break
+        if (out and out[-1][1] != "half") or any(t > s["t_end"] for t, _, _ in bars):
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(s[f] for f in FIELDS))
         yield pd.DataFrame(out, columns=["plan_id", "event", "at", "r"])
 
     return stream.groupBy("plan_id").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
