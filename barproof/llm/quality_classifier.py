@@ -39,17 +39,20 @@ def votes(stats: DataFrame) -> DataFrame:
     """One column per heuristic: 1 good, -1 bad, 0 nothing."""
     vote = lambda bad, good: F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
     c = F.col
+    letters = 1 - (c("n_symbols") + c("n_digits") + c("n_marks")) / F.greatest(c("word_chars"), F.lit(1))
     return stats.withColumns({
         "v_length": vote(c("n_words") < 20, c("n_words") >= 50),
         "v_repeat": vote(100 * c("n_repeat_words") > 30 * c("n_words"), 100 * c("n_repeat_words") <= 5 * c("n_words")),
         "v_symbols": vote(c("symbol_share") > 0.05, c("symbol_share") < 0.01),
         "v_lines": vote(c("dup_line_share") > 0.3, c("dup_line_share") < 0.05),
         "v_marks": vote(c("mark_share") > 0.6, (c("mark_share") > 0.01) & (c("mark_share") < 0.3)),
+        "v_letters": vote(letters < 0.85, letters > 0.93),
+        "v_words": vote((c("word_length") > 6.5) | (c("word_length") < 3), c("word_length").between(4, 6)),
         "v_case": vote((c("upper_share") > 0.3) | (c("digit_share") > 0.2), (c("upper_share") < 0.1) & (c("digit_share") < 0.05)),
     })
 
 
-VOTES = ("v_length", "v_repeat", "v_symbols", "v_lines", "v_marks", "v_case")
+VOTES = ("v_length", "v_repeat", "v_symbols", "v_lines", "v_marks", "v_letters", "v_words", "v_case")
 
 
 def fit_accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray]:
@@ -107,8 +110,8 @@ def train(text: np.ndarray, slot: np.ndarray, share: np.ndarray, y: np.ndarray,
 
 
 def _coded() -> Column:
-    """A vote pattern as a number from 1."""
-    code = F.lit(1)
+    """A vote pattern as a number."""
+    code = F.lit(0)
     for j, v in enumerate(VOTES):
         code = code + (F.col(v) + 1) * 3**j
     return code.cast("int")
@@ -119,20 +122,20 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     own = rp.whole(docs, id_col, text_col)
     judged = lambda df: votes(quality_rules.features(df))
     with graph.Tables(docs) as tables:
-        found = judged(docstats.count_texts(own, "id", "text")).groupBy(*VOTES).count().toPandas()  # at most 3^6 patterns
+        found = judged(docstats.count_texts(own, "id", "text")).groupBy(*VOTES).count().toPandas()  # at most 3^8 patterns
         if not len(found):
             return own.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).limit(0)
         patterns = found[list(VOTES)].to_numpy(int)
-        label = np.full(3 ** len(VOTES), 0.5)
-        label[((patterns + 1) * 3 ** np.arange(len(VOTES))).sum(1)] = posterior(patterns, *fit_accuracies(patterns, found["count"].to_numpy(float)))
-        labels = F.element_at(F.array(*[F.lit(float(x)) for x in label]), _coded())
+        label = posterior(patterns, *fit_accuracies(patterns, found["count"].to_numpy(float)))
+        known = docs.sparkSession.createDataFrame([(int(k), float(x)) for k, x in zip(((patterns + 1) * 3 ** np.arange(len(VOTES))).sum(1), label)], "code int, label double")
+        labelled = lambda df: judged(df).withColumn("code", _coded()).join(F.broadcast(known), "code")  # noqa: E731  a row for each pattern
 
         # hashes first, then the texts of the chosen ones only, each once
         row = F.xxhash64("id", "text").alias("row")
         chosen = own.select(row).distinct().orderBy("row").limit(sample)
         taught = own.select(row, "text").join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
         taught = tables.keep(taught.select(F.col("row").alias("doc_id"), "text"))
-        y = judged(docstats.count_texts(taught)).select("doc_id", labels.alias("label")).orderBy("doc_id").toPandas()
+        y = labelled(docstats.count_texts(taught)).select("doc_id", "label").orderBy("doc_id").toPandas()
         shares = taught.mapInArrow(_shares, "row long, slot int, share double").toArrow()
     place = np.searchsorted(y["doc_id"].to_numpy(), shares.column("row").to_numpy())
     w, bias = train(place, shares.column("slot").to_numpy(), shares.column("share").to_numpy(), y["label"].to_numpy(float))
@@ -149,7 +152,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                 s = 1 / (1 + np.exp(-np.clip(hashed(b, o, w) + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *(pa.array(c[k], pa.int64()) for k in docstats.COUNTS), pa.array(s)], schema=schema)
 
-    out = judged(own.mapInArrow(run, docstats.SQL + ", score double")).withColumn("label", labels)
+    out = labelled(own.mapInArrow(run, docstats.SQL + ", score double"))
     bad = (F.col("label") <= surely_bad) | ((F.col("label") < least_posterior) & (F.col("score") < least_score))
     return out.select("doc_id", F.round("label", 6).alias("label"), F.round("score", 6).alias("score"), (~bad).alias("kept"))
 
