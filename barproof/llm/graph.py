@@ -31,8 +31,9 @@ class Tables:
     Shuffle files behind a table go as soon as it is written.
     """
 
-    def __init__(self, df: DataFrame):
-        self.spark, self.folder, self.kept = df.sparkSession, f"{shared_folder(df)}/tables-{uuid.uuid4().hex}", {}
+    def __init__(self, df: DataFrame, parts: int | None = None):
+        """``parts``: how many tasks suffice for a table of a few bytes for each text."""
+        self.spark, self.folder, self.kept, self.parts = df.sparkSession, f"{shared_folder(df)}/tables-{uuid.uuid4().hex}", {}, parts
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.kept)}"
@@ -46,6 +47,10 @@ class Tables:
         self.kept[path] = out
         return out
 
+    def small(self, df: DataFrame) -> DataFrame:
+        """A table of links or labels: written by fewer tasks."""
+        return self.keep(df.coalesce(max(8, self.parts)) if self.parts else df)
+
     def result(self, df: DataFrame) -> DataFrame:
         """A table that outlives the work."""
         out = self.keep(df)
@@ -77,19 +82,20 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     the least of them is an aggregate with partial sums, and links of a node with
     very many neighbours are spread by the join.  Ends when no link changes.
     """
-    edges = tables.keep(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    said = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = tables.small(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
+    before = said(edges)
+    while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        old, edges = edges, tables.keep(small.distinct())
+        old, edges = edges, tables.small(small.distinct())
         tables.drop(old)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
+        now = said(edges)
+        if now == before:
             break
         before = now
     stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")

@@ -390,7 +390,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = rp.whole(docs, id_col, text_col)
     parts = rp.places_of(docs, chunk_bytes)
     sets = docs.mapInArrow(keyed(k), "id long, key binary, n long, text string")
-    with graph.Tables(docs) as tables:
+    with graph.Tables(docs, parts) as tables:
         # empty sets link with nothing: names of their own keep them apart, and from meeting in one task
         members = tables.result(sets.select("id", F.when(F.col("n") > 0, F.col("key")).otherwise(F.concat(F.lit("id "), F.coalesce("id", F.lit(0)).cast("string")).cast("binary")).alias("key"), "n"))
         own = sets.where("n > 0").groupBy("key").agg(F.first("text").alias("text"), F.min("id").alias("id"))
@@ -404,26 +404,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met = met.where(F.col("m") * 3 >= shown).withColumn("at", F.struct("m", "leader"))
         top = met.groupBy("cid").agg(F.max("at").alias("one"), F.max_by("at", F.struct("m", F.xxhash64("leader"))).alias("two"))
         first = top.select("cid", F.explode(F.array("one.leader", "two.leader")).alias("other"))
-        likely = tables.keep(first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
+        likely = tables.small(first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
         tested = tables.keep(_verify(classes, likely, k, s))
         # rows of one id are one node
         same = members.where("id IS NOT NULL AND n > 0").join(classes.select("key", "cid"), "key").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("all")).where("a <> z")
-        same = tables.keep(same.select("a", F.explode("all").alias("b")).where("a <> b"))
-
-        def labels_of(tested: DataFrame) -> DataFrame:
-            return tables.keep(graph.components(tested.where("linked").select("a", "b").union(same), tables).select(F.col("node").alias("cid"), F.col("component").alias("comp")))
+        same = tables.small(same.select("a", F.explode("all").alias("b")).where("a <> b"))
+
+        def labels_of(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+            """(class, component) of all linked classes; to what is known, new links only add links between components."""
+            ends = links if labels is None else _renamed(links, labels)
+            found = graph.components(ends, tables).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
+            if labels is None:
+                return tables.small(found)
+            found = tables.small(found)
+            known = labels.union(found.select("cid", F.col("cid").alias("comp"))).distinct()
+            moved = found.select(F.col("cid").alias("comp"), F.col("comp").alias("_to"))
+            return tables.small(known.join(moved, "comp", "left").select("cid", F.coalesce("_to", "comp").alias("comp")))
 
         def placed(cells: DataFrame, labels: DataFrame) -> DataFrame:
             return cells.drop("comp").join(labels, "cid", "left").select("mark", "cid", "tag", F.coalesce("comp", "cid").alias("comp"), "m")
 
         # cells that hold several components, until no pair is left to test
-        labels = labels_of(tested)
+        labels = labels_of(tested.where("linked").select("a", "b").union(same))
         mixed = placed(shared, labels).repartition(parts, "mark").mapInArrow(mixed_cells, MIXED_SQL)
         left = tables.keep(mixed.repartition(parts, "cid").mapInArrow(rarest_cells, MIXED_SQL))
         tables.drop(shared)
         wanted = left.select("cid").distinct()
         sketches = tables.keep(classes.select("cid", "text").join(wanted, "cid", "left_semi").mapInArrow(sketches_of(layouts, k), "cid long, layout int, n long, sketch array<long>"))
-        width = 1
+        width = 4
         while True:
             todo = placed(left, labels)
             mixed = todo.groupBy("mark").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n_cell")).where("x <> y").select("mark", "n_cell")
@@ -431,18 +439,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not (n_rest := rest.count()):
                 break
             pairs = tables.keep(_pairs(rest, sketches, s, width, math.ceil(n_rest / TOGETHER)))
-            new = tables.keep(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+            new = tables.small(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
             now = tables.keep(_verify(classes, new, k, s))
             n_new = now.count()
             if n_new:
                 tested = tested.unionByName(now)
-                labels = labels_of(tested)
+                labels = labels_of(now.where("linked").select("a", "b"), labels)
             again = pairs.where("more").select("mark").distinct()
             if not n_new and again.isEmpty():
                 break
             # a cell whose pairs were all tested has nothing more to give; one with a refuted pair may have others
             refuted = pairs.join(now.where("NOT linked"), ["a", "b"], "left_semi").select("mark")
-            left = tables.keep(left.join(again.union(refuted).distinct(), "mark", "left_semi"))
+            left = tables.small(left.join(again.union(refuted).distinct(), "mark", "left_semi"))
             width *= 4
         least = placed(classes.select(F.lit(0).alias("mark"), "cid", F.lit(0).alias("tag"), F.lit(0).alias("m")), labels).join(classes.select("cid", "key", "id"), "cid")
         names = least.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -450,6 +458,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return members.join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _renamed(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between classes as links between their components."""
+    of = lambda c: labels.select(F.col("cid").alias(c), F.col("comp").alias(f"_{c}"))
+    return links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+
+
 def _pairs(rest: DataFrame, sketches: DataFrame, s: Fraction, width: int, groups: int) -> DataFrame:
     """Pairs of classes to verify; many small cells make one group, a full cell's blocks meet two by two."""
     n_blocks = F.ceil(F.col("n_cell") / BLOCK).cast("long")

@@ -41,7 +41,8 @@ def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, after = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), stage(spark, docs, folder).schema)
+        out = stage(spark, docs, folder)
+        docs = spark.createDataFrame(out.collect(), out.schema)
         after.append((name, docs))
         assert name == "byte_bpe" or docs.columns == columns
     language, near, cut, clean, coded = (d for _, d in after)
