@@ -91,11 +91,20 @@ def chance(real: DataFrame, flipped: DataFrame, k: int = 50, by: str = "strat")
                                  F.round(F.element_at(s, lo + 1), 6).alias("band_lo"), F.round(F.element_at(s, hi + 1), 6).alias("band_hi"))
 
 
+def running_sum(rows: DataFrame, value: str, name: str, block_ms: int = BLOCK) -> DataFrame:
+    """The sum up to each row of a symbol in order of time: within its block, and of the blocks before it."""
+    rows = rows.withColumn("_b", F.floor(F.col("t") / block_ms))
+    before = Window.partitionBy("sym").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = rows.groupBy("sym", "_b").agg(F.sum(value).alias("_s")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0.0))).drop("_s")
+    own = F.sum(value).over(Window.partitionBy("sym", "_b").orderBy("t"))
+    return rows.withColumn("_own", own).join(blocks, ["sym", "_b"]).withColumn(name, F.col("_base") + F.col("_own")).drop("_b", "_own", "_base")
+
+
 def add_funding(runs: DataFrame, funding: DataFrame) -> DataFrame:
     """Closed runs pay (long) or get (short) the payments in (t0, exit], by a difference of as-of sums."""
     from barproof.operators import walk
 
-    cum = funding.withColumn("cum", F.sum("r").over(Window.partitionBy("sym").orderBy("t"))).select("sym", "t", "cum")
+    cum = running_sum(funding, "r", "cum").select("sym", "t", "cum")
     out = runs.withColumn("_to", F.coalesce("at", "t_end"))
     out = walk.as_of(out, cum, ["sym"], "t0", "t", ["cum"], "_f0").withColumnRenamed("cum", "_c0")
     out = walk.as_of(out, cum, ["sym"], "_to", "t", ["cum"], "_f1").withColumnRenamed("cum", "_c1")
