@@ -68,6 +68,24 @@ def test_drawdown_and_halves_by_blocks(spark, block):
     assert (h.h1, h.h2) == pytest.approx((sum(r[:20]) / 20, sum(r[20:]) / 21), abs=2e-6)
 
 
+def test_sequential_draws(spark):
+    """Draw k gives plan i the i-th number of a generator seeded with 1000 + k."""
+
+    def flips(seed, n):
+        x, out = seed, []
+        for _ in range(n):
+            x = (x ^ x << 13) & 0xFFFFFFFF
+            x ^= x >> 17
+            x = (x ^ x << 5) & 0xFFFFFFFF
+            out.append(x < 2**31)
+        return out
+
+    n, k = 70, 9
+    make = lambda sign: spark.createDataFrame([(f"p{i}", "s", "A", i, sign * 2.0**-i, "stop") for i in range(n)], "plan_id string, strat string, sym string, t0 long, r double, state string")
+    got = {r.draw: r.total for r in metrics.control_totals(make(1), make(-1), k, rng="xorshift").collect()}
+    assert got == pytest.approx({d: sum((-1 if f else 1) * 2.0**-i for i, f in enumerate(flips(1000 + d, n))) for d in range(k)}, abs=1e-12)
+
+
 FILLS = {  # bars (t, h, l) after the message, and where the plan starts
     "touched": ([(1, 101, 99)], 1), "later": ([(1, 104, 102), (2, 103, 100)], 2), "target first": ([(1, 111, 102), (2, 101, 99)], None), "stop first": ([(1, 99, 89)], None), "both in one bar": ([(1, 111, 99)], 1), "too late": ([(80, 101, 99)], None),
 }
