@@ -1,4 +1,8 @@
-"""Counts per text that several operators share, made by whole batches."""
+"""Counts per text that several operators share, made by whole batches.
+
+Words, lines and windows are compared within one text only: lines by their bytes,
+words and windows of words by 64-bit hashes.
+"""
 
 from __future__ import annotations
 

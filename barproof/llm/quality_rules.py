@@ -11,8 +11,9 @@ id; the bound is a parameter); counts and verdicts cover every text.
 
 Defined results: a null or empty text has no words and fails the base rules;
 without labels of both kinds the list is empty and everything that passes the
-base is kept; repeated ids give one row each; rows with a null or conflicting
-label don't teach.
+base is kept; repeated ids or rows give one row each; rows with a null or
+conflicting label don't teach; very long texts are counted whole; an empty table
+gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
