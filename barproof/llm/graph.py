@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -25,6 +26,38 @@ def shared_folder(df: DataFrame) -> str:
     return context.getCheckpointDir()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Tables behind results that were handed out go when the driver ends."""
+    while _LEFT:
+        try:
+            _delete(*_LEFT.pop())
+        except Exception:  # noqa: BLE001  the session's JVM is gone already
+            return
+
+
+def new_folder(df: DataFrame) -> str:
+    """A path in the shared folder for what stays until the driver ends."""
+    path = f"{shared_folder(df)}/tables-{uuid.uuid4().hex}"
+    _LEFT.append((df.sparkSession, path))
+    return path
+
+
+def left_over(df: DataFrame) -> DataFrame:
+    """The rows as a table that stays until the driver ends: what is handed out lazily reads it."""
+    path = new_folder(df)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """Intermediate tables, as Parquet in the shared folder: they cut lineage, outlive executors and go when the work is done.
 
@@ -52,19 +85,16 @@ class Tables:
         return self.keep(df.coalesce(max(8, self.parts)) if self.parts else df)
 
     def result(self, df: DataFrame) -> DataFrame:
-        """A table that outlives the work."""
+        """A table that outlives the work (see ``left_over``)."""
         out = self.keep(df)
-        self.kept[next(p for p, t in self.kept.items() if t is out)] = None
+        path = next(p for p, t in self.kept.items() if t is out)
+        self.kept[path] = None
+        _LEFT.append((self.spark, path))
         return out
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
     def drop(self, *tables: DataFrame) -> None:
         for path in [p for p, t in self.kept.items() if any(t is x for x in tables)]:
-            self._delete(path)
+            _delete(self.spark, path)
             self.kept[path] = None
 
     def __enter__(self) -> Tables:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barproof.llm import bpe, decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, quotes, substring_dedup, suffix_dedup, url_filter
+from barproof.llm import bpe, decontaminate, filter_audit, graph, id_planes, jaccard_join, language_id, merkle, quality_classifier, quality_rules, quotes, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = graph.new_folder(docs)
+    id_planes.write_ids(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return id_planes.read_documents(spark, folder)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.without_line_ends).drop("proof")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_quality_classifier, op6_quotation_linking, op7_suffix_array_dedup, op8_url_filter, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_bpe, op3_decontamination, op4_jaccard_join, op5_quality_classifier, op6_quotation_linking, op7_suffix_array_dedup, op8_url_filter, op9_language_id, op10_quality_rules, op11_filter_audit, op12_bit_planes, op13_merkle_manifest)}
 
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -115,5 +130,60 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+m AS (SELECT t.doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT x, 1 << (ascii(x) - 65) AS bit FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & own > 0 AND mask & before = 0 AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own > 0 AND mask & before = 0 AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
+def _field(c: str) -> str:
+    v = f"CAST({c} AS VARCHAR)"
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string of up to 20 signs, bit by bit."""
+    octet = "list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, x: {octet}), 4294967295)"
+
+
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS grp, {_leaf("text")} AS leaf,
+  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM d),
+tree(grp, level, i, h, n) AS (SELECT grp, 0, i, leaf, n FROM leaves UNION ALL
+  SELECT grp, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY grp, level, i // 3, n),
+tops AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+upper(level, i, h, n) AS (SELECT 0, i, subroot, n FROM tops UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY level, i // 3, n),
+lower_steps AS (SELECT grp, level, i, coalesce(string_agg(o, '' ORDER BY oi) FILTER (oi < i), '') AS l, coalesce(string_agg(o, '' ORDER BY oi) FILTER (oi > i), '') AS r FROM (SELECT a.grp, a.level, a.i, b.i AS oi, b.h AS o FROM tree a JOIN tree b ON a.grp = b.grp AND a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1) GROUP BY grp, level, i),
+upper_steps AS (SELECT level, i, coalesce(string_agg(o, '' ORDER BY oi) FILTER (oi < i), '') AS l, coalesce(string_agg(o, '' ORDER BY oi) FILTER (oi > i), '') AS r FROM (SELECT a.level, a.i, b.i AS oi, b.h AS o FROM upper a JOIN upper b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1) GROUP BY level, i),
+walk(doc_id, grp, level, i, acc, proof) AS (SELECT doc_id, grp, 0, i, now, '' FROM leaves UNION ALL
+  SELECT w.doc_id, w.grp, w.level + 1, w.i // 3, sha256(s.l || w.acc || s.r), w.proof || s.l || s.r FROM walk w JOIN lower_steps s ON w.grp = s.grp AND w.level = s.level AND w.i = s.i),
+mid AS (SELECT doc_id, grp, arg_max(acc, level) AS acc, arg_max(proof, level) AS proof FROM walk GROUP BY doc_id, grp),
+climb(doc_id, level, i, acc, proof) AS (SELECT doc_id, 0, i, acc, proof FROM mid JOIN tops USING (grp) UNION ALL
+  SELECT c.doc_id, c.level + 1, c.i // 3, sha256(s.l || c.acc || s.r), c.proof || s.l || s.r FROM climb c JOIN upper_steps s ON c.level = s.level AND c.i = s.i),
+top AS (SELECT doc_id, arg_max(acc, level) AS folded_root, arg_max(proof, level) AS proof FROM climb GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = (SELECT h FROM upper WHERE n = 1) AS verified
+FROM leaves JOIN tops USING (grp) JOIN top USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_jaccard_join": OP4, "op7_suffix_array_dedup": OP7}
+    return {"op1_substring_dedup": OP1, "op3_decontamination": OP3, "op4_jaccard_join": OP4, "op7_suffix_array_dedup": OP7, "op11_filter_audit": OP11, "op13_merkle_manifest": OP13}
