@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from barproof.operators import features as ft
 from barproof.operators import graphs, joins, ledger, metrics, walk
 from barproof.operators import messages as ms
+from barproof.operators import replay as rp
 from barproof.sources import readers as rd
+from barproof.sources.store import MONTH, MonthStore
 from barproof.streaming import monitor as mo
 
 H8, HOUR, DAY = 28_800_000, 3_600_000, 86_400_000
@@ -145,13 +147,13 @@ def test_pages_and_pastes(spark):
 
 
 SIGNALS = [
-    ("#BTCUSDT LONG 🟢\nEntry: 63000\nSL: 61500\nTP1: 64500 TP2: 66000 TP3: 68000\nLeverage 10x", ("BTCUSDT", 1, 63000.0, 61500.0, [64500.0, 66000.0, 68000.0])),
-    ("ETH/USDT SHORT\nGiriş: 3200 - 3250\nStop: 3350\nHedef: 3100 / 3000 / 2900", ("ETHUSDT", -1, 3225.0, 3350.0, [3100.0, 3000.0, 2900.0])),
-    ("BTCUSDT LONG Entry 63000 SL 65000 TP 61000", None), ("Bugün piyasa yatay, bekliyoruz. BTC 63k civarı.", None), ("SOL LONG hedef 200", None),
-    ("📉 SOL/USDT\nEntry 145,50\nSL 152,00\nTargets 140,00 - 135,00", ("SOLUSDT", -1, 145.5, 152.0, [140.0, 135.0])),
-    ("BTCUSDT LONG\nEntry 1 63000\nSL 61500\nTP1 64500 TP2 66000", ("BTCUSDT", 1, 63000.0, 61500.0, [64500.0, 66000.0])),
-    ("TAOUSDT LONG\nEntry 184.7\nSL 179.6\nTP 184.7", None), ("TAOUSDT LONG\nEntry 184.7\nSL 179.6\nTP1 184.7 TP2 190 TP3 195", ("TAOUSDT", 1, 184.7, 179.6, [190.0, 195.0])),
-    ("BTCUSDT LONG\nEntry 63000\nSL 64000\nTP 66000", None), (None, None), ("", None),
+    ("Swing idea: DOTUSDT, buy 🟢\nentry zone 7.10\nstop-loss 6.80\ntp 1: 7.40\ntp 2: 7.90", ("DOTUSDT", 1, 7.1, 6.8, [7.4, 7.9])),
+    ("AVAX / USDT sat\nGiriş 38,50 - 39,50\nZarar kes 40,10\nHedefler 37,00 / 35,50", ("AVAXUSDT", -1, 39.0, 40.1, [37.0, 35.5])),
+    ("LINKUSDT short\nentry 17.20\nsl 16.60\ntp 18.10", None), ("XRP closed the week near 0,62, nothing to do", None), ("ATOM buy, target 14", None), ("NEARUSDT long and short are both possible\nsl 5\ntp 7", None),
+    ("📈 FIL/USDT\nstop 5,10\ntargets 5,80 | 6,40", ("FILUSDT", 1, None, 5.1, [5.8, 6.4])),
+    ("OPUSDT sell\nentry 1 2.45\nstop 2.60\ntp1 2.30 tp2 2.05 tp3 1.80", ("OPUSDT", -1, 2.45, 2.6, [2.3, 2.05, 1.8])),
+    ("INJUSDT buy\nentry 31.5\nsl 30.2\ntp 31.5", None), ("INJUSDT buy\nentry 31.5\nsl 30.2\ntp1 31.5 tp2 33 tp3 36", ("INJUSDT", 1, 31.5, 30.2, [33.0, 36.0])),
+    ("SUIUSDT buy\nentry 1.20\nsl 1.25\ntp 1.40", None), (None, None), ("", None),
 ]
 
 
@@ -182,30 +184,142 @@ def test_shadow_plans_have_their_own_ledger(spark):
     assert got == {"a": (40, True), "b": (110, False), "d": (130, False), "e": (50, True), "f": (150, False)}
 
 
+def bar_row(sym, t, c, seq):
+    return (sym, t, c, c, c, c, 1.0, seq)
+
+
 def test_late_and_repeated_bars(spark, tmp_path):
-    """The newest version of a bar wins, whatever order batches come in, and after compaction too."""
-    bar = lambda sym, t, c, seq: (sym, t, c, c, c, c, 1.0, seq)
-    rows = [[bar("A", 1, 10.0, 0), bar("A", 2, 20.0, 0)], [bar("A", 3, 30.0, 1)], [bar("A", 2, 21.0, 2), bar("A", 1, 9.0, 2)], [bar("A", 2, 20.0, 0)]]
-    src, store, check = (str(tmp_path / x) for x in ("src", "store", "check"))
+    """The newest version of a bar wins, in whatever order and however late batches come in."""
+    m = MONTH
+    rows = [[bar_row("A", 1, 10.0, 0), bar_row("A", 2, 20.0, 0)], [bar_row("A", 400 * m, 30.0, 1)], [bar_row("A", 2, 21.0, 2), bar_row("A", 1, 9.0, 2)], [bar_row("A", 2, 20.0, 0)]]
+    src, check = str(tmp_path / "src"), str(tmp_path / "check")
+    store = MonthStore(spark, str(tmp_path / "store"), mo.BAR_SCHEMA)
     for part in rows:
         spark.createDataFrame(part, mo.BAR_SCHEMA).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(mo.BAR_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     mo.upsert_bars(stream, store, check).awaitTermination()
-    want = [(1, 9.0), (2, 21.0), (3, 30.0)]
-    assert sorted((r.t, r.c) for r in mo.current_bars(spark, store).collect()) == want
-    mo.compact(spark, store)
-    assert sorted((r.t, r.c) for r in mo.current_bars(spark, store).collect()) == want
-    assert spark.read.option("recursiveFileLookup", "true").schema(mo.BAR_SCHEMA).parquet(store).count() == 3
+    want = [(1, 9.0), (2, 21.0), (400 * m, 30.0)]
+    assert sorted((r.t, r.c) for r in store.read().collect()) == want
+    store.vacuum()
+    assert sorted((r.t, r.c) for r in store.read().collect()) == want
+
+
+def files_of(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_an_update_rewrites_its_months_only(spark, tmp_path):
+    store = MonthStore(spark, str(tmp_path), mo.BAR_SCHEMA)
+    make = lambda *rows: spark.createDataFrame(list(rows), mo.BAR_SCHEMA)
+    store.merge(make(*[bar_row(s, k * MONTH + i, float(i), 0) for s in "ABC" for k in range(4) for i in range(5)]), 0)
+    before = files_of(tmp_path)
+    assert store.merge(make(bar_row("B", 2 * MONTH + 1, 77.0, 1)), 1) == ["2"]
+    new = {p: t for p, t in files_of(tmp_path).items() if p not in before}
+    assert new and all("/1/month=2/" in p for p in new) and before.items() <= files_of(tmp_path).items()
+    assert store.read().count() == 60 and store.read().where("c = 77").count() == 1
+    assert store.merge(make(bar_row("B", 2 * MONTH + 1, 99.0, 9)), 1) == [] and store.read().where("c = 99").count() == 0  # a committed batch that comes again
+    assert store.merge(make(bar_row("B", 2 * MONTH + 1, 5.0, 0)), 2) == ["2"] and store.read().where("c = 77").count() == 1  # an older version
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    store = MonthStore(spark, str(tmp_path), mo.BAR_SCHEMA)
+    store.merge(spark.createDataFrame([bar_row("A", 1, 1.0, 0)], mo.BAR_SCHEMA), 0)
+    update = spark.createDataFrame([bar_row("A", 1, 2.0, 1), bar_row("A", 2, 3.0, 1)], mo.BAR_SCHEMA)
+    with monkeypatch.context() as m:
+        m.setattr(MonthStore, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.merge(update, 1)
+    assert [(r.t, r.c) for r in store.read().collect()] == [(1, 1.0)]
+    store.merge(update, 1)
+    assert sorted((r.t, r.c) for r in store.read().collect()) == [(1, 2.0), (2, 3.0)]
+
+
+PLANS = "sym string, " + mo.PLAN
+BARS = "sym string, t long, h double, l double, c double"
+
+
+class Followed:
+    """Plans and bars arrive in instalments; the stream starts anew for each."""
+
+    def __init__(self, spark, folder, delay):
+        self.spark, self.at = spark, {x: str(folder / x) for x in ("plans", "bars", "out", "check")}
+        for name, schema in (("plans", PLANS), ("bars", BARS)):
+            spark.createDataFrame([], schema).write.parquet(self.at[name])
+        self.stream = mo.follow(*(spark.readStream.schema(x).parquet(self.at[n]) for n, x in (("plans", PLANS), ("bars", BARS))), f"{delay} milliseconds", shards=2)
+
+    def put(self, plans=(), bars=()):
+        for name, schema, rows in (("plans", PLANS, plans), ("bars", BARS, bars)):
+            if rows:
+                self.spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(self.at[name])
+        query = mo.start(self.stream, self.at["out"], self.at["check"])
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+    def events(self):
+        return sorted((r.plan_id, r.at, r.event, None if r.r is None else round(r.r, 6)) for r in self.spark.read.schema(mo.EVENTS).parquet(self.at["out"]).collect())
+
+
+def a_plan(name, t0, t_end, sym="S"):
+    return (sym, name, 1, 100.0, 90.0, 105.0, 120.0, 2.0, 0.1, t0, t_end)
 
 
 def test_plans_followed_over_batches(spark, tmp_path):
-    """Bars before their plan wait for it; a closed plan says nothing more."""
-    columns = "kind string, plan_id string, side int, entry double, sl double, tp1 double, tp2 double, rm double, d_stop double, t0 long, t_end long, t long, h double, l double"
-    plan = ("plan", "p", 1, 100.0, 90.0, 105.0, 120.0, 2.0, 0.1, 0, 100, None, None, None)
-    bar = lambda t, h, lo: ("bar", "p", *[None] * 9, t, h, lo)
-    src = str(tmp_path / "src")
-    for part in ([bar(1, 106.0, 101.0)], [plan], [bar(2, 104.0, 99.0)], [bar(3, 125.0, 80.0), bar(1, 80.0, 70.0)]):
-        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(src)
-    stream = mo.follow(spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(src))
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.at, r.event) for r in spark.read.schema(mo.EVENTS).parquet(str(tmp_path / "out")).collect()) == [(1, "half"), (2, "be")]
+    """Bars that come before their plan, out of order or twice make no difference; a plan closes once, whatever comes later, and nothing of it stays."""
+    s = Followed(spark, tmp_path, 1000)
+    bar = lambda t, h, lo, c=100.0: ("S", t, float(h), float(lo), c)
+    s.put(bars=[bar(1100, 104, 99), bar(1010, 106, 101)])
+    s.put(plans=[a_plan("p", 1000, 4000), a_plan("q", 1050, 3000), a_plan("w", 2990, 2995), a_plan("g", 1050, 3001)], bars=[bar(1010, 106, 101)])
+    s.put(bars=[bar(3000, 103, 101, 102.0), bar(1200, 104, 101)])
+    s.put(plans=[a_plan("p", 1000, 4000)], bars=[bar(3200, 125, 101), bar(3900, 104, 80)])  # p was stopped at entry: it comes again, and bars that would reach its target
+    s.put(plans=[a_plan("p", 1000, 4000), a_plan("q", 1050, 3000)], bars=[bar(2000, 130, 80)])  # late by now
+    kept = s.put(bars=[(None, 99_999, None, None, None)])
+    r = math.log(1.02) / 0.1
+    assert s.events() == [("g", 3000, "open", round(r - 0.022, 6)), ("p", 1010, "half", None), ("p", 1100, "be", 0.478), ("q", 3000, "expired", round(r - 0.022, 6)), ("w", None, "wait", -0.022)]
+    assert kept[-1] == 0
+
+
+def test_following_equals_the_replay(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    price, bars = 100.0, []
+    for k in range(1, 121):
+        price *= math.exp(rng.gauss(0, 0.03))
+        bars.append(("S", 10 * k, price * 1.01, price * 0.99, price))
+    plans = []
+    for k in range(40):
+        t0, side, d = 10 * rng.randrange(1, 110), rng.choice((1, -1)), rng.choice((0.03, 0.08))
+        c = bars[t0 // 10 - 1][4]
+        plans.append(("S", f"p{k}", side, c, c * math.exp(-side * d), c * math.exp(side * d), c * math.exp(2 * side * d), 2.0, d, t0, t0 + 10 * rng.randrange(0, 15) + rng.choice((0, 5))))
+    s = Followed(spark, tmp_path, 600)
+    for lo in range(0, 1200, 400):
+        some = [b for b in bars if lo < b[1] <= lo + 400] + [b for b in bars if lo - 100 < b[1] <= lo]
+        rng.shuffle(some)
+        s.put([p for p in plans if lo - 200 < p[9] <= lo + 200], some)
+    s.put([p for p in plans if p[9] > 1000], [(None, 99_999, None, None, None)])
+    want = rp.run(spark.createDataFrame(plans, PLANS), spark.createDataFrame([(b[0], b[1], 1.0, *b[2:], 1.0) for b in bars], "sym string, t long, o double, h double, l double, c double, v double"), bucket_ms=50).collect()
+    assert {(r.plan_id, r.state, r["at"], round(r.r, 6)) for r in want} == {(p, e, at, r) for p, at, e, r in s.events() if e != "half"}
+    assert len({r.state for r in want}) >= 5
+
+
+def test_admission_in_a_stream(spark, tmp_path):
+    """Out of order, repeated and in several batches: as in one batch, and nothing is kept of plans that have ended."""
+    import random
+
+    rng = random.Random(5)
+    schema = "strat string, sym string, plan_id string, t0 long, side int, t_end long"
+    rows = [("s", rng.choice("AB"), f"p{k}", t0, rng.choice((1, -1)), t0 + rng.randrange(1, 60)) for k, t0 in enumerate(rng.choices(range(1000), k=150))]
+    want = {r.plan_id for r in walk.admit(spark.createDataFrame(rows, schema)).collect()}
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    spark.createDataFrame([], schema).write.parquet(src)
+    stream = mo.admit(spark.readStream.schema(schema).parquet(src), "500 milliseconds")
+    for lo in (250, 0, 750, 500):
+        some = [r for r in rows if lo <= r[3] < lo + 250]
+        spark.createDataFrame(some + some[:20], schema).write.mode("append").parquet(src)
+        mo.start(stream, out, check).awaitTermination()
+    spark.createDataFrame([(None, None, None, 9999, None, None)], schema).write.mode("append").parquet(src)
+    query = mo.start(stream, out, check)
+    query.awaitTermination()
+    got = [r.plan_id for r in spark.read.schema("plan_id string, flips boolean").parquet(out).collect()]
+    assert sorted(got) == sorted(want) and len(want) < 150
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]][-1] == 0
