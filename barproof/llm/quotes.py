@@ -4,8 +4,8 @@ Lines that begin with ``>`` marks are quotes; their level is the number of
 marks.  Consecutive lines of one level form a passage.  Quoted passages are
 normalised (marks off, white space squeezed, lower case) and hashed, and joined
 to the hashes of messages' own lines, runs of lines and whole own texts: first in the same
-conversation, to the nearest earlier message, else to the first message that
-has the passage anywhere.  A message's parent is the original of its first
+conversation, to the nearest earlier message, else to the first message of another conversation
+that has the passage.  A message's parent is the original of its first
 passage of level one.  Messages lose their quoted lines, and each gets a reply
 path: its parent's path with its own turn, so that ordering a conversation by
 path puts replies after what they answer.
@@ -21,8 +21,9 @@ somebody quotes are kept, so no passage is collected.
 Defined results: null text has no passages and stays null; a quote without an
 original links nowhere; a link to a later message or to itself is none; a
 repeated (conversation, turn) gives one row each, of one path; rows with a null
-conversation or turn link nowhere; paths begin at the root, however deep a reply
-is, and hold turns of any size or sign; very long texts are parsed whole; an empty
+conversation or turn link nowhere, and nothing links to them; paths begin at the root, however deep a reply
+is, and hold turns of any size or sign (so a chain of d replies has paths of d * d / 2
+steps in all; depth and parent say the same in few bytes); very long texts are parsed whole; an empty
 table gives no row; other columns are ignored.
 """
 
@@ -92,17 +93,23 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), without_quotes(F.col(text_col).cast("string")).alias("text"))
     whole = own.select("conv", "turn", _normal(F.col("text")).alias("body"))
     originals = found.where("level = 0").select("conv", "turn", "body").union(whole.where("body <> ''")).union(excerpts(own, quoted)).withColumn("hash", F.xxhash64("body"))
-    originals = originals.join(wanted, ["hash", "body"], "left_semi")
+    originals = originals.where("conv IS NOT NULL AND turn IS NOT NULL").join(wanted, ["hash", "body"], "left_semi")
     # nearest earlier message of the same conversation: one pass over originals and quotes in order of turns
     asked = quoted.select("conv", "turn", "hash", "body").distinct()
     in_conv = originals.select("conv", "turn", "hash", "body").distinct()
     both = in_conv.withColumn("to", F.col("turn")).unionByName(asked.withColumn("to", F.lit(None).cast("long")))
     before = Window.partitionBy("conv", "hash", "body").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.last("to", ignorenulls=True).over(before)).where("to IS NULL AND near IS NOT NULL").drop("to")
-    anywhere = originals.groupBy("hash", "body").agg(F.min(F.struct("conv", "turn")).alias("first"))
+    by_conv = originals.groupBy("hash", "body", "conv").agg(F.min("turn").alias("turn"))
+    anywhere = by_conv.groupBy("hash", "body").agg(F.min(F.struct("conv", "turn")).alias("first"))
     out = quoted.drop("first", "n").join(near, ["conv", "turn", "hash", "body"], "left").join(anywhere, ["hash", "body"], "left")
-    other = F.col("first.conv") != F.col("conv")
-    return out.select("conv", "turn", "pos", "level", "hash", F.when(F.col("near").isNotNull(), F.col("conv")).when(other, F.col("first.conv")).alias("to_conv"), F.when(F.col("near").isNotNull(), F.col("near")).when(other, F.col("first.turn")).alias("to_turn"))
+    # the first message of all may be a later one of the quote's own conversation: then the first of another one counts
+    own_first = F.col("near").isNull() & (F.col("first.conv") == F.col("conv"))
+    asked = out.where(own_first & F.col("turn").isNotNull()).select("hash", "body", F.col("conv").alias("not")).distinct()  # one conversation for each passage
+    others = by_conv.join(asked, ["hash", "body"]).where("conv <> not").groupBy("hash", "body").agg(F.min(F.struct("conv", "turn")).alias("other"))
+    out = out.join(others, ["hash", "body"], "left")
+    to = F.when(F.col("near").isNotNull(), F.struct("conv", F.col("near").alias("turn"))).when(own_first, F.col("other")).when(F.col("conv").isNotNull() & F.col("turn").isNotNull(), F.col("first"))
+    return out.select("conv", "turn", "pos", "level", "hash", to["conv"].alias("to_conv"), to["turn"].alias("to_turn"))
 
 
 def build_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

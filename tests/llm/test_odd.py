@@ -310,7 +310,7 @@ def brute_links(said):
             if body in own or (own and body == " ".join(own)) or any(own[i : i + n] == ls for i in range(len(own) - n + 1) if n > 1):
                 has.append((c, t))
         near = [t for c, t in has if c == conv and t < turn]
-        to = (conv, max(near)) if near else (min(has) if has and min(has)[0] != conv else None)
+        to = (conv, max(near)) if near else min((x for x in has if x[0] != conv), default=None)
         found[conv, turn, pos] = (level, to)
     return found
 
@@ -326,7 +326,7 @@ def test_quotes_against_brute_force(spark):
                 mark = rng.choice(["", "", "> ", "> > ", ">", " >> "])
                 lines += [mark + rng.choice("abcdefgh")] * rng.choice((1, 1, 2))
             said.append((conv, turn * 10**11 - 3 * 10**11, "\n".join(lines)))
-    said += [(3, None, "a"), (None, 4, "> a"), (4, 1, None), (4, 2, ""), (5, 99, "> " + "z" * 60_000)]
+    said += [(3, None, "a"), (0, None, "a\nb\nc\nd"), (None, 0, "a\nb\nc\nd\ne\nf"), (None, 4, "> a"), (4, 1, None), (4, 2, ""), (5, 99, "> " + "z" * 60_000)]
     df = spark.createDataFrame([(c, t, "u", x, "clash", "clash") for c, t, x in said], "conv_id long, turn long, role string, text string, conv string, hash string")
     got = {(r.conv, r.turn, r.pos): (r.level, (r.to_conv, r.to_turn) if r.to_conv is not None else None) for r in quotes.link_quotes(df).collect() if r.conv is not None and r.turn is not None}
     want = brute_links(said)
@@ -338,6 +338,22 @@ def test_quotes_against_brute_force(spark):
     assert quotes.build_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("said", "link"),
+    [
+        ([(1, 0, "one passage"), (2, 5, "> one passage"), (None, 0, "one passage")], (1, 0)),
+        ([(1, 0, "one passage"), (2, 5, "> one passage"), (0, None, "one passage"), (2, None, "one passage")], (1, 0)),
+        ([(1, 5, "> one passage"), (1, 9, "one passage"), (2, 0, "one passage")], (2, 0)),
+        ([(1, 5, "> one passage"), (1, 9, "one passage"), (2, 7, "one passage"), (2, 3, "one passage"), (0, 1, "> one passage")], (2, 3)),
+        ([(1, 5, "> one passage"), (1, 9, "one passage"), (1, None, "one passage"), (None, 1, "one passage")], None),
+    ],
+)
+def test_a_quote_finds_its_original_whatever_else_holds_it(spark, said, link):
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in said], "conv_id long, turn long, role string, text string")
+    got = {(r.conv, r.turn): (r.to_conv, r.to_turn) if r.to_conv is not None else None for r in quotes.link_quotes(df).collect()}
+    assert got[next((c, t) for c, t, x in said if x.startswith(">"))] == link
+
+
 def test_a_phrase_said_and_quoted_often_links_without_pairs(spark):
     said = [(1, i, "u", "hello" if i % 2 == 0 else "> hello\nyes") for i in range(400)]
     links = {r.turn: r.to_turn for r in quotes.link_quotes(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
