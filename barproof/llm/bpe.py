@@ -90,14 +90,14 @@ PARCELS = pa.schema([("bucket", pa.int64()), ("place", pa.int64()), ("blob", pa.
 PARCELS_SQL = "bucket long, place long, blob binary"
 
 
-def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", place_bytes: int = 8 << 20, full: bool = True) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids (decimal, joined by a space) and of the decoded bytes;
-    with ``full`` also ``ids`` and ``decoded``."""
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", place_bytes: int = 8 << 20, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, SHA-256 of the ids (decimal, joined by a space) and of the decoded bytes; as ``outputs`` also ``ids`` and ``decoded``."""
     spark = docs.sparkSession
     docs = rp.whole(docs, id_col, text_col)
     buckets = math.ceil(8 * math.sqrt(rp.places_of(docs, place_bytes)))
     table = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
-    sql = SQL + (", ids array<int>, decoded binary" if full else "")
+    more = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary())}
+    sql = SQL + "".join(f", {c} {more[c][0]}" for c in outputs)
 
     def blocks(batches):
         wide, narrow = splitters(pattern)
@@ -137,7 +137,7 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id
                 flat = flat.astype(np.uint16) if not len(flat) or flat.max() <= 0xFFFF else flat
                 yield from rp.rows(PARCELS, [(bucket, place, tk.pressed(np.fromiter(map(len, ids), np.int32, len(ids)), flat))]).to_batches()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.binary())] * full)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [(c, more[c][1]) for c in outputs])
 
     def assemble(t: pa.Table, coded: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -174,10 +174,11 @@ def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id
                 held_back = b" "
                 text = tk.gather(meant[0], meant[1][ids], meant[2][ids])
                 shas[1].update(text)
-                if full:
-                    parts.append((some_ids[ids], text.tobytes()))
+                if outputs:
+                    parts.append((some_ids[ids].astype(np.int32) if "ids" in outputs else None, text.tobytes() if "decoded" in outputs else None))
             row = (doc if is_id else None, n_tokens, shas[0].hexdigest(), shas[1].hexdigest())
-            out.append((*row, [i for x, _ in parts for i in x.tolist()], b"".join(x for _, x in parts)) if full else row)
+            whole = {"ids": lambda parts=parts: np.concatenate([np.zeros(0, np.int32), *(x for x, _ in parts)]), "decoded": lambda parts=parts: b"".join(x for _, x in parts)}
+            out.append((*row, *(whole[c]() for c in outputs)))
         return rp.rows(schema, out * t.num_rows)
 
     by = docs.mapInArrow(blocks, "place long, blob binary").groupBy("place")

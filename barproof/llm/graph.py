@@ -26,7 +26,7 @@ def shared_folder(df: DataFrame) -> str:
     return context.getCheckpointDir()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -39,7 +39,7 @@ def _clear() -> None:
     """Tables behind results that were handed out go when the driver ends."""
     while _LEFT:
         try:
-            _delete(*_LEFT.pop())
+            delete(*_LEFT.pop())
         except Exception:  # noqa: BLE001  the session's JVM is gone already
             return
 
@@ -94,7 +94,7 @@ class Tables:
 
     def drop(self, *tables: DataFrame) -> None:
         for path in [p for p, t in self.kept.items() if any(t is x for x in tables)]:
-            _delete(self.spark, path)
+            delete(self.spark, path)
             self.kept[path] = None
 
     def __enter__(self) -> Tables:

@@ -18,8 +18,10 @@ counts as at most ``most_trigrams`` of them, so that hosts and declarations can
 still turn it; a text in two languages is then less sure than it would be.
 
 Labels are scored ``TOGETHER`` at a time, each slice with a broadcast table of
-256 KB a label and a pass over the texts, so neither the driver nor a broadcast
-grows with the number of labels.
+256 KB a label and a pass over the texts, so no broadcast grows with the number of
+labels; trigrams are counted by the (label, slot) pairs that occur, in bounded
+buffers.  What does grow: a text has one number a label, and there is a pass for
+each ``TOGETHER`` labels, so labels should be languages, not free text.
 
 Defined results: a null or letterless text has no language, posterior 0 and is
 rejected; null hosts and declarations say nothing; without any label the result
@@ -41,6 +43,8 @@ from barproof.llm import textkit as tk
 
 SLOTS = 1 << 16
 TOGETHER = 64
+#: Counts of (label, slot) that a task holds before it sends them on.
+MOST_PAIRS = 4_000_000
 LOWER = np.arange(256, dtype=np.uint32)
 LOWER[0x41:0x5B] += 32
 LETTER = np.zeros(256, bool)
@@ -78,23 +82,39 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
     """(lang, slot, n) over rows (text, lang)."""
 
     def run(batches):
-        table: dict[str, np.ndarray] = {}
+        langs: dict[str, int] = {}
+        keys, counts, held = [], [], 0  # of (label, slot) pairs that occur, whatever the number of labels
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
+            order, first, _ = tk.groups_of(all_keys)
+            return all_keys[order][first], np.add.reduceat(all_counts[order], first)
+
+        def out() -> pa.RecordBatch:
+            k, n = merged()
+            names = pa.array(list(langs), pa.string()).take(pa.array(k // SLOTS))
+            return pa.RecordBatch.from_arrays([names, pa.array((k % SLOTS).astype(np.int32)), pa.array(n)], ["lang", "slot", "n"])
+
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
+            code_of = np.fromiter((langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()), np.int64, batch.num_rows)
             buf, offs = tk.pack(batch.column("text"))
             for lo, hi in tk.slices(offs):
                 b, o = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 if len(b) < 3:
                     continue
-                own = sorted(set(langs[lo:hi]))
-                code = np.repeat([own.index(x) for x in langs[lo:hi]], np.diff(o))[: len(b) - 2]
-                ok = _inside(o, len(b))
-                n = np.bincount((code * SLOTS + trigrams(b))[ok], minlength=len(own) * SLOTS).reshape(-1, SLOTS)
-                for x, row in zip(own, n):
-                    table[x] = table.get(x, 0) + row
-        for x, row in table.items():
-            at = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(row[at], pa.int64())], ["lang", "slot", "n"])
+                code = np.repeat(code_of[lo:hi], np.diff(o))[: len(b) - 2]
+                own, n = np.unique((code * SLOTS + trigrams(b))[_inside(o, len(b))], return_counts=True)
+                keys.append(own)
+                counts.append(n)
+                held += len(own)
+                if held > MOST_PAIRS:
+                    k, n = merged()
+                    keys, counts, held = [k], [n], len(k)
+                    if 2 * held > MOST_PAIRS:
+                        yield out()
+                        keys, counts, held = [], [], 0
+        if held:
+            yield out()
 
     return texts.select("text", "lang").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 

@@ -81,12 +81,39 @@ def test_stages(spark, folder):
 
     enc = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=bpe.read_ranks(tokens.path("byte_bpe_50k.tiktoken")), special_tokens={})
     assert listed(coded, "doc_id", "n_tokens", "decoded_sha256") == Counter((r.doc_id, len(enc.encode_ordinary(r.text)), hashlib.sha256(r.text.encode()).hexdigest()) for r in clean.collect())
+    assert coded.columns == [*columns, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"] and listed(coded, *columns) == listed(clean, *columns)
+    assert all(r.token_ids == enc.encode_ordinary(r.text) for r in coded.collect())
 
 
 def test_run_and_odd_tables(spark, folder, tmp_path):
     out = corpus_pipeline.run(spark, folder)
-    assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 25
+    known = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NOT NULL").collect()}
+    enc = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=bpe.read_ranks(tokens.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = out.collect()
+    assert len(rows) > 25 and all(enc.decode(r.token_ids) == r.text and r.n_tokens == len(r.token_ids) for r in rows)
+    assert all((r.lang, r.source, r.extra, r.id) == (known[r.doc_id].lang, known[r.doc_id].source, known[r.doc_id].extra, known[r.doc_id].id) for r in rows if r.doc_id is not None)
     few = spark.createDataFrame([(1, "the plain words"), (None, None)], "doc_id long, text string")
     for _, stage in corpus_pipeline.STAGES:  # no other column, and nothing left
         assert stage(spark, few, folder).count() <= 2
         assert stage(spark, few.limit(0), folder).count() == 0
+
+
+def test_rows_that_share_a_hash_are_named_anew(spark, monkeypatch):
+    """A first hash of a few values only."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+
+    class Few:
+        def __getattr__(self, name):
+            return getattr(F, name)
+
+        def xxhash64(self, *columns):
+            return real(*columns) % 3 if len(columns) == 4 else real(*columns)
+
+    monkeypatch.setattr(corpus_pipeline, "F", Few())
+    docs = spark.createDataFrame([(i, t) for i in (1, 2, 3, 4, None) for t in ("a", "b", "\0null", None, "")] + [(1, "a")], "doc_id long, text string")
+    rows = {}
+    for r in corpus_pipeline.with_row(docs).collect():
+        rows.setdefault(r[corpus_pipeline.ROW], set()).add((r.doc_id, r.text))
+    assert len(rows) == 25 and all(len(x) == 1 for x in rows.values())
