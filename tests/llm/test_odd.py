@@ -358,3 +358,82 @@ def test_a_phrase_said_and_quoted_often_links_without_pairs(spark):
     said = [(1, i, "u", "hello" if i % 2 == 0 else "> hello\nyes") for i in range(400)]
     links = {r.turn: r.to_turn for r in quotes.link_quotes(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
     assert links == {i: i - 1 for i in range(1, 400, 2)}
+
+
+def brute_posteriors(rows, most=60, smoothing=20.0, trust=20.0):
+    """rows (text, lang, address, declared) -> the posterior of each language, by plain loops."""
+    import math
+
+    lower = lambda t: bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in (t or "").encode())
+    slot = lambda g: ((g[0] * 0x9E3779B1 ^ g[1] * 0x85EBCA77 ^ g[2] * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F % 2**32 >> 16
+    grams = lambda t: [slot(lower(t)[k : k + 3]) for k in range(len(lower(t)) - 2)]
+    names = sorted({lang for _, lang, *_ in rows if lang})
+    counts = {x: Counter() for x in names}
+    for text, lang, *_ in rows:
+        if lang:
+            counts[lang].update(grams(text))
+    total = {x: sum(counts[x].values()) + 0.5 * (65536 + 1) for x in names}
+    letters = lambda t: any(b >= 0x80 or chr(b).isalpha() for b in (t or "").encode())
+
+    def normal(logs):
+        e = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(e) for x in e]
+
+    said = [[sum(math.log((0.5 + counts[x][g]) / total[x]) for g in grams(t)) / max(1, len(grams(t))) * min(len(grams(t)), most) for x in names] if letters(t) else None for t, *_ in rows]
+    own = [normal(s) if s else None for s in said]
+    host = [a.lower() if a else None for _, _, a, _ in rows]
+    suffix = [h.rsplit(".", 1)[1] if h and "." in h else None for h in host]
+    add = lambda which: [sum(p[j] for p, w in zip(own, which) if p and w) for j in range(len(names))]
+    everything = [x + 1e-9 for x in add([True] * len(rows))]
+    base = [x / sum(everything) for x in everything]
+    smooth = lambda c, q: [(x + smoothing * y) / (sum(c) + smoothing) for x, y in zip(c, q)]
+    out, many = [], add([d is not None for *_, d in rows])
+    for k, (_, _, _, d) in enumerate(rows):
+        if said[k] is None:
+            out.append(None)
+            continue
+        up = smooth(add([s == suffix[k] for s in suffix]), base) if suffix[k] else base
+        share = smooth(add([h == host[k] for h in host]), up) if host[k] else base
+        logs = [s + math.log(q) for s, q in zip(said[k], share)]
+        if d is not None:
+            hit = [float(x == d) for x in names]
+            sure = [1 / len(names) if not sum(hit) else 0.95 * x / sum(hit) + 0.05 / len(names) for x in hit]
+            logs = [x + math.log((c + trust * q) / (n + trust)) for x, c, q, n in zip(logs, add([x == d for *_, x in rows]), sure, many)]
+        out.append(dict(zip(names, normal(logs))))
+    return out
+
+
+def test_posteriors_against_plain_loops(spark):
+    import random
+
+    rng, said = random.Random(2), {"de": "der die das und nicht eine", "en": "the of and to not a", "fr": "le la les et pas une"}
+    rows = []
+    for k in range(60):
+        lang = rng.choice(sorted(said))
+        other = rng.choice(sorted(said))
+        text = " ".join(rng.choice(said[rng.choice((lang, lang, other))].split()) for _ in range(rng.randrange(1, 12)))
+        rows.append((text, lang if k % 3 else None, rng.choice((None, "h.de", "a.fr", "b.fr", "plain")), rng.choice((None, "de", "en", "xx"))))
+    rows += [(None, "en", "h.de", None), ("12 34", None, "h.de", "de"), ("of", None, None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, said_it string")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: r for r in language_id.identify(df, declared=F.col("said_it")).collect()}
+    for k, want in enumerate(brute_posteriors(rows)):
+        if want is None:
+            assert got[k].lang_found is None and got[k].posterior == 0
+        else:
+            best = max(want.values())
+            assert got[k].posterior == pytest.approx(best, abs=2e-4) and want[got[k].lang_found] == pytest.approx(best, abs=2e-4)
+
+
+def test_many_labels_are_counted_by_the_pairs_that_occur(spark, monkeypatch):
+    """A count of each (label, slot), whatever the buffers hold."""
+    texts = [(f"text number {k} of label {k % 700}", f"l{k % 700}") for k in range(2000)]
+    df = spark.createDataFrame(texts, "text string, lang string").coalesce(1)
+    want = Counter(tuple(r) for r in language_id.count_trigrams(df).collect())
+    monkeypatch.setattr(language_id, "MOST_PAIRS", 3000)
+    assert Counter(tuple(r) for r in language_id.count_trigrams(df).collect()) == want
+    per = Counter()
+    for lang, _, n in want:
+        per[lang] += n
+    assert per == Counter({x: sum(len(t) - 2 for t, y in texts if y == x) for x in {y for _, y in texts}})
