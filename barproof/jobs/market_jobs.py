@@ -185,8 +185,8 @@ def jn_asof_bar(spark, d):
 @register("jn_asof_funding", q.query("SELECT p.anchor, p.sym, f.t AS found_t, round(f.r, 8) AS r FROM (SELECT anchor + 1 AS anchor, sym FROM anchors CROSS JOIN syms) p ASOF JOIN funding f ON p.sym = f.sym AND p.anchor >= f.t"))
 def jn_asof_funding(spark, d):
     f = fx.funding(spark, d)
-    pairs = b.anchors(fx.bars_1d(spark, d)).withColumn("anchor", F.col("anchor") + 1).crossJoin(f.select("sym").distinct())
-    return walk.as_of(pairs, f, ["sym"], "anchor", "t", ["r"]).where("found_t IS NOT NULL").withColumn("r", F.round("r", 8))
+    at = b.anchors(fx.bars_1d(spark, d)).withColumn("anchor", F.col("anchor") + 1)
+    return walk.symbols_at(at, f, ["r"], least_i=0).withColumn("r", F.round("r", 8))
 
 
 @register("jn_funding_interval", q.query("SELECT p.plan_id, round(coalesce(sum(f.r), 0), 8) AS paid FROM book p LEFT JOIN funding f ON p.sym = f.sym AND f.t > p.t0 AND f.t <= p.t_end GROUP BY p.plan_id"))
@@ -312,9 +312,9 @@ def ag_compare(spark, d):
     return compare(*b.perp_runs(spark, d))
 
 
-@register("prj_decision", q.query("SELECT strat, decision FROM (" + COMPARE + ") WHERE strat IN ('tsmom20', 'revert3', 'xsmom30')", **COMPARE_TABLES))
+@register("prj_decision", q.query("SELECT strat, decision FROM (" + COMPARE + ")", **COMPARE_TABLES))
 def prj_decision(spark, d):
-    return compare(*b.both_runs(spark, d)).select("strat", "decision")
+    return compare(*b.perp_runs(spark, d)).select("strat", "decision")
 
 
 # ---- windows ----
@@ -322,7 +322,7 @@ def prj_decision(spark, d):
 
 @register("wn_ret", q.query("SELECT sym, t, round(r1, 9) AS r1, round(ret20d, 9) AS ret20d FROM feats"))
 def wn_ret(spark, d):
-    return fx.bars_1d(spark, d).select("sym", "t", F.round(ft.log_return(), 9).alias("r1"), F.round(ft.log_return(20), 9).alias("ret20d"))
+    return ft.with_returns(fx.bars_1d(spark, d), {"r1": 1, "ret20d": 20}).select("sym", "t", F.round("r1", 9).alias("r1"), F.round("ret20d", 9).alias("ret20d"))
 
 
 @register("wn_excursion", q.query(f"SELECT sym, t, round(ln(greatest(h, c) / lag(c) OVER {q.W}), 9) AS ex_hi, round(ln(least(l, c) / lag(c) OVER {q.W}), 9) AS ex_lo FROM bars"))
@@ -338,7 +338,7 @@ def wn_ewma_vol(spark, d):
 
 @register("wn_donch", q.query("SELECT sym, t, donch20d, donch55d FROM feats"))
 def wn_donch(spark, d):
-    return ft.with_index(fx.bars_1d(spark, d)).select("sym", "t", ft.donchian(20).alias("donch20d"), ft.donchian(55).alias("donch55d"))
+    return ft.with_donchian(fx.bars_1d(spark, d), {"donch20d": 20, "donch55d": 55}).select("sym", "t", "donch20d", "donch55d")
 
 
 @register("wn_fund_avg", q.query("SELECT sym, t, round(avg_n, 9) AS avg_n FROM favg"))

@@ -26,8 +26,12 @@ def wn_zscore(spark, d):
     return z.select("sym", "t", F.round("vh", 9).alias("vh"), F.round("z", 6).alias("z"), F.round("mg", 6).alias("mg"))
 
 
-@register("wn_blend", q.query(f"""SELECT sym, round(CASE WHEN any_value(n) < 40 THEN 1.0 ELSE arg_min(k * 0.05, round(e, 9) * 1000 + k * 1e-9) END, 2) AS w, any_value(n) AS n FROM (SELECT sym, k, sum(pow(ln(f) - (k * 0.05 * ln(s) + (1 - k * 0.05) * ln(l)), 2)) AS e, count(*) AS n FROM
-  (SELECT sym, i, {W30.format(n=30)} AS s, {W30.format(n=365)} AS l, CASE WHEN lead(c, {HZ - 1}) OVER (PARTITION BY sym ORDER BY t) IS NOT NULL THEN avg(CASE WHEN i >= 1 THEN r1 * r1 END) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND {HZ - 1} FOLLOWING) END AS f FROM b0), range(21) g(k)
-  WHERE i >= 180 AND i % {HZ // 2} = 0 AND s > 0 AND l > 0 AND f > 0 GROUP BY sym, k) GROUP BY sym"""))
+BLEND = f"""SELECT sym, i, {W30.format(n=30)} AS s, {W30.format(n=365)} AS l, CASE WHEN lead(c, {HZ - 1}) OVER (PARTITION BY sym ORDER BY t) IS NOT NULL THEN avg(CASE WHEN i >= 1 THEN r1 * r1 END) OVER (PARTITION BY sym ORDER BY t ROWS BETWEEN CURRENT ROW AND {HZ - 1} FOLLOWING) END AS f FROM b0"""
+
+
+@register("wn_blend", q.query(f"""SELECT sym, refit, round(CAST(CASE WHEN any_value(n) < 40 THEN 1.0 ELSE arg_min(k * 0.05, round(e, 9) * 1000 + k * 1e-9) END AS DOUBLE), 2) AS w, any_value(n) AS n FROM
+  (SELECT r.sym, r.refit, g.k, count(p.i) AS n, coalesce(sum(pow(ln(p.f) - (g.k * 0.05 * ln(p.s) + (1 - g.k * 0.05) * ln(p.l)), 2)), 0) AS e FROM
+    (SELECT sym, i AS refit FROM b0 WHERE i >= 180 AND (i - 180) % 60 = 0) r CROSS JOIN range(21) g(k) LEFT JOIN (SELECT * FROM blend WHERE i >= 180 AND (i - 180) % {HZ // 2} = 0 AND s > 0 AND l > 0 AND f > 0) p ON p.sym = r.sym AND p.i + {HZ} <= r.refit
+   GROUP BY r.sym, r.refit, g.k) GROUP BY sym, refit""", blend=BLEND))
 def wn_blend(spark, d):
     return md.blend_weights(fx.bars_1d(spark, d), 1, HZ)

@@ -2,43 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barproof.operators import features as ft
 
 
-def with_base_vol(bars: DataFrame, per_day: int, days: int = 30, season: str | None = None) -> DataFrame:
-    """Deseasonalised variance of the ``days`` before (row 0 and the current bar excluded) and sigma."""
+def _base_vol(b: DataFrame, per_day: int, days: int, season: str | None) -> DataFrame:
     sea = F.coalesce(F.greatest(F.col(season), F.lit(1e-6)), F.lit(1.0)) if season else F.lit(1.0)
-    b = ft.with_index(bars).withColumn("_d", F.when(F.col("i") >= 1, F.pow(ft.log_return(), 2) / sea))
-    b = b.withColumn("base", F.avg("_d").over(ft.by_sym().rowsBetween(-days * per_day, -1)))
+    b = b.withColumn("_d", F.when(F.col("i") >= 1, F.pow(ft.log_return(), 2) / sea))
+    b = b.withColumn("base", F.avg("_d").over(ft.by_block().rowsBetween(-days * per_day, -1)))
     return b.withColumn("sig", F.sqrt(F.col("base") * (F.coalesce(F.col(season), F.lit(1.0)) if season else F.lit(1.0)))).drop("_d")
 
 
-def with_horizon_z(bars: DataFrame, per_day: int, hz: int) -> DataFrame:
+def with_base_vol(bars: DataFrame, per_day: int, days: int = 30, season: str | None = None) -> DataFrame:
+    """Deseasonalised variance of the ``days`` before (row 0 and the current bar excluded) and sigma; ``season`` names the column of ``with_season``."""
+    return ft.unframed(_base_vol(ft.framed(bars, days * per_day + 1), per_day, days, season))
+
+
+def with_horizon_z(bars: DataFrame, per_day: int, hz: int, days: int = 30) -> DataFrame:
     """Variance over the next ``hz`` bars by the base, normalised future return, and size of the five-day trend."""
-    b = with_base_vol(bars, per_day)
-    future = F.ln(F.lead("c", hz - 1).over(ft.by_sym()) / F.lag("c").over(ft.by_sym()))
-    b = b.withColumn("vh", F.when(F.lead("c", hz - 1).over(ft.by_sym()).isNotNull(), F.col("base") * hz)).withColumn("z", F.when(F.col("vh") > 0, future / F.sqrt("vh")))
-    n = 5 * per_day
-    past = F.ln(F.lag("c").over(ft.by_sym()) / F.lag("c", n + 1).over(ft.by_sym()))
-    s2 = F.sum(F.pow("sig", 2)).over(ft.by_sym().rowsBetween(-n, -1))
-    return b.withColumn("mg", F.when(s2 > 0, F.abs(past / F.sqrt(s2))))
-
-
-def blend_weights(bars: DataFrame, per_day: int, hz: int, short: int = 30, long: int = 365, least: int = 40) -> DataFrame:
-    """Per symbol the weight in {0, .05, .., 1} of the short variance that explains the variance to come best (log squared error); 1 with few points."""
-    b = ft.with_index(bars).withColumn("_r2", F.when(F.col("i") >= 1, F.pow(ft.log_return(), 2)))
-    w = ft.by_sym()
+    n, w = 5 * per_day, ft.by_block()
+    b = _base_vol(ft.framed(bars, days * per_day + n + 2, hz), per_day, days, None)
+    future = F.ln(F.lead("c", hz - 1).over(w) / F.lag("c").over(w))
+    b = b.withColumn("vh", F.when(F.lead("c", hz - 1).over(w).isNotNull(), F.col("base") * hz)).withColumn("z", F.when(F.col("vh") > 0, future / F.sqrt("vh")))
+    past = F.ln(F.lag("c").over(w) / F.lag("c", n + 1).over(w))
+    s2 = F.sum(F.pow("sig", 2)).over(w.rowsBetween(-n, -1))
+    return ft.unframed(b.withColumn("mg", F.when(s2 > 0, F.abs(past / F.sqrt(s2)))))
+
+
+def blend_weights(bars: DataFrame, per_day: int, hz: int, short: int = 30, long: int = 365, least: int = 40, refit_days: int = 60) -> DataFrame:
+    """(sym, refit, w, n): the weight in {0, .05, .., 1} of the short variance that explained the variance to come best so far.
+
+    At each refit date (bar number ``refit``, every ``refit_days``) only points whose future
+    was over by then count: a point k has hz bars from k on, so k + hz <= refit.  Squared log
+    errors of all 21 weights are summed by the first refit date that may see them, and the
+    sums run along the refit dates; 1 with fewer than ``least`` points.
+    """
+    w, warm, step = ft.by_block(), 180 * per_day, refit_days * per_day
+    b = ft.framed(bars, long * per_day + 1, hz).withColumn("_r2", F.when(F.col("i") >= 1, F.pow(ft.log_return(), 2)))
     b = b.withColumns({
         "_s": F.avg("_r2").over(w.rowsBetween(-short * per_day, -1)), "_l": F.avg("_r2").over(w.rowsBetween(-long * per_day, -1)),
         "_f": F.when(F.lead("c", hz - 1).over(w).isNotNull(), F.avg("_r2").over(w.rowsBetween(0, hz - 1))),
     })
-    p = b.where((F.col("i") >= 180 * per_day) & (F.col("i") % max(1, hz // 2) == 0) & (F.col("_s") > 0) & (F.col("_l") > 0) & (F.col("_f") > 0))
-    p = p.select("sym", F.ln("_s").alias("s"), F.ln("_l").alias("l"), F.ln("_f").alias("f")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    b = ft.unframed(b)
+    p = b.where((F.col("i") >= warm) & ((F.col("i") - warm) % max(1, hz // 2) == 0) & (F.col("_s") > 0) & (F.col("_l") > 0) & (F.col("_f") > 0))
+    seen = F.greatest(F.lit(0), F.ceil((F.col("i") + hz - warm) / step)).cast("long")
+    p = p.select("sym", seen.alias("q"), F.ln("_s").alias("s"), F.ln("_l").alias("l"), F.ln("_f").alias("f")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
     weight = F.col("k") * 0.05
     err = F.pow(F.col("f") - (weight * F.col("s") + (1 - weight) * F.col("l")), 2)
-    g = p.groupBy("sym", "k").agg(F.sum(err).alias("e"), F.count(F.lit(1)).alias("n"))
-    best = g.groupBy("sym").agg(F.min_by("k", F.struct(F.round("e", 9), "k")).alias("k"), F.max("n").alias("n"))
-    return best.select("sym", F.round(F.when(F.col("n") < least, 1.0).otherwise(F.col("k") * 0.05), 2).alias("w"), "n")
+    sums = p.groupBy("sym", "q", "k").agg(F.sum(err).alias("e"), F.count(F.lit(1)).alias("n"))
+    # every refit date of a symbol, whether points came due at it or not
+    dates = bars.groupBy("sym").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > warm)
+    dates = dates.select("sym", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1 - warm) / step))).alias("q")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    so_far = Window.partitionBy("sym", "k").orderBy("q").rangeBetween(Window.unboundedPreceding, 0)  # a row a refit date
+    g = dates.join(sums, ["sym", "q", "k"], "left").withColumns({"e": F.coalesce(F.sum("e").over(so_far), F.lit(0.0)), "n": F.coalesce(F.sum("n").over(so_far), F.lit(0))})
+    best = g.groupBy("sym", "q").agg(F.min_by("k", F.struct(F.round("e", 9), "k")).alias("k"), F.max("n").alias("n"))
+    return best.select("sym", (F.col("q") * step + warm).alias("refit"), F.round(F.when(F.col("n") < least, 1.0).otherwise(F.col("k") * 0.05), 2).alias("w"), "n")

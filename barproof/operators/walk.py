@@ -61,11 +61,24 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right
     return both.select("_l.*", F.col("_v._rt").alias(found), *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
-def symbols_at(anchor_rows: DataFrame, bars: DataFrame, values: list[str]) -> DataFrame:
-    """(anchor, sym) with each symbol's last bar at or before the anchor, for symbols that have two bars by then."""
-    syms = bars.select("sym").distinct()
-    pairs = anchor_rows.crossJoin(syms)  # the result has a row for each of these
-    return as_of(pairs, bars, ["sym"], "anchor", "t", values).where("i >= 1")
+def symbols_at(anchor_rows: DataFrame, bars: DataFrame, values: list[str], least_i: int = 1, day_ms: int = 86_400_000) -> DataFrame:
+    """(anchor, sym) with each symbol's last bar at or before the anchor, for symbols that have two bars by then.
+
+    Most anchors are a bar's own time: they are an equi-join.  The others lie in a gap of
+    the symbol, between a bar and the next one; gaps meet the anchors of their days.
+    """
+    w = ft.by_block()
+    held = ft.framed(bars.select("sym", "t", *values), 0, 1, known="i" in values).withColumn("_next", F.lead("t").over(w))
+    held = ft.unframed(held).where(F.col("i") >= least_i)
+    at = anchor_rows.select("anchor").distinct()
+    on = held.join(at, F.col("t") == F.col("anchor")).select("anchor", "sym", F.col("t").alias("found_t"), *values)
+    last = at.agg(F.max("anchor").alias("_last"))
+    gap = held.join(F.broadcast(last), F.coalesce("_next", F.col("_last") + 1) > F.col("t") + 1)  # one row
+    gap = gap.withColumn("_until", F.coalesce("_next", F.col("_last") + 1))
+    gap = gap.withColumn("_day", F.explode(F.sequence(F.floor((F.col("t") + 1) / day_ms), F.floor((F.col("_until") - 1) / day_ms))))
+    days = at.withColumn("_day", F.floor(F.col("anchor") / day_ms))
+    off = gap.join(days, "_day").where((F.col("anchor") > F.col("t")) & (F.col("anchor") < F.col("_until")))
+    return on.unionByName(off.select("anchor", "sym", F.col("t").alias("found_t"), *values))
 
 
 Strategy = Callable[[DataFrame], DataFrame]
@@ -97,10 +110,18 @@ RULES = {r.name: r for r in (
 )}
 
 
-def features_for(bars: DataFrame, per_day: int) -> DataFrame:
-    """All rule features on each bar, in windows over one partitioning."""
+RETURNS, CHANNELS = (3, 20, 30, 60), (20, 55)
+
+
+def features_for(bars: DataFrame, per_day: int, wanted: set[str] | None = None) -> DataFrame:
+    """The rule features (all, or those ``wanted``) on each bar, by blocks."""
+    returns = {f"ret{d}d": d * per_day for d in RETURNS if wanted is None or f"ret{d}d" in wanted}
+    channels = {f"donch{d}d": d * per_day for d in CHANNELS if wanted is None or f"donch{d}d" in wanted}
     b = ft.with_ewma_vol(bars)
-    return b.withColumns({**{f"ret{d}d": ft.log_return(d * per_day) for d in (3, 20, 30, 60)}, **{f"donch{d}d": ft.donchian(d * per_day) for d in (20, 55)}})
+    if returns or channels:
+        b = ft.framed(b, max([*returns.values(), *(k + 1 for k in channels.values())]), known=True)
+        b = ft.unframed(b.withColumns({**{n: ft.log_return(k) for n, k in returns.items()}, **{n: ft.donchian(k) for n, k in channels.items()}}))
+    return b
 
 
 FEATURES = ["i", "c", "vol", "ret3d", "ret20d", "ret30d", "ret60d", "donch20d", "donch55d"]

@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barproof.operators import features as ft
+
 BAR_SCHEMA = T.StructType([T.StructField("t", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in "ohlcv")])
 
 
@@ -81,15 +83,14 @@ def latest(pages: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
 
 def newest(bars: DataFrame, n: int) -> DataFrame:
-    """The newest n bars of each symbol."""
-    w = Window.partitionBy("sym").orderBy(F.desc("t"))
-    return bars.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    """The newest n bars of each symbol, by their numbers."""
+    return ft.with_index(bars, size="_size").where(F.col("i") >= F.col("_size") - n).drop("i", "_size")
 
 
 def gaps(bars: DataFrame, step_ms: int) -> DataFrame:
     """Missing grid steps per symbol; nothing is filled."""
-    d = F.col("t") - F.lag("t").over(Window.partitionBy("sym").orderBy("t"))
-    return bars.withColumn("_d", d).groupBy("sym").agg(F.sum(F.greatest(F.floor(F.col("_d") / step_ms) - 1, F.lit(0))).cast("long").alias("missing"), F.count(F.lit(1)).alias("bars"))
+    b = ft.unframed(ft.framed(bars, 1, step_ms=step_ms).withColumn("_d", F.col("t") - F.lag("t").over(ft.by_block())))
+    return b.groupBy("sym").agg(F.sum(F.greatest(F.floor(F.col("_d") / step_ms) - 1, F.lit(0))).cast("long").alias("missing"), F.count(F.lit(1)).alias("bars"))
 
 
 def iso_millis(c: Column) -> Column:
