@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barproof.operators import features as ft
 from barproof.operators import plans as pl
+from barproof.sources import readers as rd
 
 
 def anchors(bars: DataFrame, warmup: int = 0, step: int = 1, start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -81,9 +83,6 @@ def symbols_at(anchor_rows: DataFrame, bars: DataFrame, values: list[str], least
     return on.unionByName(off.select("anchor", "sym", F.col("t").alias("found_t"), *values))
 
 
-Strategy = Callable[[DataFrame], DataFrame]
-
-
 class Rule:
     """A strategy: holding time in days, ratio, whether it pays funding, and its pick (rows of (anchor, sym) -> side)."""
 
@@ -146,35 +145,104 @@ def candidates(names: list[str], feats: DataFrame, anchor_rows: DataFrame, per_d
     return pl.levels(p)
 
 
-def admit(cand: DataFrame) -> DataFrame:
+def next_after(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, values: list[str], found: str) -> DataFrame:
+    """Forward, inclusive as-of join: the first right row with right_t >= left_t."""
+    back = lambda df, t: df.withColumn("_back", -F.col(t))
+    out = as_of(back(left, left_t), back(right, right_t), keys, "_back", "_back", values, "_found").drop("_back")
+    return out.withColumn(found, -F.col("_found")).drop("_found")
+
+
+#: Bars in a span of admission.
+SPAN_BARS = 4096
+
+
+def admit(cand: DataFrame, span_ms: int | None = None) -> DataFrame:
     """Keeps a plan unless one of its symbol and side is open; an open opposite plan is cut at the new plan's time.
 
-    Shadow plans (``shadow``, where there is such a column) have a ledger of their
-    own, in which nothing is cut.  The fold is order-dependent, so it runs per
-    (strategy, symbol, ledger) on what it needs only: time, side and expiry of
-    candidates (at most one per anchor).  What a flip cuts is found afterwards by
-    a window.
+    Shadow plans (``shadow``, where there is such a column) have a ledger of their own, in
+    which nothing is cut.
+
+    What is admitted after an admitted plan follows from that plan alone: the first later
+    candidate of the other side, or of its own side once it has ended (with shadow plans,
+    of its own side only).  So a key's candidates are a forest of pointers to later ones,
+    and the chain from the first one is what is admitted.  A key is cut into spans of time
+    (SPAN_BARS bars, or ``span_ms``): within a span, each candidate learns the last one of
+    its chain there; where chains go on from these few last ones, as-of joins over spans
+    say, and pointers between spans double until the chain from the first candidate is
+    known; then each span follows it from where it enters.
     """
     by = ["strat", "sym"] + ["shadow"] * ("shadow" in cand.columns)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "side"], kind="stable")
-        shadow = "shadow" in pdf and bool(pdf["shadow"].iloc[0])
-        ends, keep = {1: None, -1: None}, []
-        for pid, t, side, end in zip(pdf["plan_id"], pdf["t0"], pdf["side"], pdf["t_end"]):
-            if ends[side] is not None and ends[side] > t:
-                continue
-            if not shadow and ends[-side] is not None and ends[-side] > t:
-                ends[-side] = None
-            ends[side] = end
-            keep.append(pid)
-        return pd.DataFrame({"plan_id": keep})
-
-    kept = cand.select(*by, "plan_id", "t0", "side", "t_end").groupBy(*by).applyInPandas(fold, "plan_id string")
-    out = cand.join(kept, "plan_id", "left_semi")
-    later = Window.partitionBy(*by).orderBy("t0").rangeBetween(1, Window.unboundedFollowing)
-    nxt = F.min(F.when(F.col("side") == 1, F.col("t0"))).over(later), F.min(F.when(F.col("side") == -1, F.col("t0"))).over(later)
-    flip = F.when(F.col("side") == 1, nxt[1]).otherwise(nxt[0])
-    if "shadow" in by:
-        flip = F.when(~F.col("shadow"), flip)
-    return out.withColumn("_flip", flip).withColumns({"flipped": F.coalesce(F.col("_flip") < F.col("t_end"), F.lit(False)), "t_end": F.least("t_end", F.coalesce("_flip", "t_end"))}).drop("_flip")
+    both = "shadow" not in by
+    key = [*by, "_apart"]
+    names = [*key, "_s"]
+    size = F.lit(span_ms) if span_ms else SPAN_BARS * F.coalesce(F.col("tf_ms") if "tf_ms" in cand.columns else F.lit(None).cast("long"), F.lit(86_400_000))
+    rows = cand.withColumn("_apart", F.lit(0) if both else F.when(F.col("shadow"), F.col("side")).otherwise(0)).withColumn("_size", size.cast("long"))
+    # candidates in order of (time, side); of equal ones the first is all that can be admitted
+    rows = rows.select(*key, "_size", F.floor(F.col("t0") / F.col("_size")).alias("_s"), (F.col("t0") * 2 + (F.col("side") > 0).cast("long")).alias("o"), "plan_id", "t0", "side", "t_end")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A span's candidates: the next one of each one's chain in the span, and the last one with its side and end; and which are on the chain of the first."""
+        pdf = pdf.sort_values(["o", "plan_id"]).drop_duplicates("o")
+        n, side, t0, end, o = len(pdf), pdf["side"].to_numpy(), pdf["t0"].to_numpy(), pdf["t_end"].to_numpy(), pdf["o"].to_numpy()
+        nxt, apart = np.full(n, n), bool(pdf["_apart"].iloc[0])
+        for x in (1, -1):
+            own, other = np.flatnonzero(side == x), np.flatnonzero(side != x)
+            ended = np.maximum(np.searchsorted(t0[own], end[own]), np.arange(len(own)) + 1)  # a later one, even of a plan without length
+            nxt[own] = np.append(own, n)[ended]
+            if not apart:
+                nxt[own] = np.minimum(nxt[own], np.append(other, n)[np.searchsorted(other, own)])
+        last, first = np.arange(n), np.zeros(n + 1, bool)
+        for k in range(n - 1, -1, -1):
+            if nxt[k] < n:
+                last[k] = last[nxt[k]]
+        first[0] = True
+        for k in range(n):
+            first[nxt[k]] |= first[k]
+        return pd.DataFrame({**{c: pdf[c] for c in (*names, "_size", "plan_id", "o", "side", "t_end")}, "nxt": np.append(o, -1)[nxt], "last": o[last], "last_side": side[last], "last_end": end[last], "first": first[:n]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    key_sql = ", ".join(f"{c} {kinds[c]}" for c in names)
+    chained = rd.stored(rows.groupBy(*names).applyInPandas(within, f"{key_sql}, _size long, plan_id {kinds['plan_id']}, o long, side int, t_end long, nxt long, last long, last_side int, last_end long, first boolean"), "chains")
+    ends = chained.groupBy(*key).agg(F.min("_s").alias("_begin"), F.max("_s").alias("_end"))
+    lasts = chained.where("o = last").join(ends, key).where("_s < _end").select(*key, "last", "last_side", "last_end", ((F.col("_s") + 1) * F.col("_size")).alias("_later"))
+    lasts = rd.stored(lasts, "lasts")
+    kept = chained.join(ends, key).where("first AND _s = _begin").select(*key, "plan_id", "o", "side", "t_end", "nxt")
+    if not lasts.isEmpty():
+        kept = _in_all_spans(chained, lasts, ends, key, key_sql)
+    # an admitted plan is cut by the next one admitted, if that is of the other side
+    at, other = F.floor(F.col("nxt") / 2), F.when(F.col("nxt") % 2 == 1, 1).otherwise(-1)
+    cut = (F.col("nxt") >= 0) & (other != F.col("side")) & (at < F.col("t_end")) & (F.col("_apart") == 0)
+    flips = kept.select("plan_id", F.when(cut, at).alias("_flip"))
+    return cand.join(flips, "plan_id").withColumns({"flipped": F.col("_flip").isNotNull(), "t_end": F.coalesce("_flip", "t_end")}).drop("_flip")
+
+
+def _in_all_spans(chained: DataFrame, lasts: DataFrame, ends: DataFrame, key: list[str], key_sql: str) -> DataFrame:
+    """What is admitted, over spans; of a span's last plan ``nxt`` is what its chain enters next."""
+    nodes = chained.select(*key, "side", F.floor(F.col("o") / 2).alias("_t"), F.col("o").alias("_o"))
+    own = next_after(lasts.withColumn("side", F.col("last_side")).withColumn("_at", F.greatest("last_end", "_later")), nodes, [*key, "side"], "_at", "_t", ["_o"], "_found_t").withColumnRenamed("_o", "_own").drop("_found_t", "_at")
+    apart = F.col("_apart") != 0
+    other = next_after(own.withColumn("side", -F.col("last_side")), nodes, [*key, "side"], "_later", "_t", ["_o"], "_found_t")
+    goes = rd.stored(other.select(*key, "last", F.when(apart, F.col("_own")).otherwise(F.least("_own", "_o")).alias("enters")).where("enters IS NOT NULL"), "goes")
+    hops = chained.select(*key, "o", "last").join(goes, [*key, "last"]).select(*key, "o", F.col("enters").alias("to"))
+    heads = chained.join(ends, key).where("_s = _begin").groupBy(*key).agg(F.min("o").alias("o"))
+    # only candidates at which a chain enters a span are places to come from
+    places = goes.select(*key, F.col("enters").alias("o")).unionByName(heads).distinct()
+    jumps = [rd.stored(hops.join(places, [*key, "o"], "left_semi"), "hops")]
+    while not jumps[-1].isEmpty():  # each jump goes twice as many spans on; a key has few
+        far = jumps[-1].select(*key, F.col("o").alias("to"), F.col("to").alias("_far"))
+        jumps.append(rd.stored(jumps[-1].join(far, [*key, "to"]).select(*key, "o", F.col("_far").alias("to")), "hops"))
+    entered = heads
+    for jump in jumps[-2::-1]:
+        entered = entered.unionByName(entered.join(jump, [*key, "o"]).select(*key, F.col("to").alias("o")))
+    entered = entered.withColumnRenamed("o", "enters").join(chained.select(*key, "_s", F.col("o").alias("enters")), [*key, "enters"])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        nxt, at, keep = dict(zip(pdf["o"], pdf["nxt"])), int(pdf["enters"].iloc[0]), []
+        while at >= 0:
+            keep.append(at)
+            at = nxt[at]
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(keep) for c in (*key, "_s")}, "o": keep})
+
+    on = chained.select(*key, "_s", "o", "nxt").join(entered, [*key, "_s"]).groupBy(*key, "_s").applyInPandas(follow, key_sql + ", o long")
+    kept = chained.join(on.drop("_s"), [*key, "o"], "left_semi").select(*key, "plan_id", "o", "side", "t_end", "nxt")
+    return kept.join(goes.withColumnRenamed("last", "o"), [*key, "o"], "left").withColumn("nxt", F.when(F.col("nxt") < 0, F.coalesce("enters", "nxt")).otherwise(F.col("nxt"))).drop("enters")
