@@ -13,6 +13,7 @@ from barproof.operators import features as ft
 from barproof.operators import joins as jn
 from barproof.operators import metrics as mt
 from barproof.operators import plans as pl
+from barproof.operators import plugins
 from barproof.operators import replay as rp
 from barproof.operators import walk
 from barproof.sources import fixtures as fx
@@ -409,6 +410,26 @@ def _strategy(name: str):
 for _name in q.STRATS:
     _strategy(_name)
 
+STREAK = "SELECT 'streak' AS strat, sym, t AS t0, CASE WHEN up3 = 3 THEN 1 WHEN down3 = 3 THEN -1 END AS side, c AS entry, vol, 5 AS hz, 2.0 AS rm, 'streak|' || sym || '|' || t AS plan_id FROM (SELECT *, sum(CASE WHEN r1 > 0 THEN 1 ELSE 0 END) OVER w AS up3, sum(CASE WHEN r1 < 0 THEN 1 ELSE 0 END) OVER w AS down3 FROM feats WINDOW w AS (PARTITION BY sym ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"
+
+
+def streak(bars):
+    """A strategy as a user writes one: three rises in a row are bought, three falls sold."""
+    w = ft.by_block().rowsBetween(-2, 0)
+    r1 = F.round(ft.log_return(), 12)
+    many = ft.framed(bars, 3).withColumn("r1", r1).withColumns({"up": F.sum((F.col("r1") > 0).cast("int")).over(w), "down": F.sum((F.col("r1") < 0).cast("int")).over(w)})
+    return ft.unframed(many).select("sym", "t", F.when(F.col("up") == 3, 1).when(F.col("down") == 3, -1).otherwise(0).alias("side"), F.lit(5).alias("hz"), F.lit(2.0).alias("rm"))
+
+
+@register("st_plugin", q.query("SELECT plan_id, sym, t0, side, t0 + hz * " + str(b.DAY) + f" AS t_end, {R('entry', 'sl', 'tp2', 'd_stop')} FROM (" + q.plan_levels("SELECT * FROM (" + STREAK + ") WHERE side IN (1, -1) AND vol > 0") + ")"))
+def st_plugin(spark, d):
+    """The user's strategy passes the guard against looking ahead and gives plans."""
+    own = plugins.Registry()
+    own.register("streak")(streak)
+    p = own.candidates(fx.bars_1d(spark, d), b.DAY)
+    return b.r6(p, "entry", "sl", "tp2", "d_stop").select("plan_id", "sym", "t0", "side", "t_end", "entry", "sl", "tp2", "d_stop")
+
+
 H2 = f"SELECT 'event' AS strat, c.bar - {b.DAY} AS t0, b.sym, CASE WHEN p.pos_pct >= 0.9 THEN -1 WHEN p.pos_pct <= 0.1 THEN 1 END AS side, b.c AS entry, b.vol, 24 AS hz, 1.5 AS rm, p.pos_pct FROM {{events}} c JOIN feats b ON b.t = c.bar - {b.DAY} ASOF JOIN fpos p ON p.sym = b.sym AND p.t < c.bar"
 CONTROL = f"SELECT day AS bar FROM ({_days(100 * b.DAY, 48 * b.DAY)}) WHERE substr(md5(CAST(day AS VARCHAR)), 1, 1) < '4'"
 

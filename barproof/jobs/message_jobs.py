@@ -18,14 +18,14 @@ from barproof.sources import readers as rd
 
 # Signals rendered as messages from bars; the fields are the expected result.
 q.TABLES["m0"] = """SELECT sym AS base, sym || 'USDT' AS sym, 'chan_' || ((i // 3) % 3) AS channel, (t // 86400000) * 10 + (strpos('AFAONFNORFRO', sym) - 1) // 2 AS id, t + 3600000 AS t, i, CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS side,
-  CAST(i % 6 AS INTEGER) AS mode, CASE WHEN i % 3 = 0 THEN c * 1.05 ELSE c END AS p FROM feats WHERE i >= 60"""
+  CAST(i % 6 AS INTEGER) AS mode, CASE WHEN i % 3 = 0 THEN c * 1.05 ELSE c END AS p FROM feats"""
 q.TABLES["m1"] = "SELECT *, round(p, 2) AS e, round(p * (1 - side * 0.04), 2) AS xsl, round(p * (1 + side * 0.03), 2) AS xtp1, round(p * (1 + side * 0.06), 2) AS xtp2 FROM m0"
 q.TABLES["sigs"] = """SELECT channel, id, t, base, sym, side, mode, CASE WHEN mode = 3 THEN NULL WHEN mode = 2 THEN (round(e - 0.2, 2) + round(e + 0.2, 2)) / 2 ELSE e END AS entry, xsl AS sl, CASE WHEN mode IN (3, 4) THEN [xtp2] ELSE [xtp1, xtp2] END AS tps FROM m1 WHERE mode <> 5"""
 
 
 def rendered(spark, d):
     """channel, id, t, text: signals in several formats and languages, ambiguous ones, and plain talk."""
-    f = b.feats(spark, d).where("i >= 60")
+    f = b.feats(spark, d)
     k = F.col("i")
     side = F.when(k % 2 == 0, 1).otherwise(-1)
     p = F.when(F.col("i") % 3 == 0, F.col("c") * 1.05).otherwise(F.col("c"))
@@ -78,7 +78,7 @@ HTML = """<div class="tgme_widget_message_wrap"><div data-post="%s/%d"><div clas
 @register("src_messages_html", q.query("SELECT channel, id, t, 'x & <y> ' || chr(39) || 'z' || chr(39) || chr(10) || sym AS text FROM m0"))
 def src_messages_html(spark, d):
     """Rendered pages (one per channel and year) with markup and entities; raw web pages are negatives."""
-    f = b.feats(spark, d).where("i >= 60").select(F.concat(F.lit("chan_"), (F.floor(F.col("i") / 3) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
+    f = b.feats(spark, d).select(F.concat(F.lit("chan_"), (F.floor(F.col("i") / 3) % 3).cast("string")).alias("channel"), (F.floor(F.col("t") / b.DAY) * 10 + F.floor((F.expr("locate(sym, 'AFAONFNORFRO')") - 1) / 2)).alias("id"), (F.col("t") + b.HOUR).alias("t"), F.concat(F.col("sym"), F.lit("USDT")).alias("sym"))
     at = F.date_format(F.timestamp_add("MILLISECOND", F.col("t"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")), "yyyy-MM-dd'T'HH:mm:ss")
     block = F.format_string(HTML, "channel", "id", F.concat(F.lit("x &amp; &lt;<b>y</b>&gt; &quot;z&#39;<br/>"), F.col("sym")), at)
     pages = f.withColumn("b", block).groupBy("channel", F.floor(F.col("t") / (366 * b.DAY)).alias("y")).agg(F.concat(F.lit("<html>"), F.array_join(F.collect_list("b"), ""), F.array_join(F.collect_list("b"), "")).alias("html"))
@@ -86,14 +86,28 @@ def src_messages_html(spark, d):
     return rd.messages_from_html(pages.select("channel", "html").unionByName(web))
 
 
-@register("src_messages_text", q.query("SELECT channel, count(*) AS n, min(t) AS first_t, max(t) AS last_t, CAST(sum(t // 60000) AS BIGINT) AS sum_min FROM m0 GROUP BY channel"))
+_WAY = "CASE WHEN side > 0 THEN '{}' ELSE '{}' END".format
+_COMMA = "replace({}, '.', ',')".format
+_LINE = " || chr(10) || "
+q.TABLES["mtext"] = f"""SELECT channel, id, t, CASE mode
+  WHEN 0 THEN {_WAY('LONG ', 'SHORT ')} || sym{_LINE}'Entry: ' || ne{_LINE}'Stop: ' || nsl{_LINE}'TP1: ' || n1{_LINE}'TP2: ' || n2
+  WHEN 1 THEN '#' || sym || ' ' || {_WAY('al', 'sat')}{_LINE}'Giriş: ' || {_COMMA('ne')}{_LINE}'Zarar kes: ' || {_COMMA('nsl')}{_LINE}'Hedef: ' || {_COMMA('n1')} || ' / ' || {_COMMA('n2')}
+  WHEN 2 THEN base || '/USDT ' || {_WAY('🟢 long', '🔴 short')}{_LINE}'Entry zone: ' || nlo || ' - ' || nhi{_LINE}'SL: ' || nsl{_LINE}'Targets: ' || n1 || ' - ' || n2
+  WHEN 3 THEN sym || ' ' || {_WAY('BUY', 'SELL')}{_LINE}'stop loss ' || nsl{_LINE}'take profit ' || n2
+  WHEN 4 THEN {_WAY('📈 ', '📉 ')} || base || '-USDT'{_LINE}'entry ' || ne || ' sl ' || nsl || ' tp ' || n2
+  ELSE sym || ' LONG or SHORT'{_LINE}'entry ' || ne{_LINE}'stop ' || nsl{_LINE}'tp ' || n2 END AS text
+  FROM (SELECT *, {', '.join(f"printf('%.2f', {x}) AS {n}" for n, x in (('ne', 'e'), ('nsl', 'xsl'), ('n1', 'xtp1'), ('n2', 'xtp2'), ('nlo', 'round(e - 0.2, 2)'), ('nhi', 'round(e + 0.2, 2)')))} FROM m1)"""
+
+
+@register("src_messages_text", q.query("SELECT channel, t // 60000 * 60000 AS t, text FROM mtext"))
 def src_messages_text(spark, d):
+    """Pasted histories, one for each channel and year; every message comes back with its time and its text."""
     m = rendered(spark, d)
     ntz = F.timestamp_add("MILLISECOND", F.col("t"), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
     head = F.when(F.col("id") % 2 == 0, F.date_format(ntz, "yyyy-MM-dd HH:mm")).otherwise(F.concat(F.lit("["), F.date_format(ntz, "dd.MM.yyyy, H:mm"), F.lit("]")))
     paste = m.withColumn("b", F.concat(head, F.lit("\n"), F.col("text"), F.lit("\n"))).groupBy("channel", F.floor(F.col("t") / (366 * b.DAY)).alias("y")).agg(F.concat(F.lit("pasted\n"), F.array_join(F.collect_list("b"), "")).alias("text"))
     out = rd.messages_from_text(paste.select("channel", "text"))
-    return out.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum(F.floor(F.col("t") / 60000)).alias("sum_min"))
+    return out.select("channel", "t", F.regexp_replace(F.regexp_replace("text", r"^[^\n]*\n", ""), r"\n$", "").alias("text"))
 
 
 @register("fn_num", q.query("SELECT id, channel, 1 AS k, round(sl * 1000, 2) AS v FROM sigs UNION ALL SELECT id, channel, 2, round(sl, 2) FROM sigs UNION ALL SELECT id, channel, 3, CAST(CAST(round(sl * 100) AS BIGINT) * 1000 + 5 AS DOUBLE) FROM sigs"))
@@ -117,7 +131,7 @@ def fn_nums(spark, d):
 
 @register("fn_symbol_norm", q.query("SELECT DISTINCT base, form, base AS clean, base || 'USDT' AS usdt FROM sigs, range(4) r(form) UNION SELECT DISTINCT base, 9, base || 'PERP', base || 'USDT' FROM sigs"))
 def fn_symbol_norm(spark, d):
-    base = b.feats(spark, d).where("i >= 60").select(F.col("sym").alias("base")).distinct()
+    base = b.feats(spark, d).select(F.col("sym").alias("base")).distinct()
     a, z = F.substring("base", 1, 1), F.substring("base", 2, 1)
     forms = F.array(*[F.struct(F.lit(k).alias("form"), x.alias("x")) for k, x in ((0, F.lower("base")), (1, F.concat(a, F.lit("/"), z)), (2, F.concat(a, F.lit("-"), z)), (3, F.concat(F.lit(" "), F.col("base"), F.lit(" "))), (9, F.concat(F.col("base"), F.lit("PERP"))))])
     return base.withColumn("_f", F.explode(forms)).select("base", F.col("_f.form").cast("long").alias("form"), tx.clean_symbol(F.col("_f.x")).alias("clean"), tx.usdt_symbol(F.col("_f.x")).alias("usdt"))
