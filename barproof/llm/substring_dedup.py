@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words of one text; each word that lies in a
 window whose words also start in a document with a smaller id is removed.
 
 The suffixes that can matter (see ``repeats``) are split among groups by
-variable-length prefixes of their minimising gram: one word, or two or three
+variable-length prefixes of their minimising gram: two words, or three and more
 where a count over the whole corpus says that the prefix is too frequent for a
 group's memory.  Each group grows its suffix tree top-down, level by level: the
 suffixes under a node are split by their next word, lone suffixes are leaves and
@@ -63,7 +63,7 @@ class WordTrees:
         for r in bins:
             count[r.bin] = r.n
         limit = max(1, int(count.sum()) // n)
-        self.parts = np.clip(-(-count // limit), 1, 256).astype(np.int64)
+        self.parts = np.maximum(-(-count // limit), 1).astype(np.int64)
         light = np.where(self.parts > 1, 0, count)
         # light prefixes next to one another share a group; a heavy one has groups of its own
         group, filled, out = 0, 0, np.zeros(BINS, np.int64)
@@ -101,7 +101,9 @@ class WordTrees:
     def _place(self, marks: np.ndarray) -> np.ndarray:
         key = tk.unmix(marks)
         two = (key >> U64(48)).astype(np.int64)
-        return self.first[two] + (((key >> U64(40)) & U64(255)).astype(np.int64) * self.parts[two] >> 8)
+        # a heavy prefix goes on with the third word and the rest of the gram, as finely as it must
+        more = ((key >> U64(16)) & U64(0xFFFFFFFF)).astype(np.int64)
+        return self.first[two] + (more * self.parts[two] >> 32)
 
     def _windows(self, doc, h):
         n = len(h) - self.window + 1

@@ -254,3 +254,18 @@ def test_suffix_array_is_sorted():
     for _ in range(400):
         a = rng.integers(0, int(rng.integers(1, 5)) + 1, int(rng.integers(0, 40)))
         assert suffix_array(a).tolist() == sorted(range(len(a)), key=lambda i: a[i:].tolist())
+
+
+def test_a_heavy_prefix_is_cut_as_finely_as_it_must():
+    """One two-word prefix holds nearly all: its grams go to thousands of groups, equal ones to one, and groups keep the order of prefixes."""
+    import numpy as np
+
+    from barproof.llm.substring_dedup import BINS, WordTrees
+
+    kit, rng = WordTrees(), np.random.default_rng(0)
+    kit.parts, kit.first = np.ones(BINS, np.int64), np.arange(BINS)
+    kit.parts[5], kit.first[6:] = 4000, kit.first[6:] + 4000
+    keys = np.concatenate((rng.integers(0, 2**48, 50_000) | 5 << 48, [6 << 48, 4 << 48])).astype(np.uint64)
+    place = kit._place(textkit.mix(keys))
+    assert len(set(place[:-2])) > 3990 and place[-2] > place[:-2].max() and place[-1] < place[:-2].min()
+    assert (kit._place(textkit.mix(keys)) == place).all() and (np.diff(place[np.argsort(keys)]) >= 0).all()
