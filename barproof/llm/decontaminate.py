@@ -7,11 +7,14 @@ window; an item shorter than that (but with words) is one window as a whole.
 
 The automaton is broadcast, and its size is checked first: items of more than
 ``most_bytes`` are cut into slices of about that size, each collected, built and
-sent on its own, with a pass over the texts and a checkpoint between passes.  A
-slice of b bytes has at most b states and 1.5 b transitions (words are two bytes
-with their space, and an automaton of n words has at most 2n states and 3n
-transitions), kept in one table.  An
-item's windows never depend on other items, so slicing changes no result.
+sent on its own.  A slice of b bytes has at most b states and 1.5 b transitions
+(words are two bytes with their space, and an automaton of n words has at most 2n
+states and 3n transitions), kept in one table.  ``slices_a_pass`` slices (a bound
+of a worker's memory) go through the texts together.  Where that isn't all, a
+pass writes what it hits only: spans and items of the texts that have any, one
+row for equal texts; the last pass joins them.  Texts are read once a pass, and
+move only where ``kept_text`` is asked for.  An item's windows never depend on
+other items, so slicing changes no result.
 
 Defined results: null or empty texts have no words and aren't contaminated;
 items without words match nothing; a null item id counts no item but its words
@@ -176,57 +179,85 @@ def _slices(items: DataFrame, id_col: str, text_col: str, most_bytes: int) -> tu
     return own.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(n))), n
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.05, most_bytes: int = 2 << 20, full: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.05, most_bytes: int = 2 << 20, slices_a_pass: int = 4, full: bool = True) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (coverage reached); with ``full`` also
     ``items``, ``spans`` (word positions) and ``kept_text`` (the words outside all spans)."""
     spark = docs.sparkSession
     graph.shared_folder(docs)
     cut, n_slices = _slices(items, item_id_col, item_text_col, most_bytes)
-    df = rp.whole(docs, id_col, text_col).withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")).withColumn("items", F.lit(None).cast("array<string>"))
-    sql = "id long, text string, spans array<struct<a:int,b:int>>, items array<string>"
+    cut = graph.left_over(cut) if n_slices > 1 else cut
+    df = rp.whole(docs, id_col, text_col).withColumn("key", F.sha2("text", 256) if n_slices > slices_a_pass else F.lit(None).cast("string"))
     out_sql = SQL + (", items array<string>, spans array<struct<a:int,b:int>>, kept_text string" if full else "")
     span_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     out_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())] + [("items", pa.list_(pa.string())), ("spans", span_type), ("kept_text", pa.string())] * full)
-    mid_schema = pa.schema([("id", pa.int64()), ("text", pa.string()), ("spans", span_type), ("items", pa.list_(pa.string()))])
+    hits_sql = "key string, spans array<struct<a:int,b:int>>, items array<string>"
+    hits_schema = pa.schema([("key", pa.string()), ("spans", span_type), ("items", pa.list_(pa.string()))])
+    part_sql = f"id long, n_words long, text string, {hits_sql}"
+    part_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string()), *hits_schema])
     limit = round(coverage * 10_000)
+    pairs = lambda spans: [{"a": a, "b": b} for a, b in spans]
+
+    def report(doc: int | None, words: list[bytes] | None, n_words: int, found: list[tuple[int, int]], own: set[str]) -> tuple:
+        listed, hit = sorted(own), sum(b - a for a, b in found)
+        row = (doc, n_words, hit, len(own), hashlib.sha256(",".join(listed).encode()).hexdigest(), hit > 0 and 10_000 * hit >= limit * n_words)
+        if not full:
+            return row
+        kept, at = [], 0
+        for a, b in found:
+            kept += words[at:a]
+            at = b
+        return *row, listed, pairs(found), b" ".join(kept + words[at:]).decode()
+
+    def one_pass(sent: list, kind: str):
+        """``whole``: results; ``hits``: texts that are hit; ``part``: each text's hits of this pass, for a join with those of the others."""
 
-    def one_pass(sent, last: bool):
         def run(batches):
-            machine = sent.value
+            machines = [x.value for x in sent]
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     part, out = batch.slice(lo, 512), []
-                    for doc, text, spans, items_ in zip(*(part.column(c).to_pylist() for c in ("id", "text", "spans", "items"))):
+                    for doc, text, key in zip(*(part.column(c).to_pylist() for c in ("id", "text", "key"))):
                         words = words_of(text)
-                        found, own = machine.hits(words)
-                        if spans:
-                            found = merged(found + [(x["a"], x["b"]) for x in spans])
-                        own |= set(items_ or ())
-                        listed = sorted(own)
-                        if not last:
-                            out.append((doc, text, [{"a": a, "b": b} for a, b in found], listed))
-                            continue
-                        hit = sum(b - a for a, b in found)
-                        row = (doc, len(words), hit, len(own), hashlib.sha256(",".join(listed).encode()).hexdigest(), hit > 0 and 10_000 * hit >= limit * len(words))
-                        if full:
-                            kept, at = [], 0
-                            for a, b in found:
-                                kept += words[at:a]
-                                at = b
-                            row += (listed, [{"a": a, "b": b} for a, b in found], b" ".join(kept + words[at:]).decode())
-                        out.append(row)
-                    yield from rp.rows(out_schema if last else mid_schema, out).to_batches()
+                        found, own = machines[0].hits(words)
+                        for machine in machines[1:]:
+                            more, named = machine.hits(words)
+                            found, own = merged(found + more), own | named
+                        if kind == "whole":
+                            out.append(report(doc, words, len(words), found, own))
+                        elif kind == "part":
+                            out.append((doc, len(words), text if full else None, key, pairs(found), list(own)))
+                        elif found:
+                            out.append((key, pairs(found), list(own)))
+                    yield from rp.rows({"whole": out_schema, "hits": hits_schema, "part": part_schema}[kind], out).to_batches()
 
         return run
 
-    for k in range(n_slices):
-        part = [(r.id, r.text) for r in cut.where(F.col("slice") == k).collect()]  # about most_bytes
-        sent = spark.sparkContext.broadcast(Automaton(part, window))
-        last = k == n_slices - 1
-        df = df.mapInArrow(one_pass(sent, last), out_sql if last else sql)
-        if not last:
-            df = df.checkpoint()
-    return df
+    def together(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                out = []
+                for r in batch.slice(lo, 512).to_pylist():
+                    every = [r, *(r["before"] or ())]
+                    found = merged([(x["a"], x["b"]) for h in every for x in h["spans"]])
+                    out.append(report(r["id"], words_of(r["text"]) if full else None, r["n_words"], found, {i for h in every for i in h["items"]}))
+                yield from rp.rows(out_schema, out).to_batches()
+
+    before = None
+    for k in range(0, n_slices, slices_a_pass):
+        own = range(k, min(k + slices_a_pass, n_slices))
+        # each slice has about most_bytes
+        sent = [spark.sparkContext.broadcast(Automaton([(r.id, r.text) for r in cut.where(F.col("slice") == j).collect()], window)) for j in own]
+        if n_slices <= slices_a_pass:
+            return df.mapInArrow(one_pass(sent, "whole"), out_sql)
+        if own[-1] < n_slices - 1:
+            # equal texts have equal hits, of which one row stays
+            hits = graph.left_over(df.mapInArrow(one_pass(sent, "hits"), hits_sql).dropDuplicates(["key"]))
+            before = hits if before is None else before.unionByName(hits)
+            for x in sent:
+                x.destroy()
+    # a text has at most one row for each earlier pass
+    before = before.groupBy("key").agg(F.collect_list(F.struct("spans", "items")).alias("before"))
+    return df.mapInArrow(one_pass(sent, "part"), part_sql).join(before, "key", "left").drop("key").mapInArrow(together, out_sql)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -141,8 +141,8 @@ def test_bpe(docs, empty):
 ITEMS = [("a", LINE), ("b", "alpha beta line0"), ("c", None), ("d", ""), ("e", LINE + " extra"), (None, "delta")]
 
 
-@pytest.mark.parametrize("most", [8 << 20, 200])
-def test_decontamination(spark, docs, empty, most):
+@pytest.mark.parametrize("most, at_once", [(8 << 20, 4), (200, 4), (20, 1)])
+def test_decontamination(spark, docs, empty, most, at_once):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     split = lambda t: re.findall(word, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -161,8 +161,13 @@ def test_decontamination(spark, docs, empty, most):
                     hit |= set(range(j, j + size))
                     found |= windows[x] - {None}
         want[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit) and 20 * len(hit) >= len(w))
-    assert rows(decontaminate.decontaminate(docs, items, most_bytes=most), 6) == want
-    assert decontaminate.decontaminate(empty, items).count() == 0
+    sliced = {"most_bytes": most, "slices_a_pass": at_once}
+    assert rows(decontaminate.decontaminate(docs, items, **sliced), 6) == want
+    assert rows(decontaminate.decontaminate(docs, items, **sliced, full=False), 6) == want
+    assert decontaminate.decontaminate(empty, items, **sliced).count() == 0
+    # items, spans and kept words don't depend on slices either
+    said = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+    assert said(decontaminate.decontaminate(docs, items, **sliced)) == said(decontaminate.decontaminate(docs, items))
 
 
 def test_quality_rules_learn_a_threshold():
