@@ -407,8 +407,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         likely = tables.small(first.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct())
         tested = tables.keep(_verify(classes, likely, k, s))
         # rows of one id are one node
-        same = members.where("id IS NOT NULL AND n > 0").join(classes.select("key", "cid"), "key").groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("all")).where("a <> z")
-        same = tables.small(same.select("a", F.explode("all").alias("b")).where("a <> b"))
+        ids = tables.small(members.where("id IS NOT NULL AND n > 0").join(classes.select("key", "cid"), "key").select("id", "cid"))
+        least = ids.groupBy("id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a <> z").select("id", "a")
+        same = tables.small(ids.join(least, "id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
 
         def labels_of(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             """(class, component) of all linked classes; to what is known, new links only add links between components."""
