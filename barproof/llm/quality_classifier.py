@@ -11,13 +11,20 @@ on hashed words and hashed shapes, by at most ``sample`` distinct texts (those o
 the least hash of id and text; the bound is a parameter), which come to the driver
 as at most ``WIDTH`` hashed shares each, not as texts; scores cover every text.
 
-The verdict: a text is dropped if its posterior is at most ``surely_bad``, or if
-it is below ``least_posterior`` and the score is below ``least_score``.
+The verdict needs both views: a text is dropped if its posterior is below
+``least_posterior`` and its score below ``least_score``.  Heuristics that read the
+same counts aren't independent, and EM, which takes them so, is too sure of texts
+on which they err together; the scorer reads words instead.  A text without words
+gives the scorer nothing to read, so its posterior alone decides.  Where
+``surely_bad`` is set, a posterior of at most that drops a text by itself.
+
+Votes and scorer are learned from ``docs``, or from ``fit_on`` where given.
 
 Defined results: null and empty texts get votes like any other (they are bad);
-on an empty table nothing is learned and nothing returned; repeated ids or rows
-give one row each and teach once; without any text that has words the scorer
-knows its bias only; very long texts are read whole; other columns are ignored.
+where nothing can be learned from (an empty table) label and score are null and
+every text is kept; repeated ids or rows give one row each and teach once; without
+any text that has words the scorer knows its bias only; very long texts are read
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,23 +124,25 @@ def _coded() -> Column:
     return code.cast("int")
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_posterior: float = 0.2, least_score: float = 0.5, surely_bad: float = 0.01) -> DataFrame:
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least_posterior: float = 0.5, least_score: float = 0.5, surely_bad: float = 0.0, fit_on: DataFrame | None = None) -> DataFrame:
     """doc_id, label (posterior of the votes), score (of the linear scorer) and kept."""
     own = rp.whole(docs, id_col, text_col)
+    seen = own if fit_on is None else rp.whole(fit_on, id_col, text_col)
     judged = lambda df: votes(quality_rules.features(df))
     with graph.Tables(docs) as tables:
-        found = judged(docstats.count_texts(own, "id", "text")).groupBy(*VOTES).count().toPandas()  # at most 3^8 patterns
+        found = judged(docstats.count_texts(seen, "id", "text")).groupBy(*VOTES).count().toPandas()  # at most 3^8 patterns
         if not len(found):
-            return own.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("label"), F.lit(0.0).alias("score"), F.lit(True).alias("kept")).limit(0)
-        patterns = found[list(VOTES)].to_numpy(int)
-        label = posterior(patterns, *fit_accuracies(patterns, found["count"].to_numpy(float)))
+            return own.select(F.col("id").alias("doc_id"), F.lit(None).cast("double").alias("label"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("kept"))
+        fitted = fit_accuracies(found[list(VOTES)].to_numpy(int), found["count"].to_numpy(float))
+        patterns = np.indices([3] * len(VOTES)).reshape(len(VOTES), -1).T - 1  # all there can be: ``docs`` may have others than ``fit_on``
+        label = posterior(patterns, *fitted)
         known = docs.sparkSession.createDataFrame([(int(k), float(x)) for k, x in zip(((patterns + 1) * 3 ** np.arange(len(VOTES))).sum(1), label)], "code int, label double")
         labelled = lambda df: judged(df).withColumn("code", _coded()).join(F.broadcast(known), "code")  # noqa: E731  a row for each pattern
 
         # hashes first, then the texts of the chosen ones only, each once
         row = F.xxhash64("id", "text").alias("row")
-        chosen = own.select(row).distinct().orderBy("row").limit(sample)
-        taught = own.select(row, "text").join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+        chosen = seen.select(row).distinct().orderBy("row").limit(sample)
+        taught = seen.select(row, "text").join(F.broadcast(chosen), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
         taught = tables.keep(taught.select(F.col("row").alias("doc_id"), "text"))
         y = labelled(docstats.count_texts(taught)).select("doc_id", "label").orderBy("doc_id").toPandas()
         shares = taught.mapInArrow(_shares, "row long, slot int, share double").toArrow()
@@ -153,7 +162,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *(pa.array(c[k], pa.int64()) for k in docstats.COUNTS), pa.array(s)], schema=schema)
 
     out = labelled(own.mapInArrow(run, docstats.SQL + ", score double"))
-    bad = (F.col("label") <= surely_bad) | ((F.col("label") < least_posterior) & (F.col("score") < least_score))
+    bad = (F.col("label") <= surely_bad) | ((F.col("label") < least_posterior) & ((F.col("score") < least_score) | (F.col("n_words") == 0)))
     return out.select("doc_id", F.round("label", 6).alias("label"), F.round("score", 6).alias("score"), (~bad).alias("kept"))
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barproof.llm import quality_classifier as qc
 from barproof.llm import quality_rules as qr
@@ -117,6 +118,33 @@ def test_the_verdict_follows_label_and_score(spark):
     assert out[200].kept and not any(out[100 + k].kept for k in range(12))
 
 
+def test_both_views_are_needed_to_drop_a_text(spark):
+    """Defaults: the scorer overrules heuristics that err together; without words the posterior alone decides."""
+    good = "The committee met on Tuesday to discuss the budget, and several members asked questions about it. "
+    rows = [(k, good * (1 + k % 4) + f"Item number {k}.") for k in range(60)] + [(100 + k, "$$$ ### WIN %% " * (5 + k)) for k in range(12)] + [(200, good.upper()), (201, None), (202, " \n ")]
+    out = {r.doc_id: r for r in qc.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows)
+    for r in out.values():
+        assert r.kept == (not (r.label < 0.5 and (r.score < 0.5 or r.doc_id in (201, 202))))
+    assert not any(out[k].kept for k in (*range(100, 112), 201, 202)) and all(out[k].kept for k in range(60))
+
+
+def test_what_is_learned_from_some_texts_holds_for_others(spark):
+    """Held out: votes and scorer are learned from one half, without labels, and judge the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for half in (0, 1):
+        got = qc.classify(docs.where(F.col("half") != half), fit_on=docs.where(F.col("half") == half))
+        assert got.count() == docs.where(F.col("half") != half).count()
+        share = {r.quality: r.dropped for r in got.join(labels, "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("dropped")).collect()}
+        assert share[0] >= 0.6 and share[1] <= 0.03, share
+
+
+def test_nothing_to_learn_from(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    assert [(r.label, r.score, r.kept) for r in qc.classify(df, fit_on=df.limit(0)).collect()] == [(None, None, True)] * 3
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None
