@@ -274,3 +274,28 @@ def test_a_heavy_prefix_is_cut_as_finely_as_it_must():
     place = kit._place(textkit.mix(keys))
     assert len(set(place[:-2])) > 3990 and place[-2] > place[:-2].max() and place[-1] < place[:-2].min()
     assert (kit._place(textkit.mix(keys)) == place).all() and (np.diff(place[np.argsort(keys)]) >= 0).all()
+
+
+def test_suffix_arrays_take_few_steps_of_python():
+    """Whole arrays are sorted: steps grow with the logarithm of the longest repeat, not with strings or symbols."""
+    import sys
+
+    import numpy as np
+
+    from barproof.llm.suffix_array import suffix_arrays
+
+    rng, steps = np.random.default_rng(0), Counter()
+    passage = rng.integers(1, 257, 3000)
+    many = [np.concatenate((passage, rng.integers(1, 257, k), passage, [0])) for k in range(12)]
+    for strings in ([np.concatenate((*many, np.ones(5000, np.int64)))], many):
+        text, offs = np.concatenate(strings).astype(np.int16), np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+        steps.clear()
+        sys.setprofile(lambda frame, event, what: steps.update((event,)))
+        try:
+            order = suffix_arrays(text, offs)
+        finally:
+            sys.setprofile(None)
+        assert steps.total() < 3000
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+            own = text[a:b].astype(">i2").tobytes()
+            assert order[a:b].tolist() == [x + a for x in sorted(range(b - a), key=lambda i: own[2 * i :])]
