@@ -29,6 +29,12 @@ def numbers(s: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(s, F.lit(NUMBER), 1), number), lambda x: x.isNotNull())
 
 
+def written_numbers(s: Column) -> Column:
+    """As ``numbers``, each with whether it is written as a lone digit from 1 to 9: '8' and '8.' are, '8.00' is not."""
+    found = F.transform(F.regexp_extract_all(s, F.lit(NUMBER), 1), lambda x: F.struct(number(x).alias("v"), x.rlike(r"^0*[1-9][.,]*$").alias("digit")))
+    return F.filter(found, lambda x: x["v"].isNotNull())
+
+
 def clean_symbol(s: Column) -> Column:
     return F.regexp_replace(F.upper(s), "[^A-Z0-9]", "")
 

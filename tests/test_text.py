@@ -25,3 +25,18 @@ SIGNALS = [
 def test_parse(spark, text, want):
     got = ms.parse(spark.createDataFrame([("c", 1, 0, text)], "channel string, id long, t long, text string")).collect()
     assert (got == [] if want is None else [(r.sym, r.side, r.entry, r.sl, r.tps) for r in got] == [want])
+
+
+PRICES = [  # a price of one digit before its decimals is no ordinal, a lone digit in a list is one
+    ("NOUSDT LONG\nEntry: 7.77\nStop: 7.46\nTP1: 8.00\nTP2: 8.24", (7.77, [8.0, 8.24])),
+    ("NO/USDT long\nEntry zone: 8.60 - 9,00\nSL: 8.45\nTargets: 9.07 - 9.33", (8.8, [9.07, 9.33])),
+    ("#NOUSDT al\nGiriş: 7,55\nZarar kes: 7,25\nHedef: 7,77 / 8,00", (7.55, [7.77, 8.0])),
+    ("NOUSDT buy\nentry 1 2.45 2. 2.55\nstop 2.20\ntp 1 3.00 2 3.50", (2.5, [3.0, 3.5])),
+    ("NOUSDT buy\nentry 7\nstop 6\ntp 8\ntp 8.00\ntp 9.50", (7.0, [8.0, 9.5])),
+    ("NOUSDT buy\nentry 7\nstop 6\ntp 8", (7.0, [8.0])),
+]
+
+
+def test_prices_of_one_digit_are_no_ordinals(spark):
+    df = spark.createDataFrame([("c", i, 0, t) for i, (t, _) in enumerate(PRICES)], "channel string, id long, t long, text string")
+    assert {r.id: (round(r.entry, 9), r.tps) for r in ms.parse(df).collect()} == {i: w for i, (_, w) in enumerate(PRICES)}
