@@ -8,7 +8,7 @@ from test_market import plain
 
 #: Prices of whole units below ten: after a fall the walk comes back to 8.80 on every sixth day.
 FALL, DAYS = 48, 200
-NAMES = ("fn_parse_signal", "jn_fill", "ag_monkey", "ag_channel_card")
+NAMES = ("fn_parse_signal", "prj_toplan", "jn_fill", "ag_monkey", "ag_channel_card")
 
 
 def levels():
