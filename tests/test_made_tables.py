@@ -9,7 +9,7 @@ from test_market import plain
 #: Prices of whole units below ten: after a fall the walk comes back to 8.80 on every sixth day.
 FALL, DAYS = 48, 200
 HOURS = 720
-NAMES = ("fn_parse_signal", "prj_toplan", "jn_fill", "ag_monkey", "ag_channel_card", "wn_volz", "wn_feat")
+NAMES = ("fn_parse_signal", "prj_toplan", "jn_fill", "ag_monkey", "ag_channel_card", "wn_volz", "wn_feat", "so_union")
 
 
 def levels():
