@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from barproof.jobs import sql as q
@@ -54,7 +56,7 @@ SEASON = dict(
 
 @register("wn_season", q.query(f"SELECT s0.sym, t, round(exp(list_sum(list_transform(list_zip(coef, x), lambda z: z[1] * z[2])) - mu), 6) AS season FROM s0 LEFT JOIN s4 ON s4.sym = s0.sym AND s4.q = (i - warm) // {24 * REFIT} AND i >= warm", **SEASON))
 def wn_season(spark, d):
-    return md.with_season(fx.bars_1h(spark, d), 24, REFIT).select("sym", "t", F.round("season", 6).alias("season"))
+    return md.with_season(fx.bars_1h(spark, d), 24, REFIT, share=Decimal("0.35")).select("sym", "t", F.round("season", 6).alias("season"))
 
 
 TAUS = (0.1, 0.5, 0.9)

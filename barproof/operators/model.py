@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,9 +66,12 @@ def blend_weights(bars: DataFrame, per_day: int, hz: int, short: int = 30, long:
     return best.select("sym", (F.col("q") * step + warm).alias("refit"), F.round(F.when(F.col("n") < least, 1.0).otherwise(F.col("k") * 0.05), 2).alias("w"), "n")
 
 
-def warm_up(n: Column, per_day: int) -> Column:
-    """Bars before the first fit: 35 % of a symbol's, 180 days at most."""
-    return F.least(F.floor(n * 0.35), F.lit(180 * per_day)).cast("long")
+def warm_up(n: Column, per_day: int, share: float | Decimal = 0.35) -> Column:
+    """Bars before the first fit: 35 % of a symbol's, 180 days at most.
+
+    A float is multiplied in binary, where 720 * 0.35 is just below 252, as the original has it; a Decimal, like SQL's literal, exactly.
+    """
+    return F.least(F.floor(n * F.lit(share)), F.lit(180 * per_day)).cast("long")
 
 
 #: Terms of the seasonal regression: 1, four waves of the day, three of the week.
@@ -96,14 +100,14 @@ def solved(m: Column, size: int) -> Column:
     return F.transform(done, lambda row, r: F.when(F.abs(F.element_at(row, r + 1)) < least, 0.0).otherwise(F.element_at(row, size + 1) / F.element_at(row, r + 1)))
 
 
-def season_fits(bars: DataFrame, per_day: int, refit_days: int = 30) -> DataFrame:
+def season_fits(bars: DataFrame, per_day: int, refit_days: int = 30, share: float | Decimal = 0.35) -> DataFrame:
     """(sym, q, coef, mu) of each refit: the seasonal regression of ln(r^2 + 1e-12) on all bars before bar number warm-up + q * refit.
 
     Bars become sums by hour of the week and the first refit that may see them, these the
     cells of the normal equations, and the cells run along the refits.
     """
     step = refit_days * per_day
-    sizes = bars.groupBy("sym").agg(F.count(F.lit(1)).alias("_n")).withColumn("_warm", warm_up(F.col("_n"), per_day))
+    sizes = bars.groupBy("sym").agg(F.count(F.lit(1)).alias("_n")).withColumn("_warm", warm_up(F.col("_n"), per_day, share))
     b = ft.unframed(ft.framed(bars, 1).withColumn("_y", F.ln(F.pow(ft.log_return(), 2) + 1e-12))).where("i >= 1").join(sizes, "sym")
     q = F.when(F.col("i") < F.col("_warm"), 0).otherwise(F.floor((F.col("i") - F.col("_warm")) / step) + 1).cast("long")
     sums = b.groupBy("sym", q.alias("q"), ft.ny_hour_of_week(F.col("t")).alias("how")).agg(F.count(F.lit(1)).alias("m"), F.sum("_y").alias("y"))
@@ -120,11 +124,11 @@ def season_fits(bars: DataFrame, per_day: int, refit_days: int = 30) -> DataFram
     return fits.select("sym", "q", "coef", (dot / F.col("m")[0][0]).alias("mu"))
 
 
-def with_season(bars: DataFrame, per_day: int, refit_days: int = 30, name: str = "season") -> DataFrame:
-    """Adds the causal seasonal variance factor: exp(fit - its mean), null during the warm-up."""
+def with_season(bars: DataFrame, per_day: int, refit_days: int = 30, name: str = "season", share: float | Decimal = 0.35) -> DataFrame:
+    """Adds the causal seasonal variance factor: exp(fit - its mean), null during the warm-up (``share`` of the bars, see ``warm_up``)."""
     step = refit_days * per_day
-    sizes = bars.groupBy("sym").agg(F.count(F.lit(1)).alias("_n")).withColumn("_warm", warm_up(F.col("_n"), per_day)).drop("_n")
-    fits = rd.stored(season_fits(bars, per_day, refit_days), "season")
+    sizes = bars.groupBy("sym").agg(F.count(F.lit(1)).alias("_n")).withColumn("_warm", warm_up(F.col("_n"), per_day, share)).drop("_n")
+    fits = rd.stored(season_fits(bars, per_day, refit_days, share), "season")
     b = ft.with_index(bars).join(sizes, "sym").withColumn("q", F.floor((F.col("i") - F.col("_warm")) / step))
     b = b.join(fits, ["sym", "q"], "left")
     fit = F.aggregate(F.zip_with("coef", season_basis(ft.ny_hour_of_week(F.col("t"))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

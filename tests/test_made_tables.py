@@ -8,8 +8,9 @@ from test_market import plain
 
 #: Prices of whole units below ten: after a fall the walk comes back to 8.80 on every sixth day.
 FALL, DAYS = 48, 200
+#: 35 % of so many hours is a whole number, but not in binary.
 HOURS = 720
-NAMES = ("fn_parse_signal", "prj_toplan", "jn_fill", "ag_monkey", "ag_channel_card", "wn_volz", "wn_feat", "so_union")
+NAMES = ("fn_parse_signal", "prj_toplan", "jn_fill", "ag_monkey", "ag_channel_card", "wn_volz", "wn_feat", "so_union", "wn_season")
 
 
 def levels():
